@@ -166,3 +166,181 @@ SELECT repo, path, language, total_lines, code_lines, blank_lines, complexity, m
 def q_file_metrics(spark, sf):
     m = E.file_metrics(analyzed(spark, sf))
     return m.withColumn("avg_line_length", F.round("avg_line_length", 6))
+
+
+# ---------------------------------------------------------------------------
+# Aggregations (D1–D14), joins (E1), rankings
+# ---------------------------------------------------------------------------
+
+from ..operators import deps as DEP  # noqa: E402
+from ..operators import rank as RK  # noqa: E402
+from ..operators import stats as S  # noqa: E402
+from ..sources import corpus as SRC  # noqa: E402
+
+
+@register("language_stats", O.with_ctes("""
+SELECT repo, language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS total_lines
+FROM files GROUP BY ROLLUP (repo, language)""", ["files"]))
+def q_language_stats(spark, sf):
+    return S.language_stats(corpus(spark, sf))
+
+
+@register("file_counts", O.with_ctes("SELECT repo, path, language, imports, functions, classes FROM file_counts",
+                                     ["file_counts"]))
+def q_file_counts(spark, sf):
+    return S.file_counts(analyzed(spark, sf))
+
+
+@register("repo_summary", O.with_ctes(
+    "SELECT repo, files, total_functions, total_classes, total_imports, languages FROM facts", ["facts"]))
+def q_repo_summary(spark, sf):
+    return S.repo_summary(analyzed(spark, sf))
+
+
+@register("maintainability_dist", O.with_ctes("SELECT repo, high, medium, low FROM facts", ["facts"]))
+def q_maintainability_dist(spark, sf):
+    return S.maintainability_dist(analyzed(spark, sf))
+
+
+@register("architecture_patterns", O.with_ctes(
+    "SELECT repo, mvc, layered, microservices, monolithic FROM facts", ["facts"]))
+def q_architecture_patterns(spark, sf):
+    return S.architecture_patterns(analyzed(spark, sf))
+
+
+@register("test_coverage", O.with_ctes("""
+SELECT repo, test_files, regular_files, round(coverage_ratio, 6) AS coverage_ratio, coverage_level FROM facts""",
+                                       ["facts"]))
+def q_test_coverage(spark, sf):
+    return S.test_coverage(analyzed(spark, sf)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
+
+
+@register("directory_stats", O.with_ctes("""
+SELECT repo, split_part(path, '/', 1) AS directory, count(*) AS files
+FROM files WHERE len(string_split(path, '/')) > 1 GROUP BY ALL""", ["files"]))
+def q_directory_stats(spark, sf):
+    return S.directory_stats(analyzed(spark, sf))
+
+
+@register("organization", O.with_ctes("""
+SELECT repo, depth, directories, files, round(directories / files, 6) AS organization_score FROM
+ (SELECT repo, CAST(max(len(string_split(path, '/'))) AS INTEGER) AS depth,
+    count(DISTINCT CASE WHEN len(string_split(path, '/')) > 1 THEN split_part(path, '/', 1) END) AS directories,
+    count(*) AS files FROM files GROUP BY repo)""", ["files"]))
+def q_organization(spark, sf):
+    return S.organization(analyzed(spark, sf)).withColumn("organization_score", F.round("organization_score", 6))
+
+
+@register("directory_tree", O.with_ctes("""
+SELECT repo, node, max(depth) AS depth, max(parent) AS parent, bool_or(is_file) AS is_file,
+  max(language) AS language, count(*) AS files FROM
+ (SELECT repo, CAST(depth AS INTEGER) AS depth, array_to_string(parts[1:depth], '/') AS node,
+    array_to_string(parts[1:depth - 1], '/') AS parent, depth = len(parts) AS is_file,
+    CASE WHEN depth = len(parts) THEN language END AS language
+  FROM (SELECT repo, language, parts, unnest(range(1, len(parts) + 1)) AS depth
+        FROM (SELECT repo, language, string_split(path, '/') AS parts FROM files)))
+GROUP BY repo, node""", ["files"]))
+def q_directory_tree(spark, sf):
+    return S.directory_tree(analyzed(spark, sf))
+
+
+@register("entry_points", O.with_ctes(f"""
+SELECT DISTINCT repo, path FROM an WHERE {O._is_entry}""", ["an"]))
+def q_entry_points(spark, sf):
+    return S.entry_points(analyzed(spark, sf))
+
+
+@register("recommendations", O.with_ctes("SELECT repo, rule, recommendation FROM recs", ["recs"]))
+def q_recommendations(spark, sf):
+    return S.recommendations(S.repo_facts(analyzed(spark, sf)))
+
+
+@register("summary_report", O.with_ctes("""
+SELECT repo, metric, value FROM report_wide
+UNPIVOT (value FOR metric IN (total_files, languages, functions, classes, architecture_patterns, test_coverage,
+                              entry_points, complexity_distribution, recommendations))""", ["report_wide"]))
+def q_summary_report(spark, sf):
+    return S.summary_report(analyzed(spark, sf))
+
+
+@register("project_context", O.with_ctes("""
+SELECT f.repo, concat_ws(' | ', concat('Project: ', f.repo), concat('Languages: ', coalesce(l.language_list, '[]')),
+  concat('Total files: ', total_files), concat('Functions: ', total_functions), concat('Classes: ', total_classes))
+  AS context
+FROM facts f LEFT JOIN lang_line l USING (repo)""", ["facts", "lang_line"]))
+def q_project_context(spark, sf):
+    return S.project_context(analyzed(spark, sf))
+
+
+@register("top_imports", O.with_ctes("""
+SELECT repo, CAST(rank AS INTEGER) AS rank, module, uses FROM
+ (SELECT repo, module, count(*) AS uses, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, module) AS rank
+  FROM imp_t GROUP BY repo, module) WHERE rank <= 10""", ["imp_t"]))
+def q_top_imports(spark, sf):
+    return DEP.top_imports(analyzed(spark, sf))
+
+
+@register("topk_imports", O.with_ctes("""
+SELECT module, count(*) AS uses FROM imp_t GROUP BY module ORDER BY uses DESC, module LIMIT 10""", ["imp_t"]))
+def q_topk_imports(spark, sf):
+    return DEP.corpus_top_imports(analyzed(spark, sf))
+
+
+@register("external_deps", O.with_ctes(f"""
+SELECT repo, dependency FROM (SELECT DISTINCT repo, lower(module) AS dependency FROM imp_t
+  WHERE regexp_matches(lower(module), {O.sql_str(O.KNOWN_LIBS)}))
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dependency) <= 10""", ["imp_t"]))
+def q_external_deps(spark, sf):
+    return DEP.external_deps(analyzed(spark, sf))
+
+
+@register("internal_deps", O.with_ctes("""
+SELECT repo, path, CAST(dep_rank - 1 AS INTEGER) AS ord, module AS dependency FROM
+ (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY ord) AS dep_rank FROM dep_edges)
+  WHERE dep_rank <= 5) p
+WHERE (repo, path) IN (SELECT repo, path FROM (SELECT DISTINCT repo, path FROM dep_edges)
+                       QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 10)""", ["dep_edges"]))
+def q_internal_deps(spark, sf):
+    return DEP.internal_deps(analyzed(spark, sf))
+
+
+@register("important_files", O.with_ctes("SELECT repo, rank, path, language, score FROM important", ["important"]))
+def q_important_files(spark, sf):
+    return RK.important_files(S.file_counts(analyzed(spark, sf)), k=5)
+
+
+@register("cap_files", O.with_ctes("""
+SELECT repo, path FROM files QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 100""", ["files"]))
+def q_cap_files(spark, sf):
+    return SRC.cap_files(corpus(spark, sf).select("repo", "path"), 100)
+
+
+@register("quarantine", """
+SELECT source AS repo, concat('doc_', CAST(doc_id AS VARCHAR), '.txt') AS path, strlen(text) AS size_bytes,
+  strlen(text) <= 50000 AS kept, CASE WHEN strlen(text) > 50000 THEN 'too_large' END AS skip_reason
+FROM documents""")
+def q_quarantine(spark, sf):
+    docs = doc_corpus(spark, sf).select("repo", "path", "content",
+                                        F.octet_length("content").cast("bigint").alias("size_bytes"))
+    return SRC.quarantine(docs).select("repo", "path", "size_bytes", "kept", "skip_reason")
+
+
+_URLS_SQL = """SELECT CASE s_suppkey % 4
+    WHEN 0 THEN concat('https://github.com/', lower(n_name), '/', replace(lower(s_name), '#', '-'))
+    WHEN 1 THEN concat('git@github.com:', lower(n_name), '/', replace(lower(s_name), '#', '-'), '.git')
+    WHEN 2 THEN concat('https://github.com/', lower(n_name), '/', replace(lower(s_name), '#', '-'), '.git')
+    ELSE concat('https://gitlab.com/', lower(n_name), '/', replace(lower(s_name), '#', '-')) END AS url
+  FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+
+
+@register("repo_registry", """
+SELECT DISTINCT url, concat(split_part(s, '/', 1), '/', split_part(s, '/', 2)) AS repo FROM
+ (SELECT url, replace(replace(replace(url, 'https://github.com/', ''), 'git@github.com:', ''), '.git', '') AS s
+  FROM (""" + _URLS_SQL.replace("{supplier}", "supplier").replace("{nation}", "nation") + """)
+  WHERE starts_with(url, 'https://github.com/') OR starts_with(url, 'git@github.com:'))""")
+def q_repo_registry(spark, sf):
+    """A4 over URLs derived from every supplier (nation is the fixed 25-row TPC-H dimension)."""
+    sup = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nat = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    urls = spark.sql(_URLS_SQL, supplier=sup, nation=nat)
+    return SRC.repo_registry(urls)

@@ -256,3 +256,83 @@ cte("file_counts", """SELECT f.repo, f.path, f.language,
     ["files", "imp_t", "fn_t", "cls_t"])
 
 PREVIEW = BODY_PREVIEW_CHARS
+
+# ---------------------------------------------------------------------------
+# Per-repository aggregations, dependencies, rankings
+# ---------------------------------------------------------------------------
+
+from ..functions.rules import (  # noqa: E402
+    CONFIG_PATH_WORDS, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, IMPORTANT_PATH_WORDS, LAYERED_INDICATORS,
+    MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES, MVC_INDICATORS, RECOMMENDATIONS, TEST_PATH_WORDS,
+)
+
+cte("an", """SELECT c.repo, c.path, c.language, c.imports, c.functions, c.classes, m.maintainability,
+  m.has_main, m.has_tests, m.code_lines, m.complexity, m.total_lines
+  FROM file_counts c JOIN metrics m USING (repo, path)""", ["file_counts", "metrics"])
+
+
+def _flag_count(words: list[str]) -> str:
+    return " + ".join(f"max(CASE WHEN contains(lower(path), {sql_str(w)}) THEN 1 ELSE 0 END)" for w in words)
+
+
+_is_test = f"({contains_any('lower(path)', TEST_PATH_WORDS)} OR has_tests)"
+_is_entry = f"(has_main OR {contains_any('lower(path)', ENTRY_POINT_WORDS)})"
+cte("facts0", f"""SELECT repo, count(*) AS total_files, count(*) AS files,
+  CAST(sum(functions) AS BIGINT) AS total_functions, CAST(sum(classes) AS BIGINT) AS total_classes,
+  CAST(sum(imports) AS BIGINT) AS total_imports, count(DISTINCT language) AS languages,
+  count(*) FILTER (WHERE maintainability = 'High') AS high,
+  count(*) FILTER (WHERE maintainability = 'Medium') AS medium,
+  count(*) FILTER (WHERE maintainability = 'Low') AS low,
+  {_flag_count(MVC_INDICATORS)} AS mvc_n, {_flag_count(LAYERED_INDICATORS)} AS layered_n,
+  {_flag_count(MICROSERVICE_INDICATORS)} AS micro_n,
+  count(*) FILTER (WHERE {_is_test}) AS test_files, count(*) FILTER (WHERE NOT {_is_test}) AS regular_files,
+  count(*) FILTER (WHERE {_is_entry}) AS entry_points
+  FROM an GROUP BY repo""", ["an"])
+cte("facts", f"""SELECT repo, total_files, files, total_functions, total_classes, total_imports, languages,
+  high, medium, low, mvc_n >= 2 AS mvc, layered_n >= 2 AS layered, micro_n >= 3 AS microservices,
+  total_files > {MONOLITH_MIN_FILES} AND NOT micro_n >= 3 AS monolithic,
+  test_files, regular_files, test_files / greatest(regular_files, 1) AS coverage_ratio,
+  CASE WHEN test_files / greatest(regular_files, 1) > 0.5 THEN 'High'
+       WHEN test_files / greatest(regular_files, 1) > 0.2 THEN 'Medium' ELSE 'Low' END AS coverage_level,
+  entry_points FROM facts0""", ["facts0"])
+
+cte("recs", " UNION ALL ".join(
+    f"SELECT repo, {i} AS rule, {sql_str(t)} AS recommendation FROM facts WHERE {cond}"
+    for i, (cond, t) in enumerate(zip(
+        ["total_functions = 0", "low > high + medium", "coverage_level = 'Low'", "entry_points = 0",
+         "languages > 5"], RECOMMENDATIONS))), ["facts"])
+
+cte("lang_counts", """SELECT repo, language, count(*) AS files, min(path) AS first_path FROM an GROUP BY ALL""", ["an"])
+cte("lang_line", """SELECT repo,
+  string_agg(concat(language, '=', CAST(files AS VARCHAR)), ', ' ORDER BY first_path, language, files) AS language_counts,
+  concat('[', string_agg(concat('''', language, ''''), ', ' ORDER BY first_path, language), ']') AS language_list
+  FROM lang_counts GROUP BY repo""", ["lang_counts"])
+
+_patterns = ("coalesce(nullif(concat_ws(', ', CASE WHEN mvc THEN 'MVC' END, CASE WHEN layered THEN 'LAYERED' END, "
+             "CASE WHEN microservices THEN 'MICROSERVICES' END, CASE WHEN monolithic THEN 'MONOLITHIC' END), ''), "
+             "'No specific patterns detected')")
+cte("report_wide", f"""SELECT f.repo, CAST(total_files AS VARCHAR) AS total_files,
+  coalesce(l.language_counts, '') AS languages, CAST(total_functions AS VARCHAR) AS functions,
+  CAST(total_classes AS VARCHAR) AS classes, {_patterns} AS architecture_patterns,
+  coverage_level AS test_coverage, CAST(entry_points AS VARCHAR) AS entry_points,
+  concat('High=', high, ', Medium=', medium, ', Low=', low) AS complexity_distribution,
+  CAST(coalesce(r.n, 0) AS VARCHAR) AS recommendations
+  FROM facts f LEFT JOIN lang_line l USING (repo)
+  LEFT JOIN (SELECT repo, count(*) AS n FROM recs GROUP BY repo) r USING (repo)""",
+    ["facts", "lang_line", "recs"])
+
+cte("stems", """SELECT DISTINCT repo, split_part(regexp_extract(path, '([^/]*)$', 1), '.', 1) AS stem FROM files""",
+    ["files"])
+cte("dep_edges", """SELECT i.repo, i.path, i.ord, i.module FROM imp_t i
+  WHERE EXISTS (SELECT 1 FROM stems s WHERE s.repo = i.repo AND contains(i.module, s.stem))""",
+    ["imp_t", "stems"])
+
+_score = (f"(CASE WHEN {contains_any('lower(path)', IMPORTANT_PATH_WORDS)} THEN 10 ELSE 0 END"
+          f" + CASE WHEN {contains_any('lower(path)', CONFIG_PATH_WORDS)} THEN 5 ELSE 0 END"
+          " + functions * 2 + classes * 3"
+          " - CASE WHEN contains(lower(path), 'test') OR (functions = 0 AND classes = 0) THEN 5 ELSE 0 END)")
+cte("important", f"""SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS INTEGER) AS rank,
+  path, language, score
+  FROM (SELECT repo, path, language, CAST({_score} AS INTEGER) AS score FROM file_counts) WHERE score > 0
+  QUALIFY rank <= 5""", ["file_counts"])
+KNOWN_LIBS = "|".join(EXTERNAL_LIBRARIES)
