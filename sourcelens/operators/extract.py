@@ -36,30 +36,33 @@ def _strip_bool(c: Column) -> Column:
     return X.has_text(c)
 
 
-def _python_body(content: Column, lines: Column, end0: Column, end_line: Column) -> Column:
-    """Indented block after a ``def`` header, at most 10 lines.
+def _python_candidates(content: Column, lines: Column, end0: Column, end_line: Column) -> Column:
+    """Rest of the ``def`` header line plus the next nine whole lines.
 
-    Candidate lines are the rest of the header line plus the next nine whole
-    lines, taken from the per-file line array (no copy of the file tail).
-    The block ends before the first non-blank line indented less than the
-    first non-blank line.
+    Taken from the per-file line array, so no copy of the file tail is made.
     """
     head_len = F.length(F.element_at(lines, end_line))
     first = F.substring_index(content.substr(end0 + 1, head_len + 1), "\n", 1)
-    cand = F.concat(F.array(first), F.slice(lines, end_line + 1, PYTHON_BODY_LINES - 1))
-    info = F.transform(cand, lambda l: F.struct(X.has_text(l).alias("t"), X.leading_ws_len(l).alias("ind")))
-    idx = F.sequence(F.lit(1), F.size(cand))
-    nonblank = F.filter(idx, lambda i: F.element_at(info, i)["t"])
-    first_nb = F.element_at(nonblank, 1)
-    level = F.element_at(info, first_nb)["ind"]
-    stops = F.filter(nonblank, lambda i: (i > first_nb) & (F.element_at(info, i)["ind"] < level))
-    k = F.when(F.size(stops) > 0, F.element_at(stops, 1) - 1).otherwise(F.size(cand))
-    return F.array_join(F.slice(cand, 1, k), "\n")
-
-
-def _brace_body(content: Column, end0: Column, opens: Column) -> Column:
+    return F.concat(F.array(first), F.slice(lines, end_line + 1, PYTHON_BODY_LINES - 1))
+
+
+def _python_body(f: Column) -> Column:
+    """Indented block after a ``def`` header, at most 10 lines: it ends before
+    the first non-blank line indented less than the first non-blank line.
+
+    ``f`` carries ``cand`` (candidate lines), ``info`` (blank flag, indent)
+    and ``nb`` (non-blank positions) computed in earlier passes, so the
+    lambdas below only read fields.
+    """
+    first_nb = F.element_at(f["nb"], 1)
+    stops = F.filter(f["nb"], lambda i: (i > first_nb)
+                     & (F.element_at(f["info"], i)["ind"] < F.element_at(f["info"], first_nb)["ind"]))
+    k = F.when(F.size(stops) > 0, F.element_at(stops, 1) - 1).otherwise(F.size(f["cand"]))
+    return F.array_join(F.slice(f["cand"], 1, k), "\n")
+
+
+def _brace_body(window: Column, opens: Column) -> Column:
     """Text after the header up to the brace that closes the body (≤ 501 chars)."""
-    window = content.substr(end0 + 1, F.lit(BRACE_BODY_CHARS))
     init = F.struct(F.when(opens, 1).otherwise(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("cut"))
 
     def step(s: Column, ch: Column) -> Column:
@@ -110,13 +113,23 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
         lambda f: f["name"].isNotNull() & ~F.startswith(f["name"], F.lit("_"))
         & ~f["name"].isin(*NOT_FUNCTION_NAMES))
 
-    def fn_rec(f: Column, i: Column) -> Column:
-        body = F.when(lang == "python", _python_body(content, F.col("lines"), f["end0"], f["end_line"])) \
-                .otherwise(_brace_body(content, f["end0"], f["opens"]))
-        return F.struct(i.alias("ord"), f["name"].alias("name"), f["line"].alias("line"),
-                        f["signature"].alias("signature"), body.alias("body"))
-
-    functions = F.transform(fns, fn_rec)
+    # Function bodies in passes, each lambda reading only fields of its element.
+    is_py = lang == "python"
+    empty_lines = F.array().cast("array<string>")
+    functions = F.transform(fns, lambda f, i: F.struct(
+        i.alias("ord"), f["name"].alias("name"), f["line"].alias("line"), f["signature"].alias("signature"),
+        f["opens"].alias("opens"),
+        F.when(is_py, _python_candidates(content, F.col("lines"), f["end0"], f["end_line"]))
+         .otherwise(empty_lines).alias("cand"),
+        F.when(is_py, F.lit(None).cast("string"))
+         .otherwise(content.substr(f["end0"] + 1, F.lit(BRACE_BODY_CHARS))).alias("window")))
+    functions = F.transform(functions, lambda f: f.withField("info", F.transform(
+        f["cand"], lambda l: F.struct(X.has_text(l).alias("t"), X.leading_ws_len(l).alias("ind")))))
+    functions = F.transform(functions, lambda f: f.withField("nb", F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(f["cand"]), F.lit(1))),
+        lambda j: F.coalesce(F.try_element_at(f["info"], j)["t"], F.lit(False)))))
+    functions = F.transform(functions, lambda f: f.withField(
+        "body", F.when(is_py, _python_body(f)).otherwise(_brace_body(f["window"], f["opens"]))))
     functions = F.transform(functions, lambda f: F.struct(
         f["ord"].alias("ord"), f["name"].alias("name"), f["line"].alias("line"),
         f["signature"].alias("signature"),

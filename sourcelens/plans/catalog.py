@@ -344,3 +344,71 @@ def q_repo_registry(spark, sf):
     nat = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))
     urls = spark.sql(_URLS_SQL, supplier=sup, nation=nat)
     return SRC.repo_registry(urls)
+
+
+# ---------------------------------------------------------------------------
+# Retrieval (H1–H7): corpus = documents; questions = benchmark items and
+# user turns of conversations.
+# ---------------------------------------------------------------------------
+
+from ..operators import retrieval as RT  # noqa: E402
+
+
+def kb_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", "source", F.lit("document").alias("type"), "text")
+
+
+def doc_index(spark, sf) -> RT.Index:
+    return RT.build_index(kb_documents(spark, sf))
+
+
+def bench_questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def conv_questions(spark, sf):
+    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text")
+
+
+@register("ngrams", O.with_ctes("""
+SELECT id AS doc_id, CAST(len(k) AS INTEGER) AS tokens, CAST(greatest(len(k) - 1, 0) AS INTEGER) AS bigrams,
+  CAST(len(list_distinct(list_concat(k, list_transform(range(1, len(k)), lambda i: concat(k[i], ' ', k[i + 1])))))
+       AS INTEGER) AS distinct_terms
+FROM d_tok""", ["d_tok"]))
+def q_ngrams(spark, sf):
+    return RT.token_stats(table(spark, sf, "documents"))
+
+
+@register("vocabulary", O.with_ctes("SELECT term, df, total, round(idf, 6) AS idf FROM vocab", ["vocab"]))
+def q_vocabulary(spark, sf):
+    return doc_index(spark, sf).vocab.withColumn("idf", F.round("idf", 6))
+
+
+@register("doc_norms", O.with_ctes("SELECT doc_id, round(norm, 6) AS norm FROM d_norm", ["d_norm"]))
+def q_doc_norms(spark, sf):
+    return doc_index(spark, sf).norms.select("doc_id", F.round("norm", 6).alias("norm"))
+
+
+@register("search", O.with_ctes("SELECT qid, doc_id, rank, round(score, 6) AS score FROM bq_hits", ["bq_hits"]))
+def q_search(spark, sf):
+    hits = RT.search(doc_index(spark, sf), bench_questions(spark, sf))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@register("answers", O.answers_sql("cq", "SELECT conv_id * 10 + turn AS qid FROM conversations WHERE role = 'user'"))
+def q_answers(spark, sf):
+    return RT.answers(doc_index(spark, sf), conv_questions(spark, sf))
+
+
+@register("answer_sources", O.with_ctes(
+    "SELECT qid, rank, doc_id, source, type, round(score, 6) AS confidence FROM cq_top3", ["cq_top3"]))
+def q_answer_sources(spark, sf):
+    s = RT.answer_sources(doc_index(spark, sf), conv_questions(spark, sf))
+    return s.withColumn("confidence", F.round("confidence", 6))
+
+
+@register("answer_context", O.context_sql("bq"))
+def q_answer_context(spark, sf):
+    return RT.answer_context(doc_index(spark, sf), bench_questions(spark, sf))

@@ -336,3 +336,78 @@ cte("important", f"""SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDE
   FROM (SELECT repo, path, language, CAST({_score} AS INTEGER) AS score FROM file_counts) WHERE score > 0
   QUALIFY rank <= 5""", ["file_counts"])
 KNOWN_LIBS = "|".join(EXTERNAL_LIBRARIES)
+
+# ---------------------------------------------------------------------------
+# Retrieval: TF-IDF over documents, questions from benchmark / conversations
+# ---------------------------------------------------------------------------
+
+from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT  # noqa: E402
+from ..operators.retrieval import MAX_DF, MAX_FEATURES, TOKEN_PATTERN, english_stop_words  # noqa: E402
+
+STOP_LIST = "[" + ", ".join(sql_str(w) for w in english_stop_words()) + "]"
+
+
+def _terms_ctes(name: str, src_sql: str) -> None:
+    """``{name}_tf(id, term, tf)`` for a source with columns (id, text)."""
+    cte(f"{name}_src", src_sql, [])
+    cte(f"{name}_tok", f"""SELECT id, list_filter(regexp_extract_all(lower(text), {sql_str(TOKEN_PATTERN)}),
+      lambda t: NOT list_contains({STOP_LIST}, t)) AS k FROM {name}_src""", [f"{name}_src"])
+    cte(f"{name}_tf", f"""SELECT id, term, count(*) AS tf FROM
+      (SELECT id, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: concat(k[i], ' ', k[i + 1]))))
+         AS term FROM {name}_tok) GROUP BY ALL""", [f"{name}_tok"])
+
+
+_terms_ctes("d", "SELECT doc_id AS id, text FROM documents")
+cte("vocab", f"""SELECT term, df, total, ln((1 + n) / (1 + df)) + 1 AS idf FROM
+  (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total,
+          (SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n FROM d_tf GROUP BY term)
+  WHERE df <= {MAX_DF} * n ORDER BY total DESC, term LIMIT {MAX_FEATURES}""", ["d_tf"])
+cte("d_w", "SELECT id AS doc_id, term, tf * idf AS w FROM d_tf JOIN vocab USING (term)", ["d_tf", "vocab"])
+cte("d_norm", "SELECT doc_id, sqrt(sum(w * w)) AS norm FROM d_w GROUP BY doc_id", ["d_w"])
+cte("postings", "SELECT doc_id, term, w / norm AS weight FROM d_w JOIN d_norm USING (doc_id)", ["d_w", "d_norm"])
+cte("kb", "SELECT doc_id, source, 'document' AS type, text FROM documents", [])
+
+
+def _search_ctes(name: str, src_sql: str, k: int = 5, min_sim: float = 0.1) -> None:
+    _terms_ctes(name, src_sql)
+    cte(f"{name}_w", f"SELECT id AS qid, term, tf * idf AS w FROM {name}_tf JOIN vocab USING (term)",
+        [f"{name}_tf", "vocab"])
+    cte(f"{name}_v", f"""SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS qw FROM {name}_w""",
+        [f"{name}_w"])
+    cte(f"{name}_hits", f"""SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, score FROM
+      (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
+       FROM (SELECT qid, doc_id, sum(qw * weight) AS score FROM {name}_v JOIN postings USING (term) GROUP BY ALL))
+      WHERE rank <= {k} AND score > {min_sim}""", [f"{name}_v", "postings"])
+    cte(f"{name}_top3", f"""SELECT h.qid, h.rank, h.doc_id, h.score, kb.source, kb.type, kb.text
+      FROM {name}_hits h JOIN kb USING (doc_id) WHERE h.rank <= 3""", [f"{name}_hits", "kb"])
+
+
+_search_ctes("bq", f"SELECT item_id AS id, text FROM benchmark WHERE {has_text('text')}")
+_search_ctes("cq", f"""SELECT conv_id * 10 + turn AS id, text FROM conversations
+  WHERE role = 'user' AND {has_text('text')}""")
+
+
+def answers_sql(name: str, questions_sql: str) -> str:
+    preview = "CASE WHEN length(text) > 300 THEN concat(substr(text, 1, 300), '...') ELSE text END"
+    return with_ctes(f"""
+SELECT q.qid,
+  CASE WHEN a.body IS NULL THEN {sql_str(NO_ANSWER_TEXT)}
+       ELSE concat({sql_str(ANSWER_HEADER.replace(chr(10), '<NL>'))}, a.body) END AS answer,
+  CASE WHEN a.top_score IS NULL THEN 'low' WHEN a.top_score > 0.4 THEN 'high'
+       WHEN a.top_score > 0.25 THEN 'medium' ELSE 'low' END AS confidence,
+  coalesce(a.n_sources, 0) AS n_sources
+FROM (SELECT DISTINCT qid FROM ({questions_sql})) q
+LEFT JOIN (SELECT qid, string_agg(concat('**From ', source, '**: ', {preview}), chr(10) || chr(10) ORDER BY rank) AS body,
+             max(CASE WHEN rank = 1 THEN score END) AS top_score, count(*) AS n_sources
+           FROM {name}_top3 GROUP BY qid) a USING (qid)""", [f"{name}_top3"]).replace("'<NL>", "").replace(
+        "<NL><NL>'", "' || chr(10) || chr(10)")
+
+
+def context_sql(name: str) -> str:
+    part = "concat('Source: ', source, ' (', type, ')', chr(10), substr(text, 1, 800), '...')"
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    return with_ctes(f"""
+SELECT qid, '' AS project_context, string_agg({part}, {sep} ORDER BY rank) AS context,
+  CASE WHEN max(CASE WHEN rank = 1 THEN score END) > 0.5 THEN 'high'
+       WHEN max(CASE WHEN rank = 1 THEN score END) > 0.3 THEN 'medium' ELSE 'low' END AS confidence
+FROM {name}_top3 GROUP BY qid""", [f"{name}_top3"])
