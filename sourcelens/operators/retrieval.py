@@ -24,6 +24,7 @@ import glob
 import os
 import zipfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,9 +151,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``docs`` keeps its other columns (source, type, …) for answers.
     """
-    tf = term_counts(docs, id_col, text_col, stop_words)
+    # Term counts feed both the document frequencies and the postings; keep
+    # them (spilling to disk, recomputed from lineage if an executor is lost)
+    # instead of tokenising the corpus twice.  The vocabulary is at most
+    # max_features rows.
+    tf = term_counts(docs, id_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    vocab = vocabulary(tf, n_docs, max_features, max_df)
+    vocab = vocabulary(tf, n_docs, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
     # Bounded by max_features rows, so broadcasting it is always safe.
     w = tf.join(F.broadcast(vocab.select("term", "idf")), "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))

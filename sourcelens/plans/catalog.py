@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as E
-from ..sources.corpus import corpus_from_table, documents_corpus, language_of
+from ..sources.corpus import documents_corpus, language_of, spread
 from ..sources.fixtures import code_files
 from . import oracle as O
 
@@ -36,15 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_files(spark, table(spark, sf_dir, "part"))
+    return code_files(spark, spread(table(spark, sf_dir, "part"), "p_partkey"))
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.analyze(corpus(spark, sf_dir))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def doc_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_corpus(table(spark, sf_dir, "documents"))
+    return documents_corpus(documents(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -355,7 +359,7 @@ from ..operators import retrieval as RT  # noqa: E402
 
 
 def kb_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return d.select("doc_id", "source", F.lit("document").alias("type"), "text")
 
 
@@ -378,7 +382,7 @@ SELECT id AS doc_id, CAST(len(k) AS INTEGER) AS tokens, CAST(greatest(len(k) - 1
        AS INTEGER) AS distinct_terms
 FROM d_tok""", ["d_tok"]))
 def q_ngrams(spark, sf):
-    return RT.token_stats(table(spark, sf, "documents"))
+    return RT.token_stats(documents(spark, sf))
 
 
 @register("vocabulary", O.with_ctes("SELECT term, df, total, round(idf, 6) AS idf FROM vocab", ["vocab"]))

@@ -17,6 +17,21 @@ from ..operators.rank import top_k
 FILES_COLUMNS = ["repo", "path", "full_path", "language", "content", "size", "lines"]
 
 
+def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Hash-spread an input that arrives in fewer partitions than the cluster
+    has cores (a few large files or row groups).
+
+    A corpus read from many files already has at least that many splits, and
+    is returned unchanged; only a narrow input pays for one shuffle so that
+    the CPU-heavy per-row work below runs on every core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * factor, *[F.col(k) for k in keys])
+
+
 def suffix_of(path: Column) -> Column:
     """``Path(p).suffix``: the last '.xxx' of the file name ('' when none).
 
