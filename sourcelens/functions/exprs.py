@@ -129,3 +129,31 @@ def re_groups(pattern: str) -> int:
 def sql_str(s: str) -> str:
     """Quote a Python string as an SQL string literal (no backslash escapes)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+def template_parts(template: str) -> list[tuple[str, str | None]]:
+    """Split a ``str.format`` template into (literal, field) pairs."""
+    import string
+    return [(lit, field) for lit, field, _spec, _conv in string.Formatter().parse(template)]
+
+
+def render(template: str, fields: dict[str, Column]) -> Column:
+    """Fill a ``{field}`` template with columns (one ``concat``; nulls become '')."""
+    parts: list[Column] = []
+    for lit, field in template_parts(template):
+        if lit:
+            parts.append(F.lit(lit))
+        if field is not None:
+            parts.append(F.coalesce(fields[field].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
+def render_sql(template: str, fields: dict[str, str]) -> str:
+    """The same template as an SQL ``concat`` over SQL expressions."""
+    parts: list[str] = []
+    for lit, field in template_parts(template):
+        if lit:
+            parts.append(sql_str(lit))
+        if field is not None:
+            parts.append(f"coalesce(CAST({fields[field]} AS VARCHAR), '')")
+    return "concat(" + ", ".join(parts) + ")"

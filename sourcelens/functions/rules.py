@@ -217,3 +217,59 @@ def validate_pattern(pattern: str) -> None:
 
 
 DEFAULT_RULES = LanguageRules()
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — document formats (text templates filled per file/repository).
+# ---------------------------------------------------------------------------
+
+FILE_DOC_TEMPLATE = (
+    "# {path}\n\n**Language:** {language}\n\n## Overview\n"
+    "This {language} file contains {n_functions} functions and {n_classes} classes.\n\n"
+    "## Functions\n{function_lines}\n## Classes\n{class_lines}{dependencies}\n## Code Metrics\n"
+    "- Total lines: {total_lines}\n- Code lines: {code_lines}\n- Estimated maintainability: {maintainability}\n\n"
+    "*Note: This documentation was generated from code analysis only.*\n"
+)
+FILE_DOC_FUNCTION_LINE = "- `{name}` (line {line})\n"
+NO_FUNCTIONS_LINE = "No functions found.\n"
+NO_CLASSES_LINE = "No classes found.\n"
+FILE_DOC_FUNCTIONS_CAP = 10
+FILE_DOC_IMPORTS_CAP = 10
+
+FILE_INDEX_TEMPLATE = (
+    "# File Documentation Index\n\n"
+    "This section contains detailed documentation for individual files in the project.\n\n"
+    "## Documented Files\n\n{entries}\n\n---\n\n"
+    "*File documentation generated automatically from code analysis.*\n"
+    "*Total files documented: {n_files}*\n*Last updated: {generated_on}*\n"
+)
+FILE_INDEX_ENTRY = "- [{path}](files/{safe_name}.md)\n"
+
+FILE_PROMPT_TEMPLATE = (
+    "\nGenerate comprehensive documentation for this code file:\n\n"
+    "**FILE**: {path}\n**LANGUAGE**: {language}\n\n"
+    "**FUNCTIONS** ({n_functions} total):\n{functions_summary}\n\n"
+    "**CLASSES** ({n_classes} total):\n{classes_summary}\n\n"
+    "**KEY IMPORTS**:\n{imports}\n\n"
+    "**COMPLEXITY METRICS**:\n- Lines of code: {code_lines}\n- Cyclomatic complexity: {complexity}\n"
+    "- Maintainability: {maintainability}\n\n"
+    "**REQUIREMENTS**:\nGenerate documentation including:\n"
+    "1. **Purpose**: What this file does and its role in the project\n"
+    "2. **Key Components**: Main functions and classes with their responsibilities\n"
+    "3. **Dependencies**: Important imports and their purposes\n"
+    "4. **Usage**: How this file is typically used or called\n"
+    "5. **Notes**: Any important implementation details or patterns\n\n"
+    "Keep it concise but comprehensive. Use markdown formatting.\n        "
+)
+PROMPT_FUNCTION_LINE = "- {name}: {signature}... ({lines} lines)"
+PROMPT_CLASS_LINE = "- {name}: {methods} methods"
+PROMPT_FUNCTIONS_CAP = 10
+PROMPT_CLASSES_CAP = 5
+PROMPT_IMPORTS_CAP = 10
+PROMPT_SIGNATURE_CHARS = 100
+
+DIGEST_FUNCTIONS_CAP = 5
+DIGEST_CLASSES_CAP = 3
+DIGEST_IMPORTS_CAP = 5
+API_FUNCTIONS_CAP = 20
+API_CLASSES_CAP = 10

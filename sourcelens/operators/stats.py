@@ -188,8 +188,8 @@ def languages_line(analyzed: DataFrame) -> DataFrame:
             lambda s: F.concat(F.lit("'"), s["language"], F.lit("'"))), ", "), F.lit("]")).alias("language_list"))
 
 
-def summary_report(analyzed: DataFrame) -> DataFrame:
-    """The summary report as (repo, metric, value) rows."""
+def report_wide(analyzed: DataFrame) -> DataFrame:
+    """The summary report values, one column per metric, one row per repository."""
     facts = repo_facts(analyzed)
     recs = recommendations(facts).groupBy("repo").agg(F.count(F.lit(1)).alias("n_recs"))
     wide = (facts.join(languages_line(analyzed), "repo", "left").join(recs, "repo", "left")
@@ -205,6 +205,12 @@ def summary_report(analyzed: DataFrame) -> DataFrame:
                              F.col("medium").cast("string"), F.lit(", Low="), F.col("low").cast("string"))
                     .alias("complexity_distribution"),
                     F.coalesce(F.col("n_recs"), F.lit(0)).cast("string").alias("recommendations")))
+    return wide
+
+
+def summary_report(analyzed: DataFrame) -> DataFrame:
+    """The summary report as (repo, metric, value) rows."""
+    wide = report_wide(analyzed)
     metrics = [c for c in wide.columns if c != "repo"]
     stack = "stack({n}, {pairs}) as (metric, value)".format(
         n=len(metrics), pairs=", ".join(f"'{m}', `{m}`" for m in metrics))

@@ -416,3 +416,41 @@ def q_answer_sources(spark, sf):
 @register("answer_context", O.context_sql("bq"))
 def q_answer_context(spark, sf):
     return RT.answer_context(doc_index(spark, sf), bench_questions(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Documentation tables (D15–D18) and knowledge base (F1)
+# ---------------------------------------------------------------------------
+
+from ..operators import docs as DOC  # noqa: E402
+
+
+@register("api_surface", O.with_ctes("SELECT repo, kind, ord, path, name, signature FROM api", ["api"]))
+def q_api_surface(spark, sf):
+    return DOC.api_surface(analyzed(spark, sf))
+
+
+@register("file_digest", O.with_ctes("SELECT repo, path, language, digest FROM digest", ["digest"]))
+def q_file_digest(spark, sf):
+    return DOC.file_digest(analyzed(spark, sf))
+
+
+@register("file_docs", O.with_ctes("SELECT repo, path, doc_path, text FROM file_docs", ["file_docs"]))
+def q_file_docs(spark, sf):
+    return DOC.file_docs(analyzed(spark, sf))
+
+
+@register("doc_index", O.with_ctes("SELECT repo, doc_path, text FROM doc_index", ["doc_index"]))
+def q_doc_index(spark, sf):
+    return DOC.doc_index(analyzed(spark, sf))
+
+
+@register("file_prompts", O.with_ctes("SELECT repo, path, prompt FROM file_prompts", ["file_prompts"]))
+def q_file_prompts(spark, sf):
+    return DOC.file_prompts(analyzed(spark, sf))
+
+
+@register("kb_docs", O.with_ctes("SELECT doc_id, repo, type, source, category, language, text FROM kb_docs",
+                                 ["kb_docs"]))
+def q_kb_docs(spark, sf):
+    return DOC.kb_docs(analyzed(spark, sf))

@@ -411,3 +411,104 @@ SELECT qid, '' AS project_context, string_agg({part}, {sep} ORDER BY rank) AS co
   CASE WHEN max(CASE WHEN rank = 1 THEN score END) > 0.5 THEN 'high'
        WHEN max(CASE WHEN rank = 1 THEN score END) > 0.3 THEN 'medium' ELSE 'low' END AS confidence
 FROM {name}_top3 GROUP BY qid""", [f"{name}_top3"])
+
+# ---------------------------------------------------------------------------
+# Documentation tables and knowledge base
+# ---------------------------------------------------------------------------
+
+from ..functions.exprs import render_sql  # noqa: E402
+from ..functions.rules import (  # noqa: E402
+    FILE_DOC_TEMPLATE, FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, NO_API_TEXT,
+    NO_CLASSES_LINE, NO_FUNCTIONS_LINE,
+)
+from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS  # noqa: E402
+
+cte("fn_full", f"""SELECT t.repo, t.path, t.ord, t.name, t.line, t.signature,
+  CASE WHEN length(b.body) > 0 THEN {nl('b.body')} + 1 ELSE 1 END AS estimated_lines
+  FROM fn_t t JOIN fn_body b USING (repo, path, ord)""", ["fn_t", "fn_body"])
+cte("fn_agg", """SELECT repo, path, count(*) AS n_f,
+  string_agg(name, ', ' ORDER BY ord) FILTER (WHERE ord < 5) AS digest_names,
+  string_agg(concat('- `', name, '` (line ', line, ')', chr(10)), '' ORDER BY ord) FILTER (WHERE ord < 10) AS doc_lines,
+  string_agg(concat('- ', name, ': ', substr(replace(signature, chr(10), ' '), 1, 100), '... (', estimated_lines,
+             ' lines)'), chr(10) ORDER BY ord) FILTER (WHERE ord < 10) AS prompt_lines
+  FROM fn_full GROUP BY repo, path""", ["fn_full"])
+cte("cls_agg", """SELECT repo, path, count(*) AS n_c,
+  string_agg(name, ', ' ORDER BY ord) FILTER (WHERE ord < 3) AS digest_names,
+  string_agg(concat('- `', name, '` (line ', line, ')', chr(10)), '' ORDER BY ord) AS doc_lines,
+  string_agg(concat('- ', name, ': ', len(methods), ' methods'), chr(10) ORDER BY ord) FILTER (WHERE ord < 5)
+    AS prompt_lines
+  FROM cls_t GROUP BY repo, path""", ["cls_t"])
+cte("imp_agg", """SELECT repo, path, count(*) AS n_i,
+  string_agg(stmt, ', ' ORDER BY ord) FILTER (WHERE ord < 5) AS digest_stmts,
+  string_agg(concat('- ', stmt, chr(10)), '' ORDER BY ord) FILTER (WHERE ord < 10) AS doc_deps,
+  string_agg(stmt, chr(10) ORDER BY ord) FILTER (WHERE ord < 10) AS prompt_imports
+  FROM imp_t GROUP BY repo, path""", ["imp_t"])
+cte("file_all", """SELECT f.repo, f.path, f.language, m.total_lines, m.code_lines, m.complexity, m.maintainability,
+  coalesce(fa.n_f, 0) AS n_f, fa.digest_names AS f_digest, fa.doc_lines AS f_doc, fa.prompt_lines AS f_prompt,
+  coalesce(ca.n_c, 0) AS n_c, ca.digest_names AS c_digest, ca.doc_lines AS c_doc, ca.prompt_lines AS c_prompt,
+  coalesce(ia.n_i, 0) AS n_i, ia.digest_stmts AS i_digest, ia.doc_deps AS i_doc, ia.prompt_imports AS i_prompt
+  FROM files f JOIN metrics m USING (repo, path) LEFT JOIN fn_agg fa USING (repo, path)
+  LEFT JOIN cls_agg ca USING (repo, path) LEFT JOIN imp_agg ia USING (repo, path)""",
+    ["files", "metrics", "fn_agg", "cls_agg", "imp_agg"])
+
+
+def _more_sql(n: str, cap: int, noun: str) -> str:
+    return f"CASE WHEN {n} > {cap} THEN concat('... and ', {n} - {cap}, ' more {noun}') END"
+
+
+cte("digest", f"""SELECT repo, path, language, concat_ws(' | ',
+  concat('File: ', path, ' (Language: ', language, ')'), concat('Lines of code: ', code_lines),
+  concat('Complexity: ', maintainability),
+  CASE WHEN n_f > 0 THEN concat('Functions: ', f_digest) END, {_more_sql('n_f', 5, 'functions')},
+  CASE WHEN n_c > 0 THEN concat('Classes: ', c_digest) END, {_more_sql('n_c', 3, 'classes')},
+  CASE WHEN n_i > 0 THEN concat('Key imports: ', i_digest) END) AS digest FROM file_all""", ["file_all"])
+
+_doc_text = render_sql(FILE_DOC_TEMPLATE, {
+    "path": "a.path", "language": "a.language", "n_functions": "a.n_f", "n_classes": "a.n_c",
+    "function_lines": f"CASE WHEN a.n_f > 0 THEN a.f_doc ELSE {sql_str(NO_FUNCTIONS_LINE)} END",
+    "class_lines": f"CASE WHEN a.n_c > 0 THEN a.c_doc ELSE {sql_str(NO_CLASSES_LINE)} END",
+    "dependencies": f"CASE WHEN a.n_i > 0 THEN concat({sql_str(chr(10) + '## Dependencies' + chr(10))}, a.i_doc) ELSE '' END",
+    "total_lines": "a.total_lines", "code_lines": "a.code_lines", "maintainability": "a.maintainability"})
+cte("file_docs", f"""SELECT a.repo, a.path, concat('docs/files/', translate(a.path, '/.', '__'), '.md') AS doc_path,
+  {_doc_text} AS text FROM important i JOIN file_all a USING (repo, path)""", ["important", "file_all"])
+
+_entry = render_sql(FILE_INDEX_ENTRY, {"path": "path", "safe_name": "translate(path, '/.', '__')"})
+cte("doc_index", f"""SELECT repo, 'docs/FILES.md' AS doc_path, {render_sql(FILE_INDEX_TEMPLATE, {
+    "entries": "entries", "n_files": "n_files", "generated_on": sql_str(DEFAULT_GENERATED_ON)})} AS text
+  FROM (SELECT repo, string_agg({_entry}, '' ORDER BY path) AS entries, count(*) AS n_files
+        FROM important GROUP BY repo)""", ["important"])
+
+_prompt = render_sql(FILE_PROMPT_TEMPLATE, {
+    "path": "a.path", "language": "a.language", "n_functions": "a.n_f", "n_classes": "a.n_c",
+    "functions_summary": f"CASE WHEN a.n_f = 0 THEN 'None' ELSE concat_ws(chr(10), a.f_prompt, {_more_sql('a.n_f', 10, 'functions')}) END",
+    "classes_summary": f"CASE WHEN a.n_c = 0 THEN 'None' ELSE concat_ws(chr(10), a.c_prompt, {_more_sql('a.n_c', 5, 'classes')}) END",
+    "imports": "CASE WHEN a.n_i = 0 THEN 'None' ELSE a.i_prompt END",
+    "code_lines": "a.code_lines", "complexity": "a.complexity", "maintainability": "a.maintainability"})
+cte("file_prompts", f"""SELECT a.repo, a.path, {_prompt} AS prompt FROM important i JOIN file_all a USING (repo, path)""",
+    ["important", "file_all"])
+
+cte("api", f"""SELECT repo, 'function' AS kind, CAST(r - 1 AS INTEGER) AS ord, path, name, signature FROM
+   (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS r FROM fn_t) WHERE r <= 20
+  UNION ALL
+  SELECT repo, 'class', CAST(r - 1 AS INTEGER), path, name, signature FROM
+   (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS r FROM cls_t) WHERE r <= 10
+  UNION ALL
+  SELECT DISTINCT repo, 'none', 0, NULL, {sql_str(NO_API_TEXT)}, NULL FROM files
+  WHERE repo NOT IN (SELECT repo FROM fn_t UNION SELECT repo FROM cls_t)""", ["fn_t", "cls_t", "files"])
+
+_overview = "concat_ws(chr(10), '# Project Analysis Summary', " + ", ".join(
+    f"concat({sql_str(f'- **{label}**: ')}, {c})" for c, label in REPORT_LABELS) + ")"
+cte("kb_docs", f"""
+  SELECT concat_ws(':', repo, 'overview', 'project_overview') AS doc_id, repo, 'overview' AS type,
+    'project_overview' AS source, 'documentation' AS category, CAST(NULL AS VARCHAR) AS language,
+    {_overview} AS text FROM report_wide
+  UNION ALL
+  SELECT concat_ws(':', repo, 'api', 'api_documentation'), repo, 'api', 'api_documentation', 'documentation', NULL,
+    string_agg(CASE WHEN kind = 'none' THEN name ELSE concat('- ', kind, ' ', name, ': `', signature, '`') END,
+               chr(10) ORDER BY CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 ELSE 2 END, ord)
+    FROM api GROUP BY repo
+  UNION ALL
+  SELECT concat_ws(':', repo, 'file_analysis', path), repo, 'file_analysis', path, 'code', language, digest FROM digest
+  UNION ALL
+  SELECT concat_ws(':', repo, 'file_documentation', path), repo, 'file_documentation', path, 'documentation', NULL, text
+    FROM file_docs""", ["report_wide", "api", "digest", "file_docs"])
