@@ -454,3 +454,38 @@ def q_file_prompts(spark, sf):
                                  ["kb_docs"]))
 def q_kb_docs(spark, sf):
     return DOC.kb_docs(analyzed(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Snapshots and change detection
+# ---------------------------------------------------------------------------
+
+from ..sources import snapshot as SNAP  # noqa: E402
+
+_NEXT_CORPUS_SQL = """
+SELECT repo, path, CASE WHEN starts_with(path, 'api/') THEN concat(content, chr(10), '// touched') ELSE content END
+  AS content FROM files WHERE NOT starts_with(path, 'tests/')
+UNION ALL
+SELECT repo, replace(path, 'core/util/', 'core/v2/') AS path, content FROM files WHERE starts_with(path, 'core/util/')"""
+
+
+def next_corpus(files: DataFrame) -> DataFrame:
+    """A later version of the corpus: tests removed, api files edited, core
+    utilities copied to a new folder (derived from the corpus itself)."""
+    kept = files.where(~F.startswith("path", F.lit("tests/"))).select(
+        "repo", "path", F.when(F.startswith("path", F.lit("api/")),
+                               F.concat("content", F.lit("\n// touched"))).otherwise(F.col("content")).alias("content"))
+    added = files.where(F.startswith("path", F.lit("core/util/"))).select(
+        "repo", F.replace("path", F.lit("core/util/"), F.lit("core/v2/")).alias("path"), "content")
+    return kept.unionByName(added)
+
+
+@register("changed_files", O.with_ctes(f"""
+SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.path, o.path) AS path,
+  CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM (SELECT repo, path, sha256(content) AS h FROM ({_NEXT_CORPUS_SQL})) n
+FULL OUTER JOIN (SELECT repo, path, sha256(content) AS h FROM files) o ON n.repo = o.repo AND n.path = o.path
+WHERE o.h IS NULL OR n.h IS NULL OR n.h <> o.h""", ["files"]))
+def q_changed_files(spark, sf):
+    old = corpus(spark, sf)
+    return SNAP.changed_files(next_corpus(old), old)

@@ -97,26 +97,27 @@ def documents_corpus(documents: DataFrame) -> DataFrame:
         repo="source", path="path", language="lang", content="text")
 
 
-def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int | None = None,
-                rules: LanguageRules = DEFAULT_RULES, max_bytes: int = MAX_FILE_BYTES,
-                repo: str | None = None) -> DataFrame:
-    """A1: recursive scan of source trees into ``files``.
+BINARY_FILE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("modificationTime", T.TimestampType(), False),
+    T.StructField("length", T.LongType(), False),
+    T.StructField("content", T.BinaryType(), True),
+])
 
-    The suffix glob prunes at listing time and the size predicate is pushed
-    into the binaryFile source, so oversized files are never read.  ``repo``
-    is either given, or the first ``repo_depth`` directories under the root.
-    """
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    exts = sorted({s.lstrip(".") for s in rules.suffixes})
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
-           .option("ignoreCorruptFiles", "true")
-           .load(roots)
-           .where(F.col("length") <= max_bytes))
+
+def suffix_glob(rules: LanguageRules = DEFAULT_RULES) -> str:
+    return "*.{" + ",".join(sorted({s.lstrip(".") for s in rules.suffixes})) + "}"
+
+
+def files_from_binary(raw: DataFrame, roots: list[str], *, repo_depth: int | None = None,
+                      repo: str | None = None, rules: LanguageRules = DEFAULT_RULES,
+                      max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """binaryFile rows (batch or stream) → ``files``: size filter, relative
+    path, repository, language, decoded text."""
+    raw = raw.where(F.col("length") <= max_bytes)
     root_expr = None
     for r in roots:
-        prefix = "file:" + r.rstrip("/") + "/" if r.startswith("/") else r.rstrip("/") + "/"
+        prefix = ("file:" + r.rstrip("/") + "/") if r.startswith("/") else r.rstrip("/") + "/"
         cond = F.startswith(F.col("path"), F.lit(prefix))
         rel = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
         root_expr = (F.when(cond, rel) if root_expr is None else root_expr.when(cond, rel))
@@ -124,15 +125,14 @@ def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int
     if repo is not None:
         repo_c = F.lit(repo)
     elif repo_depth:
-        repo_c = F.array_join(F.slice(F.split(rel_path, "/"), 1, repo_depth), "/")
-        rel_path = F.substring_index(rel_path, "/", -(1 << 20))
-        rel_path = F.array_join(F.slice(F.split(rel_path, "/"), repo_depth + 1, 1 << 20), "/")
+        parts = F.split(rel_path, "/")
+        repo_c = F.array_join(F.slice(parts, 1, repo_depth), "/")
+        rel_path = F.array_join(F.slice(parts, repo_depth + 1, 1 << 20), "/")
     else:
         repo_c = F.lit(roots[0].rstrip("/").split("/")[-1])
-    content = normalize_text(F.col("content"))
     files = raw.select(
         repo_c.alias("repo"), rel_path.alias("path"), F.col("path").alias("full_path"),
-        language_of(rel_path, rules).alias("language"), content.alias("content"))
+        language_of(rel_path, rules).alias("language"), normalize_text(F.col("content")).alias("content"))
     files = files.where(F.col("language").isNotNull())
     return files.select(
         "repo", "path", "full_path", "language", "content",
@@ -140,6 +140,25 @@ def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int
         (newlines(F.col("content")) + 1).cast("bigint").alias("lines"))
 
 
+def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int | None = None,
+                rules: LanguageRules = DEFAULT_RULES, max_bytes: int = MAX_FILE_BYTES,
+                repo: str | None = None) -> DataFrame:
+    """A1: recursive scan of source trees into ``files``.
+
+    The suffix glob prunes at listing time and the size predicate is pushed
+    into the binaryFile source, so oversized files are never read.  ``repo``
+    is either given, or the first ``repo_depth`` directories under the root,
+    or the root's own name.
+    """
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    raw = (spark.read.format("binaryFile")
+           .option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", suffix_glob(rules))
+           .option("ignoreCorruptFiles", "true")
+           .load(roots))
+    return files_from_binary(raw, roots, repo_depth=repo_depth, repo=repo, rules=rules, max_bytes=max_bytes)
+
+
 def quarantine(df: DataFrame, *, size_col: str = "size_bytes", max_bytes: int = MAX_FILE_BYTES,
                content: str = "content") -> DataFrame:
     """B2: tag each row kept/skipped with a reason, instead of failing the run."""
