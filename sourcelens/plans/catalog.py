@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as E
-from ..sources.corpus import documents_corpus, language_of, spread
+from ..sources.corpus import corpus_from_table, documents_corpus, language_of, spread
 from ..sources.fixtures import code_files
 from . import oracle as O
 
@@ -473,11 +473,11 @@ def next_corpus(files: DataFrame) -> DataFrame:
     """A later version of the corpus: tests removed, api files edited, core
     utilities copied to a new folder (derived from the corpus itself)."""
     kept = files.where(~F.startswith("path", F.lit("tests/"))).select(
-        "repo", "path", F.when(F.startswith("path", F.lit("api/")),
-                               F.concat("content", F.lit("\n// touched"))).otherwise(F.col("content")).alias("content"))
+        "repo", "path", "language", F.when(F.startswith("path", F.lit("api/")), F.concat(
+            "content", F.lit("\n// touched"))).otherwise(F.col("content")).alias("content"))
     added = files.where(F.startswith("path", F.lit("core/util/"))).select(
-        "repo", F.replace("path", F.lit("core/util/"), F.lit("core/v2/")).alias("path"), "content")
-    return kept.unionByName(added)
+        "repo", F.replace("path", F.lit("core/util/"), F.lit("core/v2/")).alias("path"), "language", "content")
+    return corpus_from_table(kept.unionByName(added))
 
 
 @register("changed_files", O.with_ctes(f"""
