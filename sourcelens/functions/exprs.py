@@ -66,6 +66,25 @@ def by_language(lang: Column, table: dict[str, str], build: Callable[[str], Colu
     return expr.otherwise(default) if default is not None else expr
 
 
+def explode_rows(df, arr: Column | str, alias: str, *keep) -> "DataFrame":
+    """One row per array element, without Spark's inferred ``size(arr) > 0``
+    pre-filter.
+
+    A plain ``explode`` makes the optimizer add that filter and push it below
+    the projections, which evaluates the whole array expression twice.  An
+    outer explode followed by a null filter on the element keeps one
+    evaluation (the arrays here never hold null elements).
+    """
+    arr_c = F.col(arr) if isinstance(arr, str) else arr
+    return df.select(*keep, F.explode_outer(arr_c).alias(alias)).where(F.col(alias).isNotNull())
+
+
+def posexplode_rows(df, arr: Column | str, pos_alias: str, alias: str, *keep) -> "DataFrame":
+    arr_c = F.col(arr) if isinstance(arr, str) else arr
+    return (df.select(*keep, F.posexplode_outer(arr_c).alias(pos_alias, alias))
+            .where(F.col(alias).isNotNull()))
+
+
 def int_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
 

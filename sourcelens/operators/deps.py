@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import explode_rows
 from ..functions.rules import EXTERNAL_LIBRARIES
 from . import extract as E
 from .rank import top_k
@@ -71,7 +72,7 @@ def internal_dep_edges(analyzed: DataFrame) -> DataFrame:
         lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(
             F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("module"), i, k)))
     )))
-    cand = mods.select("repo", "module", F.explode(subs).alias("stem"))
+    cand = explode_rows(mods, subs, "stem", "repo", "module")
     matched = cand.join(stems, ["repo", "stem"], "left_semi").select("repo", "module").distinct()
     return imps.join(matched, ["repo", "module"], "left_semi")
 

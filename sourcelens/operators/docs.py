@@ -21,7 +21,7 @@ from ..functions.rules import (
 from ..sources.corpus import valid
 from . import extract as E
 from . import stats as S
-from .rank import important_files, top_k
+from .rank import importance_score, top_k
 
 DEFAULT_GENERATED_ON = "1970-01-01 00:00:00"
 
@@ -67,9 +67,16 @@ def api_surface(analyzed: DataFrame) -> DataFrame:
 
 
 def important_analyzed(analyzed: DataFrame, k: int = 5) -> DataFrame:
-    """Per-file rows of the ``k`` most important files of each repository."""
-    imp = important_files(S.file_counts(analyzed), k).select("repo", "path", "rank", "score")
-    return analyzed.join(imp, ["repo", "path"])
+    """Per-file rows of the ``k`` most important files of each repository.
+
+    Ranked on the analysed rows themselves: the partial group limit keeps at
+    most ``k`` rows per repository in each task before the shuffle, so no
+    join back to the full table is needed.
+    """
+    scored = analyzed.withColumn("score", importance_score(F.col("path"), F.col("n_functions"),
+                                                           F.col("n_classes")))
+    return top_k(scored.where(F.col("score") > 0), ["repo"], [F.col("score").desc(), F.col("path")], k,
+                 rank_col="rank")
 
 
 def safe_name(path: Column) -> Column:

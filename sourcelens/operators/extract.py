@@ -188,6 +188,7 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
         "repo", "path", "language",
         F.when(content.isNull(), F.lit("unreadable content")).alias("parsing_error"),
         functions.alias("functions"), classes.alias("classes"), imports.alias("imports"),
+        F.size(fns).alias("n_functions"), F.size("cls_p").alias("n_classes"), F.size(imports).alias("n_imports"),
         comments.alias("comments"), variables.alias("variables"), docstrings.alias("docstrings"),
         total_lines.alias("total_lines"), code_lines.alias("code_lines"),
         complexity.alias("complexity"),
@@ -258,38 +259,38 @@ def import_module(stmt: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def functions(analyzed: DataFrame) -> DataFrame:
-    return (analyzed.select("repo", "path", "language", F.explode("functions").alias("f"))
+    return (X.explode_rows(analyzed, "functions", "f", "repo", "path", "language")
             .select("repo", "path", "language", "f.ord", "f.name", "f.line", "f.signature",
                     "f.body_preview", "f.estimated_lines"))
 
 
 def classes(analyzed: DataFrame) -> DataFrame:
-    return (analyzed.select("repo", "path", "language", F.explode("classes").alias("c"))
+    return (X.explode_rows(analyzed, "classes", "c", "repo", "path", "language")
             .select("repo", "path", "language", "c.ord", "c.name", "c.line", "c.signature", "c.method_count"))
 
 
 def methods(analyzed: DataFrame) -> DataFrame:
-    c = analyzed.select("repo", "path", F.explode("classes").alias("c"))
-    return (c.select("repo", "path", F.col("c.ord").alias("class_ord"),
-                     F.posexplode("c.methods").alias("ord", "name")))
+    c = X.explode_rows(analyzed, "classes", "c", "repo", "path").select(
+        "repo", "path", F.col("c.ord").alias("class_ord"), F.col("c.methods").alias("methods"))
+    return X.posexplode_rows(c, "methods", "ord", "name", "repo", "path", "class_ord")
 
 
 def imports(analyzed: DataFrame) -> DataFrame:
-    return (analyzed.select("repo", "path", "language", F.explode("imports").alias("i"))
+    return (X.explode_rows(analyzed, "imports", "i", "repo", "path", "language")
             .select("repo", "path", "language", "i.ord", "i.stmt", "i.module"))
 
 
 def comments(analyzed: DataFrame) -> DataFrame:
-    return (analyzed.select("repo", "path", "language", F.explode("comments").alias("c"))
+    return (X.explode_rows(analyzed, "comments", "c", "repo", "path", "language")
             .select("repo", "path", "language", "c.ord", "c.text", "c.line", "c.kind"))
 
 
 def variables(analyzed: DataFrame) -> DataFrame:
-    return analyzed.select("repo", "path", "language", F.explode("variables").alias("name"))
+    return X.explode_rows(analyzed, "variables", "name", "repo", "path", "language")
 
 
 def docstrings(analyzed: DataFrame) -> DataFrame:
-    return (analyzed.select("repo", "path", F.explode("docstrings").alias("d"))
+    return (X.explode_rows(analyzed, "docstrings", "d", "repo", "path")
             .select("repo", "path", "d.ord", "d.text", "d.line", "d.length"))
 
 

@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import has_text
+from ..functions.exprs import explode_rows, has_text
 from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT, UNICODE_WORD
 from .rank import top_k
 
@@ -108,7 +108,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col), stop_words).alias("kept"))
     d = d.select("doc_id", F.array_sort(_with_bigrams(F.col("kept"))).alias("s"))
     d = d.select("doc_id", "s", _run_starts(F.col("s")).alias("starts"))
-    return (d.select("doc_id", F.explode(_run_lengths(F.col("s"), F.col("starts"))).alias("t"))
+    return (explode_rows(d, _run_lengths(F.col("s"), F.col("starts")), "t", "doc_id")
             .select("doc_id", "t.term", F.col("t.tf").cast("int").alias("tf")))
 
 

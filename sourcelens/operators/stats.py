@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import contains_any
+from ..functions.exprs import contains_any, explode_rows
 from ..functions.rules import (
     ENTRY_POINT_WORDS, LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES, MVC_INDICATORS,
     RECOMMENDATIONS, TEST_PATH_WORDS,
@@ -28,9 +28,8 @@ def language_stats(files: DataFrame) -> DataFrame:
 
 def file_counts(analyzed: DataFrame) -> DataFrame:
     """Imports, functions and classes per file, every file kept (zeros too)."""
-    return analyzed.select("repo", "path", "language",
-                           F.size("imports").alias("imports"), F.size("functions").alias("functions"),
-                           F.size("classes").alias("classes"))
+    return analyzed.select("repo", "path", "language", F.col("n_imports").alias("imports"),
+                           F.col("n_functions").alias("functions"), F.col("n_classes").alias("classes"))
 
 
 def _count_if(cond: Column) -> Column:
@@ -51,9 +50,9 @@ def repo_facts(analyzed: DataFrame) -> DataFrame:
     agg = analyzed.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_files"),
         _count_if(ok).alias("files"),
-        F.sum(F.when(ok, F.size("functions")).otherwise(0)).cast("bigint").alias("total_functions"),
-        F.sum(F.when(ok, F.size("classes")).otherwise(0)).cast("bigint").alias("total_classes"),
-        F.sum(F.when(ok, F.size("imports")).otherwise(0)).cast("bigint").alias("total_imports"),
+        F.sum(F.when(ok, F.col("n_functions")).otherwise(0)).cast("bigint").alias("total_functions"),
+        F.sum(F.when(ok, F.col("n_classes")).otherwise(0)).cast("bigint").alias("total_classes"),
+        F.sum(F.when(ok, F.col("n_imports")).otherwise(0)).cast("bigint").alias("total_imports"),
         F.countDistinct(F.when(ok, F.col("language"))).alias("languages"),
         _count_if(ok & (m == "High")).alias("high"),
         _count_if(ok & (m == "Medium")).alias("medium"),
@@ -126,9 +125,8 @@ def directory_tree(analyzed: DataFrame) -> DataFrame:
     """Every path prefix as a tree node with its depth, parent and the
     number of files beneath; leaves carry their language."""
     parts = F.split("path", "/")
-    nodes = analyzed.select(
-        "repo", "language", parts.alias("parts"),
-        F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
+    nodes = explode_rows(analyzed.select("repo", "language", parts.alias("parts")),
+                         F.sequence(F.lit(1), F.size("parts")), "depth", "repo", "language", "parts")
     nodes = nodes.select(
         "repo", "depth",
         F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("node"),
@@ -159,7 +157,7 @@ def recommendations(facts: DataFrame) -> DataFrame:
     ]
     fired = F.array(*[F.when(c, F.struct(F.lit(i).alias("rule"), F.lit(t).alias("recommendation")))
                       for i, (c, t) in enumerate(zip(rules, RECOMMENDATIONS))])
-    return (facts.select("repo", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("r"))
+    return (explode_rows(facts, F.filter(fired, lambda x: x.isNotNull()), "r", "repo")
             .select("repo", "r.rule", "r.recommendation"))
 
 
