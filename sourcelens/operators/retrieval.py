@@ -173,6 +173,21 @@ def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def question_bounds(questions: DataFrame, text_col: str = "text",
+                    max_features: int = MAX_FEATURES) -> tuple[int, int]:
+    """(number of questions, upper bound on their query-vector rows).
+
+    A question of ``L`` characters has at most ``L/3 + 1`` tokens of two or
+    more characters and as many bigrams, and never more terms than the
+    vocabulary; one aggregate over the question table proves both bounds
+    before any search runs.
+    """
+    L = F.coalesce(F.length(text_col), F.lit(0))
+    per_q = F.least(F.lit(max_features), F.floor(L * 2 / 3).cast("long") + 2)
+    r = questions.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_q), F.lit(0)).alias("rows")).first()
+    return int(r["n"]), int(r["rows"])
+
+
 def query_vectors(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
                   stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """H4: questions weighted with the fitted vocabulary (blank ones dropped)."""
@@ -190,10 +205,14 @@ def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float
     """H5: per question the ``k`` best documents by cosine, then ``score > min_similarity``.
 
     Ranking uses the score rounded to 9 places with ``doc_id`` as tie-break,
-    so the order is total and stable across summation orders.
+    so the order is total and stable across summation orders.  The query
+    side is broadcast when its proven row bound is small; otherwise both
+    sides shuffle on ``term`` (AQE splits hot terms).
     """
     qv = query_vectors(index, questions, id_col, text_col, stop_words)
-    qv = _checked_broadcast(qv, broadcast_rows)
+    _, bound = question_bounds(questions, text_col)
+    if bound <= broadcast_rows:
+        qv = F.broadcast(qv)
     scores = (index.postings.join(qv, "term")
               .groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
     ranked = top_k(scores, ["qid"], [F.round("score", 9).desc(), F.col("doc_id")], k, rank_col="rank")
@@ -204,9 +223,20 @@ def _band(score: Column, hi: float, mid: float) -> Column:
     return F.when(score > hi, "high").when(score > mid, "medium").otherwise("low")
 
 
-def _top_sources(index: Index, hits: DataFrame, n: int = 3) -> DataFrame:
+def _top_sources(index: Index, hits: DataFrame, questions: DataFrame, n: int = 3,
+                 broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+    """The top ``n`` hits with their document text and metadata.
+
+    There are at most ``n`` hits per question, so when ``n`` times the
+    number of questions is small the hits are broadcast and the document
+    table is only scanned (never shuffled) to attach the texts.
+    """
     meta = index.docs.select("doc_id", "source", "type", "text")
-    return hits.where(F.col("rank") <= n).join(meta, "doc_id")
+    top = hits.where(F.col("rank") <= n)
+    n_questions, _ = question_bounds(questions)
+    if n_questions * n <= broadcast_rows:
+        top = F.broadcast(top)
+    return meta.join(top, "doc_id").select("qid", "rank", "doc_id", "score", "source", "type", "text")
 
 
 def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text", **kw) -> DataFrame:
@@ -216,7 +246,7 @@ def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: s
     gathers at most three previews, so the per-question group is bounded.
     """
     hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    top = _top_sources(index, hits)
+    top = _top_sources(index, hits, questions.withColumnRenamed(text_col, "text"))
     preview = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))) \
                .otherwise(F.col("text"))
     part = F.concat(F.lit("**From "), F.col("source"), F.lit("**: "), preview)
@@ -240,7 +270,7 @@ def answer_sources(index: Index, questions: DataFrame, id_col: str = "qid", text
                    **kw) -> DataFrame:
     """H6 sources: ``(qid, rank, doc_id, source, type, confidence)`` for the top 3."""
     hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    return _top_sources(index, hits).select("qid", "rank", "doc_id", "source", "type",
+    return _top_sources(index, hits, questions.withColumnRenamed(text_col, "text")).select("qid", "rank", "doc_id", "source", "type",
                                             F.col("score").alias("confidence"))
 
 
@@ -248,7 +278,7 @@ def answer_context(index: Index, questions: DataFrame, id_col: str = "qid", text
                    project_context: str = "", **kw) -> DataFrame:
     """H7: the context block handed to a language model, and its confidence."""
     hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    top = _top_sources(index, hits)
+    top = _top_sources(index, hits, questions.withColumnRenamed(text_col, "text"))
     part = F.concat(F.lit("Source: "), F.col("source"), F.lit(" ("), F.col("type"), F.lit(")\n"),
                     F.substring("text", 1, 800), F.lit("..."))
     per_q = top.groupBy("qid").agg(
