@@ -168,6 +168,12 @@ def quarantine(df: DataFrame, *, size_col: str = "size_bytes", max_bytes: int =
     return df.withColumn("skip_reason", reason).withColumn("kept", reason.isNull())
 
 
+def select_languages(files: DataFrame, languages: list[str]) -> DataFrame:
+    """A language subset (a plain predicate; pushed to the scan when the
+    language is a stored column)."""
+    return files.where(F.col("language").isin(*languages))
+
+
 def valid(analyzed: DataFrame) -> DataFrame:
     """Rows that parsed (failed rows stay in file counts only)."""
     return analyzed.where(F.col("parsing_error").isNull())

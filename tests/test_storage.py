@@ -61,3 +61,15 @@ def test_write_docs(spark, tmp_path):
     saved = SNAP.write_docs(docs, str(tmp_path / "docs"))
     assert saved.count() == docs.count() > 0
     assert os.path.isdir(tmp_path / "docs")
+
+
+def test_write_reports_matches_in_memory(spark, tmp_path):
+    from sourcelens.plans.catalog import corpus
+    from sourcelens.plans.reports import write_reports
+    files = corpus(spark, SF_SMALL)
+    out = write_reports(spark, files, str(tmp_path / "rep"), ["file_counts", "summary_report", "internal_deps"])
+    for name, fn in (("file_counts", S.file_counts), ("summary_report", S.summary_report)):
+        got = spark.read.parquet(out[name])
+        want = fn(E.analyze(files))
+        assert got.exceptAll(want.select(*got.columns)).count() == 0
+        assert want.select(*got.columns).exceptAll(got).count() == 0
