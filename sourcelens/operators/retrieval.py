@@ -99,17 +99,17 @@ def token_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                stop_words: tuple[str, ...] | None = None) -> DataFrame:
-    """``(doc_id, term, tf)`` — counted inside each row, then exploded (no shuffle).
+                stop_words: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keep, doc_id, term, tf)`` — counted inside each row, then exploded (no shuffle).
 
     Staged projections keep every array a column reference before a lambda
     reads it (tokens → sorted terms → run starts → counts).
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col), stop_words).alias("kept"))
-    d = d.select("doc_id", F.array_sort(_with_bigrams(F.col("kept"))).alias("s"))
-    d = d.select("doc_id", "s", _run_starts(F.col("s")).alias("starts"))
-    return (explode_rows(d, _run_lengths(F.col("s"), F.col("starts")), "t", "doc_id")
-            .select("doc_id", "t.term", F.col("t.tf").cast("int").alias("tf")))
+    d = docs.select(*keep, F.col(id_col).alias("doc_id"), terms(F.col(text_col), stop_words).alias("kept"))
+    d = d.select(*keep, "doc_id", F.array_sort(_with_bigrams(F.col("kept"))).alias("s"))
+    d = d.select(*keep, "doc_id", "s", _run_starts(F.col("s")).alias("starts"))
+    return (explode_rows(d, _run_lengths(F.col("s"), F.col("starts")), "t", *keep, "doc_id")
+            .select(*keep, "doc_id", "t.term", F.col("t.tf").cast("int").alias("tf")))
 
 
 def vocabulary(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES,
@@ -118,18 +118,45 @@ def vocabulary(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES,
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("total"))
     kept = stats.where(F.col("df") <= F.lit(max_df) * n_docs)
     top = kept.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-    return top.select("term", "df", "total",
-                      (F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    return top.select("term", "df", "total", _idf(n_docs).alias("idf"))
+
+
+def _idf(n_docs: Column) -> Column:
+    return F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
+
+
+def group_vocabulary(tf: DataFrame, n_docs: DataFrame, group: str, max_features: int = MAX_FEATURES,
+                     max_df: float = MAX_DF) -> DataFrame:
+    """H2 per group (one knowledge base per repository): ``(group, term, df, total, idf)``.
+
+    The per-group cut is a ``row_number() <= max_features`` window, which
+    Spark limits per task before the shuffle; ``n_docs`` has one row per group.
+    """
+    stats = (tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("total"))
+             .join(n_docs, group))
+    kept = stats.where(F.col("df") <= F.lit(max_df) * F.col("n_docs"))
+    top = top_k(kept, [group], [F.col("total").desc(), F.col("term")], max_features)
+    return top.select(group, "term", "df", "total", _idf(F.col("n_docs")).alias("idf"))
 
 
 class Index:
-    """The fitted index: ``vocab``, ``postings`` (normalised) and ``norms``."""
+    """The fitted index: ``vocab``, ``postings`` (normalised) and ``norms``.
+
+    With ``group`` set (e.g. ``"repo"``) every statistic is per group and a
+    question is only matched against documents of its own group.
+    """
 
-    def __init__(self, vocab: DataFrame, postings: DataFrame, norms: DataFrame, docs: DataFrame):
+    def __init__(self, vocab: DataFrame, postings: DataFrame, norms: DataFrame, docs: DataFrame,
+                 group: str | None = None):
         self.vocab = vocab
         self.postings = postings
         self.norms = norms
         self.docs = docs
+        self.group = group
+
+    @property
+    def keys(self) -> list[str]:
+        return [self.group] if self.group else []
 
     def save(self, path: str) -> None:
         """The index as four Parquet tables."""
@@ -139,33 +166,42 @@ class Index:
         self.docs.write.mode("overwrite").parquet(os.path.join(path, "kb_docs"))
 
     @classmethod
-    def load(cls, spark, path: str) -> "Index":
+    def load(cls, spark, path: str, group: str | None = None) -> "Index":
         r = lambda n: spark.read.parquet(os.path.join(path, n))
-        return cls(r("vocab"), r("postings"), r("norms"), r("kb_docs"))
+        return cls(r("vocab"), r("postings"), r("norms"), r("kb_docs"), group)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stop_words: tuple[str, ...] | None = None, max_features: int = MAX_FEATURES,
-                max_df: float = MAX_DF) -> Index:
+                max_df: float = MAX_DF, group: str | None = None) -> Index:
     """H3: fit the vocabulary and weight every document.
 
-    ``docs`` keeps its other columns (source, type, …) for answers.
+    ``docs`` keeps its other columns (source, type, …) for answers.  With
+    ``group`` the index is one knowledge base per group value.
     """
+    keys = (group,) if group else ()
     # Term counts feed both the document frequencies and the postings; keep
     # them (spilling to disk, recomputed from lineage if an executor is lost)
-    # instead of tokenising the corpus twice.  The vocabulary is at most
-    # max_features rows.
-    tf = term_counts(docs, id_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    vocab = vocabulary(tf, n_docs, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
-    # Bounded by max_features rows, so broadcasting it is always safe.
-    w = tf.join(F.broadcast(vocab.select("term", "idf")), "term").select(
-        "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # instead of tokenising the corpus twice.
+    tf = term_counts(docs, id_col, text_col, stop_words, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    if group is None:
+        n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
+        vocab = vocabulary(tf, n_docs, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
+        # At most max_features rows, so broadcasting it is always safe.
+        vocab_side = F.broadcast(vocab.select("term", "idf"))
+    else:
+        n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
+        vocab = group_vocabulary(tf, n_docs, group, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
+        # max_features rows per group: grows with the groups, so joined by key.
+        vocab_side = vocab.select(group, "term", "idf")
+    w = tf.join(vocab_side, [*keys, "term"]).select(
+        *keys, "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    weighted = w.select("doc_id", "term", "w", norm.alias("norm"))
-    postings = weighted.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = w.select(*keys, "doc_id", "term", "w", norm.alias("norm"))
+    postings = weighted.select(*keys, "doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
     norms = weighted.groupBy("doc_id").agg(F.max("norm").alias("norm"))
-    return Index(vocab, postings, norms, docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs)
+    return Index(vocab, postings, norms,
+                 docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, group)
 
 
 def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -190,13 +226,19 @@ def question_bounds(questions: DataFrame, text_col: str = "text",
 
 def query_vectors(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
                   stop_words: tuple[str, ...] | None = None) -> DataFrame:
-    """H4: questions weighted with the fitted vocabulary (blank ones dropped)."""
+    """H4: questions weighted with the fitted vocabulary (blank ones dropped).
+
+    For a grouped index the questions carry the group column and are weighted
+    with their own group's vocabulary.
+    """
+    keys = index.keys
     q = questions.where(has_text(F.col(text_col)))
-    tf = term_counts(q, id_col, text_col, stop_words).withColumnRenamed("doc_id", "qid")
-    w = tf.join(F.broadcast(index.vocab.select("term", "idf")), "term").select(
-        "qid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    tf = term_counts(q, id_col, text_col, stop_words, tuple(keys)).withColumnRenamed("doc_id", "qid")
+    vocab = index.vocab.select(*keys, "term", "idf")
+    w = tf.join(vocab if keys else F.broadcast(vocab), [*keys, "term"]).select(
+        *keys, "qid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
-    return w.select("qid", "term", (F.col("w") / norm).alias("qw"))
+    return w.select(*keys, "qid", "term", (F.col("w") / norm).alias("qw"))
 
 
 def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float = 0.1,
@@ -213,10 +255,11 @@ def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float
     _, bound = question_bounds(questions, text_col)
     if bound <= broadcast_rows:
         qv = F.broadcast(qv)
-    scores = (index.postings.join(qv, "term")
-              .groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    keys = index.keys
+    scores = (index.postings.join(qv, [*keys, "term"])
+              .groupBy(*keys, "qid", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
     ranked = top_k(scores, ["qid"], [F.round("score", 9).desc(), F.col("doc_id")], k, rank_col="rank")
-    return ranked.where(F.col("score") > min_similarity).select("qid", "doc_id", "rank", "score")
+    return ranked.where(F.col("score") > min_similarity).select(*keys, "qid", "doc_id", "rank", "score")
 
 
 def _band(score: Column, hi: float, mid: float) -> Column:

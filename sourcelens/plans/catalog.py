@@ -510,3 +510,22 @@ WHERE o.h IS NULL OR n.h IS NULL OR n.h <> o.h""", ["files"]))
 def q_changed_files(spark, sf):
     old = corpus(spark, sf)
     return SNAP.changed_files(next_corpus(old), old)
+
+
+def kb_questions(analyzed_df: DataFrame) -> DataFrame:
+    """Questions about each repository's own API, derived from its API surface."""
+    api = DOC.api_surface(analyzed_df).where(F.col("kind") != "none")
+    return api.select("repo", F.concat_ws(":", "repo", "kind", F.col("ord").cast("string")).alias("qid"),
+                      F.concat(F.lit("What does the "), F.col("kind"), F.lit(" "), F.col("name"), F.lit(" do?"))
+                      .alias("text"))
+
+
+@register("kb_search", O.with_ctes("SELECT repo, qid, doc_id, rank, round(score, 6) AS score FROM kb_hits",
+                                   ["kb_hits"]))
+def q_kb_search(spark, sf):
+    """H5 over one knowledge base per repository (the analysed tool's own use)."""
+    an = analyzed(spark, sf)
+    kb = DOC.kb_docs(an)
+    idx = RT.build_index(kb, group="repo")
+    hits = RT.search(idx, kb_questions(an))
+    return hits.withColumn("score", F.round("score", 6))

@@ -512,3 +512,39 @@ cte("kb_docs", f"""
   UNION ALL
   SELECT concat_ws(':', repo, 'file_documentation', path), repo, 'file_documentation', path, 'documentation', NULL, text
     FROM file_docs""", ["report_wide", "api", "digest", "file_docs"])
+
+# ---------------------------------------------------------------------------
+# Per-repository knowledge-base search (grouped TF-IDF)
+# ---------------------------------------------------------------------------
+
+
+def _group_terms_ctes(name: str, src_sql: str, deps: list[str]) -> None:
+    """``{name}_tf(g, id, term, tf)`` for a source with columns (g, id, text)."""
+    cte(f"{name}_src", src_sql, deps)
+    cte(f"{name}_tok", f"""SELECT g, id, list_filter(regexp_extract_all(lower(text), {sql_str(TOKEN_PATTERN)}),
+      lambda t: NOT list_contains({STOP_LIST}, t)) AS k FROM {name}_src""", [f"{name}_src"])
+    cte(f"{name}_tf", f"""SELECT g, id, term, count(*) AS tf FROM
+      (SELECT g, id, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: concat(k[i], ' ', k[i + 1]))))
+         AS term FROM {name}_tok) GROUP BY ALL""", [f"{name}_tok"])
+
+
+_group_terms_ctes("kbt", "SELECT repo AS g, doc_id AS id, text FROM kb_docs", ["kb_docs"])
+cte("kb_vocab", f"""SELECT g, term, df, total, ln((1 + n) / (1 + df)) + 1 AS idf FROM
+  (SELECT s.g, s.term, s.df, s.total, c.n,
+          row_number() OVER (PARTITION BY s.g ORDER BY s.total DESC, s.term) AS r
+   FROM (SELECT g, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM kbt_tf GROUP BY g, term) s
+   JOIN (SELECT repo AS g, CAST(count(*) AS DOUBLE) AS n FROM kb_docs GROUP BY repo) c USING (g)
+   WHERE s.df <= {MAX_DF} * c.n)
+  WHERE r <= {MAX_FEATURES}""", ["kbt_tf", "kb_docs"])
+cte("kb_w", "SELECT g, id AS doc_id, term, tf * idf AS w FROM kbt_tf JOIN kb_vocab USING (g, term)",
+    ["kbt_tf", "kb_vocab"])
+cte("kb_post", """SELECT g, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM kb_w""",
+    ["kb_w"])
+_group_terms_ctes("kbq", f"""SELECT repo AS g, concat_ws(':', repo, kind, CAST(ord AS VARCHAR)) AS id,
+  concat('What does the ', kind, ' ', name, ' do?') AS text FROM api WHERE kind <> 'none'""", ["api"])
+cte("kbq_v", """SELECT g, qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS qw FROM
+  (SELECT g, id AS qid, term, tf * idf AS w FROM kbq_tf JOIN kb_vocab USING (g, term))""", ["kbq_tf", "kb_vocab"])
+cte("kb_hits", """SELECT g AS repo, qid, doc_id, CAST(rank AS INTEGER) AS rank, score FROM
+  (SELECT g, qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
+   FROM (SELECT g, qid, doc_id, sum(qw * weight) AS score FROM kbq_v JOIN kb_post USING (g, term) GROUP BY ALL))
+  WHERE rank <= 5 AND score > 0.1""", ["kbq_v", "kb_post"])

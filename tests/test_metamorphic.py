@@ -54,3 +54,25 @@ def test_single_document_index_is_empty(spark):  # Q16
     docs = spark.createDataFrame([(1, "s", "document", "alpha beta gamma")], "doc_id long, source string, type string, text string")
     idx = RT.build_index(docs)
     assert idx.vocab.count() == 0
+
+
+def test_grouped_index_equals_separate_indexes(spark):
+    """One knowledge base per repository = fitting each repository alone."""
+    from sourcelens.plans.catalog import kb_documents
+    docs = kb_documents(spark, SF_SMALL).where(F.col("source").isin("src1", "src2"))
+    qs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
+    grouped = RT.build_index(docs, group="source", max_features=300)
+    qg = qs.select("*", F.explode(F.array(F.lit("src1"), F.lit("src2"))).alias("source")) \
+        .withColumn("qid", F.col("qid") * 10 + F.when(F.col("source") == "src1", 1).otherwise(2))
+    got = RT.search(grouped, qg, min_similarity=0.0).select("qid", "doc_id", "rank", F.round("score", 9).alias("s"))
+    want = None
+    for i, src in ((1, "src1"), (2, "src2")):
+        idx = RT.build_index(docs.where(F.col("source") == src), max_features=300)
+        part = RT.search(idx, qs.withColumn("qid", F.col("qid") * 10 + i), min_similarity=0.0) \
+            .select("qid", "doc_id", "rank", F.round("score", 9).alias("s"))
+        want = part if want is None else want.unionByName(part)
+        gv = grouped.vocab.where(F.col("source") == src).select("term", "df", "total", F.round("idf", 9).alias("idf"))
+        sv = idx.vocab.select("term", "df", "total", F.round("idf", 9).alias("idf"))
+        assert gv.exceptAll(sv).count() == 0 and sv.exceptAll(gv).count() == 0
+    assert got.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
