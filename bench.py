@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "functions", "function_bodies", "file_metrics", "repo_summary", "summary_report", "important_files",
     "internal_deps", "top_imports", "directory_tree", "line_metrics", "vocabulary", "search", "answers",
-    "kb_docs", "file_docs",
+    "kb_docs", "file_docs", "kb_search",
 ]
 
 

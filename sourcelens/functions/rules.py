@@ -273,3 +273,19 @@ DIGEST_CLASSES_CAP = 3
 DIGEST_IMPORTS_CAP = 5
 API_FUNCTIONS_CAP = 20
 API_CLASSES_CAP = 10
+
+API_PROMPT_TEMPLATE = (
+    "\nGenerate API documentation for the following code elements:\n\n"
+    "**FUNCTIONS** ({n_functions} shown):\n{functions_detail}\n\n"
+    "**CLASSES** ({n_classes} shown):\n{classes_detail}\n\n"
+    "**REQUIREMENTS**:\nGenerate API documentation including:\n"
+    "1. **Function Reference**: Each function with parameters, return values, and purpose\n"
+    "2. **Class Reference**: Each class with methods and attributes\n"
+    "3. **Usage Examples**: Basic code examples where helpful\n"
+    "4. **Parameter Details**: Types and descriptions where inferrable\n"
+    "5. **Return Values**: What each function/method returns\n\n"
+    "Use markdown formatting with clear sections. Focus on public/main functions and classes.\n        "
+)
+API_FUNCTION_BLOCK = "**{name}**\n- Signature: `{signature}`\n- Preview: {preview}..."
+API_CLASS_BLOCK = "**{name}**\n- Declaration: `{signature}`\n- Methods: {methods}"
+API_PREVIEW_CHARS = 150

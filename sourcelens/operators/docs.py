@@ -193,3 +193,37 @@ def kb_docs(analyzed: DataFrame, k: int = 5) -> DataFrame:
                     "code", F.col("language"))
     docs = shape(file_docs(analyzed, k), "file_documentation", F.col("path"), "documentation", null_s)
     return overview.unionByName(api).unionByName(digests).unionByName(docs)
+
+
+def api_prompts(analyzed: DataFrame) -> DataFrame:
+    """The API-documentation prompt per repository (first 20 functions and
+    10 classes in file order), or the fixed "none found" text."""
+    from ..functions.rules import API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PREVIEW_CHARS, API_PROMPT_TEMPLATE
+    from ..functions.exprs import explode_rows, py_strip
+
+    fns = top_k(E.functions(analyzed), ["repo"], [F.col("path"), F.col("ord")], API_FUNCTIONS_CAP, rank_col="r")
+    fn_block = py_strip(render(API_FUNCTION_BLOCK, {
+        "name": F.col("name"), "signature": F.col("signature"),
+        "preview": F.substring("body_preview", 1, API_PREVIEW_CHARS)}))
+    f_agg = fns.groupBy("repo").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", fn_block.alias("b")))),
+                                 lambda s: s["b"]), "\n\n").alias("functions_detail"),
+        F.count(F.lit(1)).alias("n_functions"))
+    cls = explode_rows(analyzed, "classes", "c", "repo", "path").select(
+        "repo", "path", "c.ord", "c.name", "c.signature", "c.methods")
+    cls = top_k(cls, ["repo"], [F.col("path"), F.col("ord")], API_CLASSES_CAP, rank_col="r")
+    methods = F.when(F.size("methods") > 0, F.array_join(F.slice("methods", 1, 5), ", ")).otherwise(F.lit("None"))
+    c_block = py_strip(render(API_CLASS_BLOCK, {"name": F.col("name"), "signature": F.col("signature"),
+                                                "methods": methods}))
+    c_agg = cls.groupBy("repo").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c_block.alias("b")))),
+                                 lambda s: s["b"]), "\n\n").alias("classes_detail"),
+        F.count(F.lit(1)).alias("n_classes"))
+    repos = analyzed.select("repo").distinct()
+    j = repos.join(f_agg, "repo", "left").join(c_agg, "repo", "left")
+    prompt = render(API_PROMPT_TEMPLATE, {
+        "n_functions": F.coalesce("n_functions", F.lit(0)), "n_classes": F.coalesce("n_classes", F.lit(0)),
+        "functions_detail": F.coalesce("functions_detail", F.lit("None")),
+        "classes_detail": F.coalesce("classes_detail", F.lit("None"))})
+    none = F.col("n_functions").isNull() & F.col("n_classes").isNull()
+    return j.select("repo", F.when(none, F.lit(NO_API_TEXT)).otherwise(prompt).alias("prompt"))

@@ -529,3 +529,8 @@ def q_kb_search(spark, sf):
     idx = RT.build_index(kb, group="repo")
     hits = RT.search(idx, kb_questions(an))
     return hits.withColumn("score", F.round("score", 6))
+
+
+@register("api_prompts", O.with_ctes("SELECT repo, prompt FROM api_prompts", ["api_prompts"]))
+def q_api_prompts(spark, sf):
+    return DOC.api_prompts(analyzed(spark, sf))

@@ -548,3 +548,22 @@ cte("kb_hits", """SELECT g AS repo, qid, doc_id, CAST(rank AS INTEGER) AS rank,
   (SELECT g, qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
    FROM (SELECT g, qid, doc_id, sum(qw * weight) AS score FROM kbq_v JOIN kb_post USING (g, term) GROUP BY ALL))
   WHERE rank <= 5 AND score > 0.1""", ["kbq_v", "kb_post"])
+
+from ..functions.rules import API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE  # noqa: E402
+
+_fblock = strip(render_sql(API_FUNCTION_BLOCK, {"name": "name", "signature": "signature",
+                                                "preview": "substr(body_preview, 1, 150)"}))
+_cblock = strip(render_sql(API_CLASS_BLOCK, {"name": "name", "signature": "signature",
+                                             "methods": "CASE WHEN len(methods) > 0 THEN array_to_string(methods[1:5], ', ') ELSE 'None' END"}))
+cte("api_prompts", f"""SELECT r.repo, CASE WHEN f.n IS NULL AND c.n IS NULL THEN {sql_str(NO_API_TEXT)} ELSE {render_sql(
+    API_PROMPT_TEMPLATE, {"n_functions": "coalesce(f.n, 0)", "n_classes": "coalesce(c.n, 0)",
+                          "functions_detail": "coalesce(f.d, 'None')", "classes_detail": "coalesce(c.d, 'None')"})} END AS prompt
+  FROM (SELECT DISTINCT repo FROM files) r
+  LEFT JOIN (SELECT repo, count(*) AS n, string_agg({_fblock}, chr(10) || chr(10) ORDER BY rr) AS d FROM
+     (SELECT t.repo, t.name, t.signature,
+        CASE WHEN length(b.body) > {BODY_PREVIEW_CHARS} THEN concat(substr(b.body, 1, {BODY_PREVIEW_CHARS}), '...') ELSE b.body END AS body_preview,
+        row_number() OVER (PARTITION BY t.repo ORDER BY t.path, t.ord) AS rr
+      FROM fn_t t JOIN fn_body b USING (repo, path, ord)) WHERE rr <= 20 GROUP BY repo) f USING (repo)
+  LEFT JOIN (SELECT repo, count(*) AS n, string_agg({_cblock}, chr(10) || chr(10) ORDER BY rr) AS d FROM
+     (SELECT repo, name, signature, methods, row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS rr FROM cls_t)
+     WHERE rr <= 10 GROUP BY repo) c USING (repo)""", ["files", "fn_t", "fn_body", "cls_t"])
