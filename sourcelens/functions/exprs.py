@@ -85,10 +85,6 @@ def posexplode_rows(df, arr: Column | str, pos_alias: str, alias: str, *keep) ->
             .where(F.col(alias).isNotNull()))
 
 
-def int_sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
-
-
 def match_spans(content: Column, lang: Column, table: dict[str, str]) -> tuple[Column, Column]:
     """Per-language matches and the split segments around them.
 

@@ -32,10 +32,6 @@ def _tables(rules: LanguageRules) -> dict[str, dict[str, str]]:
             "cmt": rules.comments, "var": rules.variables, "doc": {"python": DOCSTRING_PATTERN}}
 
 
-def _strip_bool(c: Column) -> Column:
-    return X.has_text(c)
-
-
 def _python_candidates(content: Column, lines: Column, end0: Column, end_line: Column) -> Column:
     """Rest of the ``def`` header line plus the next nine whole lines.
 

@@ -14,9 +14,6 @@ from ..functions.exprs import newlines
 from ..functions.rules import DEFAULT_RULES, MAX_FILE_BYTES, LanguageRules
 from ..operators.rank import top_k
 
-FILES_COLUMNS = ["repo", "path", "full_path", "language", "content", "size", "lines"]
-
-
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Hash-spread an input that arrives in fewer partitions than the cluster
     has cores (a few large files or row groups).
@@ -41,12 +38,6 @@ def suffix_of(path: Column) -> Column:
     return F.regexp_extract(name, r"^.+?(\.[^.]*)$", 1)
 
 
-def language_rules_df(spark: SparkSession, rules: LanguageRules = DEFAULT_RULES) -> DataFrame:
-    """The suffix map as a (tiny, fixed-size) table for broadcast joins."""
-    rows = sorted(rules.suffixes.items())
-    return spark.createDataFrame(rows, "suffix string, language string")
-
-
 def language_of(path: Column, rules: LanguageRules = DEFAULT_RULES) -> Column:
     """Suffix → language as a literal CASE (B1); null for unsupported files."""
     suf = suffix_of(path)

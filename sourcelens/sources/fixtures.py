@@ -32,8 +32,3 @@ def code_files(spark: SparkSession, part: DataFrame) -> DataFrame:
     raw = spark.sql(text, part=part.select("p_partkey", "p_name", "p_brand", "p_size"))
     from .corpus import corpus_from_table
     return corpus_from_table(raw, repo="repo", path="path", language="language", content="content")
-
-
-def code_files_cte() -> str:
-    """The same derivation as an oracle CTE over the ``part`` view."""
-    return "code_files_raw AS (" + CODE_FILES_SELECT.replace("{part}", "part") + ")"
