@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import explode_rows, has_text
+from ..session import cut_lineage
 from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT, UNICODE_WORD
 from .rank import top_k
 
@@ -180,10 +181,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``group`` the index is one knowledge base per group value.
     """
     keys = (group,) if group else ()
-    # Term counts feed both the document frequencies and the postings; keep
-    # them (spilling to disk, recomputed from lineage if an executor is lost)
-    # instead of tokenising the corpus twice.
-    tf = term_counts(docs, id_col, text_col, stop_words, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    # Term counts feed both the document frequencies and the postings: they
+    # are written once to the shared checkpoint folder (so the corpus is
+    # tokenised once and a lost executor re-reads them) and keep their
+    # doc_id partitioning for the norm window.
+    tf = cut_lineage(term_counts(docs, id_col, text_col, stop_words, keys))
     if group is None:
         n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
         vocab = vocabulary(tf, n_docs, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
