@@ -206,11 +206,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, group)
 
 
-def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise shuffle-join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def question_bounds(questions: DataFrame, text_col: str = "text",
                     max_features: int = MAX_FEATURES) -> tuple[int, int]:
     """(number of questions, upper bound on their query-vector rows).
