@@ -255,6 +255,12 @@ def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float
     keys = index.keys
     scores = (index.postings.join(qv, [*keys, "term"])
               .groupBy(*keys, "qid", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    if min_similarity is not None and min_similarity > 0:
+        # Exact pruning before the per-question sort: a score at or below
+        # min_similarity - 1e-9 rounds (9 places) strictly below every score
+        # above min_similarity, so it can only rank after all of them and
+        # never changes which qualifying hits make the top k or their ranks.
+        scores = scores.where(F.col("score") > min_similarity - 1e-9)
     ranked = top_k(scores, ["qid"], [F.round("score", 9).desc(), F.col("doc_id")], k, rank_col="rank")
     return ranked.where(F.col("score") > min_similarity).select(*keys, "qid", "doc_id", "rank", "score")
 
