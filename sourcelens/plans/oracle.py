@@ -55,7 +55,7 @@ def case_lang(table: dict[str, str], fmt, default: str) -> str:
 
 def case_suffix(path: str) -> str:
     name = f"regexp_extract({path}, '([^/]*)$', 1)"
-    suf = f"regexp_extract({name}, '^.+?([.][^.]*)$', 1)"
+    suf = f"regexp_extract({name}, '^.+?([.][^.]+)$', 1)"
     return "CASE " + " ".join(f"WHEN {suf} = {sql_str(s)} THEN {sql_str(l)}"
                               for s, l in R.suffixes.items()) + " END"
 

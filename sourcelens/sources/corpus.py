@@ -32,10 +32,11 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
 def suffix_of(path: Column) -> Column:
     """``Path(p).suffix``: the last '.xxx' of the file name ('' when none).
 
-    A name that starts with its only dot (``.bashrc``) has no suffix.
+    A name that starts with its only dot (``.bashrc``) or ends with a dot has
+    no suffix.
     """
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.regexp_extract(name, r"^.+?(\.[^.]*)$", 1)
+    return F.regexp_extract(name, r"^.+?(\.[^.]+)$", 1)
 
 
 def language_of(path: Column, rules: LanguageRules = DEFAULT_RULES) -> Column:
