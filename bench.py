@@ -31,13 +31,21 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="sourcelens-bench")
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in catalog.QUERIES]
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 — report and keep measuring the rest
+            failed[name] = str(e).splitlines()[0][:200]
+            print(f"{name} failed: {failed[name]}", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 

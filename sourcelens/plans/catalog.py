@@ -38,7 +38,11 @@ _SHARED: dict[tuple, object] = {}
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
     """One instance per (session, corpus, name): the reports of a session share
     the same planned (and, where persisted, materialised) inputs."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 — remote session
+        app = spark.conf.get("spark.app.name", "")
+    key = (app, id(spark), sf_dir.rstrip("/"), name)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]

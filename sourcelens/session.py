@@ -38,13 +38,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     the loss of that machine).  Only a local-mode session (tests, bench) gets
     a scratch folder when the setting is unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — remote session: the server side owns the setting
+        if not d:
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        return d
+    d = d or sc.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="sourcelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 

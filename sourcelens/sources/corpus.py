@@ -23,8 +23,11 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     the CPU-heavy per-row work below runs on every core.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 — no SparkContext (remote session): leave the input as is
         return df
     return df.repartition(cores * factor, *[F.col(k) for k in keys])
 
