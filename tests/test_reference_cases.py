@@ -113,7 +113,7 @@ def test_directory_scan(spark, tmp_path):
     assert stats["python"] == 2 and stats["javascript"] == 1
 
 
-def test_pipeline_summary(spark, files_of):
+def test_end_to_end_summary(spark, files_of):
     files = files_of([("a.py", "python", PY_FUNCS), ("b.py", "python", PY_CLASSES),
                       ("c/app.js", "javascript", "const f = (a) => { return a; };\n")])
     an = E.analyze(files)
