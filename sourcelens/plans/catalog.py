@@ -475,10 +475,16 @@ def q_file_prompts(spark, sf):
     return DOC.file_prompts(analyzed(spark, sf))
 
 
+def knowledge_base(spark, sf) -> DataFrame:
+    """The code corpus's knowledge base, written once per session (it feeds
+    both the kb_docs report and the per-repository index)."""
+    return shared(spark, sf, "kb_docs", lambda: cut_lineage(DOC.kb_docs(analyzed(spark, sf))))
+
+
 @register("kb_docs", O.with_ctes("SELECT doc_id, repo, type, source, category, language, text FROM kb_docs",
                                  ["kb_docs"]))
 def q_kb_docs(spark, sf):
-    return DOC.kb_docs(analyzed(spark, sf))
+    return knowledge_base(spark, sf)
 
 
 # ---------------------------------------------------------------------------
@@ -529,8 +535,7 @@ def kb_questions(analyzed_df: DataFrame) -> DataFrame:
 def q_kb_search(spark, sf):
     """H5 over one knowledge base per repository (the analysed tool's own use)."""
     an = analyzed(spark, sf)
-    kb = DOC.kb_docs(an)
-    idx = RT.build_index(kb, group="repo")
+    idx = RT.build_index(knowledge_base(spark, sf), group="repo")
     hits = RT.search(idx, kb_questions(an))
     return hits.withColumn("score", F.round("score", 6))
 
