@@ -1,7 +1,7 @@
 """Snapshots of analysed corpora and change detection.
 
-A snapshot is a Parquet table partitioned by ``repo`` in the shared
-checkpoint folder (or any path the caller gives).  Change detection is a
+A snapshot is a Parquet table partitioned by ``repo`` (so a refresh can
+rewrite only the repositories it touched) in a folder the caller gives.  Change detection is a
 single full outer join on ``(repo, path)`` comparing content hashes, so an
 unchanged file is never re-analysed and an edited file always is — the
 content hash replaces a cache key that could collide or go stale.
@@ -53,7 +53,8 @@ def refresh(new_files: DataFrame, old_results: DataFrame, old_files: DataFrame,
 
 
 def write_docs(docs: DataFrame, path: str) -> DataFrame:
-    """Write rendered documents partitioned by repo; returns the saved
-    document paths (one row per document) as the reference returns its list."""
-    docs.write.mode("overwrite").partitionBy("repo").parquet(path)
-    return docs.select("repo", "doc_path")
+    """Write rendered documents (one row per document, clustered by
+    repository); returns the saved document paths, as the analysed tool
+    returns its list of written files."""
+    docs.sortWithinPartitions("repo").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path).select("repo", "doc_path")
