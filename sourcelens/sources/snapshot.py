@@ -1,7 +1,7 @@
 """Snapshots of analysed corpora and change detection.
 
-A snapshot is a Parquet table partitioned by ``repo`` (so a refresh can
-rewrite only the repositories it touched) in a folder the caller gives.  Change detection is a
+A snapshot is a Parquet table (rows clustered by ``repo``, no folder per
+repository) in a folder the caller gives.  Change detection is a
 single full outer join on ``(repo, path)`` comparing content hashes, so an
 unchanged file is never re-analysed and an edited file always is — the
 content hash replaces a cache key that could collide or go stale.
@@ -18,8 +18,8 @@ def with_hash(files: DataFrame) -> DataFrame:
 
 
 def write_snapshot(files: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist a corpus (with content hashes) partitioned by repository."""
-    (with_hash(files).write.mode(mode).partitionBy("repo").parquet(path))
+    """Persist a corpus with content hashes."""
+    with_hash(files).sortWithinPartitions("repo").write.mode(mode).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
