@@ -289,3 +289,12 @@ API_PROMPT_TEMPLATE = (
 API_FUNCTION_BLOCK = "**{name}**\n- Signature: `{signature}`\n- Preview: {preview}..."
 API_CLASS_BLOCK = "**{name}**\n- Declaration: `{signature}`\n- Methods: {methods}"
 API_PREVIEW_CHARS = 150
+
+SUMMARY_TEMPLATE = (
+    "# Project Analysis Summary\n\n## Code Statistics\n- **Total Files**: {total_files}\n"
+    "- **Languages**: {languages}\n- **Functions**: {functions}\n- **Classes**: {classes}\n\n"
+    "## Architecture Patterns\n{patterns}\n\n## Code Quality\n- **Test Coverage**: {coverage}\n"
+    "- **Entry Points**: {entry_points}\n- **Complexity Distribution**: {distribution}\n\n"
+    "## Recommendations\n{recommendations}\n\n---\n*Analysis completed on: {generated_on}*\n"
+)
+NO_PATTERNS_LINE = "- No specific patterns detected"

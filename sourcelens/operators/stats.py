@@ -236,3 +236,37 @@ def project_context(analyzed: DataFrame, repos: DataFrame | None = None) -> Data
         F.concat(F.lit("Functions: "), F.col("total_functions").cast("string")),
         F.concat(F.lit("Classes: "), F.col("total_classes").cast("string")))
     return facts.select("repo", parts.alias("context"))
+
+
+def summary_markdown(analyzed: DataFrame, generated_on: str = "1970-01-01 00:00:00") -> DataFrame:
+    """D13 as the rendered markdown report per repository.
+
+    Languages and the complexity distribution are printed as Python dict
+    literals in first-seen order, as the analysed tool prints them; every
+    list in it is bounded (languages, four patterns, five rules).
+    """
+    from ..functions.exprs import render
+    from ..functions.rules import NO_PATTERNS_LINE, SUMMARY_TEMPLATE
+
+    facts = repo_facts(analyzed)
+    lc = language_counts(analyzed).groupBy("repo").agg(F.concat(F.lit("{"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("first_path", "language", "files"))),
+        lambda s: F.concat(F.lit("'"), s["language"], F.lit("': "), s["files"].cast("string"))), ", "),
+        F.lit("}")).alias("language_dict"))
+    recs = recommendations(facts).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rule", "recommendation"))),
+        lambda s: F.concat(F.lit("- "), s["recommendation"])), "\n").alias("recommendations"))
+    names = [("mvc", "MVC"), ("layered", "LAYERED"), ("microservices", "MICROSERVICES"), ("monolithic", "MONOLITHIC")]
+    lines = F.filter(F.array(*[F.when(F.col(c), F.lit(f"- **{n}**: Detected")) for c, n in names]),
+                     lambda x: x.isNotNull())
+    j = facts.join(lc, "repo", "left").join(recs, "repo", "left")
+    text = render(SUMMARY_TEMPLATE, {
+        "total_files": F.col("total_files"), "languages": F.coalesce("language_dict", F.lit("{}")),
+        "functions": F.col("total_functions"), "classes": F.col("total_classes"),
+        "patterns": F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_PATTERNS_LINE)),
+        "coverage": F.col("coverage_level"), "entry_points": F.col("entry_points"),
+        "distribution": F.concat(F.lit("{'High': "), F.col("high").cast("string"), F.lit(", 'Medium': "),
+                                 F.col("medium").cast("string"), F.lit(", 'Low': "), F.col("low").cast("string"),
+                                 F.lit("}")),
+        "recommendations": F.coalesce("recommendations", F.lit("")), "generated_on": F.lit(generated_on)})
+    return j.select("repo", text.alias("text"))

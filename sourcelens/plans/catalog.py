@@ -543,3 +543,8 @@ def q_kb_search(spark, sf):
 @register("api_prompts", O.with_ctes("SELECT repo, prompt FROM api_prompts", ["api_prompts"]))
 def q_api_prompts(spark, sf):
     return DOC.api_prompts(analyzed(spark, sf))
+
+
+@register("summary_markdown", O.with_ctes("SELECT repo, text FROM summary_md", ["summary_md"]))
+def q_summary_markdown(spark, sf):
+    return S.summary_markdown(analyzed(spark, sf))

@@ -567,3 +567,22 @@ cte("api_prompts", f"""SELECT r.repo, CASE WHEN f.n IS NULL AND c.n IS NULL THEN
   LEFT JOIN (SELECT repo, count(*) AS n, string_agg({_cblock}, chr(10) || chr(10) ORDER BY rr) AS d FROM
      (SELECT repo, name, signature, methods, row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS rr FROM cls_t)
      WHERE rr <= 10 GROUP BY repo) c USING (repo)""", ["files", "fn_t", "fn_body", "cls_t"])
+
+from ..functions.rules import NO_PATTERNS_LINE, SUMMARY_TEMPLATE  # noqa: E402
+
+_pattern_lines = ("coalesce(nullif(concat_ws(chr(10), CASE WHEN f.mvc THEN '- **MVC**: Detected' END, "
+                  "CASE WHEN f.layered THEN '- **LAYERED**: Detected' END, "
+                  "CASE WHEN f.microservices THEN '- **MICROSERVICES**: Detected' END, "
+                  "CASE WHEN f.monolithic THEN '- **MONOLITHIC**: Detected' END), ''), "
+                  f"{sql_str(NO_PATTERNS_LINE)})")
+cte("summary_md", f"""SELECT f.repo, {render_sql(SUMMARY_TEMPLATE, {
+    "total_files": "f.total_files", "languages": "coalesce(l.d, '{}')", "functions": "f.total_functions",
+    "classes": "f.total_classes", "patterns": _pattern_lines, "coverage": "f.coverage_level",
+    "entry_points": "f.entry_points",
+    "distribution": "concat('{''High'': ', f.high, ', ''Medium'': ', f.medium, ', ''Low'': ', f.low, '}')",
+    "recommendations": "coalesce(r.d, '')", "generated_on": sql_str("1970-01-01 00:00:00")})} AS text
+  FROM facts f
+  LEFT JOIN (SELECT repo, concat('{{', string_agg(concat('''', language, ''': ', files), ', '
+             ORDER BY first_path, language, files), '}}') AS d FROM lang_counts GROUP BY repo) l USING (repo)
+  LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d
+             FROM recs GROUP BY repo) r USING (repo)""", ["facts", "lang_counts", "recs"])
