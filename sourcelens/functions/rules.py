@@ -298,3 +298,35 @@ SUMMARY_TEMPLATE = (
     "## Recommendations\n{recommendations}\n\n---\n*Analysis completed on: {generated_on}*\n"
 )
 NO_PATTERNS_LINE = "- No specific patterns detected"
+
+OVERVIEW_PROMPT_TEMPLATE = (
+    "\nGenerate a comprehensive project overview for this codebase:\n\n"
+    "**PROJECT**: {name}\n**DESCRIPTION**: {description}\n\n"
+    "**CODE STATISTICS**:\n- Total files: {total_files}\n- Languages: {languages}\n- Functions: {functions}\n"
+    "- Classes: {classes}\n- External dependencies: {n_dependencies}\n\n"
+    "**ARCHITECTURE ANALYSIS**:\n- Detected patterns: {patterns}\n- Entry points: {entry_points}\n"
+    "- Test coverage: {coverage}\n\n"
+    "**RECOMMENDATIONS**:\n{recommendations}\n\n"
+    "**REQUIREMENTS**:\nGenerate documentation including:\n"
+    "1. **Project Overview**: Purpose and main functionality\n"
+    "2. **Architecture**: Overall structure and design patterns\n"
+    "3. **Technology Stack**: Languages, frameworks, and key dependencies\n"
+    "4. **Project Structure**: Directory organization and key modules\n"
+    "5. **Getting Started**: Basic setup and usage instructions\n"
+    "6. **Development Notes**: Important patterns or conventions used\n\n"
+    "Use markdown formatting with clear sections and headers.\n        "
+)
+SETUP_PROMPT_TEMPLATE = (
+    "\nGenerate a setup and installation guide for this project:\n\n"
+    "**LANGUAGES USED**: {languages}\n**EXTERNAL DEPENDENCIES**: {dependencies}\n**ENTRY POINTS**: {entry_points}\n\n"
+    "**REQUIREMENTS**:\nGenerate a setup guide including:\n"
+    "1. **Prerequisites**: Required software and versions\n"
+    "2. **Installation**: Step-by-step installation instructions\n"
+    "3. **Configuration**: Any required configuration steps\n"
+    "4. **Running the Project**: How to start/run the application\n"
+    "5. **Development Setup**: Additional steps for development\n"
+    "6. **Troubleshooting**: Common issues and solutions\n\n"
+    "Use markdown formatting with clear step-by-step instructions.\n        "
+)
+NO_DESCRIPTION = "No description available"
+PROMPT_ENTRY_POINTS_CAP = 20

@@ -227,3 +227,59 @@ def api_prompts(analyzed: DataFrame) -> DataFrame:
         "classes_detail": F.coalesce("classes_detail", F.lit("None"))})
     none = F.col("n_functions").isNull() & F.col("n_classes").isNull()
     return j.select("repo", F.when(none, F.lit(NO_API_TEXT)).otherwise(prompt).alias("prompt"))
+
+
+def _py_list(items: Column) -> Column:
+    """A Python-style list literal of strings: ``['a', 'b']``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))),
+                                              ", "), F.lit("]"))
+
+
+def repo_prompts(analyzed: DataFrame) -> DataFrame:
+    """Overview and setup prompts per repository.
+
+    Entry points are listed sorted by path, at most 20, followed by
+    ``(+N more)`` when there are more; every other list is bounded already
+    (languages, four patterns, ten dependencies, five rules).
+    """
+    from ..functions.rules import (NO_DESCRIPTION, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
+                                   SETUP_PROMPT_TEMPLATE)
+    from . import deps as DEP
+
+    facts = S.repo_facts(analyzed)
+    langs = S.language_counts(analyzed).groupBy("repo").agg(
+        F.array_sort(F.collect_list(F.struct("first_path", "language", "files"))).alias("l"))
+    langs = langs.select(
+        "repo",
+        F.concat(F.lit("{"), F.array_join(F.transform("l", lambda s: F.concat(
+            F.lit("'"), s["language"], F.lit("': "), s["files"].cast("string"))), ", "), F.lit("}")).alias("lang_dict"),
+        _py_list(F.transform("l", lambda s: s["language"])).alias("lang_list"))
+    eps = top_k(S.entry_points(analyzed), ["repo"], [F.col("path")], PROMPT_ENTRY_POINTS_CAP)
+    eps = eps.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("ep"))
+    deps = DEP.external_deps(analyzed).groupBy("repo").agg(F.array_sort(F.collect_list("dependency")).alias("dp"))
+    recs = S.recommendations(facts).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rule", "recommendation"))),
+        lambda s: F.concat(F.lit("- "), s["recommendation"])), "\n").alias("recs"))
+    j = (facts.join(langs, "repo", "left").join(eps, "repo", "left").join(deps, "repo", "left")
+         .join(recs, "repo", "left"))
+    ep_text = F.concat(_py_list(F.coalesce("ep", F.array().cast("array<string>"))),
+                       F.when(F.col("entry_points") > PROMPT_ENTRY_POINTS_CAP, F.concat(
+                           F.lit(" (+"), (F.col("entry_points") - PROMPT_ENTRY_POINTS_CAP).cast("string"),
+                           F.lit(" more)"))).otherwise(F.lit("")))
+    dep_list = F.coalesce("dp", F.array().cast("array<string>"))
+    patterns = F.concat(F.lit("{'mvc': "), _py_bool(F.col("mvc")), F.lit(", 'layered': "), _py_bool(F.col("layered")),
+                        F.lit(", 'microservices': "), _py_bool(F.col("microservices")),
+                        F.lit(", 'monolithic': "), _py_bool(F.col("monolithic")), F.lit("}"))
+    overview = render(OVERVIEW_PROMPT_TEMPLATE, {
+        "name": F.col("repo"), "description": F.lit(NO_DESCRIPTION), "total_files": F.col("total_files"),
+        "languages": F.coalesce("lang_dict", F.lit("{}")), "functions": F.col("total_functions"),
+        "classes": F.col("total_classes"), "n_dependencies": F.size(dep_list), "patterns": patterns,
+        "entry_points": ep_text, "coverage": F.col("coverage_level"), "recommendations": F.coalesce("recs", F.lit(""))})
+    setup = render(SETUP_PROMPT_TEMPLATE, {
+        "languages": F.coalesce("lang_list", F.lit("[]")), "dependencies": _py_list(dep_list),
+        "entry_points": ep_text})
+    return j.select("repo", overview.alias("overview_prompt"), setup.alias("setup_prompt"))
+
+
+def _py_bool(c: Column) -> Column:
+    return F.when(c, F.lit("True")).otherwise(F.lit("False"))

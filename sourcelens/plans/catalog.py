@@ -548,3 +548,9 @@ def q_api_prompts(spark, sf):
 @register("summary_markdown", O.with_ctes("SELECT repo, text FROM summary_md", ["summary_md"]))
 def q_summary_markdown(spark, sf):
     return S.summary_markdown(analyzed(spark, sf))
+
+
+@register("repo_prompts", O.with_ctes("SELECT repo, overview_prompt, setup_prompt FROM repo_prompts",
+                                      ["repo_prompts"]))
+def q_repo_prompts(spark, sf):
+    return DOC.repo_prompts(analyzed(spark, sf))

@@ -586,3 +586,39 @@ cte("summary_md", f"""SELECT f.repo, {render_sql(SUMMARY_TEMPLATE, {
              ORDER BY first_path, language, files), '}}') AS d FROM lang_counts GROUP BY repo) l USING (repo)
   LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d
              FROM recs GROUP BY repo) r USING (repo)""", ["facts", "lang_counts", "recs"])
+
+from ..functions.rules import (  # noqa: E402
+    NO_DESCRIPTION, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, SETUP_PROMPT_TEMPLATE,
+)
+
+
+def _pybool(x: str) -> str:
+    return f"CASE WHEN {x} THEN 'True' ELSE 'False' END"
+
+
+_ep_text = (f"concat('[', coalesce(e.d, ''), ']', CASE WHEN f.entry_points > {PROMPT_ENTRY_POINTS_CAP} "
+            f"THEN concat(' (+', f.entry_points - {PROMPT_ENTRY_POINTS_CAP}, ' more)') ELSE '' END)")
+_patterns_dict = ("concat('{''mvc'': ', " + _pybool("f.mvc") + ", ', ''layered'': ', " + _pybool("f.layered")
+                  + ", ', ''microservices'': ', " + _pybool("f.microservices") + ", ', ''monolithic'': ', "
+                  + _pybool("f.monolithic") + ", '}')")
+cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
+    "name": "f.repo", "description": sql_str(NO_DESCRIPTION), "total_files": "f.total_files",
+    "languages": "coalesce(l.dct, '{}')", "functions": "f.total_functions", "classes": "f.total_classes",
+    "n_dependencies": "coalesce(dp.n, 0)", "patterns": _patterns_dict, "entry_points": _ep_text,
+    "coverage": "f.coverage_level", "recommendations": "coalesce(r.d, '')"})} AS overview_prompt,
+  {render_sql(SETUP_PROMPT_TEMPLATE, {"languages": "coalesce(l.lst, '[]')",
+                                      "dependencies": "concat('[', coalesce(dp.d, ''), ']')",
+                                      "entry_points": _ep_text})} AS setup_prompt
+  FROM facts f
+  LEFT JOIN (SELECT repo,
+       concat('{{', string_agg(concat('''', language, ''': ', files), ', ' ORDER BY first_path, language, files), '}}') AS dct,
+       concat('[', string_agg(concat('''', language, ''''), ', ' ORDER BY first_path, language, files), ']') AS lst
+     FROM lang_counts GROUP BY repo) l USING (repo)
+  LEFT JOIN (SELECT repo, string_agg(concat('''', path, ''''), ', ' ORDER BY path) AS d FROM
+     (SELECT * FROM (SELECT DISTINCT repo, path FROM an WHERE {_is_entry}) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= {PROMPT_ENTRY_POINTS_CAP})
+     GROUP BY repo) e USING (repo)
+  LEFT JOIN (SELECT repo, count(*) AS n, string_agg(concat('''', dependency, ''''), ', ' ORDER BY dependency) AS d FROM
+     (SELECT * FROM (SELECT DISTINCT repo, lower(module) AS dependency FROM imp_t WHERE regexp_matches(lower(module), {sql_str(KNOWN_LIBS)}))
+     QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dependency) <= 10) GROUP BY repo) dp USING (repo)
+  LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d FROM recs GROUP BY repo) r
+     USING (repo)""", ["facts", "lang_counts", "an", "imp_t", "recs"])
