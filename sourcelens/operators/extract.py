@@ -84,12 +84,16 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
 
     # Stage 1: one pass per pattern over the content.
     stage1 = [F.col(c) for c in ("repo", "path", "language", "content")]
+    # Unreadable (null) content yields empty symbol lists, as a failed file
+    # does in the analysed tool; its metrics stay null (excluded by ``valid``).
+    empty_s = F.array().cast("array<string>")
     for job in _POSITIONED:
         m, s = X.match_spans(content, lang, tables[job])
-        stage1 += [m.alias(f"{job}_m"), s.alias(f"{job}_s")]
+        stage1 += [F.coalesce(m, empty_s).alias(f"{job}_m"),
+                   F.coalesce(s, F.array().cast("array<struct<l:int,n:int>>")).alias(f"{job}_s")]
     for job in _PLAIN:
-        stage1.append(X.by_language(lang, tables[job], lambda p: F.regexp_extract_all(content, F.lit(p), 0),
-                                    F.array().cast("array<string>")).alias(f"{job}_m"))
+        m = X.by_language(lang, tables[job], lambda p: F.regexp_extract_all(content, F.lit(p), 0), empty_s)
+        stage1.append(F.coalesce(m, empty_s).alias(f"{job}_m"))
     stage1.append(F.split(content, "\n", -1).alias("lines"))
     df = files.select(*stage1)
 

@@ -75,3 +75,17 @@ def test_pattern_validation():
         validate_pattern(r"(?=x)abc")
     with pytest.raises(ValueError):
         validate_pattern(r"a{b")
+
+
+def test_unreadable_file_has_empty_symbols(spark):  # Q18 / B3
+    from sourcelens.operators import extract as E
+    from sourcelens.operators import stats as S
+    from sourcelens.sources.corpus import corpus_from_table
+    df = spark.createDataFrame([("r", "ok.py", "python", "def f():\n    return 1\n"), ("r", "bad.py", "python", None)],
+                               "repo string, path string, language string, content string")
+    an = E.analyze(corpus_from_table(df))
+    counts = {r["path"]: (r["imports"], r["functions"], r["classes"]) for r in S.file_counts(an).collect()}
+    assert counts == {"ok.py": (0, 1, 0), "bad.py": (0, 0, 0)}
+    s = S.repo_summary(an).collect()[0]
+    assert (s["files"], s["total_functions"]) == (1, 1)
+    assert S.repo_facts(an).collect()[0]["total_files"] == 2
