@@ -1,7 +1,8 @@
 """Every registered query against its DuckDB oracle on the smallest tables.
 
 Same comparison as the driver: sorted column names, row count, and an
-order-insensitive hash of the values (doubles rounded to 6 places).
+order-insensitive hash of the values (doubles rounded to 6 places); the
+column types must also be the same on both sides.
 """
 
 import hashlib
@@ -15,6 +16,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
@@ -58,3 +62,6 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute("DESCRIBE " + entry.oracle_sql()[name]).fetchall()}
+    assert spark_types == duck_types
