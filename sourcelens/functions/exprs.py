@@ -6,6 +6,8 @@ it stays inside Catalyst and whole-stage code generation.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -137,7 +139,6 @@ def first_group(text: Column, lang: Column, table: dict[str, str], groups: int =
 
 
 def re_groups(pattern: str) -> int:
-    import re
     return re.compile(pattern).groups
 
 
@@ -148,7 +149,6 @@ def sql_str(s: str) -> str:
 
 def template_parts(template: str) -> list[tuple[str, str | None]]:
     """Split a ``str.format`` template into (literal, field) pairs."""
-    import string
     return [(lit, field) for lit, field, _spec, _conv in string.Formatter().parse(template)]
 
 

@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import render
+from ..functions.exprs import explode_rows, py_strip, render
 from ..functions.rules import (
+    API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PREVIEW_CHARS, API_PROMPT_TEMPLATE, NO_DESCRIPTION,
+    OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, SETUP_PROMPT_TEMPLATE,
     API_CLASSES_CAP, API_FUNCTIONS_CAP, DIGEST_CLASSES_CAP, DIGEST_FUNCTIONS_CAP, DIGEST_IMPORTS_CAP,
     FILE_DOC_FUNCTION_LINE, FILE_DOC_FUNCTIONS_CAP, FILE_DOC_IMPORTS_CAP, FILE_DOC_TEMPLATE, FILE_INDEX_ENTRY,
     FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, NO_API_TEXT, NO_CLASSES_LINE, NO_FUNCTIONS_LINE,
     PROMPT_CLASSES_CAP, PROMPT_FUNCTIONS_CAP, PROMPT_IMPORTS_CAP, PROMPT_SIGNATURE_CHARS,
 )
 from ..sources.corpus import valid
+from . import deps as DEP
 from . import extract as E
 from . import stats as S
 from .rank import importance_score, top_k
@@ -198,9 +201,6 @@ def kb_docs(analyzed: DataFrame, k: int = 5) -> DataFrame:
 def api_prompts(analyzed: DataFrame) -> DataFrame:
     """The API-documentation prompt per repository (first 20 functions and
     10 classes in file order), or the fixed "none found" text."""
-    from ..functions.rules import API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PREVIEW_CHARS, API_PROMPT_TEMPLATE
-    from ..functions.exprs import explode_rows, py_strip
-
     fns = top_k(E.functions(analyzed), ["repo"], [F.col("path"), F.col("ord")], API_FUNCTIONS_CAP, rank_col="r")
     fn_block = py_strip(render(API_FUNCTION_BLOCK, {
         "name": F.col("name"), "signature": F.col("signature"),
@@ -242,10 +242,6 @@ def repo_prompts(analyzed: DataFrame) -> DataFrame:
     ``(+N more)`` when there are more; every other list is bounded already
     (languages, four patterns, ten dependencies, five rules).
     """
-    from ..functions.rules import (NO_DESCRIPTION, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
-                                   SETUP_PROMPT_TEMPLATE)
-    from . import deps as DEP
-
     facts = S.repo_facts(analyzed)
     langs = S.language_counts(analyzed).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct("first_path", "language", "files"))).alias("l"))

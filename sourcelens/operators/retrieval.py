@@ -24,6 +24,8 @@ import glob
 import os
 import zipfile
 
+import pyspark
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +48,6 @@ def english_stop_words() -> tuple[str, ...]:
     This is the list ``StopWordsRemover.loadDefaultStopWords("english")``
     returns; it is read without a JVM so the oracle SQL can embed it.
     """
-    import pyspark
     jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
     with zipfile.ZipFile(jars[0]) as z:
         text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")

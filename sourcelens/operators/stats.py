@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import contains_any, explode_rows
+from ..functions.exprs import contains_any, explode_rows, render
 from ..functions.rules import (
-    ENTRY_POINT_WORDS, LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES, MVC_INDICATORS,
+    NO_PATTERNS_LINE, SUMMARY_TEMPLATE, ENTRY_POINT_WORDS, LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES, MVC_INDICATORS,
     RECOMMENDATIONS, TEST_PATH_WORDS,
 )
 from ..sources.corpus import valid
@@ -245,9 +245,6 @@ def summary_markdown(analyzed: DataFrame, generated_on: str = "1970-01-01 00:00:
     literals in first-seen order, as the analysed tool prints them; every
     list in it is bounded (languages, four patterns, five rules).
     """
-    from ..functions.exprs import render
-    from ..functions.rules import NO_PATTERNS_LINE, SUMMARY_TEMPLATE
-
     facts = repo_facts(analyzed)
     lc = language_counts(analyzed).groupBy("repo").agg(F.concat(F.lit("{"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("first_path", "language", "files"))),

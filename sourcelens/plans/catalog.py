@@ -13,8 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import deps as DEP
+from ..operators import docs as DOC
 from ..operators import extract as E
+from ..operators import rank as RK
+from ..operators import retrieval as RT
+from ..operators import stats as S
 from ..session import cut_lineage
+from ..sources import corpus as SRC
+from ..sources import snapshot as SNAP
 from ..sources.corpus import corpus_from_table, documents_corpus, language_of, spread
 from ..sources.fixtures import code_files
 from . import oracle as O
@@ -201,11 +208,6 @@ def q_file_metrics(spark, sf):
 # Aggregations (D1–D14), joins (E1), rankings
 # ---------------------------------------------------------------------------
 
-from ..operators import deps as DEP  # noqa: E402
-from ..operators import rank as RK  # noqa: E402
-from ..operators import stats as S  # noqa: E402
-from ..sources import corpus as SRC  # noqa: E402
-
 
 @register("language_stats", O.with_ctes("""
 SELECT repo, language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS total_lines
@@ -380,8 +382,6 @@ def q_repo_registry(spark, sf):
 # user turns of conversations.
 # ---------------------------------------------------------------------------
 
-from ..operators import retrieval as RT  # noqa: E402
-
 
 def kb_documents(spark, sf):
     d = documents(spark, sf)
@@ -447,8 +447,6 @@ def q_answer_context(spark, sf):
 # Documentation tables (D15–D18) and knowledge base (F1)
 # ---------------------------------------------------------------------------
 
-from ..operators import docs as DOC  # noqa: E402
-
 
 @register("api_surface", O.with_ctes("SELECT repo, kind, ord, path, name, signature FROM api", ["api"]))
 def q_api_surface(spark, sf):
@@ -491,7 +489,6 @@ def q_kb_docs(spark, sf):
 # Snapshots and change detection
 # ---------------------------------------------------------------------------
 
-from ..sources import snapshot as SNAP  # noqa: E402
 
 _NEXT_CORPUS_SQL = """
 SELECT repo, path, CASE WHEN starts_with(path, 'api/') THEN concat(content, chr(10), '// touched') ELSE content END

@@ -11,12 +11,20 @@ from __future__ import annotations
 
 import re
 
-from ..functions.exprs import NON_WS, sql_str
+from ..functions.exprs import render_sql, sql_str, NON_WS
 from ..functions.rules import (
-    BODY_PREVIEW_CHARS, BRACE_BODY_CHARS, COMMENT_CAP, CONTROL_KEYWORDS, DEFAULT_RULES,
-    DOC_BLOCK_PATTERN, DOCSTRING_CAP, DOCSTRING_PATTERN, IMPORT_CAP, METHOD_CAP, METHOD_WINDOW,
-    NOT_FUNCTION_NAMES, PY_WHITESPACE, PYTHON_BODY_LINES, TEST_CONTENT_WORDS, VARIABLE_CAP,
+    ANSWER_HEADER, API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE, BODY_PREVIEW_CHARS,
+    BRACE_BODY_CHARS, COMMENT_CAP, CONFIG_PATH_WORDS, CONTROL_KEYWORDS, DEFAULT_RULES, DOCSTRING_CAP,
+    DOCSTRING_PATTERN, DOC_BLOCK_PATTERN, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, FILE_DOC_TEMPLATE,
+    FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, IMPORTANT_PATH_WORDS, IMPORT_CAP,
+    LAYERED_INDICATORS, METHOD_CAP, METHOD_WINDOW, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
+    MVC_INDICATORS, NOT_FUNCTION_NAMES, NO_ANSWER_TEXT, NO_API_TEXT, NO_CLASSES_LINE, NO_DESCRIPTION,
+    NO_FUNCTIONS_LINE, NO_PATTERNS_LINE, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
+    PYTHON_BODY_LINES, PY_WHITESPACE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
+    TEST_CONTENT_WORDS, TEST_PATH_WORDS, VARIABLE_CAP,
 )
+from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
+from ..operators.retrieval import english_stop_words, MAX_DF, MAX_FEATURES, TOKEN_PATTERN
 from ..sources.fixtures import CODE_FILES_SELECT
 
 R = DEFAULT_RULES
@@ -261,10 +269,6 @@ PREVIEW = BODY_PREVIEW_CHARS
 # Per-repository aggregations, dependencies, rankings
 # ---------------------------------------------------------------------------
 
-from ..functions.rules import (  # noqa: E402
-    CONFIG_PATH_WORDS, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, IMPORTANT_PATH_WORDS, LAYERED_INDICATORS,
-    MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES, MVC_INDICATORS, RECOMMENDATIONS, TEST_PATH_WORDS,
-)
 
 cte("an", """SELECT c.repo, c.path, c.language, c.imports, c.functions, c.classes, m.maintainability,
   m.has_main, m.has_tests, m.code_lines, m.complexity, m.total_lines
@@ -341,8 +345,6 @@ KNOWN_LIBS = "|".join(EXTERNAL_LIBRARIES)
 # Retrieval: TF-IDF over documents, questions from benchmark / conversations
 # ---------------------------------------------------------------------------
 
-from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT  # noqa: E402
-from ..operators.retrieval import MAX_DF, MAX_FEATURES, TOKEN_PATTERN, english_stop_words  # noqa: E402
 
 STOP_LIST = "[" + ", ".join(sql_str(w) for w in english_stop_words()) + "]"
 
@@ -416,12 +418,6 @@ FROM {name}_top3 GROUP BY qid""", [f"{name}_top3"])
 # Documentation tables and knowledge base
 # ---------------------------------------------------------------------------
 
-from ..functions.exprs import render_sql  # noqa: E402
-from ..functions.rules import (  # noqa: E402
-    FILE_DOC_TEMPLATE, FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, NO_API_TEXT,
-    NO_CLASSES_LINE, NO_FUNCTIONS_LINE,
-)
-from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS  # noqa: E402
 
 cte("fn_full", f"""SELECT t.repo, t.path, t.ord, t.name, t.line, t.signature,
   CASE WHEN length(b.body) > 0 THEN {nl('b.body')} + 1 ELSE 1 END AS estimated_lines
@@ -549,7 +545,6 @@ cte("kb_hits", """SELECT g AS repo, qid, doc_id, CAST(rank AS INTEGER) AS rank,
    FROM (SELECT g, qid, doc_id, sum(qw * weight) AS score FROM kbq_v JOIN kb_post USING (g, term) GROUP BY ALL))
   WHERE rank <= 5 AND score > 0.1""", ["kbq_v", "kb_post"])
 
-from ..functions.rules import API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE  # noqa: E402
 
 _fblock = strip(render_sql(API_FUNCTION_BLOCK, {"name": "name", "signature": "signature",
                                                 "preview": "substr(body_preview, 1, 150)"}))
@@ -568,7 +563,6 @@ cte("api_prompts", f"""SELECT r.repo, CASE WHEN f.n IS NULL AND c.n IS NULL THEN
      (SELECT repo, name, signature, methods, row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS rr FROM cls_t)
      WHERE rr <= 10 GROUP BY repo) c USING (repo)""", ["files", "fn_t", "fn_body", "cls_t"])
 
-from ..functions.rules import NO_PATTERNS_LINE, SUMMARY_TEMPLATE  # noqa: E402
 
 _pattern_lines = ("coalesce(nullif(concat_ws(chr(10), CASE WHEN f.mvc THEN '- **MVC**: Detected' END, "
                   "CASE WHEN f.layered THEN '- **LAYERED**: Detected' END, "
@@ -587,10 +581,6 @@ cte("summary_md", f"""SELECT f.repo, {render_sql(SUMMARY_TEMPLATE, {
   LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d
              FROM recs GROUP BY repo) r USING (repo)""", ["facts", "lang_counts", "recs"])
 
-from ..functions.rules import (  # noqa: E402
-    NO_DESCRIPTION, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, SETUP_PROMPT_TEMPLATE,
-)
-
 
 def _pybool(x: str) -> str:
     return f"CASE WHEN {x} THEN 'True' ELSE 'False' END"
