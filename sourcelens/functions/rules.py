@@ -330,3 +330,20 @@ SETUP_PROMPT_TEMPLATE = (
 )
 NO_DESCRIPTION = "No description available"
 PROMPT_ENTRY_POINTS_CAP = 20
+
+README_TEMPLATE = (
+    "# {name}\n\n{description}\n\n## Overview\n\n{overview}...\n\n## Quick Stats\n\n"
+    "- **Languages**: {languages}\n- **Files**: {files} analyzed\n- **Functions**: {functions}\n"
+    "- **Classes**: {classes}\n\n## Documentation\n\n"
+    "- 📚 [Setup Guide](docs/SETUP.md) - Installation and configuration\n"
+    "- 🏗️ [Architecture](docs/ARCHITECTURE.md) - Project structure and design\n"
+    "- 🔧 [API Reference](docs/API.md) - Functions and classes\n"
+    "- 📁 [File Documentation](docs/FILES.md) - Individual file details\n\n"
+    "## Getting Started\n\nSee the [Setup Guide](docs/SETUP.md) for detailed installation instructions.\n\n"
+    "## Project Structure\n\n```\n{tree}\n```\n\n---\n\n"
+    "*Documentation generated automatically from code analysis*\n*Generated on: {generated_on}*\n"
+)
+README_DESCRIPTION = "A software project"
+README_OVERVIEW_CHARS = 500
+TREE_FILES_CAP = 20
+TREE_BRANCH, TREE_LAST, TREE_PIPE, TREE_SPACE = "├── ", "└── ", "│   ", "    "

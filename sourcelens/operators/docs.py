@@ -8,13 +8,14 @@ number of files in a repository.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import explode_rows, py_strip, render
 from ..functions.rules import (
     API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PREVIEW_CHARS, API_PROMPT_TEMPLATE, NO_DESCRIPTION,
-    OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, SETUP_PROMPT_TEMPLATE,
+    OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, README_DESCRIPTION, README_OVERVIEW_CHARS, README_TEMPLATE,
+    SETUP_PROMPT_TEMPLATE, TREE_BRANCH, TREE_FILES_CAP, TREE_LAST, TREE_PIPE, TREE_SPACE,
     API_CLASSES_CAP, API_FUNCTIONS_CAP, DIGEST_CLASSES_CAP, DIGEST_FUNCTIONS_CAP, DIGEST_IMPORTS_CAP,
     FILE_DOC_FUNCTION_LINE, FILE_DOC_FUNCTIONS_CAP, FILE_DOC_IMPORTS_CAP, FILE_DOC_TEMPLATE, FILE_INDEX_ENTRY,
     FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, NO_API_TEXT, NO_CLASSES_LINE, NO_FUNCTIONS_LINE,
@@ -279,3 +280,67 @@ def repo_prompts(analyzed: DataFrame) -> DataFrame:
 
 def _py_bool(c: Column) -> Column:
     return F.when(c, F.lit("True")).otherwise(F.lit("False"))
+
+
+def tree_text(analyzed: DataFrame, files: int = 20) -> DataFrame:
+    """The directory tree of the first ``files`` files (by path) of
+    each repository, drawn as text.
+
+    Children keep the order in which they first appear; a node is last among
+    its siblings when no sibling appears later.  The drawing order is the
+    array of first-appearance ranks along the node's path.  Everything per
+    repository is bounded by ``files`` × depth nodes.
+    """
+    first = top_k(analyzed.select("repo", "path", "language"), ["repo"], [F.col("path")], files, rank_col="r")
+    parts = first.select("repo", "r", "language", F.split("path", "/").alias("parts"))
+    nodes = explode_rows(parts, F.sequence(F.lit(1), F.size("parts")), "d", "repo", "r", "language", "parts")
+    nodes = nodes.select(
+        "repo", "r", "d", F.slice("parts", 1, F.col("d")).alias("key_parts"),
+        F.array_join(F.slice("parts", 1, F.col("d") - 1), "/").alias("parent"),
+        (F.col("d") == F.size("parts")).alias("is_file"),
+        F.when(F.col("d") == F.size("parts"), F.col("language")).alias("language"))
+    info = nodes.groupBy("repo", F.array_join("key_parts", "/").alias("key")).agg(
+        F.min("r").alias("first"), F.max("d").alias("d"), F.max("parent").alias("parent"),
+        F.max("is_file").alias("is_file"), F.max("language").alias("language"),
+        F.max("key_parts").alias("key_parts"))
+    last = F.col("first") == F.max("first").over(Window.partitionBy("repo", "parent"))
+    info = info.withColumn("is_last", last)
+    per_repo = info.groupBy("repo").agg(F.collect_list(F.struct(
+        "key", "key_parts", "d", "first", "is_last", "is_file", "language")).alias("nodes"))
+    per_repo = per_repo.select("repo", "nodes", F.map_from_entries(F.transform(
+        "nodes", lambda n: F.struct(n["key"], F.struct(n["first"].alias("first"), n["is_last"].alias("is_last")))))
+        .alias("m"))
+
+    def line(n: Column) -> Column:
+        prefix_key = lambda k: F.array_join(F.slice(n["key_parts"], 1, k), "/")
+        ancestors = F.when(n["d"] > 1, F.sequence(F.lit(1), n["d"] - 1)).otherwise(F.array().cast("array<int>"))
+        indent = F.array_join(F.transform(ancestors, lambda k: F.when(
+            F.col("m")[prefix_key(k)]["is_last"], F.lit(TREE_SPACE)).otherwise(F.lit(TREE_PIPE))), "")
+        connector = F.when(n["is_last"], F.lit(TREE_LAST)).otherwise(F.lit(TREE_BRANCH))
+        tail = F.when(n["is_file"], F.concat(F.lit(" ("), F.coalesce(n["language"], F.lit("")), F.lit(")\n"))) \
+                .otherwise(F.lit("/\n"))
+        order = F.transform(F.sequence(F.lit(1), n["d"]), lambda k: F.col("m")[prefix_key(k)]["first"])
+        return F.struct(order.alias("o"), F.concat(indent, connector, F.element_at(n["key_parts"], -1), tail).alias("t"))
+
+    drawn = per_repo.select("repo", F.transform("nodes", line).alias("lines"))
+    return drawn.select("repo", F.array_join(F.transform(F.array_sort("lines"), lambda x: x["t"]), "").alias("tree"))
+
+
+def repo_readme(analyzed: DataFrame, generated_on: str = DEFAULT_GENERATED_ON) -> DataFrame:
+    """The README page per repository: stats, documentation links and
+    the drawn tree of the first 20 files; the overview is the start of the
+    rendered summary report (the analysed tool puts a model-written text
+    there)."""
+    facts = S.repo_facts(analyzed)
+    langs = S.language_counts(analyzed).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("first_path", "language"))), lambda s: s["language"]), ", ")
+        .alias("language_names"))
+    overview = S.summary_markdown(analyzed, generated_on).select(
+        "repo", F.substring("text", 1, README_OVERVIEW_CHARS).alias("overview"))
+    j = (facts.join(langs, "repo", "left").join(overview, "repo", "left")
+         .join(tree_text(analyzed, TREE_FILES_CAP), "repo", "left"))
+    return j.select("repo", F.lit("README.md").alias("doc_path"), render(README_TEMPLATE, {
+        "name": F.col("repo"), "description": F.lit(README_DESCRIPTION), "overview": F.col("overview"),
+        "languages": F.coalesce("language_names", F.lit("")), "files": F.col("total_files"),
+        "functions": F.col("total_functions"), "classes": F.col("total_classes"),
+        "tree": F.col("tree"), "generated_on": F.lit(generated_on)}).alias("text"))

@@ -551,3 +551,13 @@ def q_summary_markdown(spark, sf):
                                       ["repo_prompts"]))
 def q_repo_prompts(spark, sf):
     return DOC.repo_prompts(analyzed(spark, sf))
+
+
+@register("directory_tree_text", O.with_ctes("SELECT repo, tree FROM tree", ["tree"]))
+def q_directory_tree_text(spark, sf):
+    return DOC.tree_text(analyzed(spark, sf))
+
+
+@register("repo_readme", O.with_ctes("SELECT repo, doc_path, text FROM readme", ["readme"]))
+def q_repo_readme(spark, sf):
+    return DOC.repo_readme(analyzed(spark, sf))

@@ -20,7 +20,7 @@ from ..functions.rules import (
     LAYERED_INDICATORS, METHOD_CAP, METHOD_WINDOW, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
     MVC_INDICATORS, NOT_FUNCTION_NAMES, NO_ANSWER_TEXT, NO_API_TEXT, NO_CLASSES_LINE, NO_DESCRIPTION,
     NO_FUNCTIONS_LINE, NO_PATTERNS_LINE, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
-    PYTHON_BODY_LINES, PY_WHITESPACE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
+    PYTHON_BODY_LINES, PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
     TEST_CONTENT_WORDS, TEST_PATH_WORDS, VARIABLE_CAP,
 )
 from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
@@ -612,3 +612,38 @@ cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
      QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dependency) <= 10) GROUP BY repo) dp USING (repo)
   LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d FROM recs GROUP BY repo) r
      USING (repo)""", ["facts", "lang_counts", "an", "imp_t", "recs"])
+
+# ---------------------------------------------------------------------------
+# Directory tree drawing and README page
+# ---------------------------------------------------------------------------
+
+cte("tree_first", """SELECT repo, path, language, r FROM
+  (SELECT repo, path, language, row_number() OVER (PARTITION BY repo ORDER BY path) AS r FROM files) WHERE r <= 20""",
+    ["files"])
+cte("tree_nodes", """SELECT repo, r, d, parts[1:d] AS kp, array_to_string(parts[1:d - 1], '/') AS parent,
+  d = len(parts) AS is_file, CASE WHEN d = len(parts) THEN language END AS language
+  FROM (SELECT repo, r, language, parts, unnest(range(1, len(parts) + 1)) AS d
+        FROM (SELECT repo, r, language, string_split(path, '/') AS parts FROM tree_first))""", ["tree_first"])
+cte("tree_last", """SELECT *, first = max(first) OVER (PARTITION BY repo, parent) AS is_last FROM
+  (SELECT repo, array_to_string(kp, '/') AS key, min(r) AS first, max(d) AS d, max(parent) AS parent,
+          bool_or(is_file) AS is_file, max(language) AS language, max(kp) AS kp
+   FROM tree_nodes GROUP BY repo, array_to_string(kp, '/'))""", ["tree_nodes"])
+cte("tree_anc", """SELECT n.repo, n.key, n.a_d, a.first AS a_first, a.is_last AS a_last
+  FROM (SELECT repo, key, kp, unnest(range(1, d + 1)) AS a_d FROM tree_last) n
+  JOIN tree_last a ON a.repo = n.repo AND a.key = array_to_string(n.kp[1:n.a_d], '/')""", ["tree_last"])
+cte("tree_lines", """SELECT t.repo, t.key, list(x.a_first ORDER BY x.a_d) AS o,
+  concat(coalesce(string_agg(CASE WHEN x.a_last THEN '    ' ELSE '│   ' END, '' ORDER BY x.a_d)
+                  FILTER (WHERE x.a_d < t.d), ''),
+         CASE WHEN t.is_last THEN '└── ' ELSE '├── ' END, t.kp[len(t.kp)],
+         CASE WHEN t.is_file THEN concat(' (', coalesce(t.language, ''), ')', chr(10)) ELSE '/' || chr(10) END) AS line
+  FROM tree_last t JOIN tree_anc x ON x.repo = t.repo AND x.key = t.key
+  GROUP BY t.repo, t.key, t.d, t.is_last, t.kp, t.is_file, t.language""", ["tree_last", "tree_anc"])
+cte("tree", "SELECT repo, string_agg(line, '' ORDER BY o) AS tree FROM tree_lines GROUP BY repo", ["tree_lines"])
+cte("readme", f"""SELECT f.repo, 'README.md' AS doc_path, {render_sql(README_TEMPLATE, {
+    "name": "f.repo", "description": sql_str(README_DESCRIPTION), "overview": "substr(s.text, 1, 500)",
+    "languages": "coalesce(l.d, '')", "files": "f.total_files", "functions": "f.total_functions",
+    "classes": "f.total_classes", "tree": "t.tree", "generated_on": sql_str(DEFAULT_GENERATED_ON)})} AS text
+  FROM facts f
+  LEFT JOIN (SELECT repo, string_agg(language, ', ' ORDER BY first_path, language) AS d FROM lang_counts GROUP BY repo) l
+    USING (repo)
+  LEFT JOIN summary_md s USING (repo) LEFT JOIN tree t USING (repo)""", ["facts", "lang_counts", "summary_md", "tree"])
