@@ -121,3 +121,25 @@ def test_end_to_end_summary(spark, files_of):
     assert (s["files"], s["total_functions"], s["total_classes"]) == (3, 5, 2)
     recs = [r["rule"] for r in S.recommendations(S.repo_facts(an)).collect()]
     assert 0 not in recs
+
+
+def test_project_context_with_repo_info(spark, files_of):  # E5 / D14
+    import json
+    body = json.dumps({"name": "Demo", "description": "A demo repository", "stargazers_count": 3})
+    repos = SRC.load_repo_info(spark.createDataFrame([("r", 200, body)], "repo string, status int, body string"))
+    an = E.analyze(files_of([("a.py", "python", PY_FUNCS), ("b/c.js", "javascript", "function go(x) {}\n")]))
+    ctx = S.project_context(an, repos).collect()[0]["context"]
+    assert ctx == ("Project: Demo | Description: A demo repository | Languages: ['python', 'javascript'] | "
+                   "Total files: 2 | Functions: 3 | Classes: 0")
+    plain = S.project_context(an).collect()[0]["context"]
+    assert plain.startswith("Project: r | Languages: ")
+
+
+def test_language_subset_and_quarantine(spark, files_of):  # B2, B4
+    files = files_of([("a.py", "python", "x = 1\n"), ("b.js", "javascript", "let y = 2\n"),
+                      ("c.py", "python", "z" * 60000), ("d.py", "python", None)])
+    assert [r["path"] for r in SRC.select_languages(files, ["python"]).orderBy("path").collect()] == \
+        ["a.py", "c.py", "d.py"]
+    q = {r["path"]: (r["kept"], r["skip_reason"]) for r in SRC.quarantine(files).collect()}
+    assert q == {"a.py": (True, None), "b.js": (True, None), "c.py": (False, "too_large"),
+                 "d.py": (False, "unreadable")}
