@@ -241,7 +241,7 @@ def query_vectors(index: Index, questions: DataFrame, id_col: str = "qid", text_
 
 def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float = 0.1,
            id_col: str = "qid", text_col: str = "text", stop_words: tuple[str, ...] | None = None,
-           broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+           broadcast_rows: int = BROADCAST_QUERY_ROWS, bounds: tuple[int, int] | None = None) -> DataFrame:
     """H5: per question the ``k`` best documents by cosine, then ``score > min_similarity``.
 
     Ranking uses the score rounded to 9 places with ``doc_id`` as tie-break,
@@ -250,7 +250,7 @@ def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float
     sides shuffle on ``term`` (AQE splits hot terms).
     """
     qv = query_vectors(index, questions, id_col, text_col, stop_words)
-    _, bound = question_bounds(questions, text_col)
+    _, bound = bounds or question_bounds(questions, text_col)
     if bound <= broadcast_rows:
         qv = F.broadcast(qv)
     keys = index.keys
@@ -270,7 +270,7 @@ def _band(score: Column, hi: float, mid: float) -> Column:
     return F.when(score > hi, "high").when(score > mid, "medium").otherwise("low")
 
 
-def _top_sources(index: Index, hits: DataFrame, questions: DataFrame, n: int = 3,
+def _top_sources(index: Index, hits: DataFrame, n_questions: int, n: int = 3,
                  broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
     """The top ``n`` hits with their document text and metadata.
 
@@ -280,7 +280,6 @@ def _top_sources(index: Index, hits: DataFrame, questions: DataFrame, n: int = 3
     """
     meta = index.docs.select("doc_id", "source", "type", "text")
     top = hits.where(F.col("rank") <= n)
-    n_questions, _ = question_bounds(questions)
     if n_questions * n <= broadcast_rows:
         top = F.broadcast(top)
     return meta.join(top, "doc_id").select("qid", "rank", "doc_id", "score", "source", "type", "text")
@@ -292,8 +291,9 @@ def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: s
     Questions without a hit get the fixed "not found" answer.  Each answer
     gathers at most three previews, so the per-question group is bounded.
     """
-    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    top = _top_sources(index, hits, questions.withColumnRenamed(text_col, "text"))
+    bounds = question_bounds(questions, text_col)
+    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
+    top = _top_sources(index, hits, bounds[0])
     preview = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))) \
                .otherwise(F.col("text"))
     part = F.concat(F.lit("**From "), F.col("source"), F.lit("**: "), preview)
@@ -316,16 +316,18 @@ def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: s
 def answer_sources(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
                    **kw) -> DataFrame:
     """H6 sources: ``(qid, rank, doc_id, source, type, confidence)`` for the top 3."""
-    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    return _top_sources(index, hits, questions.withColumnRenamed(text_col, "text")).select("qid", "rank", "doc_id", "source", "type",
+    bounds = question_bounds(questions, text_col)
+    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
+    return _top_sources(index, hits, bounds[0]).select("qid", "rank", "doc_id", "source", "type",
                                             F.col("score").alias("confidence"))
 
 
 def answer_context(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
                    project_context: str = "", **kw) -> DataFrame:
     """H7: the context block handed to a language model, and its confidence."""
-    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
-    top = _top_sources(index, hits, questions.withColumnRenamed(text_col, "text"))
+    bounds = question_bounds(questions, text_col)
+    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
+    top = _top_sources(index, hits, bounds[0])
     part = F.concat(F.lit("Source: "), F.col("source"), F.lit(" ("), F.col("type"), F.lit(")\n"),
                     F.substring("text", 1, 800), F.lit("..."))
     per_q = top.groupBy("qid").agg(
