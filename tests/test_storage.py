@@ -52,6 +52,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q2 = ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), repo_depth=1)
     q2.awaitTermination(120)
     assert read_output(spark, str(tmp_path / "out"), "file_counts").count() == 4
+    # A new file is picked up by the next run, alone, in a new batch.
+    (src / "beta" / "pkg" / "extra.go").write_text('import "fmt"\nfunc Extra(a int) {\n}\n')
+    q3 = ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), repo_depth=1)
+    q3.awaitTermination(120)
+    out = read_output(spark, str(tmp_path / "out"), "file_counts")
+    assert out.count() == 5
+    new = out.where(F.col("path") == "pkg/extra.go").collect()
+    assert len(new) == 1 and new[0]["repo"] == "beta" and new[0]["functions"] == 1
+    assert out.select("batch").distinct().count() == 2
 
 
 def test_write_docs(spark, tmp_path):
