@@ -561,3 +561,20 @@ def q_directory_tree_text(spark, sf):
 @register("repo_readme", O.with_ctes("SELECT repo, doc_path, text FROM readme", ["readme"]))
 def q_repo_readme(spark, sf):
     return DOC.repo_readme(analyzed(spark, sf))
+
+
+def documented_functions(spark, sf) -> DataFrame:
+    """A Python corpus derived from ``documents``: one function per document
+    whose docstring is the whole document text."""
+    d = documents(spark, sf)
+    content = F.concat(F.lit("def doc_"), F.col("doc_id").cast("string"), F.lit('():\n    """'), F.col("text"),
+                       F.lit('"""\n    return None\n'))
+    return corpus_from_table(d.select(F.col("source").alias("repo"),
+                                      F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
+                                      F.lit("python").alias("language"), content.alias("content")))
+
+
+@register("doc_docstrings", O.with_ctes("SELECT repo, path, ord, text, line, length FROM pydoc_t", ["pydoc_t"]))
+def q_doc_docstrings(spark, sf):
+    """C9 over whole real texts (up to ~128K characters each)."""
+    return E.docstrings(E.analyze(documented_functions(spark, sf)))

@@ -100,7 +100,7 @@ cte("files", f"""SELECT repo, path, path AS full_path, language, content,
   FROM code_files_raw""", ["code_files_raw"])
 
 
-def _positioned(job: str, table: dict[str, str]) -> None:
+def _positioned(job: str, table: dict[str, str], src: str = "files") -> None:
     """``{job}_pos``: one row per match with i (0-based), m, g1, g2, start, line."""
     empty = "CAST([] AS VARCHAR[])"
     ms = case_lang(table, lambda p: f"regexp_extract_all(content, {sql_str(p)}, 0)", empty)
@@ -108,7 +108,7 @@ def _positioned(job: str, table: dict[str, str]) -> None:
     g1 = case_lang(table, lambda p: f"regexp_extract_all(content, {sql_str(p)}, {min(_groups(p), 1)})", empty)
     g2 = case_lang(table, lambda p: f"regexp_extract_all(content, {sql_str(p)}, {min(_groups(p), 2)})", empty)
     cte(f"{job}_arr", f"SELECT repo, path, language, content, {ms} AS ms, {segs} AS segs, "
-                      f"{g1} AS g1s, {g2} AS g2s FROM files", ["files"])
+                      f"{g1} AS g1s, {g2} AS g2s FROM {src}", [src])
     cte(f"{job}_u", f"""SELECT repo, path, language, content, unnest(ms) AS m, unnest(segs[1:len(ms)]) AS seg,
       unnest(g1s) AS g1, unnest(g2s) AS g2, unnest(range(len(ms))) AS i
       FROM {job}_arr WHERE len(ms) > 0""", [f"{job}_arr"])
@@ -647,3 +647,19 @@ cte("readme", f"""SELECT f.repo, 'README.md' AS doc_path, {render_sql(README_TEM
   LEFT JOIN (SELECT repo, string_agg(language, ', ' ORDER BY first_path, language) AS d FROM lang_counts GROUP BY repo) l
     USING (repo)
   LEFT JOIN summary_md s USING (repo) LEFT JOIN tree t USING (repo)""", ["facts", "lang_counts", "summary_md", "tree"])
+
+
+# ---------------------------------------------------------------------------
+# Docstrings over real text: each document becomes a Python function whose
+# docstring is the whole document.
+# ---------------------------------------------------------------------------
+
+cte("doc_py_files", """SELECT source AS repo, concat('doc_', CAST(doc_id AS VARCHAR), '.py') AS path,
+  'python' AS language, concat('def doc_', CAST(doc_id AS VARCHAR), '():', chr(10), '    ', repeat(chr(34), 3), text,
+  repeat(chr(34), 3), chr(10), '    return None', chr(10)) AS content FROM documents""", [])
+_positioned("pydoc", {"python": DOCSTRING_PATTERN}, src="doc_py_files")
+cte("pydoc_t", f"""SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord,
+  text, line, CAST(length(text) AS INTEGER) AS length
+  FROM (SELECT repo, path, i, line, {strip("coalesce(nullif(g1, ''), nullif(g2, ''))")} AS text FROM pydoc_pos)
+  WHERE coalesce(length(text), 0) > 10
+  QUALIFY ord < {DOCSTRING_CAP}""", ["pydoc_pos"])
