@@ -63,7 +63,9 @@ def api_surface(analyzed: DataFrame) -> DataFrame:
                 rank_col="r").select("repo", F.lit("class").alias("kind"), (F.col("r") - 1).alias("ord"),
                                      "path", "name", "signature")
     found = fns.unionByName(cls)
-    none = (analyzed.select("repo").distinct().join(found.select("repo"), "repo", "left_anti")
+    # Repositories without any function or class, from the one facts aggregation
+    # (files that failed to parse contribute no symbols).
+    none = (S.repo_facts(analyzed).where((F.col("total_functions") == 0) & (F.col("total_classes") == 0))
             .select("repo", F.lit("none").alias("kind"), F.lit(0).alias("ord"),
                     F.lit(None).cast("string").alias("path"), F.lit(NO_API_TEXT).alias("name"),
                     F.lit(None).cast("string").alias("signature")))
