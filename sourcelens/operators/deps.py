@@ -82,6 +82,5 @@ def internal_deps(analyzed: DataFrame, per_file: int = 5, files: int = 10) -> Da
     ``files`` files (by path) of each repository."""
     edges = internal_dep_edges(analyzed)
     per = top_k(edges, ["repo", "path"], [F.col("ord")], per_file, rank_col="dep_rank")
-    first_files = top_k(per.select("repo", "path").distinct(), ["repo"], [F.col("path")], files)
-    return per.join(first_files, ["repo", "path"], "left_semi").select(
-        "repo", "path", (F.col("dep_rank") - 1).alias("ord"), F.col("module").alias("dependency"))
+    first = top_k(per, ["repo"], [F.col("path")], files, dense=True)
+    return first.select("repo", "path", (F.col("dep_rank") - 1).alias("ord"), F.col("module").alias("dependency"))

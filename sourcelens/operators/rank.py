@@ -9,16 +9,19 @@ from ..functions.exprs import contains_any
 from ..functions.rules import CONFIG_PATH_WORDS, IMPORTANT_PATH_WORDS
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank_col: str | None = None) -> DataFrame:
-    """Keep the first ``k`` rows of each ``by`` group under a total ``order``.
-
-    ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before
-    the shuffle, so each map task forwards at most ``k`` rows per group even
-    when one group holds a large share of the data.
+def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank_col: str | None = None,
+          dense: bool = False) -> DataFrame:
+    """Keep the first ``k`` rows of each ``by`` group under a total ``order``
+    (with ``dense``: all rows of the first ``k`` distinct ``order`` values).
+
+    ``row_number() <= k`` / ``dense_rank() <= k`` lets Spark insert a partial
+    WindowGroupLimit before the shuffle, so each map task forwards a bounded
+    number of rows per group even when one group holds a large share of the data.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     name = rank_col or "__rn"
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    fn = F.dense_rank() if dense else F.row_number()
+    out = df.withColumn(name, fn.over(w)).where(F.col(name) <= k)
     return out if rank_col else out.drop(name)
 
 
