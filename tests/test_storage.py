@@ -82,3 +82,14 @@ def test_write_reports_matches_in_memory(spark, tmp_path):
         want = fn(E.analyze(files))
         assert got.exceptAll(want.select(*got.columns)).count() == 0
         assert want.select(*got.columns).exceptAll(got).count() == 0
+
+
+def test_write_all_reports(spark, tmp_path):
+    from sourcelens.plans.catalog import corpus
+    from sourcelens.plans.reports import REPORTS, write_reports
+    out = write_reports(spark, corpus(spark, SF_SMALL), str(tmp_path / "all"))
+    assert set(out) == set(REPORTS)
+    for name, path in out.items():
+        assert spark.read.parquet(path).count() >= 0, name
+    assert spark.read.parquet(out["functions"]).count() > 0
+    assert spark.read.parquet(out["kb_docs"]).count() > 0
