@@ -46,6 +46,11 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "file_docs": DOC.file_docs,
     "doc_index": DOC.doc_index,
     "file_prompts": DOC.file_prompts,
+    "api_prompts": DOC.api_prompts,
+    "repo_prompts": DOC.repo_prompts,
+    "summary_markdown": S.summary_markdown,
+    "directory_tree_text": DOC.tree_text,
+    "repo_readme": DOC.repo_readme,
     "kb_docs": DOC.kb_docs,
 }
 
