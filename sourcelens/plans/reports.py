@@ -18,6 +18,7 @@ from ..functions.rules import DEFAULT_RULES, LanguageRules
 from ..operators import deps as DEP
 from ..operators import docs as DOC
 from ..operators import extract as E
+from ..operators import retrieval as RT
 from ..operators import stats as S
 from ..session import checkpoint_dir
 
@@ -67,8 +68,10 @@ def write_analysis(files: DataFrame, path: str, rules: LanguageRules = DEFAULT_R
 
 
 def write_reports(spark: SparkSession, files: DataFrame, out_dir: str | None = None,
-                  reports: list[str] | None = None, rules: LanguageRules = DEFAULT_RULES) -> dict[str, str]:
-    """Write the analysis and each requested report under ``out_dir``.
+                  reports: list[str] | None = None, rules: LanguageRules = DEFAULT_RULES,
+                  index: bool = False) -> dict[str, str]:
+    """Write the analysis and each requested report under ``out_dir``; with
+    ``index`` also the per-repository knowledge-base index (four tables).
 
     ``out_dir`` defaults to a folder inside the cluster's shared checkpoint
     folder.  Returns report name → written path.
@@ -80,4 +83,9 @@ def write_reports(spark: SparkSession, files: DataFrame, out_dir: str | None = N
         path = os.path.join(out_dir, name)
         REPORTS[name](analyzed).write.mode("overwrite").parquet(path)
         written[name] = path
+    if index:
+        path = os.path.join(out_dir, "index")
+        kb = spark.read.parquet(written["kb_docs"]) if "kb_docs" in written else DOC.kb_docs(analyzed)
+        RT.build_index(kb, group="repo").save(path)
+        written["index"] = path
     return written

@@ -87,8 +87,11 @@ def test_write_reports_matches_in_memory(spark, tmp_path):
 def test_write_all_reports(spark, tmp_path):
     from sourcelens.plans.catalog import corpus
     from sourcelens.plans.reports import REPORTS, write_reports
-    out = write_reports(spark, corpus(spark, SF_SMALL), str(tmp_path / "all"))
-    assert set(out) == set(REPORTS)
+    out = write_reports(spark, corpus(spark, SF_SMALL), str(tmp_path / "all"), index=True)
+    assert set(out) == set(REPORTS) | {"index"}
+    idx = RT.Index.load(spark, out["index"], group="repo")
+    assert idx.vocab.count() > 0 and idx.postings.count() > 0
+    out.pop("index")
     for name, path in out.items():
         assert spark.read.parquet(path).count() >= 0, name
     assert spark.read.parquet(out["functions"]).count() > 0
