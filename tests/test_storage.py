@@ -96,3 +96,19 @@ def test_write_all_reports(spark, tmp_path):
         assert spark.read.parquet(path).count() >= 0, name
     assert spark.read.parquet(out["functions"]).count() > 0
     assert spark.read.parquet(out["kb_docs"]).count() > 0
+
+
+def test_stream_in_small_batches_equals_batch(spark, tmp_path):
+    src = tmp_path / "src"
+    for repo in ("alpha", "beta", "gamma"):
+        (src / repo).mkdir(parents=True)
+        (src / repo / "a.py").write_text(f"def {repo}_a(x):\n    return x\n")
+        (src / repo / "b.js").write_text(f"function {repo}B(y) {{ return y; }}\n")
+    q = ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), repo_depth=1,
+                      max_files_per_trigger=2)
+    q.awaitTermination(180)
+    streamed = read_output(spark, str(tmp_path / "out"), "functions")
+    assert streamed.select("batch").distinct().count() == 3
+    batch = E.functions(E.analyze(scan_corpus(spark, str(src), repo_depth=1)))
+    s = streamed.drop("batch").select(*batch.columns)
+    assert s.exceptAll(batch).count() == 0 and batch.exceptAll(s).count() == 0
