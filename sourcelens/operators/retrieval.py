@@ -19,12 +19,8 @@ Plan shape:
 
 from __future__ import annotations
 
-import functools
-import glob
 import os
-import zipfile
 
-import pyspark
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import explode_rows, has_text
 from ..session import cut_lineage
+from ..functions.stopwords import ENGLISH_STOP_WORDS
 from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT, UNICODE_WORD
 from .rank import top_k
 
@@ -41,22 +38,9 @@ MAX_DF = 0.95
 BROADCAST_QUERY_ROWS = 2_000_000
 
 
-@functools.lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's default English stop-word list, read from the Spark ML jar.
-
-    This is the list ``StopWordsRemover.loadDefaultStopWords("english")``
-    returns; it is read without a JVM so the oracle SQL can embed it.
-    """
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return tuple(w for w in text.split() if w)
-
-
 def terms(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
     """H1: unigrams then bigrams of the stop-word-filtered tokens of ``text``."""
-    stop = english_stop_words() if stop_words is None else stop_words
+    stop = ENGLISH_STOP_WORDS if stop_words is None else stop_words
     toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
     kept = F.filter(toks, lambda t: ~t.isin(*stop)) if stop else toks
     return kept

@@ -24,7 +24,8 @@ from ..functions.rules import (
     TEST_CONTENT_WORDS, TEST_PATH_WORDS, VARIABLE_CAP,
 )
 from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
-from ..operators.retrieval import english_stop_words, MAX_DF, MAX_FEATURES, TOKEN_PATTERN
+from ..functions.stopwords import ENGLISH_STOP_WORDS
+from ..operators.retrieval import MAX_DF, MAX_FEATURES, TOKEN_PATTERN
 from ..sources.fixtures import CODE_FILES_SELECT
 
 R = DEFAULT_RULES
@@ -346,7 +347,7 @@ KNOWN_LIBS = "|".join(EXTERNAL_LIBRARIES)
 # ---------------------------------------------------------------------------
 
 
-STOP_LIST = "[" + ", ".join(sql_str(w) for w in english_stop_words()) + "]"
+STOP_LIST = "[" + ", ".join(sql_str(w) for w in ENGLISH_STOP_WORDS) + "]"
 
 
 def _terms_ctes(name: str, src_sql: str) -> None:

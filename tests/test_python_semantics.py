@@ -37,7 +37,7 @@ def test_line_metrics_match_python(spark, docs):
 
 
 def test_tokens_match_python(spark, docs):
-    stop = set(RT.english_stop_words())
+    stop = set(RT.ENGLISH_STOP_WORDS)
     got = {r["doc_id"]: r["tokens"] for r in RT.token_stats(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     for doc_id, r in docs.items():
         want = [t for t in TOKEN.findall(r["text"].lower()) if t not in stop]
