@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules
+from . import bpe, main_text, packing, quality_rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,25 @@ def q_bpe(spark, sf_dir):
 @register("op9_packing")
 def q_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS largest FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM d LEFT JOIN m USING (payload_digest)
+"""
+
+
+@register("op7_warc", WARC_SQL)
+def q_warc(spark, sf_dir):
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op10_main_text")
+def q_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
