@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, main_text, packing, quality_rules, warc
+from . import ann, bpe, main_text, near_dup, packing, quality_rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op3_near_duplicates")
+def q_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
@@ -53,6 +59,11 @@ def q_quality_rules(spark, sf_dir):
     return quality_rules.quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+@register("op5_ann")
+def q_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register("op6_bpe")
 def q_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
