@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, main_text, near_dup, packing, quality_rules, warc
+from . import ann, bpe, lang_id, main_text, near_dup, packing, pii, quality_cnn, quality_rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_lang_id")
+def q_lang_id(spark, sf_dir):
+    return lang_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op2_quality_cnn")
+def q_quality_cnn(spark, sf_dir):
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op3_near_duplicates")
 def q_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -70,6 +80,11 @@ def q_bpe(spark, sf_dir):
                       public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
+@register("op8_pii")
+def q_pii(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 @register("op9_packing")
 def q_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
@@ -71,3 +72,32 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, off, data = a.buffers()
     offsets = np.frombuffer(off, np.int64)[a.offset:a.offset + n + 1] if n else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+
+
+def annotate(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, name: str = "found",
+             keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns ``keep`` (default: all) and a struct column ``name`` worked out from each row's text.
+
+    ``make`` runs once a task; what it returns gets the texts of some rows and gives one array for each field.
+    Rows stay in their partitions.
+    """
+    small_batches(df.sparkSession)
+    keep = df.columns if keep is None else keep
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # the text goes to Python once, even if it is kept
+    at = keep.index(text) if text in keep else len(keep)
+    rows = df.select(*[quoted(c) for c in keep], *([] if at < len(keep) else [quoted(text).cast("string").alias(text)]))
+    added = StructType.fromDDL(fields)
+    schema = StructType([df.schema[c] for c in keep]).add(name, added)
+    names, field_names = [*keep, name], added.fieldNames()
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worked_out = make()
+        for batch in batches:
+            for lo, hi in text_slices(batch.column(at), 4 << 20):
+                part = batch.slice(lo, hi - lo)
+                found = pa.StructArray.from_arrays(worked_out(part.column(at)), field_names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], found], names)
+
+    return rows.mapInArrow(run, schema)
