@@ -37,11 +37,11 @@ EMBEDDING = 8
 FILTERS = 16
 HIDDEN = 16
 PAD = 256               # byte value of padding; its embedding stays zero
-SAMPLE_DOCS = 3_000
+SAMPLE_DOCS = 4_000
 SAMPLE_CHARS = 20_000
 EPOCHS = 5
 BATCH = 32
-RATE = 0.01
+RATE = 0.004
 ACCEPT = 0.7
 ROWS = 256              # halves convolved at a time
 

@@ -26,3 +26,16 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def odd_pages(spark):
+    long = "<p>" + "Long paragraph, with commas, and so on. " * 3000 + "</p>"
+    same = "<html><body><article><p>" + "Copy of a page, word for word. " * 60 + "</p></article></body></html>"
+    rows = [
+        (1, "http://a/1", same, "t", 1), (2, "http://a/2", same, "t", 1), (3, None, same, None, None), (3, None, same, None, None),
+        (4, "http://a/4", None, "t", 1), (5, "http://a/5", "", "t", 1), (6, "http://a/6\r\nX: y", "<p>short", "t", 1),
+        (7, "http://a/7", "<p>short", "t", 1), (8, "http://a/8", long, "t", 1), (None, "http://a/n", same, "t", 1),
+        (9, "http://a/9", "<<<a <b <p class='x>&amp;&#x41;&bogus;</ <!-- never closed", "t", 1),
+    ]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, text string, digest int")
