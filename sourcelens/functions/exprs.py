@@ -105,6 +105,38 @@ def match_spans(content: Column, lang: Column, table: dict[str, str]) -> tuple[C
     return matches, segs
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row (bound as a lambda variable)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _prefix_sums(items: Column, fields: tuple[str, ...]) -> Column:
+    """For each struct of ``items``: the sums of ``fields`` over all structs before it.
+
+    Blocks of about sqrt(n) elements are summed first, so an element adds up
+    only the blocks before its own and its neighbours inside: n * sqrt(n)
+    steps in all, not n * n.
+    """
+    zero = F.struct(*[F.lit(0).alias(f) for f in fields])
+    total = lambda part: F.aggregate(part, zero, lambda a, x: F.struct(*[(a[f] + x[f]).alias(f) for f in fields]))
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+
+    def sums(w: Column) -> Column:
+        n_blocks = F.ceil(F.size(items) / w).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: total(F.slice(items, k * w + 1, w)))
+
+        def inside(block: Column) -> Column:
+            before = F.transform(block, lambda _, k: total(F.slice(block, F.lit(1), k)))
+            return let(before, lambda base: F.transform(items, lambda _, i: let(
+                total(F.slice(items, F.floor(i / w).cast("int") * w + 1, F.pmod(i, w))),
+                lambda own: let(F.get(base, F.floor(i / w).cast("int")), lambda past: F.struct(
+                    *[(past[f] + own[f]).alias(f) for f in fields])))))
+        return let(blocks, inside)
+
+    empty = F.array().cast("array<struct<" + ",".join(f"{f}:int" for f in fields) + ">>")
+    return F.when(F.size(items) > 0, let(width, sums)).otherwise(empty)
+
+
 def positioned(matches: Column, segs: Column) -> Column:
     """Attach 0-based start offset and 1-based line number to each match.
 
@@ -112,16 +144,11 @@ def positioned(matches: Column, segs: Column) -> Column:
     0..i-1; the line number counts newlines the same way.  Both inputs must be
     plain column references (computed in an earlier projection).
     """
-    def rec(m: Column, i: Column) -> Column:
-        seg_prefix = F.slice(segs, F.lit(1), i + 1)
-        match_prefix = F.slice(matches, F.lit(1), i)
-        start = (F.aggregate(seg_prefix, F.lit(0), lambda a, s: a + s["l"])
-                 + F.aggregate(match_prefix, F.lit(0), lambda a, x: a + F.length(x)))
-        line = (F.lit(1) + F.aggregate(seg_prefix, F.lit(0), lambda a, s: a + s["n"])
-                + F.aggregate(match_prefix, F.lit(0), lambda a, x: a + newlines(x)))
-        return F.struct(m.alias("text"), i.alias("i"), start.alias("start"), line.alias("line"))
-
-    return F.transform(matches, rec)
+    spans = F.zip_with(matches, F.slice(segs, F.lit(1), F.size(matches)), lambda m, s: F.struct(
+        m.alias("text"), s["l"].alias("l"), s["n"].alias("n"),
+        (s["l"] + F.length(m)).alias("chars"), (s["n"] + newlines(m)).alias("lines")))
+    return let(spans, lambda items: F.zip_with(items, _prefix_sums(items, ("chars", "lines")), lambda x, p: F.struct(
+        x["text"].alias("text"), (p["chars"] + x["l"]).alias("start"), (F.lit(1) + p["lines"] + x["n"]).alias("line"))))
 
 
 def first_group(text: Column, lang: Column, table: dict[str, str], groups: int = 2) -> Column:

@@ -118,15 +118,15 @@ DOCSTRING_PATTERN = r'"""([\s\S]*?)"""|' + r"'''([\s\S]*?)'''"
 DOC_BLOCK_PATTERN = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|/\*\*[\s\S]*?\*/"
 
 CONTROL_KEYWORDS = ["if", "for", "while", "switch", "case", "try", "catch", "except", "elif", "else"]
-# Names a brace-language function pattern picks up from control statements.
+# Names that the function patterns of these languages pick up from control statements; elsewhere they are names.
 NOT_FUNCTION_NAMES = CONTROL_KEYWORDS + ["return", "new"]
+CONTROL_NAME_LANGUAGES = ["c", "cpp", "java"]
 
 IMPORT_CAP = 20
 COMMENT_CAP = 10
 VARIABLE_CAP = 15
 DOCSTRING_CAP = 5
 METHOD_CAP = 5
-METHOD_WINDOW = 1000
 BODY_PREVIEW_CHARS = 200
 PYTHON_BODY_LINES = 10
 BRACE_BODY_CHARS = 501
@@ -159,6 +159,12 @@ RECOMMENDATIONS = [
 
 NO_ANSWER_TEXT = "I couldn't find relevant information to answer your question in the codebase."
 ANSWER_HEADER = "Based on the codebase analysis, here are the most relevant findings for your question:\n\n"
+ANSWER_PROMPT_TEMPLATE = (
+    "\nYou are a helpful code documentation assistant. Answer the user's question based on the provided context "
+    "from the codebase analysis.\n\nPROJECT CONTEXT:\n{project_context}\n\nRELEVANT CONTEXT:\n{context}\n\n"
+    "USER QUESTION: {question}\n\nPlease provide a clear, helpful answer based on the context. If the context doesn't "
+    "contain enough information, say so clearly. Focus on being accurate and cite which sources you're referencing.\n"
+)
 NO_API_TEXT = "No public API functions or classes found for documentation."
 
 # Python's str.strip()/str.isspace() whitespace, as one class for both dialects.
@@ -318,11 +324,11 @@ class LanguageRules:
         """Add or replace a language; patterns are validated before use."""
         for s in suffixes:
             self.suffixes[s] = language
-        for table, pattern in ((self.functions, function), (self.classes, klass),
-                               (self.imports, imports), (self.comments, comment),
-                               (self.variables, variable), (self.methods, method)):
+        for table, pattern, named in ((self.functions, function, True), (self.classes, klass, True),
+                                      (self.imports, imports, False), (self.comments, comment, False),
+                                      (self.variables, variable, True), (self.methods, method, True)):
             if pattern is not None:
-                validate_pattern(pattern)
+                validate_pattern(pattern, named)
                 table[language] = pattern
         return self
 
@@ -333,14 +339,21 @@ class LanguageRules:
 _FORBIDDEN = re.compile(r"\(\?<?[=!]|\\[1-9]")
 
 
-def validate_pattern(pattern: str) -> None:
-    """Reject constructs that one of the two regex dialects lacks."""
+def validate_pattern(pattern: str, named: bool = False) -> None:
+    """Reject what one of the two regex dialects lacks, what doesn't compile, what matches empty text (positions
+    are sums over matches and the text between them), and a ``named`` pattern without a group for the name."""
     if _FORBIDDEN.search(pattern):
         raise ValueError(f"look-around and back-references are not portable: {pattern!r}")
     if re.search(r"(?<!\\)\{(?!\d)", pattern):
         raise ValueError(f"escape literal '{{' as '\\{{': {pattern!r}")
-    if "" == pattern:
-        raise ValueError("empty pattern")
+    try:
+        compiled = re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"not a pattern: {pattern!r}: {e}") from e
+    if any(m.end() == m.start() for m in compiled.finditer("a (b) {c} 1 = 'd'; // e\n# f\n")) or compiled.match(""):
+        raise ValueError(f"matches empty text: {pattern!r}")
+    if named and not 1 <= compiled.groups <= 2:
+        raise ValueError(f"one or two groups must hold the name: {pattern!r}")
 
 
 DEFAULT_RULES = LanguageRules()

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.rules import (
-    BODY_PREVIEW_CHARS, BRACE_BODY_CHARS, COMMENT_CAP, CONTROL_KEYWORDS, DEFAULT_RULES,
-    DOC_BLOCK_PATTERN, DOCSTRING_CAP, DOCSTRING_PATTERN, IMPORT_CAP, METHOD_CAP, METHOD_WINDOW,
-    NOT_FUNCTION_NAMES, PYTHON_BODY_LINES, TEST_CONTENT_WORDS, UNICODE_WORD, VARIABLE_CAP,
-    LanguageRules,
+    BODY_PREVIEW_CHARS, BRACE_BODY_CHARS, COMMENT_CAP, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
+    DOC_BLOCK_PATTERN, DOCSTRING_CAP, DOCSTRING_PATTERN, IMPORT_CAP, METHOD_CAP, NOT_FUNCTION_NAMES,
+    PYTHON_BODY_LINES, TEST_CONTENT_WORDS, UNICODE_WORD, VARIABLE_CAP, LanguageRules,
 )
 
 KEYWORD_PATTERN = ("(?<!" + UNICODE_WORD + ")(?:" + "|".join(CONTROL_KEYWORDS) + ")(?!" + UNICODE_WORD + ")")
@@ -111,7 +110,7 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
             (r["line"] + X.newlines(r["text"])).alias("end_line"),
             F.endswith(r["text"], F.lit("{")).alias("opens"))),
         lambda f: f["name"].isNotNull() & ~F.startswith(f["name"], F.lit("_"))
-        & ~f["name"].isin(*NOT_FUNCTION_NAMES))
+        & ~(lang.isin(*CONTROL_NAME_LANGUAGES) & f["name"].isin(*NOT_FUNCTION_NAMES)))
 
     # Function bodies in passes, each lambda reading only fields of its element.
     is_py = lang == "python"
@@ -140,43 +139,42 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
 
     method_table = {l: rules.method_pattern(l) for l in rules.classes if rules.method_pattern(l)}
 
-    def methods_of(end0: Column) -> Column:
-        window = content.substr(end0 + 1, F.lit(METHOD_WINDOW))
+    def methods_of(end0: Column, next_class: Column) -> Column:
+        window = content.substr(end0 + 1, F.coalesce(next_class["start"], F.length(content)) - end0)
         found = X.by_language(lang, method_table, lambda p: F.regexp_extract_all(window, F.lit(p), 0),
                               F.array().cast("array<string>"))
         names = F.transform(found, lambda m: X.first_group(m, lang, method_table))
-        names = F.filter(names, lambda n: n.isNotNull() & ~n.isin(*NOT_FUNCTION_NAMES))
-        return F.slice(names, 1, METHOD_CAP)
+        return F.filter(names, lambda n: n.isNotNull()
+                        & ~(lang.isin(*CONTROL_NAME_LANGUAGES) & n.isin(*NOT_FUNCTION_NAMES)))
 
     classes = F.transform(F.col("cls_p"), lambda r, i: F.struct(
         i.alias("ord"), X.first_group(r["text"], lang, rules.classes, 1).alias("name"),
         r["line"].alias("line"), X.py_strip(r["text"]).alias("signature"),
-        methods_of(r["start"] + F.length(r["text"])).alias("methods")))
+        methods_of(r["start"] + F.length(r["text"]), F.get(F.col("cls_p"), i + 1)).alias("methods")))
     classes = F.transform(classes, lambda c: F.struct(
         c["ord"].alias("ord"), c["name"].alias("name"), c["line"].alias("line"),
         c["signature"].alias("signature"), c["methods"].alias("methods"),
         F.size(c["methods"]).alias("method_count")))
 
-    imports = F.slice(F.filter(F.transform(F.col("imp_m"), X.py_strip),
-                               lambda s: F.length(s) > 0), 1, IMPORT_CAP)
+    imports = F.filter(F.transform(F.col("imp_m"), X.py_strip), lambda s: F.length(s) > 0)
     imports = F.transform(imports, lambda s, i: F.struct(i.alias("ord"), s.alias("stmt"),
                                                            import_module(s).alias("module")))
 
     comments = F.filter(F.transform(F.col("cmt_p"), lambda r: F.struct(
         X.py_strip(r["text"]).alias("text"), r["line"].alias("line"))), lambda c: F.length(c["text"]) > 3)
-    comments = F.transform(F.slice(comments, 1, COMMENT_CAP), lambda c, i: F.struct(
+    comments = F.transform(comments, lambda c, i: F.struct(
         i.alias("ord"), c["text"].alias("text"), c["line"].alias("line"),
         F.when(F.startswith(c["text"], F.lit("/*")), "multi").otherwise("single").alias("kind")))
 
     var_names = F.transform(F.col("var_m"), lambda m: X.first_group(m, lang, rules.variables))
-    variables = F.slice(F.sort_array(F.array_distinct(F.filter(
-        var_names, lambda n: n.isNotNull() & ~F.startswith(n, F.lit("_"))))), 1, VARIABLE_CAP)
+    variables = F.sort_array(F.array_distinct(F.filter(
+        var_names, lambda n: n.isNotNull() & ~F.startswith(n, F.lit("_")))))
 
     doc_tab = {"python": DOCSTRING_PATTERN}
     docs = F.filter(F.transform(F.col("doc_p"), lambda r: F.struct(
         X.py_strip(X.first_group(r["text"], lang, doc_tab)).alias("text"), r["line"].alias("line"))),
         lambda d: F.coalesce(F.length(d["text"]), F.lit(0)) > 10)
-    docstrings = F.transform(F.slice(docs, 1, DOCSTRING_CAP), lambda d, i: F.struct(
+    docstrings = F.transform(docs, lambda d, i: F.struct(
         i.alias("ord"), d["text"].alias("text"), d["line"].alias("line"), F.length(d["text"]).alias("length")))
 
     total_lines = F.size("lines")
@@ -205,6 +203,17 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
     ).withColumn("maintainability", maintainability_level(F.col("maintainability_score"))).drop("n_chars")
 
 
+def first_symbols(analyzed: DataFrame, imports: int = IMPORT_CAP, comments: int = COMMENT_CAP,
+                  variables: int = VARIABLE_CAP, docstrings: int = DOCSTRING_CAP, methods: int = METHOD_CAP) -> DataFrame:
+    """A view with only the first symbols of each kind per file (methods: per class), as the analysed tool lists them.
+
+    Counts stay those of the whole file; every other table is built on the whole lists.
+    """
+    limits = {"imports": imports, "comments": comments, "variables": variables, "docstrings": docstrings}
+    return analyzed.withColumns({c: F.slice(c, 1, k) for c, k in limits.items()} | {
+        "classes": F.transform("classes", lambda c: c.withField("methods", F.slice(c["methods"], 1, methods)))})
+
+
 def metrics_only(files: DataFrame) -> DataFrame:
     """C10–C12 without symbol extraction (cheaper for plain text corpora)."""
     content = F.col("content")

@@ -12,9 +12,9 @@ Plan shape:
   * document frequencies are one ``groupBy(term)`` with map-side combine;
   * the vocabulary is at most ``max_features`` rows (a hard bound), so it is
     broadcast;
-  * postings are normalised with one window over ``doc_id``;
-  * search joins query terms to postings on ``term``; the query side is
-    broadcast only after its size has been checked.
+  * postings are normalised with one window over ``doc_id`` and written once;
+  * search deals postings by document and sends the questions to them in
+    blocks of proven size, so no question-document pair is ever shuffled.
 """
 
 from __future__ import annotations
@@ -22,20 +22,20 @@ from __future__ import annotations
 import os
 
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import explode_rows, has_text
-from ..session import cut_lineage
+from ..functions.exprs import explode_rows, has_text, render
+from ..session import written
 from ..functions.stopwords import ENGLISH_STOP_WORDS
-from ..functions.rules import ANSWER_HEADER, NO_ANSWER_TEXT, UNICODE_WORD
+from ..functions.rules import ANSWER_HEADER, ANSWER_PROMPT_TEMPLATE, NO_ANSWER_TEXT, UNICODE_WORD
 from .rank import top_k
 
 TOKEN_PATTERN = UNICODE_WORD + "{2,}"
 MAX_FEATURES = 5000
 MAX_DF = 0.95
-BROADCAST_QUERY_ROWS = 2_000_000
+# Bytes of question vectors that go to every task at once; more questions are searched in more blocks.
+QUESTION_BLOCK_BYTES = 64 << 20
 
 
 def terms(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
@@ -166,44 +166,40 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``group`` the index is one knowledge base per group value.
     """
     keys = (group,) if group else ()
-    # Term counts feed both the document frequencies and the postings: they
-    # are written once to the shared checkpoint folder (so the corpus is
-    # tokenised once and a lost executor re-reads them) and keep their
-    # doc_id partitioning for the norm window.
-    tf = cut_lineage(term_counts(docs, id_col, text_col, stop_words, keys))
+    # Term counts feed both the document frequencies and the postings; both
+    # tables are written once to the shared folder, so the corpus is tokenised
+    # once and every search reads the postings as they are.
+    tf = written(term_counts(docs, id_col, text_col, stop_words, keys), "term-counts")
     if group is None:
         n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-        vocab = vocabulary(tf, n_docs, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
+        vocab = written(vocabulary(tf, n_docs, max_features, max_df), "vocabulary")
         # At most max_features rows, so broadcasting it is always safe.
         vocab_side = F.broadcast(vocab.select("term", "idf"))
     else:
         n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
-        vocab = group_vocabulary(tf, n_docs, group, max_features, max_df).persist(StorageLevel.MEMORY_AND_DISK)
+        vocab = written(group_vocabulary(tf, n_docs, group, max_features, max_df), "vocabulary")
         # max_features rows per group: grows with the groups, so joined by key.
         vocab_side = vocab.select(group, "term", "idf")
     w = tf.join(vocab_side, [*keys, "term"]).select(
         *keys, "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    weighted = w.select(*keys, "doc_id", "term", "w", norm.alias("norm"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "doc_id")))
+    weighted = written(w.select(*keys, "doc_id", "term", "w", norm.alias("norm")), "postings")
     postings = weighted.select(*keys, "doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-    norms = weighted.groupBy("doc_id").agg(F.max("norm").alias("norm"))
+    norms = weighted.groupBy(*keys, "doc_id").agg(F.max("norm").alias("norm"))
     return Index(vocab, postings, norms,
                  docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, group)
 
 
-def question_bounds(questions: DataFrame, text_col: str = "text",
-                    max_features: int = MAX_FEATURES) -> tuple[int, int]:
-    """(number of questions, upper bound on their query-vector rows).
+def question_blocks(questions: DataFrame, text_col: str = "text", block_bytes: int = QUESTION_BLOCK_BYTES) -> int:
+    """How many blocks the questions make so that the vectors of one stay within ``block_bytes``.
 
-    A question of ``L`` characters has at most ``L/3 + 1`` tokens of two or
-    more characters and as many bigrams, and never more terms than the
-    vocabulary; one aggregate over the question table proves both bounds
-    before any search runs.
+    A question's terms are its tokens and their bigrams: at most three times
+    its text in bytes, and 48 bytes a row besides for at most 2/3 of its
+    characters plus one; one aggregate over the questions proves the bound.
     """
-    L = F.coalesce(F.length(text_col), F.lit(0))
-    per_q = F.least(F.lit(max_features), F.floor(L * 2 / 3).cast("long") + 2)
-    r = questions.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_q), F.lit(0)).alias("rows")).first()
-    return int(r["n"]), int(r["rows"])
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    total = questions.select(F.coalesce(F.sum(size * 35 + 96), F.lit(0)).alias("b")).first()["b"]
+    return max(1, -(-int(total) // block_bytes))
 
 
 def query_vectors(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
@@ -219,54 +215,56 @@ def query_vectors(index: Index, questions: DataFrame, id_col: str = "qid", text_
     vocab = index.vocab.select(*keys, "term", "idf")
     w = tf.join(vocab if keys else F.broadcast(vocab), [*keys, "term"]).select(
         *keys, "qid", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "qid")))
     return w.select(*keys, "qid", "term", (F.col("w") / norm).alias("qw"))
 
 
 def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float = 0.1,
            id_col: str = "qid", text_col: str = "text", stop_words: tuple[str, ...] | None = None,
-           broadcast_rows: int = BROADCAST_QUERY_ROWS, bounds: tuple[int, int] | None = None) -> DataFrame:
+           block_bytes: int = QUESTION_BLOCK_BYTES) -> DataFrame:
     """H5: per question the ``k`` best documents by cosine, then ``score > min_similarity``.
 
-    Ranking uses the score rounded to 9 places with ``doc_id`` as tie-break,
-    so the order is total and stable across summation orders.  The query
-    side is broadcast when its proven row bound is small; otherwise both
-    sides shuffle on ``term`` (AQE splits hot terms).
+    Scores, order and threshold use the score rounded to 9 places with
+    ``doc_id`` as tie-break, so results don't depend on summation order.
+
+    Postings are dealt by document, and a block of questions of proven size
+    goes to every task: a document's scores are summed where its postings are,
+    and only scores over the threshold (at most ``k`` a question and task) are
+    shuffled, never the question-document pairs.
     """
-    qv = query_vectors(index, questions, id_col, text_col, stop_words)
-    _, bound = bounds or question_bounds(questions, text_col)
-    if bound <= broadcast_rows:
-        qv = F.broadcast(qv)
     keys = index.keys
-    scores = (index.postings.join(qv, [*keys, "term"])
-              .groupBy(*keys, "qid", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
-    if min_similarity is not None and min_similarity > 0:
-        # Exact pruning before the per-question sort: a score at or below
-        # min_similarity - 1e-9 rounds (9 places) strictly below every score
-        # above min_similarity, so it can only rank after all of them and
-        # never changes which qualifying hits make the top k or their ranks.
-        scores = scores.where(F.col("score") > min_similarity - 1e-9)
-    ranked = top_k(scores, ["qid"], [F.round("score", 9).desc(), F.col("doc_id")], k, rank_col="rank")
-    return ranked.where(F.col("score") > min_similarity).select(*keys, "qid", "doc_id", "rank", "score")
+    qv = query_vectors(index, questions, id_col, text_col, stop_words)
+    blocks = question_blocks(questions, text_col, block_bytes)
+    postings = index.postings.repartition(*[F.col(c) for c in (*keys, "doc_id")])
+    found = None
+    for block in range(blocks):
+        part = qv if blocks == 1 else qv.where(F.pmod(F.xxhash64(*keys, "qid"), F.lit(blocks)) == block)
+        scores = (postings.join(F.broadcast(part), [*keys, "term"])
+                  .groupBy(*keys, "doc_id", "qid").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")))
+        if min_similarity is not None:
+            # a score that isn't over the threshold ranks after all that are
+            scores = scores.where(F.col("score") > min_similarity)
+        found = scores if found is None else found.unionByName(scores)
+    ranked = top_k(found, [*keys, "qid"], [F.desc("score"), F.col("doc_id")], k, rank_col="rank")
+    return ranked.select(*keys, "qid", "doc_id", "rank", "score")
 
 
 def _band(score: Column, hi: float, mid: float) -> Column:
     return F.when(score > hi, "high").when(score > mid, "medium").otherwise("low")
 
 
-def _top_sources(index: Index, hits: DataFrame, n_questions: int, n: int = 3,
-                 broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
-    """The top ``n`` hits with their document text and metadata.
-
-    There are at most ``n`` hits per question, so when ``n`` times the
-    number of questions is small the hits are broadcast and the document
-    table is only scanned (never shuffled) to attach the texts.
-    """
-    meta = index.docs.select("doc_id", "source", "type", "text")
+def _top_sources(index: Index, hits: DataFrame, n: int = 3) -> DataFrame:
+    """The top ``n`` hits with their document text and metadata (hits are few; Spark picks the join by their size)."""
+    keys = index.keys
+    meta = index.docs.select(*keys, "doc_id", "source", "type", "text")
     top = hits.where(F.col("rank") <= n)
-    if n_questions * n <= broadcast_rows:
-        top = F.broadcast(top)
-    return meta.join(top, "doc_id").select("qid", "rank", "doc_id", "score", "source", "type", "text")
+    return meta.join(top, [*keys, "doc_id"]).select(*keys, "qid", "rank", "doc_id", "score", "source", "type", "text")
+
+
+def _joined(part: Column, separator: str) -> Column:
+    """Parts of a group in rank order (three at most)."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", part.alias("p"))))
+    return F.array_join(F.transform(ordered, lambda s: s["p"]), separator)
 
 
 def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text", **kw) -> DataFrame:
@@ -275,21 +273,19 @@ def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: s
     Questions without a hit get the fixed "not found" answer.  Each answer
     gathers at most three previews, so the per-question group is bounded.
     """
-    bounds = question_bounds(questions, text_col)
-    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
-    top = _top_sources(index, hits, bounds[0])
+    keys = index.keys
+    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
     preview = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))) \
                .otherwise(F.col("text"))
     part = F.concat(F.lit("**From "), F.col("source"), F.lit("**: "), preview)
-    per_q = top.groupBy("qid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))),
-                                 lambda s: s["p"]), "\n\n").alias("body"),
+    per_q = _top_sources(index, hits).groupBy(*keys, "qid").agg(
+        _joined(part, "\n\n").alias("body"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"),
         F.count(F.lit(1)).alias("n_sources"))
-    qs = questions.select(F.col(id_col).alias("qid")).distinct()
-    out = qs.join(per_q, "qid", "left")
+    qs = questions.select(*keys, F.col(id_col).alias("qid")).distinct()
+    out = qs.join(per_q, [*keys, "qid"], "left")
     return out.select(
-        "qid",
+        *keys, "qid",
         F.when(F.col("body").isNull(), F.lit(NO_ANSWER_TEXT))
          .otherwise(F.concat(F.lit(ANSWER_HEADER), F.col("body"))).alias("answer"),
         F.when(F.col("top_score").isNull(), F.lit("low")).otherwise(_band(F.col("top_score"), 0.4, 0.25))
@@ -300,23 +296,37 @@ def answers(index: Index, questions: DataFrame, id_col: str = "qid", text_col: s
 def answer_sources(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
                    **kw) -> DataFrame:
     """H6 sources: ``(qid, rank, doc_id, source, type, confidence)`` for the top 3."""
-    bounds = question_bounds(questions, text_col)
-    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
-    return _top_sources(index, hits, bounds[0]).select("qid", "rank", "doc_id", "source", "type",
+    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
+    return _top_sources(index, hits).select(*index.keys, "qid", "rank", "doc_id", "source", "type",
                                             F.col("score").alias("confidence"))
 
 
 def answer_context(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text",
-                   project_context: str = "", **kw) -> DataFrame:
-    """H7: the context block handed to a language model, and its confidence."""
-    bounds = question_bounds(questions, text_col)
-    hits = search(index, questions, id_col=id_col, text_col=text_col, bounds=bounds, **kw)
-    top = _top_sources(index, hits, bounds[0])
+                   project_context: str | DataFrame = "", **kw) -> DataFrame:
+    """H7: the context block handed to a language model, and its confidence.
+
+    ``project_context`` is one text, or for a grouped index a table of the group column and ``context``.
+    """
+    keys = index.keys
+    hits = search(index, questions, id_col=id_col, text_col=text_col, **kw)
     part = F.concat(F.lit("Source: "), F.col("source"), F.lit(" ("), F.col("type"), F.lit(")\n"),
                     F.substring("text", 1, 800), F.lit("..."))
-    per_q = top.groupBy("qid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))),
-                                 lambda s: s["p"]), "\n\n---\n\n").alias("context"),
+    per_q = _top_sources(index, hits).groupBy(*keys, "qid").agg(
+        _joined(part, "\n\n---\n\n").alias("context"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
-    return per_q.select("qid", F.lit(project_context).alias("project_context"), "context",
-                        _band(F.col("top_score"), 0.5, 0.3).alias("confidence"))
+    if isinstance(project_context, DataFrame):
+        about = project_context.select(*keys, F.col("context").alias("project_context"))
+        per_q = per_q.join(about, keys, "left").withColumn("project_context", F.coalesce("project_context", F.lit("")))
+    else:
+        per_q = per_q.withColumn("project_context", F.lit(project_context))
+    return per_q.select(*keys, "qid", "project_context", "context", _band(F.col("top_score"), 0.5, 0.3).alias("confidence"))
+
+
+def answer_prompts(index: Index, questions: DataFrame, id_col: str = "qid", text_col: str = "text", **kw) -> DataFrame:
+    """H7: the whole prompt of each question with a hit: project context, passages and the question itself."""
+    keys = index.keys
+    context = answer_context(index, questions, id_col, text_col, **kw)
+    asked = questions.select(*keys, F.col(id_col).alias("qid"), F.col(text_col).alias("question"))
+    return context.join(asked, [*keys, "qid"]).select(*keys, "qid", render(ANSWER_PROMPT_TEMPLATE, {
+        "project_context": F.col("project_context"), "context": F.col("context"), "question": F.col("question")}).alias("prompt"),
+        "confidence")

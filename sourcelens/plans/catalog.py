@@ -19,7 +19,7 @@ from ..operators import extract as E
 from ..operators import rank as RK
 from ..operators import retrieval as RT
 from ..operators import stats as S
-from ..session import cut_lineage
+from ..session import written
 from ..sources import corpus as SRC
 from ..sources import snapshot as SNAP
 from ..sources.corpus import corpus_from_table, documents_corpus, language_of, spread
@@ -43,18 +43,32 @@ _SHARED: dict[tuple, object] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """One instance per (session, corpus, name): the reports of a session share
-    the same planned (and, where persisted, materialised) inputs."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 — remote session
-        app = spark.conf.get("spark.app.name", "")
-    key = (app, id(spark), sf_dir.rstrip("/"), name)
+    """One instance per (session, state of the input files, name): reports of one
+    session share written tables, and rewritten inputs are read anew."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), name)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files (a listing, no read)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def listed(path) -> list:
+        out = []
+        for s in fs.listStatus(path):
+            out += listed(s.getPath()) if s.isDirectory() else [(s.getPath().toString(), s.getLen(), s.getModificationTime())]
+        return out
+    return tuple(sorted(listed(root)))
+
+
+def forget() -> None:
+    """Drops what the session's reports share; the next report builds it again."""
+    _SHARED.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -67,12 +81,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-file analysis of the code corpus, computed once per session.
 
-    Every report reads it, so it is checkpointed into the shared checkpoint
-    folder: the regex pass runs once, a lost executor re-reads the written
-    blocks instead of re-running it, and plans built on it start from a
-    small leaf instead of the large extraction expression tree.
+    Every report reads it, so it is written to the shared folder: the regex
+    pass runs once, a lost executor's part is read again instead of re-run,
+    and each report scans only its own columns.
     """
-    return shared(spark, sf_dir, "analyzed", lambda: cut_lineage(E.analyze(corpus(spark, sf_dir))))
+    return shared(spark, sf_dir, "analyzed", lambda: written(E.analyze(corpus(spark, sf_dir)), "analysis"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +172,31 @@ def q_comments(spark, sf):
     return E.comments(analyzed(spark, sf))
 
 
+@register("first_imports", O.with_ctes("SELECT repo, path, language, ord, stmt FROM imp_t WHERE ord < 20", ["imp_t"]))
+def q_first_imports(spark, sf):
+    """The view with the analysed tool's limit of 20 per file."""
+    return E.imports(E.first_symbols(analyzed(spark, sf))).drop("module")
+
+
+@register("first_comments", O.with_ctes("SELECT repo, path, ord, text FROM cmt_t WHERE ord < 10", ["cmt_t"]))
+def q_first_comments(spark, sf):
+    return E.comments(E.first_symbols(analyzed(spark, sf))).select("repo", "path", "ord", "text")
+
+
+@register("first_variables", O.with_ctes("""
+SELECT repo, path, name FROM var_t QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY name) <= 15""", ["var_t"]))
+def q_first_variables(spark, sf):
+    return E.variables(E.first_symbols(analyzed(spark, sf))).select("repo", "path", "name")
+
+
+@register("first_methods", O.with_ctes("""
+SELECT repo, path, class_ord, CAST(ord AS INTEGER) AS ord, name FROM
+ (SELECT repo, path, ord AS class_ord, unnest(methods[1:5]) AS name, unnest(range(least(len(methods), 5))) AS ord
+  FROM cls_t WHERE len(methods) > 0)""", ["cls_t"]))
+def q_first_methods(spark, sf):
+    return E.methods(E.first_symbols(analyzed(spark, sf)))
+
+
 @register("variables", O.with_ctes("SELECT repo, path, language, name FROM var_t", ["var_t"]))
 def q_variables(spark, sf):
     return E.variables(analyzed(spark, sf))
@@ -398,7 +436,7 @@ def bench_questions(spark, sf):
 
 def conv_questions(spark, sf):
     c = table(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text")
+    return c.select((F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("qid"), "text")
 
 
 @register("ngrams", O.with_ctes("""
@@ -426,7 +464,7 @@ def q_search(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@register("answers", O.answers_sql("cq", "SELECT conv_id * 10 + turn AS qid FROM conversations WHERE role = 'user'"))
+@register("answers", O.answers_sql("cq", "SELECT concat_ws(':', conv_id, turn) AS qid FROM conversations WHERE role = 'user'"))
 def q_answers(spark, sf):
     return RT.answers(doc_index(spark, sf), conv_questions(spark, sf))
 
@@ -443,6 +481,11 @@ def q_answer_context(spark, sf):
     return RT.answer_context(doc_index(spark, sf), bench_questions(spark, sf))
 
 
+@register("answer_prompts", O.prompts_sql("bq", "SELECT item_id AS qid, text AS question FROM benchmark"))
+def q_answer_prompts(spark, sf):
+    return RT.answer_prompts(doc_index(spark, sf), bench_questions(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # Documentation tables (D15–D18) and knowledge base (F1)
 # ---------------------------------------------------------------------------
@@ -476,7 +519,7 @@ def q_file_prompts(spark, sf):
 def knowledge_base(spark, sf) -> DataFrame:
     """The code corpus's knowledge base, written once per session (it feeds
     both the kb_docs report and the per-repository index)."""
-    return shared(spark, sf, "kb_docs", lambda: cut_lineage(DOC.kb_docs(analyzed(spark, sf))))
+    return shared(spark, sf, "kb_docs", lambda: written(DOC.kb_docs(analyzed(spark, sf)), "kb-docs"))
 
 
 @register("kb_docs", O.with_ctes("SELECT doc_id, repo, type, source, category, language, text FROM kb_docs",

@@ -13,15 +13,15 @@ import re
 
 from ..functions.exprs import render_sql, sql_str, NON_WS
 from ..functions.rules import (
-    ANSWER_HEADER, API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE, BODY_PREVIEW_CHARS,
-    BRACE_BODY_CHARS, COMMENT_CAP, CONFIG_PATH_WORDS, CONTROL_KEYWORDS, DEFAULT_RULES, DOCSTRING_CAP,
+    ANSWER_HEADER, ANSWER_PROMPT_TEMPLATE, API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE, BODY_PREVIEW_CHARS,
+    BRACE_BODY_CHARS, CONFIG_PATH_WORDS, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
     DOCSTRING_PATTERN, DOC_BLOCK_PATTERN, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, FILE_DOC_TEMPLATE,
-    FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, IMPORTANT_PATH_WORDS, IMPORT_CAP,
-    LAYERED_INDICATORS, METHOD_CAP, METHOD_WINDOW, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
+    FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, IMPORTANT_PATH_WORDS,
+    LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
     MVC_INDICATORS, NOT_FUNCTION_NAMES, NO_ANSWER_TEXT, NO_API_TEXT, NO_CLASSES_LINE, NO_DESCRIPTION,
     NO_FUNCTIONS_LINE, NO_PATTERNS_LINE, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
     PYTHON_BODY_LINES, PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
-    TEST_CONTENT_WORDS, TEST_PATH_WORDS, VARIABLE_CAP,
+    TEST_CONTENT_WORDS, TEST_PATH_WORDS,
 )
 from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
 from ..functions.stopwords import ENGLISH_STOP_WORDS
@@ -128,11 +128,12 @@ _positioned("cmt", R.comments)
 _positioned("doc", {"python": DOCSTRING_PATTERN})
 
 _kw = ", ".join(sql_str(k) for k in NOT_FUNCTION_NAMES)
+_cl = ", ".join(sql_str(k) for k in CONTROL_NAME_LANGUAGES)
 cte("fn_named", f"""SELECT *, coalesce(nullif(g1, ''), nullif(g2, '')) AS name FROM fn_pos""", ["fn_pos"])
 cte("fn_t", f"""SELECT repo, path, language, content, name, line, {strip('m')} AS signature,
   start + length(m) AS end0, line + {nl('m')} AS end_line, suffix(m, '{{') AS opens,
   CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord
-  FROM fn_named WHERE name IS NOT NULL AND NOT starts_with(name, '_') AND name NOT IN ({_kw})""",
+  FROM fn_named WHERE name IS NOT NULL AND NOT starts_with(name, '_') AND NOT (language IN ({_cl}) AND name IN ({_kw}))""",
     ["fn_named"])
 
 # Function bodies: Python by indentation, other languages by brace depth.
@@ -168,15 +169,16 @@ _m2 = case_lang(_mt, lambda p: (f"regexp_extract_all(w, {sql_str(p)}, 2)" if _gr
 cte("cls_t", f"""SELECT repo, path, language, CAST(i AS INTEGER) AS ord, g1 AS name, line,
   {strip('m')} AS signature,
   list_filter(list_transform(range(1, len(m1) + 1), lambda j: coalesce(nullif(m1[j], ''), nullif(m2[j], ''))),
-              lambda n: n IS NOT NULL AND n NOT IN ({_kw}))[1:{METHOD_CAP}] AS methods
+              lambda n: n IS NOT NULL AND NOT (language IN ({_cl}) AND n IN ({_kw}))) AS methods
   FROM (SELECT *, {_m1} AS m1, {_m2} AS m2
-        FROM (SELECT *, substr(content, start + length(m) + 1, {METHOD_WINDOW}) AS w FROM cls_pos))""",
+        FROM (SELECT *, substr(content, start + length(m) + 1, coalesce(
+                lead(start) OVER (PARTITION BY repo, path ORDER BY i), length(content)) - start - length(m)) AS w FROM cls_pos))""",
     ["cls_pos"])
 
-# Imports: stripped, non-empty, first 20.
+# Imports: stripped, non-empty.
 _imp = case_lang(R.imports, lambda p: f"regexp_extract_all(content, {sql_str(p)}, 0)", "CAST([] AS VARCHAR[])")
 cte("imp_arr", f"""SELECT repo, path, language,
-  list_filter(list_transform({_imp}, lambda s: {strip('s')}), lambda s: length(s) > 0)[1:{IMPORT_CAP}] AS stmts
+  list_filter(list_transform({_imp}, lambda s: {strip('s')}), lambda s: length(s) > 0) AS stmts
   FROM files""", ["files"])
 
 
@@ -197,14 +199,13 @@ cte("imp_t", f"""SELECT repo, path, language, CAST(ord AS INTEGER) AS ord, stmt,
   FROM (SELECT repo, path, language, unnest(stmts) AS stmt, unnest(range(len(stmts))) AS ord
         FROM imp_arr WHERE len(stmts) > 0)""", ["imp_arr"])
 
-# Comments: stripped text longer than 3, first 10.
+# Comments: stripped text longer than 3.
 cte("cmt_t", f"""SELECT repo, path, language, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord,
   text, line, CASE WHEN starts_with(text, '/*') THEN 'multi' ELSE 'single' END AS kind
   FROM (SELECT repo, path, language, i, line, {strip('m')} AS text FROM cmt_pos)
-  WHERE length(text) > 3
-  QUALIFY ord < {COMMENT_CAP}""", ["cmt_pos"])
+  WHERE length(text) > 3""", ["cmt_pos"])
 
-# Variables: distinct, not '_'-prefixed, sorted, first 15.
+# Variables: distinct, not '_'-prefixed, sorted.
 _v1 = case_lang(R.variables, lambda p: f"regexp_extract_all(content, {sql_str(p)}, 1)", "CAST([] AS VARCHAR[])")
 _v2 = case_lang(R.variables, lambda p: (f"regexp_extract_all(content, {sql_str(p)}, 2)" if _groups(p) >= 2
                                         else f"regexp_extract_all(content, {sql_str(p)}, 1)"), "CAST([] AS VARCHAR[])")
@@ -212,15 +213,14 @@ cte("var_t", f"""SELECT repo, path, language, unnest(names) AS name FROM (
   SELECT repo, path, language,
     list_sort(list_distinct(list_filter(
       list_transform(range(1, len(v1) + 1), lambda j: coalesce(nullif(v1[j], ''), nullif(v2[j], ''))),
-      lambda n: n IS NOT NULL AND NOT starts_with(n, '_'))))[1:{VARIABLE_CAP}] AS names
+      lambda n: n IS NOT NULL AND NOT starts_with(n, '_')))) AS names
   FROM (SELECT *, {_v1} AS v1, {_v2} AS v2 FROM files))""", ["files"])
 
 # Docstrings (Python).
 cte("doc_t", f"""SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord,
   text, line, CAST(length(text) AS INTEGER) AS length
   FROM (SELECT repo, path, i, line, {strip("coalesce(nullif(g1, ''), nullif(g2, ''))")} AS text FROM doc_pos)
-  WHERE coalesce(length(text), 0) > 10
-  QUALIFY ord < {DOCSTRING_CAP}""", ["doc_pos"])
+  WHERE coalesce(length(text), 0) > 10""", ["doc_pos"])
 
 # Metrics (C10–C12).
 _tokens = "regexp_extract_all(content, '[\\p{L}\\p{N}_]+')"
@@ -379,14 +379,14 @@ def _search_ctes(name: str, src_sql: str, k: int = 5, min_sim: float = 0.1) -> N
         [f"{name}_w"])
     cte(f"{name}_hits", f"""SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, score FROM
       (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
-       FROM (SELECT qid, doc_id, sum(qw * weight) AS score FROM {name}_v JOIN postings USING (term) GROUP BY ALL))
+       FROM (SELECT qid, doc_id, round(sum(qw * weight), 9) AS score FROM {name}_v JOIN postings USING (term) GROUP BY ALL))
       WHERE rank <= {k} AND score > {min_sim}""", [f"{name}_v", "postings"])
     cte(f"{name}_top3", f"""SELECT h.qid, h.rank, h.doc_id, h.score, kb.source, kb.type, kb.text
       FROM {name}_hits h JOIN kb USING (doc_id) WHERE h.rank <= 3""", [f"{name}_hits", "kb"])
 
 
 _search_ctes("bq", f"SELECT item_id AS id, text FROM benchmark WHERE {has_text('text')}")
-_search_ctes("cq", f"""SELECT conv_id * 10 + turn AS id, text FROM conversations
+_search_ctes("cq", f"""SELECT concat_ws(':', conv_id, turn) AS id, text FROM conversations
   WHERE role = 'user' AND {has_text('text')}""")
 
 
@@ -415,6 +415,20 @@ SELECT qid, '' AS project_context, string_agg({part}, {sep} ORDER BY rank) AS co
        WHEN max(CASE WHEN rank = 1 THEN score END) > 0.3 THEN 'medium' ELSE 'low' END AS confidence
 FROM {name}_top3 GROUP BY qid""", [f"{name}_top3"])
 
+
+
+def prompts_sql(name: str, questions_sql: str) -> str:
+    """The whole prompt of each question that has a source; the context is built from the ranked sources."""
+    part = "concat('Source: ', source, ' (', type, ')', chr(10), substr(text, 1, 800), '...')"
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    prompt = render_sql(ANSWER_PROMPT_TEMPLATE, {"project_context": "''", "context": "c.context", "question": "q.question"})
+    return with_ctes(f"""
+SELECT qid, {prompt} AS prompt,
+  CASE WHEN c.top > 0.5 THEN 'high' WHEN c.top > 0.3 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT qid, string_agg({part}, {sep} ORDER BY rank) AS context, max(CASE WHEN rank = 1 THEN score END) AS top
+      FROM {name}_top3 GROUP BY qid) c JOIN ({questions_sql}) q USING (qid)""", [f"{name}_top3"])
+
+
 # ---------------------------------------------------------------------------
 # Documentation tables and knowledge base
 # ---------------------------------------------------------------------------
@@ -535,15 +549,15 @@ cte("kb_vocab", f"""SELECT g, term, df, total, ln((1 + n) / (1 + df)) + 1 AS idf
   WHERE r <= {MAX_FEATURES}""", ["kbt_tf", "kb_docs"])
 cte("kb_w", "SELECT g, id AS doc_id, term, tf * idf AS w FROM kbt_tf JOIN kb_vocab USING (g, term)",
     ["kbt_tf", "kb_vocab"])
-cte("kb_post", """SELECT g, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM kb_w""",
+cte("kb_post", """SELECT g, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc_id)) AS weight FROM kb_w""",
     ["kb_w"])
 _group_terms_ctes("kbq", f"""SELECT repo AS g, concat_ws(':', repo, kind, CAST(ord AS VARCHAR)) AS id,
   concat('What does the ', kind, ' ', name, ' do?') AS text FROM api WHERE kind <> 'none'""", ["api"])
-cte("kbq_v", """SELECT g, qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS qw FROM
+cte("kbq_v", """SELECT g, qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, qid)) AS qw FROM
   (SELECT g, id AS qid, term, tf * idf AS w FROM kbq_tf JOIN kb_vocab USING (g, term))""", ["kbq_tf", "kb_vocab"])
 cte("kb_hits", """SELECT g AS repo, qid, doc_id, CAST(rank AS INTEGER) AS rank, score FROM
-  (SELECT g, qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
-   FROM (SELECT g, qid, doc_id, sum(qw * weight) AS score FROM kbq_v JOIN kb_post USING (g, term) GROUP BY ALL))
+  (SELECT g, qid, doc_id, score, row_number() OVER (PARTITION BY g, qid ORDER BY round(score, 9) DESC, doc_id) AS rank
+   FROM (SELECT g, qid, doc_id, round(sum(qw * weight), 9) AS score FROM kbq_v JOIN kb_post USING (g, term) GROUP BY ALL))
   WHERE rank <= 5 AND score > 0.1""", ["kbq_v", "kb_post"])
 
 
@@ -662,5 +676,4 @@ _positioned("pydoc", {"python": DOCSTRING_PATTERN}, src="doc_py_files")
 cte("pydoc_t", f"""SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord,
   text, line, CAST(length(text) AS INTEGER) AS length
   FROM (SELECT repo, path, i, line, {strip("coalesce(nullif(g1, ''), nullif(g2, ''))")} AS text FROM pydoc_pos)
-  WHERE coalesce(length(text), 0) > 10
-  QUALIFY ord < {DOCSTRING_CAP}""", ["pydoc_pos"])
+  WHERE coalesce(length(text), 0) > 10""", ["pydoc_pos"])

@@ -106,25 +106,13 @@ def suffix_glob(rules: LanguageRules = DEFAULT_RULES) -> str:
 
 def files_from_binary(raw: DataFrame, roots: list[str], *, repo_depth: int | None = None,
                       repo: str | None = None, rules: LanguageRules = DEFAULT_RULES,
-                      max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """binaryFile rows (batch or stream) → ``files``: size filter, relative
-    path, repository, language, decoded text."""
-    raw = raw.where(F.col("length") <= max_bytes)
-    root_expr = None
-    for r in roots:
-        prefix = ("file:" + r.rstrip("/") + "/") if r.startswith("/") else r.rstrip("/") + "/"
-        cond = F.startswith(F.col("path"), F.lit(prefix))
-        rel = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
-        root_expr = (F.when(cond, rel) if root_expr is None else root_expr.when(cond, rel))
-    rel_path = root_expr.otherwise(F.col("path"))
-    if repo is not None:
-        repo_c = F.lit(repo)
-    elif repo_depth:
-        parts = F.split(rel_path, "/")
-        repo_c = F.array_join(F.slice(parts, 1, repo_depth), "/")
-        rel_path = F.array_join(F.slice(parts, repo_depth + 1, 1 << 20), "/")
-    else:
-        repo_c = F.lit(roots[0].rstrip("/").split("/")[-1])
+                      max_bytes: int | None = None) -> DataFrame:
+    """binaryFile rows (batch or stream) → ``files``: relative path,
+    repository, language, decoded text; with ``max_bytes`` only files of that
+    size (the others are in ``skipped_files``)."""
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
+    repo_c, rel_path = _placed(raw, roots, repo_depth, repo)
     files = raw.select(
         repo_c.alias("repo"), rel_path.alias("path"), F.col("path").alias("full_path"),
         language_of(rel_path, rules).alias("language"), normalize_text(F.col("content")).alias("content"))
@@ -135,23 +123,77 @@ def files_from_binary(raw: DataFrame, roots: list[str], *, repo_depth: int | Non
         (newlines(F.col("content")) + 1).cast("bigint").alias("lines"))
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root as the file listing names it: scheme, authority and absolute path, without a slash at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.makeQualified(path).toString().rstrip("/")
+
+
+def _placed(raw: DataFrame, roots: list[str], repo_depth: int | None, repo: str | None) -> tuple[Column, Column]:
+    """Repository and relative path of each file under the root it was found in (the deepest that holds it).
+
+    A file that lies under no root fails the job rather than get a wrong label.
+    """
+    spark = raw.sparkSession
+    rel_path = own = None
+    for root in sorted({qualified(spark, r) for r in roots}, key=len, reverse=True):
+        under = F.startswith(F.col("path"), F.lit(root + "/"))
+        rest = F.substring(F.col("path"), len(root) + 2, 1 << 30)
+        name = F.lit(root.rsplit("/", 1)[-1])
+        rel_path = F.when(under, rest) if rel_path is None else rel_path.when(under, rest)
+        own = F.when(under, name) if own is None else own.when(under, name)
+    lost = F.raise_error(F.concat(F.lit("file under none of the roots: "), F.col("path"))).cast("string")
+    rel_path, own = rel_path.otherwise(lost), own.otherwise(lost)
+    if repo is not None:
+        return F.lit(repo), rel_path
+    if repo_depth:
+        parts = F.split(rel_path, "/")
+        return F.array_join(F.slice(parts, 1, repo_depth), "/"), F.array_join(F.slice(parts, repo_depth + 1, 1 << 20), "/")
+    return own, rel_path
+
+
+def _raw_files(spark: SparkSession, roots: list[str], rules: LanguageRules) -> DataFrame:
+    return (spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", suffix_glob(rules))
+            .option("ignoreCorruptFiles", "true")
+            .load(roots))
+
+
 def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int | None = None,
-                rules: LanguageRules = DEFAULT_RULES, max_bytes: int = MAX_FILE_BYTES,
+                rules: LanguageRules = DEFAULT_RULES, max_bytes: int | None = None,
                 repo: str | None = None) -> DataFrame:
     """A1: recursive scan of source trees into ``files``.
 
-    The suffix glob prunes at listing time and the size predicate is pushed
-    into the binaryFile source, so oversized files are never read.  ``repo``
-    is either given, or the first ``repo_depth`` directories under the root,
-    or the root's own name.
+    The suffix glob prunes at listing time.  All files are read by default;
+    with ``max_bytes`` the size predicate is pushed into the binaryFile
+    source, and ``skipped_files`` lists what was left out.  ``repo`` is either
+    given, or the first ``repo_depth`` directories under the root, or the name
+    of the root that the file lies in.
+    """
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    return files_from_binary(_raw_files(spark, roots, rules), roots, repo_depth=repo_depth, repo=repo, rules=rules,
+                             max_bytes=max_bytes)
+
+
+def skipped_from_binary(raw: DataFrame, roots: list[str], *, repo_depth: int | None = None, repo: str | None = None,
+                        max_bytes: int | None = None) -> DataFrame:
+    """B2: ``repo, path, full_path, size_bytes, skip_reason`` of the files that ``files_from_binary`` leaves out.
+
+    Sizes come from the listing; no content is read for files that are too large.
     """
+    repo_c, rel_path = _placed(raw, roots, repo_depth, repo)
+    out = raw.select(repo_c.alias("repo"), rel_path.alias("path"), F.col("path").alias("full_path"),
+                     F.col("length").alias("size_bytes"), F.lit("too_large").alias("skip_reason"))
+    return out.where(F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes)
+
+
+def skipped_files(spark: SparkSession, roots: str | list[str], *, repo_depth: int | None = None,
+                  rules: LanguageRules = DEFAULT_RULES, max_bytes: int | None = None, repo: str | None = None) -> DataFrame:
+    """B2 of a scan with the same arguments."""
     roots = [roots] if isinstance(roots, str) else list(roots)
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", suffix_glob(rules))
-           .option("ignoreCorruptFiles", "true")
-           .load(roots))
-    return files_from_binary(raw, roots, repo_depth=repo_depth, repo=repo, rules=rules, max_bytes=max_bytes)
+    return skipped_from_binary(_raw_files(spark, roots, rules), roots, repo_depth=repo_depth, repo=repo, max_bytes=max_bytes)
 
 
 def quarantine(df: DataFrame, *, size_col: str = "size_bytes", max_bytes: int = MAX_FILE_BYTES,

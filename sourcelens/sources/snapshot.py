@@ -28,13 +28,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def changed_files(new: DataFrame, old: DataFrame) -> DataFrame:
     """``(repo, path, change)`` for files added, modified or deleted in ``new``."""
-    n = new.select("repo", "path", F.sha2(F.col("content"), 256).alias("h_new"))
+    there = F.lit(True)
+    n = new.select("repo", "path", F.sha2(F.col("content"), 256).alias("h_new"), there.alias("in_new"))
     o = (old.select("repo", "path", "content_sha") if "content_sha" in old.columns
          else old.select("repo", "path", F.sha2(F.col("content"), 256).alias("content_sha")))
-    j = n.join(o.withColumnRenamed("content_sha", "h_old"), ["repo", "path"], "full_outer")
-    change = (F.when(F.col("h_old").isNull(), "added")
-              .when(F.col("h_new").isNull(), "deleted")
-              .when(F.col("h_new") != F.col("h_old"), "modified"))
+    o = o.select("repo", "path", F.col("content_sha").alias("h_old"), there.alias("in_old"))
+    j = n.join(o, ["repo", "path"], "full_outer")
+    # a null hash means unreadable content, not a missing file
+    change = (F.when(F.col("in_old").isNull(), "added")
+              .when(F.col("in_new").isNull(), "deleted")
+              .when(~F.col("h_new").eqNullSafe(F.col("h_old")), "modified"))
     return j.select("repo", "path", change.alias("change")).where(F.col("change").isNotNull())
 
 

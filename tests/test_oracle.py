@@ -42,26 +42,26 @@ def duck():
 
 
 def _names():
-    import __spark_entry__ as entry
-    return sorted(entry.oracle_sql())
+    from sourcelens.plans import catalog
+    return sorted(catalog.ORACLE)
 
 
 def test_every_query_has_an_oracle():
-    import __spark_entry__ as entry
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from sourcelens.plans import catalog
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 @pytest.mark.parametrize("name", _names())
 def test_matches_oracle(spark, duck, name):
-    import __spark_entry__ as entry
-    df = entry.queries()[name](spark, SF_SMALL)
+    from sourcelens.plans import catalog
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
-    rel = duck.execute(entry.oracle_sql()[name])
+    rel = duck.execute(catalog.ORACLE[name])
     ocols = [d[0] for d in rel.description]
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
     spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
-    duck_types = {r[0]: r[1] for r in duck.execute("DESCRIBE " + entry.oracle_sql()[name]).fetchall()}
+    duck_types = {r[0]: r[1] for r in duck.execute("DESCRIBE " + catalog.ORACLE[name]).fetchall()}
     assert spark_types == duck_types

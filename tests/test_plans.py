@@ -39,10 +39,22 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in p
 
 
-def test_vocab_is_broadcast(spark):
+def test_search_shuffles_no_pairs(spark):
+    """The questions are broadcast, scores summed where the postings are dealt; after that only what ranks is shuffled."""
     from sourcelens.plans.catalog import QUERIES
-    p = QUERIES["doc_norms"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    p = QUERIES["search"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in p
+    shuffles = [x for x in p.split("\n") if "Exchange hashpartitioning" in x]
+    assert not [x for x in shuffles if "doc_id" in x and "qid" in x]
+    assert p.index("WindowGroupLimit") < p.index("Exchange hashpartitioning(doc_id")
+
+
+def test_reports_scan_only_their_columns(spark):
+    from sourcelens.plans.catalog import QUERIES
+    p = _plan(QUERIES["repo_summary"](spark, SF_SMALL))
+    assert "Scan parquet" in p and "ExistingRDD" not in p
+    read = p[p.index("ReadSchema: "):].split("\n")[0]
+    assert "body_preview" not in read and "comments" not in read and "stmt" not in read
 
 
 def test_internal_deps_has_no_nested_loop(spark):

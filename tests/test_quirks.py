@@ -1,5 +1,6 @@
 """One test per documented fix of the analysed tool's quirks."""
 
+from sourcelens.operators import extract as E
 from sourcelens.functions.rules import LanguageRules, validate_pattern
 
 import pytest
@@ -47,10 +48,11 @@ def test_multi_group_methods(analyze_rows):  # Q8
     assert cls["methods"] == ["make", "helper"]
 
 
-def test_variables_sorted_before_cap(analyze_rows):  # Q12
+def test_variables_are_whole_and_sorted(spark, files_of):  # Q12
     src = "\n".join(f"v{i:02d} = {i}" for i in range(30, 0, -1))
-    r = analyze_rows([("a.py", "python", src)])["a.py"]
-    assert r["variables"] == [f"v{i:02d}" for i in range(1, 16)]
+    whole = E.analyze(files_of([("a.py", "python", src)]))
+    assert whole.first()["variables"] == [f"v{i:02d}" for i in range(1, 31)]
+    assert E.first_symbols(whole).first()["variables"] == [f"v{i:02d}" for i in range(1, 16)]
 
 
 def test_ssh_url_name(spark):  # Q21
