@@ -199,6 +199,28 @@ FILE_INDEX_TEMPLATE = (
 )
 FILE_INDEX_ENTRY = "- [{path}](files/{safe_name}.md)\n"
 
+API_PAGE_TEMPLATE = (
+    "# API Documentation\n\n{text}\n\n---\n\n"
+    "*This API documentation was generated automatically from code analysis.*\n*Last updated: {generated_on}*\n"
+)
+SETUP_PAGE_TEMPLATE = (
+    "# Setup Guide\n\n{text}\n\n## Additional Notes\n\n"
+    "- Make sure all prerequisites are installed before proceeding\n- Check the main README for project overview\n"
+    "- See API documentation for usage details\n\n---\n\n"
+    "*This setup guide was generated automatically from project analysis.*\n*Last updated: {generated_on}*\n"
+)
+ARCHITECTURE_PAGE_TEMPLATE = (
+    "# Architecture Overview\n\n{text}\n\n## Additional Analysis\n\n"
+    "This document provides insights into the project's structure, patterns, and design decisions based on automated "
+    "code analysis.\n\n---\n\n*This architecture documentation was generated automatically.*\n"
+    "*Last updated: {generated_on}*\n"
+)
+FILE_PAGE_TEMPLATE = (
+    "# {path}\n\n{text}\n\n---\n\n*File documentation generated automatically from code analysis.*\n"
+    "*Last updated: {generated_on}*\n\n[← Back to File Index](../FILES.md)\n"
+)
+SETUP_TEXT_TEMPLATE = "Languages: {languages}\nDependencies: {dependencies}\nEntry points: {entry_points}"
+
 FILE_PROMPT_TEMPLATE = (
     "\nGenerate comprehensive documentation for this code file:\n\n"
     "**FILE**: {path}\n**LANGUAGE**: {language}\n\n"

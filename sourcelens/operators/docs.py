@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import explode_rows, py_strip, render
 from ..functions.rules import (
+    API_PAGE_TEMPLATE, ARCHITECTURE_PAGE_TEMPLATE, FILE_PAGE_TEMPLATE, SETUP_PAGE_TEMPLATE, SETUP_TEXT_TEMPLATE,
     API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PREVIEW_CHARS, API_PROMPT_TEMPLATE, NO_DESCRIPTION,
     OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP, README_DESCRIPTION, README_OVERVIEW_CHARS, README_TEMPLATE,
     SETUP_PROMPT_TEMPLATE, TREE_BRANCH, TREE_FILES_CAP, TREE_LAST, TREE_PIPE, TREE_SPACE,
@@ -183,7 +184,7 @@ def api_text(analyzed: DataFrame) -> DataFrame:
 
 
 def kb_docs(analyzed: DataFrame, k: int = 5) -> DataFrame:
-    """the knowledge base — overview and API block per repository, one
+    """the knowledge base — overview, API block and setup facts per repository, one
     digest per parsed file, and the documentation page of each important
     file — with typed metadata and a deterministic string ``doc_id``."""
     def shape(df: DataFrame, type_: str, source: Column, category: str, language: Column) -> DataFrame:
@@ -197,8 +198,9 @@ def kb_docs(analyzed: DataFrame, k: int = 5) -> DataFrame:
     api = shape(api_text(analyzed), "api", F.lit("api_documentation"), "documentation", null_s)
     digests = shape(file_digest(analyzed).withColumnRenamed("digest", "text"), "file_analysis", F.col("path"),
                     "code", F.col("language"))
+    setup = shape(setup_text(analyzed), "setup", F.lit("setup_guide"), "documentation", null_s)
     docs = shape(file_docs(analyzed, k), "file_documentation", F.col("path"), "documentation", null_s)
-    return overview.unionByName(api).unionByName(digests).unionByName(docs)
+    return overview.unionByName(api).unionByName(setup).unionByName(digests).unionByName(docs)
 
 
 def api_prompts(analyzed: DataFrame) -> DataFrame:
@@ -238,13 +240,8 @@ def _py_list(items: Column) -> Column:
                                               ", "), F.lit("]"))
 
 
-def repo_prompts(analyzed: DataFrame) -> DataFrame:
-    """Overview and setup prompts per repository.
-
-    Entry points are listed sorted by path, at most 20, followed by
-    ``(+N more)`` when there are more; every other list is bounded already
-    (languages, four patterns, ten dependencies, five rules).
-    """
+def _repo_lists(analyzed: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Repository facts with their language, entry-point and dependency lists, and the rendered last two."""
     facts = S.repo_facts(analyzed)
     langs = S.language_counts(analyzed).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct("first_path", "language", "files"))).alias("l"))
@@ -256,16 +253,51 @@ def repo_prompts(analyzed: DataFrame) -> DataFrame:
     eps = top_k(S.entry_points(analyzed), ["repo"], [F.col("path")], PROMPT_ENTRY_POINTS_CAP)
     eps = eps.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("ep"))
     deps = DEP.external_deps(analyzed).groupBy("repo").agg(F.array_sort(F.collect_list("dependency")).alias("dp"))
-    recs = S.recommendations(facts).groupBy("repo").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rule", "recommendation"))),
-        lambda s: F.concat(F.lit("- "), s["recommendation"])), "\n").alias("recs"))
-    j = (facts.join(langs, "repo", "left").join(eps, "repo", "left").join(deps, "repo", "left")
-         .join(recs, "repo", "left"))
+    j = facts.join(langs, "repo", "left").join(eps, "repo", "left").join(deps, "repo", "left")
     ep_text = F.concat(_py_list(F.coalesce("ep", F.array().cast("array<string>"))),
                        F.when(F.col("entry_points") > PROMPT_ENTRY_POINTS_CAP, F.concat(
                            F.lit(" (+"), (F.col("entry_points") - PROMPT_ENTRY_POINTS_CAP).cast("string"),
                            F.lit(" more)"))).otherwise(F.lit("")))
-    dep_list = F.coalesce("dp", F.array().cast("array<string>"))
+    return j, ep_text, F.coalesce("dp", F.array().cast("array<string>"))
+
+
+def setup_text(analyzed: DataFrame) -> DataFrame:
+    """Per repository what a setup guide needs: languages, known dependencies, entry points."""
+    j, ep_text, dep_list = _repo_lists(analyzed)
+    return j.select("repo", render(SETUP_TEXT_TEMPLATE, {
+        "languages": F.coalesce("lang_list", F.lit("[]")), "dependencies": _py_list(dep_list),
+        "entry_points": ep_text}).alias("text"))
+
+
+def doc_suite(analyzed: DataFrame, k: int = 5, generated_on: str = DEFAULT_GENERATED_ON) -> DataFrame:
+    """Every page of each repository's documentation, by its path: README, the API, setup and architecture
+    pages, the file index and one page for each of the ``k`` most important files."""
+    def page(texts: DataFrame, doc_path: Column, template: str, **fields: Column) -> DataFrame:
+        return texts.select("repo", doc_path.alias("doc_path"), render(template, {
+            "text": F.col("text"), "generated_on": F.lit(generated_on), **fields}).alias("text"))
+
+    files = file_docs(analyzed, k)
+    return (repo_readme(analyzed, generated_on)
+            .unionByName(page(api_text(analyzed), F.lit("docs/API.md"), API_PAGE_TEMPLATE))
+            .unionByName(page(setup_text(analyzed), F.lit("docs/SETUP.md"), SETUP_PAGE_TEMPLATE))
+            .unionByName(page(overview_text(analyzed), F.lit("docs/ARCHITECTURE.md"), ARCHITECTURE_PAGE_TEMPLATE))
+            .unionByName(doc_index(analyzed, k, generated_on))
+            .unionByName(page(files, F.col("doc_path"), FILE_PAGE_TEMPLATE, path=F.col("path"))))
+
+
+def repo_prompts(analyzed: DataFrame) -> DataFrame:
+    """Overview and setup prompts per repository.
+
+    Entry points are listed sorted by path, at most 20, followed by
+    ``(+N more)`` when there are more; every other list is bounded already
+    (languages, four patterns, ten dependencies, five rules).
+    """
+    j, ep_text, dep_list = _repo_lists(analyzed)
+    facts = S.repo_facts(analyzed)
+    recs = S.recommendations(facts).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rule", "recommendation"))),
+        lambda s: F.concat(F.lit("- "), s["recommendation"])), "\n").alias("recs"))
+    j = j.join(recs, "repo", "left")
     patterns = F.concat(F.lit("{'mvc': "), _py_bool(F.col("mvc")), F.lit(", 'layered': "), _py_bool(F.col("layered")),
                         F.lit(", 'microservices': "), _py_bool(F.col("microservices")),
                         F.lit(", 'monolithic': "), _py_bool(F.col("monolithic")), F.lit("}"))

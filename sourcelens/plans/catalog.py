@@ -621,3 +621,69 @@ def documented_functions(spark, sf) -> DataFrame:
 def q_doc_docstrings(spark, sf):
     """C9 over whole real texts (up to ~128K characters each)."""
     return E.docstrings(E.analyze(documented_functions(spark, sf)))
+
+
+@register("doc_suite", O.with_ctes("SELECT repo, doc_path, text FROM doc_suite", ["doc_suite"]))
+def q_doc_suite(spark, sf):
+    return DOC.doc_suite(analyzed(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Rules of all twelve languages, unreadable files, refresh, uncapped edges, index tables
+# ---------------------------------------------------------------------------
+
+
+@register("language_symbols", O.snippet_symbols_sql())
+def q_language_symbols(spark, sf):
+    """C1/C3 on one snippet per language, dealt over the rows of ``part``."""
+    text = F.array(*[F.lit(s[1]) for s in O.SNIPPETS])
+    lang = F.array(*[F.lit(s[0]) for s in O.SNIPPETS])
+    at = (F.col("p_partkey") % len(O.SNIPPETS)).cast("int")
+    files = table(spark, sf, "part").select(
+        F.lit("parts").alias("repo"), F.col("p_partkey").cast("string").alias("path"),
+        F.get(lang, at).alias("language"), F.get(text, at).alias("content"))
+    done = E.analyze(corpus_from_table(files))
+    shape = lambda view, kind: view.select("path", "language", F.lit(kind).alias("kind"), "ord", "name", "line")
+    return shape(E.functions(done), "function").unionByName(shape(E.classes(done), "class"))
+
+
+def partly_unreadable(files: DataFrame, folder: str) -> DataFrame:
+    return files.withColumn("content", F.when(~F.startswith("path", F.lit(folder)), F.col("content")))
+
+
+@register("valid_files", O.with_ctes("SELECT repo, path FROM files WHERE NOT starts_with(path, 'api/')", ["files"]))
+def q_valid_files(spark, sf):
+    """B3 on a corpus whose api files can't be read."""
+    return SRC.valid(E.analyze(partly_unreadable(corpus(spark, sf), "api/"))).select("repo", "path")
+
+
+@register("refresh", O.with_ctes(f"""
+SELECT repo, path, CASE WHEN starts_with(path, 'web/') THEN NULL ELSE CAST(length(content) AS BIGINT) END AS size
+FROM ({_NEXT_CORPUS_SQL})""", ["files"]))
+def q_refresh(spark, sf):
+    """The later corpus, with folders that can't be read before or after, from the earlier results."""
+    sizes = lambda files: files.select("repo", "path", F.length("content").cast("bigint").alias("size"))
+    old = partly_unreadable(corpus(spark, sf), "core/")
+    new = partly_unreadable(next_corpus(corpus(spark, sf)), "web/")
+    return SNAP.refresh(new, sizes(old), old, sizes)
+
+
+@register("internal_dep_edges", O.with_ctes("SELECT repo, path, ord, module FROM dep_edges", ["dep_edges"]))
+def q_internal_dep_edges(spark, sf):
+    return DEP.internal_dep_edges(analyzed(spark, sf)).select("repo", "path", "ord", "module")
+
+
+@register("postings", O.with_ctes("SELECT doc_id, term, round(weight, 6) AS weight FROM postings", ["postings"]))
+def q_postings(spark, sf):
+    return doc_index(spark, sf).postings.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("ngram_terms", O.with_ctes("""
+SELECT id AS doc_id, count(*) AS terms, md5(string_agg(concat(term, '=', tf), chr(10) ORDER BY term)) AS terms_md5
+FROM d_tf GROUP BY id""", ["d_tf"]))
+def q_ngram_terms(spark, sf):
+    """H1: every term of a document with its count, as one digest."""
+    each = F.concat("term", F.lit("="), F.col("tf").cast("string"))
+    ordered = F.array_sort(F.collect_list(F.struct("term", each.alias("e"))))
+    return RT.term_counts(documents(spark, sf)).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.md5(F.array_join(F.transform(ordered, lambda s: s["e"]), "\n").cast("binary")).alias("terms_md5"))

@@ -13,6 +13,7 @@ import re
 
 from ..functions.exprs import render_sql, sql_str, NON_WS
 from ..functions.rules import (
+    API_PAGE_TEMPLATE, ARCHITECTURE_PAGE_TEMPLATE, FILE_PAGE_TEMPLATE, SETUP_PAGE_TEMPLATE, SETUP_TEXT_TEMPLATE,
     ANSWER_HEADER, ANSWER_PROMPT_TEMPLATE, API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE, BODY_PREVIEW_CHARS,
     BRACE_BODY_CHARS, CONFIG_PATH_WORDS, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
     DOCSTRING_PATTERN, DOC_BLOCK_PATTERN, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, FILE_DOC_TEMPLATE,
@@ -519,10 +520,12 @@ cte("kb_docs", f"""
                chr(10) ORDER BY CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 ELSE 2 END, ord)
     FROM api GROUP BY repo
   UNION ALL
+  SELECT concat_ws(':', repo, 'setup', 'setup_guide'), repo, 'setup', 'setup_guide', 'documentation', NULL, text FROM setup_text
+  UNION ALL
   SELECT concat_ws(':', repo, 'file_analysis', path), repo, 'file_analysis', path, 'code', language, digest FROM digest
   UNION ALL
   SELECT concat_ws(':', repo, 'file_documentation', path), repo, 'file_documentation', path, 'documentation', NULL, text
-    FROM file_docs""", ["report_wide", "api", "digest", "file_docs"])
+    FROM file_docs""", ["report_wide", "api", "setup_text", "digest", "file_docs"])
 
 # ---------------------------------------------------------------------------
 # Per-repository knowledge-base search (grouped TF-IDF)
@@ -606,15 +609,7 @@ _ep_text = (f"concat('[', coalesce(e.d, ''), ']', CASE WHEN f.entry_points > {PR
 _patterns_dict = ("concat('{''mvc'': ', " + _pybool("f.mvc") + ", ', ''layered'': ', " + _pybool("f.layered")
                   + ", ', ''microservices'': ', " + _pybool("f.microservices") + ", ', ''monolithic'': ', "
                   + _pybool("f.monolithic") + ", '}')")
-cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
-    "name": "f.repo", "description": sql_str(NO_DESCRIPTION), "total_files": "f.total_files",
-    "languages": "coalesce(l.dct, '{}')", "functions": "f.total_functions", "classes": "f.total_classes",
-    "n_dependencies": "coalesce(dp.n, 0)", "patterns": _patterns_dict, "entry_points": _ep_text,
-    "coverage": "f.coverage_level", "recommendations": "coalesce(r.d, '')"})} AS overview_prompt,
-  {render_sql(SETUP_PROMPT_TEMPLATE, {"languages": "coalesce(l.lst, '[]')",
-                                      "dependencies": "concat('[', coalesce(dp.d, ''), ']')",
-                                      "entry_points": _ep_text})} AS setup_prompt
-  FROM facts f
+_setup_joins = f"""  FROM facts f
   LEFT JOIN (SELECT repo,
        concat('{{', string_agg(concat('''', language, ''': ', files), ', ' ORDER BY first_path, language, files), '}}') AS dct,
        concat('[', string_agg(concat('''', language, ''''), ', ' ORDER BY first_path, language, files), ']') AS lst
@@ -624,7 +619,19 @@ cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
      GROUP BY repo) e USING (repo)
   LEFT JOIN (SELECT repo, count(*) AS n, string_agg(concat('''', dependency, ''''), ', ' ORDER BY dependency) AS d FROM
      (SELECT * FROM (SELECT DISTINCT repo, lower(module) AS dependency FROM imp_t WHERE regexp_matches(lower(module), {sql_str(KNOWN_LIBS)}))
-     QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dependency) <= 10) GROUP BY repo) dp USING (repo)
+     QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dependency) <= 10) GROUP BY repo) dp USING (repo)"""
+cte("setup_text", f"""SELECT f.repo, {render_sql(SETUP_TEXT_TEMPLATE, {
+    "languages": "coalesce(l.lst, '[]')", "dependencies": "concat('[', coalesce(dp.d, ''), ']')",
+    "entry_points": _ep_text})} AS text {_setup_joins}""", ["facts", "lang_counts", "an", "imp_t"])
+cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
+    "name": "f.repo", "description": sql_str(NO_DESCRIPTION), "total_files": "f.total_files",
+    "languages": "coalesce(l.dct, '{}')", "functions": "f.total_functions", "classes": "f.total_classes",
+    "n_dependencies": "coalesce(dp.n, 0)", "patterns": _patterns_dict, "entry_points": _ep_text,
+    "coverage": "f.coverage_level", "recommendations": "coalesce(r.d, '')"})} AS overview_prompt,
+  {render_sql(SETUP_PROMPT_TEMPLATE, {"languages": "coalesce(l.lst, '[]')",
+                                      "dependencies": "concat('[', coalesce(dp.d, ''), ']')",
+                                      "entry_points": _ep_text})} AS setup_prompt
+{_setup_joins}
   LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d FROM recs GROUP BY repo) r
      USING (repo)""", ["facts", "lang_counts", "an", "imp_t", "recs"])
 
@@ -677,3 +684,52 @@ cte("pydoc_t", f"""SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo,
   text, line, CAST(length(text) AS INTEGER) AS length
   FROM (SELECT repo, path, i, line, {strip("coalesce(nullif(g1, ''), nullif(g2, ''))")} AS text FROM pydoc_pos)
   WHERE coalesce(length(text), 0) > 10""", ["pydoc_pos"])
+
+
+# ---------------------------------------------------------------------------
+# The documentation suite: every page by its path
+# ---------------------------------------------------------------------------
+
+
+def _page(template: str, **fields: str) -> str:
+    return render_sql(template, {"text": "text", "generated_on": sql_str(DEFAULT_GENERATED_ON), **fields})
+
+
+cte("api_block", """SELECT repo, string_agg(CASE WHEN kind = 'none' THEN name ELSE concat('- ', kind, ' ', name, ': `', signature, '`') END,
+    chr(10) ORDER BY CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 ELSE 2 END, ord) AS text FROM api GROUP BY repo""", ["api"])
+cte("doc_suite", f"""SELECT repo, doc_path, text FROM readme
+  UNION ALL SELECT repo, 'docs/API.md', {_page(API_PAGE_TEMPLATE)} FROM api_block
+  UNION ALL SELECT repo, 'docs/SETUP.md', {_page(SETUP_PAGE_TEMPLATE)} FROM setup_text
+  UNION ALL SELECT repo, 'docs/ARCHITECTURE.md', {_page(ARCHITECTURE_PAGE_TEMPLATE)} FROM kb_docs WHERE type = 'overview'
+  UNION ALL SELECT repo, doc_path, text FROM doc_index
+  UNION ALL SELECT repo, doc_path, {_page(FILE_PAGE_TEMPLATE, path="path")} FROM file_docs""",
+    ["readme", "api_block", "setup_text", "kb_docs", "doc_index", "file_docs"])
+
+# Twelve languages: one snippet each, with the symbols a reader finds in it.
+SNIPPETS = [
+    ("python", "import os\ndef new(a):\n    return a\nclass Box:\n    def case(self):\n        pass\n", [("new", 2), ("case", 5)], [("Box", 4)]),
+    ("javascript", "function load(x) { return x; }\nconst run = (a) => a;\nclass Box {}\n", [("load", 1), ("run", 2)], [("Box", 3)]),
+    ("typescript", "function load(x) { return x; }\nclass Box {}\n", [("load", 1)], [("Box", 2)]),
+    ("java", "public class Box {\n  public int size(int a) {\n    if (a) {\n    }\n  }\n}\n", [("size", 2)], [("Box", 1)]),
+    ("cpp", "class Box {\n};\nint size(int a) {\n  while (a) {\n  }\n}\n", [("size", 3)], [("Box", 1)]),
+    ("c", "int size(int a) {\n  return a;\n}\n", [("size", 1)], []),
+    ("go", "type Box struct {\n}\nfunc new(a int) int {\n}\n", [("new", 3)], [("Box", 1)]),
+    ("rust", "struct Box {\n}\nfn new(a: i32) -> i32 {\n}\n", [("new", 3)], [("Box", 1)]),
+    ("php", "<?php\nclass Box {\n  public function load($a) {\n  }\n}\n", [("load", 3)], [("Box", 2)]),
+    ("ruby", "class Box\n  def try(a)\n  end\nend\n", [("try", 2)], [("Box", 1)]),
+    ("swift", "class Box {\n  func load(a: Int) {\n  }\n}\n", [("load", 2)], [("Box", 1)]),
+    ("kotlin", "class Box {\n  public fun catch(a: Int) {\n  }\n}\n", [("catch", 2)], [("Box", 1)]),
+]
+
+
+def _snippet_rows(place: int) -> str:
+    rows = [f"({i}, {k}, {sql_str(name)}, {line})" for i, s in enumerate(SNIPPETS) for k, (name, line) in enumerate(s[place])]
+    return ", ".join(rows)
+
+
+def snippet_symbols_sql() -> str:
+    """Hand-derived symbols of the snippet that each part carries."""
+    langs = ", ".join(f"({i}, {sql_str(s[0])})" for i, s in enumerate(SNIPPETS))
+    one = "SELECT CAST(p_partkey AS VARCHAR) AS path, language, '{kind}' AS kind, CAST(ord AS INTEGER) AS ord, name, CAST(line AS INTEGER) AS line FROM part JOIN (VALUES " + langs + \
+        ") l(i, language) ON p_partkey % 12 = l.i JOIN (VALUES {rows}) s(i, ord, name, line) ON s.i = l.i"
+    return one.format(kind="function", rows=_snippet_rows(2)) + " UNION ALL " + one.format(kind="class", rows=_snippet_rows(3))
