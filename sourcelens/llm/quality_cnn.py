@@ -39,7 +39,8 @@ HIDDEN = 16
 PAD = 256               # byte value of padding; its embedding stays zero
 SAMPLE_DOCS = 4_000
 SAMPLE_CHARS = 20_000
-EPOCHS = 5
+EPOCHS = 5              # passes over the sample, and more if they make fewer than
+LEAST_STEPS = 400       # batches
 BATCH = 32
 RATE = 0.004
 ACCEPT = 0.7
@@ -158,7 +159,7 @@ class Network:
         return g
 
 
-def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> Network:
+def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 1, least_steps: int = LEAST_STEPS) -> Network:
     """Adam over shuffled batches of whole texts, with a falling rate."""
     net = Network(seed)
     if len(set(labels)) < 2:
@@ -172,6 +173,7 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     rng, t = np.random.default_rng(seed), 0
+    epochs = max(epochs, -(-least_steps // -(-len(y) // BATCH)))
     steps = epochs * -(-len(y) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(y))

@@ -5,7 +5,7 @@ import public_tokenizers as P
 from sourcelens.llm import lang_id, near_dup, pii, quality_cnn
 from sourcelens.llm.common import written
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
