@@ -52,6 +52,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "summary_markdown": S.summary_markdown,
     "directory_tree_text": DOC.tree_text,
     "repo_readme": DOC.repo_readme,
+    "doc_suite": DOC.doc_suite,
     "kb_docs": DOC.kb_docs,
 }
 

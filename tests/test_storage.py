@@ -9,7 +9,7 @@ from sourcelens.operators import retrieval as RT
 from sourcelens.operators import stats as S
 from sourcelens.sources import snapshot as SNAP
 from sourcelens.sources.corpus import scan_corpus
-from sourcelens.streaming.incremental import ingest_stream, read_output
+from sourcelens.streaming.incremental import OUTPUTS, ingest_stream, read_output
 from tests.conftest import SF_SMALL
 
 
@@ -48,6 +48,12 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = S.file_counts(E.analyze(scan_corpus(spark, str(src), repo_depth=1)))
     assert streamed.count() == 4
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+    whole = E.analyze(scan_corpus(spark, str(src), repo_depth=1))
+    assert len(OUTPUTS) == 9
+    for name, view in OUTPUTS.items():
+        rows = sorted(map(str, read_output(spark, str(tmp_path / "out"), name).drop("batch").collect()))
+        assert rows == sorted(map(str, view(whole).collect())), name
+    assert read_output(spark, str(tmp_path / "out"), "skipped").count() == 0
     # A second run with no new files processes nothing new.
     q2 = ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), repo_depth=1)
     q2.awaitTermination(120)
