@@ -58,7 +58,7 @@ s AS (SELECT l.doc_id, t, CAST(len(ws) AS BIGINT) AS n_words,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-       OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * capitals > letters
+       OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * capitals > letters
        OR 2 * letters < word_chars) AS kept
 FROM s
 """

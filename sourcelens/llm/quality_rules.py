@@ -105,7 +105,7 @@ def further_rules() -> list[Rule]:
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return [Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
             Rule("symbols", 10 * c("n_symbols") > 3 * c("n_words")),
-            Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+            Rule("repeated_lines", 2 * c("n_dup_lines") > c("n_lines")),
             Rule("capitals", 2 * capitals > letters),
             Rule("letters", 2 * letters < c("word_chars"))]
 
