@@ -13,10 +13,10 @@ with one bit for each cell.
 
 Plan.  Equal word sequences are collapsed first, by a fingerprint and map-side
 minimum.  Rows that share a band key form a bucket; every member is compared
-with the bucket's smallest id, never all with all.  Those whose class isn't
-the leader's go on among themselves with a new leader, under keys that take in
-one more band every second round, until no bucket has two classes left.  So
-the pairs of a round are at most the members.  Links become classes by
+with the bucket's smallest and largest id, never all with all, so pairs are at
+most twice the members.  A bucket may hold several classes (documents that
+share a long passage), so its members also meet under keys of 2, 3, 4 and 6
+bands that follow each other, where ever fewer classes mix.  Links become classes by
 alternating large-star and small-star steps on id pairs, each step written to
 the shared folder.  Only documents in a bucket of two or more have their texts
 shuffled, once.  Joins on hot keys are split by Spark (they stand alone above
@@ -46,6 +46,7 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 2
 PICK = 2
+DEPTHS = (2, 3, 4, 6)    # bands that stand together in the further keys
 SEED = 20_240_611
 
 U = np.uint64
@@ -322,6 +323,14 @@ def components(links: DataFrame) -> DataFrame:
         spark.createDataFrame([], "id long, class long")
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """Members of the buckets of two or more, with their bucket's smallest and largest id as leaders."""
+    leader = lambda pick, by: F.struct(pick("rep").alias("rep"), by("n", "rep").alias("n"))
+    leaders = (keyed.groupBy("key").agg(F.array(leader(F.min, F.min_by), leader(F.max, F.max_by)).alias("leaders"), F.count(F.lit(1)).alias("c"))
+               .where("c > 1").drop("c"))
+    return keyed.join(leaders, "key").select("rep", "n", "band", "leaders")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest id of its class): one row for each document."""
     small_batches(docs.sparkSession)
@@ -329,33 +338,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float =
     sketch = written(sketch_documents(docs), "sketches")
     full = sketch.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
     reps = written(full.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
+    bands = reps.where(F.size("bands") > 0).select("rep", (F.col("n_words") - K + 1).alias("n"), "bands")
+    one = written(_met(bands.select("rep", "n", F.posexplode("bands").alias("band", "key"))), "buckets")
+    # the same with keys of several bands, for the members of a bucket whose leaders aren't like them
+    around = F.concat("bands", "bands")
+    keys = F.array(*[F.xxhash64(F.slice(around, F.col("band") + 1, F.lit(depth)), F.lit(depth)) for depth in DEPTHS])
+    deep = one.select("rep", "n", "band").join(bands.select("rep", "bands"), "rep").select("rep", "n", "band", F.explode(keys).alias("key"))
     # alignment needs at least as many k-mers in the shorter as similarity x those of the longer
-    keyed = reps.where(F.size("bands") > 0).select("rep", "n_words", "bands", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = written(keyed.join(shared, "key").select("key", "rep", (F.col("n_words") - K + 1).alias("n"), "band", "bands"), "members")
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    kmer = written(kmer_table(docs.join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "kmers")
-    classes, links, step = None, None, 0
-    while True:
-        leaders = members.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("ln"))
-        met = members.join(leaders, "key").where("rep <> leader")
-        pairs = written(met.where((F.least("n", "ln") >= similarity * F.greatest("n", "ln")))
-                        .select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-        new = verified(pairs, kmer, similarity)
-        links = written(new if links is None else links.union(new), "links")
-        classes = written(components(links), "classes")
-        # go on with the members whose class isn't their leader's
-        of = lambda side: classes.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))
-        left = (met.join(of("rep"), "rep", "left").join(of("leader"), "leader", "left")
-                .where(F.coalesce("rep_class", "rep") != F.coalesce("leader_class", "leader"))
-                .select("key", "rep", "n", "band", "bands"))
-        step += 1
-        if step % 2 == 0:
-            left = left.withColumn("key", F.xxhash64("key", F.get("bands", F.pmod(F.col("band") + step // 2, F.lit(BANDS)))))
-        members = written(left, "members")
-        members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key")
-        if members.isEmpty():
-            break
+    pairs = written(one.unionByName(_met(deep)).select("rep", "n", F.explode("leaders").alias("l"))
+                    .where((F.col("rep") != F.col("l.rep")) & (F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")))
+                    .select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    kmer = written(kmer_table(docs.join(needed.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "kmers")
+    classes = written(components(verified(pairs, kmer, similarity)), "classes")
     by_text = reps.join(classes, reps["rep"] == classes["id"], "left").select("f1", "f2", "n_words", F.coalesce("class", "rep").alias("class_id"))
     return (sketch.join(by_text, ["f1", "f2", "n_words"], "left")
             .select("doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
