@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, as ``--py-files`` would, once a session: their Python may not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="py-files-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent).as_posix())
+    sc.addPyFile(str(archive.resolve()))
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of one Arrow batch, so that a batch of long texts fits in a Python worker."""
+    """For operators that run Python: ships the package, and bounds the rows of one Arrow batch, so that a batch of
+    long texts fits in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
