@@ -2,11 +2,11 @@
 
 Vectors are turned by one random rotation and grouped into inverted lists
 around centroids that are fitted on a bounded sample.  A query scans the lists
-nearest to it.  Within a list, distances are summed column block by column
-block; after each block a hypothesis test compares the partial distance,
-scaled to all dimensions, with the query's current k-th distance, and abandons
-candidates that are too far with high probability.  What remains is scored in
-double precision on the original vectors.
+nearest to it.  Within them, distances are summed column block by column block;
+after each a hypothesis test compares the partial distance, scaled to all
+dimensions, with the query's current k-th distance, and abandons candidates
+that are too far with high probability.  What remains is scored in double
+precision on the original vectors.
 
 Largest inner product is searched as smallest distance: each candidate gets
 one more coordinate ``sqrt(M^2 - |x|^2)`` and each query a zero there, with M
@@ -14,10 +14,11 @@ the largest norm, so distances order as inner products do.
 
 Plan: equal vectors are collapsed first (they share one score, so only the
 ``k + 1`` smallest ids of each can ever be returned), which takes away hot
-vectors.  Lists are cut into blocks of ``BLOCK_ROWS`` rows and the queries of a
-list into blocks too, so a list of any size is many small tasks.  Each block
-returns at most k + 1 rows a query, and a top-k window (limited before its
-shuffle) merges them.  Only the centroids and one rotation go to every task:
+vectors.  Lists are dealt into blocks of ``BLOCK_ROWS`` rows (a long list into
+several, short ones together) and queries into blocks of ``BLOCK_QUERIES``; a
+query goes once to each block that holds a list it probes.  So a list of any
+size is many small tasks.  A block returns k + 1 rows a query (and ties), and a
+top-k window, limited before its shuffle, merges them.  Only the centroids and one rotation go to every task:
 ``LISTS`` x dimensions doubles at most.
 
 ``probes`` is fitted: the fewest lists with which a sample of queries finds
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, written
+from .common import hash_sample, small_batches, written
 
 K = 20
 LISTS = 512             # upper bound of the number of inverted lists
@@ -48,6 +49,7 @@ RECALL = 0.985          # recall that the probes reach on the sample
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 1_024
 COLUMNS = 16            # dimensions of a column block
+SCAN_ROWS = 512         # rows between two updates of the distance to beat
 EPSILON = 2.1           # strictness of the test: higher abandons less
 
 
@@ -112,36 +114,64 @@ class Index:
         return int(np.searchsorted(found, recall) + 1)
 
 
-def adaptive_scan(query: np.ndarray, block: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
-    """Positions in ``block`` (rotated vectors) that survive the scan for ``query``; holds its k nearest with
-    high probability.  The first k rows are measured whole and give the distance to beat."""
+def adaptive_scan(query: np.ndarray, block: np.ndarray, k: int, columns: int = COLUMNS,
+                  epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``block`` (rotated vectors) of the k nearest to ``query``, with all that tie, and their
+    distances; each true neighbour is among them with high probability.
+
+    The block is scanned some rows at a time, so that the distance to beat shrinks on the way.
+    """
     n, dims = block.shape
-    if n <= k:
-        return np.arange(n)
-    beat = np.partition(((block[:2 * k] - query) ** 2).sum(1), k - 1)[k - 1]
-    alive = np.arange(n)
-    partial = np.zeros(n)
-    for lo in range(0, dims, columns):
-        hi = min(lo + columns, dims)
-        diff = block[alive, lo:hi] - query[lo:hi]
-        partial += np.einsum("ij,ij->i", diff, diff)
-        if hi < dims:
-            # sqrt(D / d) * partial distance estimates the distance; reject beyond its error bound
-            keep = partial * (dims / hi) <= beat * (1 + epsilon / np.sqrt(hi)) ** 2
-        else:
-            keep = partial <= beat * (1 + 1e-9)
-        alive, partial = alive[keep], partial[keep]
-    return alive
+    best, found, beat = np.zeros(0), np.zeros(0, np.int64), np.inf
+    for start in range(0, n, SCAN_ROWS):
+        alive = np.arange(start, min(start + SCAN_ROWS, n))
+        partial = np.zeros(len(alive))
+        for lo in range(0, dims, columns):
+            hi = min(lo + columns, dims)
+            diff = block[alive, lo:hi] - query[lo:hi]
+            partial += np.einsum("ij,ij->i", diff, diff)
+            if beat < np.inf:
+                # sqrt(D / d) * partial distance estimates the distance: reject beyond its error bound
+                slack = (1 + epsilon / np.sqrt(hi)) ** 2 if hi < dims else 1 + 1e-9
+                keep = partial * (dims / hi) <= beat * slack
+                alive, partial = alive[keep], partial[keep]
+        best, found = np.concatenate([best, partial]), np.concatenate([found, alive])
+        if len(best) > k:
+            beat = np.partition(best, k - 1)[k - 1]
+            keep = best <= beat * (1 + 1e-9) + 1e-12
+            best, found = best[keep], found[keep]
+    return found, best
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _unpacked(column: pd.Series, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), dims)
+
+
+def deal_lists(sizes: dict[int, int], block_rows: int = BLOCK_ROWS) -> dict[int, tuple[int, int]]:
+    """For each list its first block and how many it has: long lists are cut, short neighbours share a block."""
+    out, block, room = {}, -1, 0
+    for k in sorted(sizes):
+        if sizes[k] > block_rows // 2:
+            n = -(-sizes[k] // block_rows)
+            out[k] = (block + 1, n)
+            block, room = block + n, 0
+        else:
+            if sizes[k] > room:
+                block, room = block + 1, block_rows
+            room -= sizes[k]
+            out[k] = (block, 1)
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding",
            lists: int = LISTS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest other rows among all vectors."""
     spark = vectors.sparkSession
+    small_batches(spark)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(
         F.col("vec_id").isNotNull() & sound(F.col("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -164,48 +194,66 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     wanted = base.where(F.coalesce(is_query, F.lit(False)))
     queries = written(wanted.join(distinct.select("v", "vid"), "v").select(F.col("vec_id").alias("query_id"), "vid", "v"), "queries")
 
-    def assign(probed: int, lifted: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f):
-                    continue
-                x = _matrix(f["v"])
-                x = (lift(x, largest) if lifted else flat(x)) @ turn
-                d = distances(x, centers)
-                near = d.argmin(1)[:, None] if probed == 1 else np.argpartition(d, probed - 1, axis=1)[:, :probed] if probed < len(centers) \
-                    else np.tile(np.arange(len(centers)), (len(f), 1))
-                rows = np.repeat(np.arange(len(f)), near.shape[1])
-                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "vid": f["vid"].to_numpy()[rows], "x": list(x[rows])})
-        return run
-
-    assigned = "list int, vid long, x array<double>"
-    placed = distinct.select("vid", "v").mapInPandas(assign(1, True), assigned)
-    placed = written(placed, "lists")
-    asked = queries.select("vid", "v").dropDuplicates(["vid"]).mapInPandas(assign(probes, False), assigned)
-    sizes = placed.groupBy("list").count().collect()        # at most LISTS rows
-    blocks = {r["list"]: -(-r["count"] // BLOCK_ROWS) for r in sizes}
-    n_queries = queries.select(F.count_distinct("vid").alias("n")).first()["n"]
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    n_blocks = F.element_at(F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair]), F.col("list")) if blocks else F.lit(1)
-
-    # every block of a list meets every block of the queries that probe it
-    left = placed.withColumn("b", F.pmod(F.xxhash64("vid"), n_blocks).cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.where(n_blocks.isNotNull()).withColumn("q", F.pmod(F.xxhash64("vid"), F.lit(q_blocks)).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dims = facts["dims"] + 1
+    n_lists = len(centers)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The list and the rotated vector of each candidate."""
+        for f in frames:
+            if len(f):
+                x = lift(_matrix(f["v"]), largest) @ turn
+                yield pd.DataFrame({"list": distances(x, centers).argmin(1).astype(np.int32), "vid": f["vid"].to_numpy(),
+                                    "x": [row.tobytes() for row in x]})
+
+    placed = written(distinct.select("vid", "v").mapInPandas(place, "list int, vid long, x binary"), "lists")
+    where = deal_lists({r["list"]: r["count"] for r in placed.groupBy("list").count().collect()})   # LISTS rows at most
+    asked = queries.select("vid", "v").dropDuplicates(["vid"])
+    q_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+
+    def probed(x: np.ndarray) -> np.ndarray:
+        d = distances(x, centers)
+        return np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query, rotated, once for every block that holds a list it probes."""
+        for f in frames:
+            if not len(f):
+                continue
+            x = flat(_matrix(f["v"])) @ turn
+            rows, blocks = [], []
+            for k, lists_of in enumerate(probed(x)):
+                mine = {where[l][0] + j for l in lists_of.tolist() if l in where for j in range(where[l][1])}
+                rows += [k] * len(mine)
+                blocks += sorted(mine)
+            raw = [row.tobytes() for row in x]
+            yield pd.DataFrame({"b": np.array(blocks, np.int32), "vid": f["vid"].to_numpy()[np.array(rows, np.int64)],
+                                "x": [raw[k] for k in rows]})
+
+    first, count = ([(where.get(k, (0, 1)))[i] for k in range(n_lists)] for i in (0, 1))
+    of_list = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("list") + 1)
+    # every block meets each block of the queries that probe it
+    left = (placed.withColumn("b", (of_list(first) + F.pmod(F.xxhash64("vid"), of_list(count))).cast("int"))
+            .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    right = asked.mapInPandas(ask, "b int, vid long, x binary").withColumn("q", F.pmod(F.xxhash64("vid"), F.lit(q_blocks)).cast("int"))
 
     def scan(candidates: pd.DataFrame, probing: pd.DataFrame) -> pd.DataFrame:
-        out_q, out_v = [], []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(candidates) and len(probing):
-            block, ids = _matrix(candidates["x"]), candidates["vid"].to_numpy()
-            for vid, q in zip(probing["vid"].to_numpy(), _matrix(probing["x"])):
-                found = adaptive_scan(q, block, k + 1)
-                out_q.append(np.full(len(found), vid))
-                out_v.append(ids[found])
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"qid": np.concatenate(out_q or none), "vid": np.concatenate(out_v or none)})
-
-    pairs = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInPandas(scan, "qid long, vid long")
+            candidates = candidates.sort_values("list")
+            block, ids, lists_of = _unpacked(candidates["x"], dims), candidates["vid"].to_numpy(), candidates["list"].to_numpy()
+            there, at = np.unique(lists_of, return_inverse=True)
+            asking = _unpacked(probing["x"], dims)
+            for vid, q, mine in zip(probing["vid"].to_numpy(), asking, probed(asking)):
+                chosen = np.isin(there, mine)
+                rows = np.arange(len(ids)) if chosen.all() else np.flatnonzero(chosen[at])
+                found, d = adaptive_scan(q, block if len(rows) == len(ids) else block[rows], k + 1)
+                out.append((np.full(len(found), vid), ids[rows[found]], d))
+        return pd.DataFrame(dict(zip(("qid", "vid", "d"), map(np.concatenate, zip(*out)))))
+
+    pairs = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(scan, "qid long, vid long, d double")
+    # twice as many as are asked for go on to the exact score, so rounding in the rotated space can't decide
+    nearest = Window.partitionBy("qid").orderBy("d", "vid")
+    pairs = written(pairs.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= 2 * (k + 1)).select("qid", "vid"), "pairs")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = (pairs.join(distinct.select("vid", "v", "ids"), "vid")
               .join(queries.select(F.col("vid").alias("qid"), F.col("v").alias("qv")).dropDuplicates(["qid"]), "qid")

@@ -79,13 +79,24 @@ def test_hot_vector_and_ties(spark):
 def test_adaptive_scan_keeps_the_nearest_and_abandons_most():
     r = np.random.default_rng(2)
     block = r.standard_normal((4000, 64))
-    hits, kept = 0, 0
+    hits = kept = 0
     for q in r.standard_normal((30, 64)):
         near = set(np.argsort(((block - q) ** 2).sum(1))[:10].tolist())
-        alive = ann.adaptive_scan(q, block, 10)
-        hits += len(near & set(alive.tolist()))
-        kept += len(alive)
-    assert hits >= 0.98 * 300 and kept < 30 * 2500
+        found, d = ann.adaptive_scan(q, block, 10)
+        hits += len(near & set(found.tolist()))
+        kept += len(found)
+        assert np.allclose(d, ((block[found] - q) ** 2).sum(1))
+    assert hits >= 0.98 * 300 and kept == 300
+
+
+def test_lists_are_dealt_into_even_blocks():
+    where = ann.deal_lists({0: 10, 1: 9000, 2: 4000, 3: 100, 4: 200, 7: 3900, 8: 1}, 4096)
+    blocks = {}
+    for k, n in {0: 10, 1: 9000, 2: 4000, 3: 100, 4: 200, 7: 3900, 8: 1}.items():
+        first, count = where[k]
+        for b in range(first, first + count):
+            blocks[b] = blocks.get(b, 0) + n / count
+    assert max(blocks.values()) <= 4096 and sorted(blocks) == list(range(len(blocks)))
 
 
 def test_odd_vectors(spark):
