@@ -12,15 +12,20 @@ subsequence inside the band of diagonals that this bound leaves, worked out
 with one bit for each cell.
 
 Plan.  Equal word sequences are collapsed first, by a fingerprint and map-side
-minimum.  Rows that share a band key form a bucket; every member is compared
-with the bucket's smallest and largest id, never all with all, so pairs are at
-most twice the members.  A bucket may hold several classes (documents that
-share a long passage), so its members also meet under keys of 2, 3, 4 and 6
-bands that follow each other, where ever fewer classes mix.  Links become classes by
-alternating large-star and small-star steps on id pairs, each step written to
-the shared folder.  Only documents in a bucket of two or more have their texts
-shuffled, once.  Joins on hot keys are split by Spark (they stand alone above
-their exchanges).
+minimum.  Rows that share a band key form a bucket, and any two members of a
+bucket are candidates.  Every member is first compared with the bucket's
+smallest and largest id, also under keys of 2, 3, 4 and 6 bands that follow
+each other; that joins most groups at the cost of a few pairs a member.  In
+buckets that still hold several classes (documents that share a long passage,
+groups whose copies are like a middle one only), all members of different
+classes then meet, in blocks of at most about ``2 CHUNK`` rows.  There a bound
+that loses no pair goes first: where the k-mers' parity bitmaps differ in more
+bits than two alike sequences can, the pair is not alike.  The rest is aligned.
+This step is quadratic in such a bucket's members of like length, in bitmap
+comparisons but not in rows.  Links become classes by alternating large-star
+and small-star steps on id pairs, each step written to the shared folder.  Only
+documents in a bucket of two or more have their texts shuffled, once.  Joins on
+hot keys are split by Spark (they stand alone above their exchanges).
 
 Defined cases: documents of fewer than K words are duplicates only if all
 their words are equal; a null text or one without words is a class of its own
@@ -47,6 +52,9 @@ BANDS = 16
 ROWS = 2
 PICK = 2
 DEPTHS = (2, 3, 4, 6)    # bands that stand together in the further keys
+CHUNK = 256              # members of a large bucket in one part; two parts meet in one block
+MAP_BITS = 4             # bits of a parity bitmap for each k-mer, up to MAP_MOST in all
+MAP_MOST = 1 << 17
 SEED = 20_240_611
 
 U = np.uint64
@@ -328,7 +336,101 @@ def _met(keyed: DataFrame) -> DataFrame:
     leader = lambda pick, by: F.struct(pick("rep").alias("rep"), by("n", "rep").alias("n"))
     leaders = (keyed.groupBy("key").agg(F.array(leader(F.min, F.min_by), leader(F.max, F.max_by)).alias("leaders"), F.count(F.lit(1)).alias("c"))
                .where("c > 1").drop("c"))
-    return keyed.join(leaders, "key").select("rep", "n", "band", "leaders")
+    return keyed.join(leaders, "key").select("key", "rep", "n", "band", "leaders")
+
+
+def parity_map(kmer: np.ndarray) -> np.ndarray:
+    """For each hash value modulo a power of two, whether an odd number of labelled k-mers has it; as 64-bit words."""
+    size = min(MAP_MOST, 1 << max(6, (MAP_BITS * len(kmer) - 1).bit_length()))
+    with np.errstate(over="ignore"):
+        told_apart = labelled(kmer.astype(np.uint64), np.array([len(kmer)]))
+    odd = np.bincount((told_apart & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps (one a row) brought to fewer words."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def may_be_alike(n: np.ndarray, classes: np.ndarray, side: np.ndarray, maps: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of rows of different classes that ``alike`` could accept; those of one side don't meet, but for side 0.
+
+    Maps differ in at most as many bits as there are k-mers without a partner, n + m - 2 matches.
+    """
+    widths = np.array([len(x) for x in maps])
+    rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+    stacks = {(w, w): np.stack([maps[i] for i in at]) for w, at in rows.items()}
+    out = []
+    for i in range(len(n)):
+        for w, at in rows.items():
+            j = at[np.searchsorted(at, i, side="right"):]
+            first = len(at) - len(j)
+            ok = (classes[j] != classes[i]) & ((side[j] == 0) | (side[i] == 0) | (side[j] != side[i])) \
+                & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9)
+            if not ok.any():
+                continue
+            common = min(w, int(widths[i]))
+            if (w, common) not in stacks:
+                stacks[w, common] = folded(stacks[w, w], common)
+            differ = np.bitwise_count(stacks[w, common][first:][ok] ^ folded(maps[i][None], common)).sum(axis=1, dtype=np.int64)
+            j = j[ok]
+            need = np.ceil((n[j] + n[i]) * similarity / (1 + similarity) - 1e-9)
+            out.extend((i, k) for k in j[differ <= n[j] + n[i] - 2 * need].tolist())
+    return out
+
+
+def _unmet(members: DataFrame, classes: DataFrame, kmer: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) and their classes: members of a bucket that are in different classes and may be alike."""
+    members = members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    mixed = written(members.join(several.select("key", "c"), "key"), "mixed")
+    small = mixed.where(F.col("c") <= CHUNK).select("rep", "n", "class", F.col("key").alias("block"), F.lit(0).alias("side"))
+    # large buckets by length, where only equal and following steps can be alike, and each length in parts
+    large = mixed.where(F.col("c") > CHUNK).withColumn("step", F.floor(F.log("n") / float(np.log(1.01 / similarity))).cast("int"))
+    parts = (large.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("m"))
+             .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("step", "m"))).alias("parts")))
+    of = lambda d: F.coalesce(F.try_element_at("parts", F.col("step") + d), F.lit(0))
+    others = lambda d: F.when(of(d) > 0, F.transform(F.sequence(F.lit(0), of(d) - 1), lambda j: F.struct((F.col("step") + d).alias("step"), j.alias("part"))))         .otherwise(F.array().cast("array<struct<step:int,part:int>>"))
+    large = (large.join(parts, "key").withColumn("me", F.struct("step", F.pmod(F.xxhash64("rep"), of(0)).cast("int").alias("part")))
+             .withColumn("other", F.explode(F.concat(others(-1), others(0), others(1))))
+             .select("rep", "n", "class", F.xxhash64("key", F.least("me", "other"), F.greatest("me", "other")).alias("block"),
+                     F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2).alias("side")))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [parity_map(np.frombuffer(x.as_buffer(), "<u4")).tobytes() for x in batch.column(1)], pa.binary())], ["rep", "map"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "a_class", "b_class")])
+
+        def block(t: pa.RecordBatch) -> pa.RecordBatch:
+            rep, n, cls, side = (t.column(c).to_numpy() for c in ("rep", "n", "class", "side"))
+            pairs = np.array(may_be_alike(n, cls, side, [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("map")], similarity), np.int64).reshape(-1, 2)
+            i, j = np.where(rep[pairs[:, 0]] < rep[pairs[:, 1]], pairs.T, pairs.T[::-1])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[i], rep[j], cls[i], cls[j])], schema=schema)
+
+        rest: list[pa.RecordBatch] = []         # the last block, which may go on
+        for batch in batches:
+            rest.append(batch)
+            key = batch.column("block").to_numpy()
+            if not len(key) or rest[0].column("block")[0].as_py() == key[-1]:
+                rest = [x for x in rest if x.num_rows]
+                continue
+            rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            key = rows.column("block").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield block(rows.slice(lo, hi - lo))
+            rest = [rows.slice(int(cuts[-1]))]
+        if rest:
+            yield block(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
+
+    bitmaps = kmer.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(maps, "rep long, map binary")
+    return (small.unionByName(large).join(bitmaps, "rep").select("block", "side", "rep", "n", "class", "map")
+            .repartition("block").sortWithinPartitions("block")
+            .mapInArrow(meet, "a long, b long, a_class long, b_class long").where("a < b").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -348,9 +450,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float =
     pairs = written(one.unionByName(_met(deep)).select("rep", "n", F.explode("leaders").alias("l"))
                     .where((F.col("rep") != F.col("l.rep")) & (F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")))
                     .select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = one.select(F.col("rep").alias("doc_id")).distinct()
     kmer = written(kmer_table(docs.join(needed.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "kmers")
-    classes = written(components(verified(pairs, kmer, similarity)), "classes")
+    first = written(components(verified(pairs, kmer, similarity)), "classes")
+    # the buckets whose members aren't in one class yet
+    unmet = written(_unmet(one.select("key", "rep", "n"), first, kmer, similarity), "unmet")
+    links = verified(unmet, kmer, similarity).join(unmet, ["a", "b"]).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+    joined = components(links).select(F.col("id").alias("class"), F.col("class").alias("to"))
+    # a class of one document isn't in ``first``
+    classes = written(first.join(joined, "class", "left").select("id", F.coalesce("to", "class").alias("class")).union(
+        joined.select(F.col("class").alias("id"), F.col("to").alias("class")).join(first, "id", "left_anti")), "classes")
     by_text = reps.join(classes, reps["rep"] == classes["id"], "left").select("f1", "f2", "n_words", F.coalesce("class", "rep").alias("class_id"))
     return (sketch.join(by_text, ["f1", "f2", "n_words"], "left")
             .select("doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))

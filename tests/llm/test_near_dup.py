@@ -127,6 +127,40 @@ def test_classes_equal_brute_force(spark):
     assert len(set(want.values())) < len(want) - 50
 
 
+@pytest.mark.parametrize("part", [N.CHUNK, 16])
+def test_copies_that_are_like_a_middle_one_only(spark, monkeypatch, part):
+    """Hubs whose ids are neither smallest nor largest: their spokes are alike through them only."""
+    monkeypatch.setattr(N, "CHUNK", part)
+    r, rows = random.Random(11), []
+    for first, spokes in ((0, 300), (1000, 40)):
+        hub = [f"h{first}x{k}" for k in range(100)]
+        for k in range(spokes):
+            w, at = list(hub), r.randint(6, 80)
+            for p in (at, r.randint(at + 6, 93)):
+                w[p] = f"s{first}x{k}x{p}"
+            rows.append((first + k + (k >= spokes // 2), " ".join(w)))
+        rows.append((first + spokes // 2, " ".join(hub)))
+    rows += [(5000 + k, f"only {k} here, and these words say {k} again, {k} times") for k in range(20)]
+    want = classes_by_brute_force(rows)
+    assert {want[i] for i, _ in rows if i < 1000} == {0} and {want[i] for i, _ in rows if 1000 <= i < 5000} == {1000}
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_parity_maps_lose_no_alike_pair():
+    r = random.Random(4)
+    seqs = []
+    for _ in range(60):
+        a = [r.getrandbits(32) for _ in range(r.choice([1, 5, 15, 17, 60, 130, 250, 400]))] * r.choice([1, 1, 2])
+        for cut in (0, 0.05, 0.1, 0.2):
+            seqs.append(np.array([x if r.random() > cut else r.getrandbits(32) for x in a] + a[:int(len(a) * r.choice([0, 0, 0.1]))], "<u4"))
+    n, ids = np.array([len(x) for x in seqs]), np.arange(len(seqs))
+    may = set(N.may_be_alike(n, ids, np.zeros(len(seqs), int), [N.parity_map(x) for x in seqs]))
+    are = {(i, j) for j in range(len(seqs)) for i in range(j) if N.alike(seqs[i], seqs[j])}
+    assert are and are <= may
+    assert len(may) < 3 * len(are)
+
+
 def test_hot_group_of_copies_and_of_near_copies(spark):
     r = random.Random(2)
     base = [f"w{r.randint(0, 500)}" for _ in range(80)]
