@@ -7,7 +7,8 @@ above; a container's points are discounted by its link density.  The container
 with the most points is kept, with those siblings that score alike or are
 plain text paragraphs.  Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are taken out by element, role and
-class name before.
+class name before, with the articles in them (comments, teaser cards); only one
+that misses its end tag ends where an article begins.
 
 The text of a page is its kept blocks in page order: character references
 decoded, white space inside a block one space, trimmed, joined by newlines.
@@ -45,6 +46,9 @@ DROPPED_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising
                           "popup modal overlay newsletter subscribe subscription signup share sharing social related "
                           "recommended recommendations comment comments commentlist discussion disqus respond reply replies "
                           "widget toolbar login paywall pagination pager skip hidden".split())
+COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+ARTICLE_HOLDERS = COMMENT_NAMES | frozenset("sidebar social related recommended recommendations promo promotion sponsor sponsored widget".split())
+COMMENT_ARTICLES = frozenset("comment comment-body reply".split())     # whole classes of an article
 HEADER_NAMES = frozenset("header masthead topbar".split())
 KEPT_WHOLE = frozenset("html body main article".split())
 MIN_PARAGRAPH = 25
@@ -68,17 +72,45 @@ def attributes(source: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(source)}
 
 
+def names(a: dict[str, str]) -> set[str]:
+    return {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
+
+
+def ended(html: str) -> tuple[set[int], set[str]]:
+    """Where the elements begin that have an end tag of their own, and the names of those left open."""
+    closed: set[int] = set()
+    still: dict[str, list[int]] = {}
+    pos = 0
+    while m := _TAG.search(html, pos):
+        pos = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if still.get(name):
+                closed.add(still[name].pop())
+        elif not m[3].endswith("/"):
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
+                pos = end.end() if end else len(html)
+            else:
+                still.setdefault(name, []).append(m.start())
+    return closed, {name for name, at in still.items() if at}
+
+
 def dropped(tag: str, source: str, in_article: bool) -> bool:
     """Whether an element and all in it are no main text."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if tag in KEPT_WHOLE or not source or source.isspace():
+    if not source or source.isspace():
         return False
+    if tag in KEPT_WHOLE:
+        return tag == "article" and bool(COMMENT_ARTICLES & set(attributes(source).get("class", "").lower().split()))
     a = attributes(source)
     if a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" \
             or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
+    words = names(a)
     return bool(words & DROPPED_NAMES) or not in_article and bool(words & HEADER_NAMES)
 
 
@@ -90,10 +122,24 @@ def read(html: str) -> Page:
     stack = [0]                 # open block elements
     inline: list[str] = []      # open links only
     skip = 0                    # stack length at which a dropped element stands; 0: none
+    drop = ("", "", 0)          # the dropped element's name, attributes and place
+    ends_of = None              # what ``ended`` says, once it is needed
     articles = 0
     pieces: list[str] = []
     linked = 0
 
+    def left_open() -> bool:
+        """Whether the dropped element misses its end tag, so that an article after it isn't part of it."""
+        nonlocal ends_of
+        tag, source, place = drop
+        words = names(attributes(source))
+        if words & COMMENT_NAMES or tag == "article":
+            return False
+        ends_of = ends_of or ended(html)
+        if tag == "aside" or words & ARTICLE_HOLDERS:
+            return place not in ends_of[0]
+        return tag in ends_of[1]        # an outer element's end tag may have been taken for its own
+
     def flush() -> None:
         nonlocal linked
         if pieces:
@@ -152,7 +198,7 @@ def read(html: str) -> Page:
                 elif name == "a":
                     inline.append(name)
             continue
-        if name in ("article", "main") and skip:
+        if name in ("article", "main") and skip and left_open():
             close(skip)         # a dropped element that was never closed ends where the article begins
             close(len(stack) - 1)
         if not skip:
@@ -168,7 +214,7 @@ def read(html: str) -> Page:
         stack.append(len(tags) - 1)
         articles += name in ("article", "main")
         if not skip and dropped(name, source or "", articles > 0):
-            skip = len(stack)
+            skip, drop = len(stack), (name, source or "", at)
     if not skip:
         flush()
     return page

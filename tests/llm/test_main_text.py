@@ -30,6 +30,29 @@ def test_what_is_left_out():
         assert main_text(page(inside=other, tag="article")) == ARTICLE or "header" in other, other
 
 
+def test_articles_in_what_is_left_out():
+    c = "Nice, really nice, I like it, and I would read it again, any day, as I did, twice, this week."
+    for other in [f"<section class=comments><article class=comment><p>{c}</p></article><article class=comment><p>{c}</p></article></section>",
+                  f"<section id=comments><ol><li><article><header>Jo</header><p>{c}</p></article></li></ol></section>",
+                  f"<aside><article class=card><h3>More</h3><p>{c}</p></article><article class=card><p>{c}</p></article></aside>",
+                  f"<div class=related><div><article><p>{c}</p></article></div><article><p>{c}</p></article></div>",
+                  f"<nav><article><p>{c}</p></article></nav>", f"<footer><article><p>{c}</p></article></footer>",
+                  f"<div><article class='comment odd'><p>{c}</p></article></div>"]:
+        for tag in ("main", "article", "div class=content"):
+            assert main_text(page(inside=other, tag=tag)) == ARTICLE, (other, tag)
+            assert main_text(page(before=other, tag=tag)) == ARTICLE, (other, tag)
+            assert main_text(page(after=other, tag=tag)) == ARTICLE, (other, tag)
+    # an end tag that is missing, also where an outer element's stands
+    body = "".join(f"<p>{p}</p>" for p in ARTICLE.split("\n"))
+    for start in ("<nav><a href=/>x</a>", "<header>Title", "<aside>Buy", "<div id=sidebar>Buy"):
+        assert main_text(f"<body>{start}<article>{body}</article></body>") == ARTICLE, start
+    assert main_text(f"<body><div id=wrap><div class=ad>Buy<article>{body}</article></div></body>") == ARTICLE
+    # comments stay out if the page is cut off in them
+    assert main_text(f"<body><main>{body}<section class=comments><article><p>{c}</p></article><article><p>{c}") == ARTICLE
+    # a class that only says that comments are open
+    assert main_text(f"<body><article class='post comments-open'>{body}</article></body>") == ARTICLE
+
+
 def test_blocks_references_and_white_space():
     text = main_text("<article><h1>A &amp; B</h1><p>one<br>two \n\t <b>th</b>ree&nbsp;&eacute;<p>four<ul><li>five<li>six</ul></article>")
     assert text == "A & B\none two three é\nfour\nfive\nsix"
