@@ -17,9 +17,10 @@ distinctness over a corpus.
 The work is per document; nothing is shuffled.
 
 Defined cases: a null text stays null; an empty one empty; a text without
-entities is returned as it was; a one-value format can't change and is masked
-with ``*``; repeated rows get a row each; an empty table gives no rows; other
-columns are ignored; texts are read whole.
+entities is returned as it was; names are found only as a listed given name
+with a surname after it, or after a title, and other names stay as they are; a
+one-value format can't change and is masked with ``*``; repeated rows get a row
+each; an empty table gives no rows; other columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ PATTERNS = [
     ("key", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
 ]
 _ENTITY = re.compile("|".join(f"(?P<{name}>{p})" for name, p in PATTERNS))
-_HINT = re.compile(r"[\d@]|(?i:passw|secret|token|pwd|api.?key)")
+# what any match of the patterns has in it; without a digit or '@', a label, a key's prefix, or only letters of hex digits
+_HINT = re.compile(r"[\d@]|(?i:passw|secret|token|pwd|api[_-]?key|access[_-]?key)|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}|(?:[a-fA-F]{1,4}:){7}")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
 _SURNAME = re.compile(r"\.?[ \xa0]+([A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+)")
 
