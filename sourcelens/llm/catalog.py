@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lang_id, main_text, near_dup, packing, pii, quality_cnn, quality_rules, warc
+from . import ann, bpe, lang_id, main_text, near_dup, packing, pii, prefix_trie, quality_cnn, quality_rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,46 @@ def q_warc(spark, sf_dir):
 @register("op10_main_text")
 def q_main_text(spark, sf_dir):
     return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: crc32 as SQL: the byte table from its rule, and one step a byte of a list.
+CRC_TABLE_SQL = """crc_table AS (
+SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(byte_list: str) -> str:
+    return (f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte_list}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE_SQL},
+turns AS (SELECT conv_id, turn, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS sym,
+                 strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(sym ORDER BY turn NULLS FIRST, md5(sym)) AS s, list(bytes ORDER BY turn NULLS FIRST, md5(sym)) AS b
+        FROM turns GROUP BY conv_id),
+h AS (SELECT own.*, conv_id - conv_id % 5 AS base,
+             {crc_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 9 AS h
+      FROM own, crc_table),
+whole AS (SELECT h.conv_id, list_concat(coalesce(f.s, [])[1:h.h], h.s[h.h + 1:]) AS s,
+                 list_concat(coalesce(f.b, [])[1:h.h], h.b[h.h + 1:]) AS b
+          FROM h LEFT JOIN own f ON f.conv_id = h.base),
+prefixes AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s, b FROM whole),
+nodes AS (SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n, max(coalesce(b[depth], 0)) AS bytes,
+                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '') AS ends
+          FROM prefixes GROUP BY ALL),
+children AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p, depth)),
+above AS (SELECT unnest(range(0, depth + 1)) AS up, depth, p, n, bytes, n_children FROM known),
+subtree AS (SELECT p[1:up] AS p, up AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+                   sum((n - 1) * bytes) AS saved FROM above GROUP BY ALL)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n AS n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM known k JOIN subtree USING (p, depth) LEFT JOIN known u ON u.depth = k.depth - 1 AND u.p = k.p[1:k.depth - 1]
+"""
+
+
+@register("op13_prefix_trie", TRIE_SQL)
+def q_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
