@@ -166,16 +166,16 @@ words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
           FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
           WHERE length(word) > 5 GROUP BY word HAVING sum(n) > 4),
 gone AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS k FROM words),
-part AS (SELECT DISTINCT word, n, CASE WHEN k = 0 THEN word ELSE substr(word, 1, k - 1) || substr(word, k + 1) END AS rest FROM gone),
+part AS (SELECT word, n, k, CASE WHEN k = 0 THEN word ELSE substr(word, 1, k - 1) || substr(word, k + 1) END AS rest FROM gone),
 near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM part a JOIN part b USING (rest)
-         WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+         WHERE a.word <> b.word AND (a.k = b.k OR a.k = 0 OR b.k = 0)),
 best AS (SELECT word, n, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY ALL),
 forms AS (SELECT b.word, n_near, min(CASE WHEN other_n = top AND top >= 5 * b.n THEN other END) AS form,
                  max(CASE WHEN top >= 5 * b.n THEN top END) AS form_n
           FROM best b JOIN near USING (word) GROUP BY ALL),
-chain(word, at, step) AS (SELECT word, word, 0 FROM words
-                    UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
-ends AS (SELECT word, max_by(at, step) AS root FROM chain GROUP BY word)
+chain(word, link, step) AS (SELECT word, word, 0 FROM words
+                      UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.link WHERE f.form IS NOT NULL),
+ends AS (SELECT word, max_by(link, step) AS root FROM chain GROUP BY word)
 SELECT w.word, f.form, e.root, w.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
 FROM words w LEFT JOIN forms f USING (word) JOIN ends e USING (word)
 """
