@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lang_id, main_text, near_dup, packing, pii, prefix_trie, quality_cnn, quality_rules, variants, warc
+from . import ann, bpe, lang_id, main_text, near_dup, packing, pii, prefix_trie, quality_cnn, quality_rules, repeats, variants, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,8 @@ FROM words w LEFT JOIN forms f USING (word) JOIN ends e USING (word)
 @register("op11_variants", VARIANTS_SQL)
 def q_variants(spark, sf_dir):
     return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@register("op12_repeats")
+def q_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
