@@ -5,10 +5,15 @@ one for each comma, one for each hundred characters up to three) to the
 container it stands in, half of them to the next one up and less to those
 above; a container's points are discounted by its link density.  The container
 with the most points is kept, with those siblings that score alike or are
-plain text paragraphs.  Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are taken out by element, role and
-class name before, with the articles in them (comments, teaser cards); only one
-that misses its end tag ends where an article begins.
+plain text paragraphs.  Points go ``LEVELS`` containers up.  Menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+are taken out by element, role and class name before, with the articles in them
+(comments, teaser cards); only one that misses its end tag ends where an article
+begins.  A class that says what a page has or hasn't (``has-sidebar``,
+``no-comments``) is no such name.  A form that holds most of the page's text
+stays, and where no paragraph would be left, so do the named elements with an
+article or the main heading in them (one named after comments only if all text
+of the page is in it).
 
 The text of a page is its kept blocks in page order: character references
 decoded, white space inside a block one space, trimmed, joined by newlines.
@@ -51,11 +56,14 @@ ARTICLE_HOLDERS = COMMENT_NAMES | frozenset("sidebar social related recommended
 COMMENT_ARTICLES = frozenset("comment comment-body reply".split())     # whole classes of an article
 HEADER_NAMES = frozenset("header masthead topbar".split())
 KEPT_WHOLE = frozenset("html body main article".split())
+WORDS_OF_FRAMES = frozenset("has have with no not non without hide hides is".split())    # class names that begin so describe the page
 MIN_PARAGRAPH = 25
+LEVELS = 8
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_HEART = frozenset(("article", "main", "h1"))
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)[^<>]*>")
 
 
@@ -65,6 +73,9 @@ class Page:
     def __init__(self) -> None:
         self.tag: list[str] = []
         self.parent: list[int] = []
+        self.place: list[int] = []                      # where an element's start tag stands in the html
+        self.frames: list[int] = []                     # elements left out that may be the page's frame
+        self.left_out = 0                               # characters in those
         self.blocks: list[tuple[int, str, int]] = []    # element, text, characters of it inside links
 
 
@@ -73,7 +84,12 @@ def attributes(source: str) -> dict[str, str]:
 
 
 def names(a: dict[str, str]) -> set[str]:
-    return {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
+    found: set[str] = set()
+    for token in (a.get("class", "") + " " + a.get("id", "")).split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or words[0] not in WORDS_OF_FRAMES:
+            found.update(words)
+    return found
 
 
 def ended(html: str) -> tuple[set[int], set[str]]:
@@ -114,11 +130,21 @@ def dropped(tag: str, source: str, in_article: bool) -> bool:
     return bool(words & DROPPED_NAMES) or not in_article and bool(words & HEADER_NAMES)
 
 
-def read(html: str) -> Page:
+def may_be_frame(tag: str, source: str) -> bool:
+    """Whether an element that is left out is so for its class name only, or a form."""
+    a = attributes(source)
+    return tag == "form" or tag not in DROPPED and tag != "header" and a.get("role", "").lower() not in DROPPED_ROLES \
+        and "hidden" not in a and a.get("aria-hidden") != "true" and "style" not in a
+
+
+def read(html: str, spared: frozenset[int] = frozenset(), whole: bool = False) -> Page:
+    """The tree of a page without the elements left out, but for those at the places ``spared``; or the whole tree."""
     page, pos, n = Page(), 0, len(html)
     tags, parents = page.tag, page.parent
     tags.append("#page")
     parents.append(-1)
+    page.place.append(-1)
+    opened: dict[str, int] = {}     # how many elements of a name are open
     stack = [0]                 # open block elements
     inline: list[str] = []      # open links only
     skip = 0                    # stack length at which a dropped element stands; 0: none
@@ -152,7 +178,9 @@ def read(html: str) -> Page:
     def close(depth: int) -> None:
         nonlocal skip, articles
         while len(stack) > depth:
-            articles -= tags[stack.pop()] in ("article", "main")
+            name = tags[stack.pop()]
+            opened[name] -= 1
+            articles -= name in ("article", "main")
             if skip and len(stack) < skip:
                 skip = 0
         inline.clear()
@@ -164,10 +192,13 @@ def read(html: str) -> Page:
             loose = _LOOSE.match(html, lt)
             m = loose or m
         at = m.start() if m else n
-        if at > pos and not skip:
-            pieces.append(html[pos:at])
-            if inline:
-                linked += at - pos
+        if at > pos:
+            if not skip:
+                pieces.append(html[pos:at])
+                if inline:
+                    linked += at - pos
+            elif page.frames:
+                page.left_out += at - pos
         if m is None:
             break
         pos = m.end()
@@ -182,10 +213,11 @@ def read(html: str) -> Page:
                     inline.pop()
                 continue
             flush() if not skip else None
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == name:
-                    close(depth)
-                    break
+            if opened.get(name):
+                depth = len(stack) - 1
+                while tags[stack[depth]] != name:
+                    depth -= 1
+                close(depth)
             continue
         if name in RAW and not (source or "").endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
@@ -211,33 +243,65 @@ def read(html: str) -> Page:
             continue
         tags.append(name)
         parents.append(stack[-1])
+        page.place.append(at)
         stack.append(len(tags) - 1)
+        opened[name] = opened.get(name, 0) + 1
         articles += name in ("article", "main")
-        if not skip and dropped(name, source or "", articles > 0):
-            skip, drop = len(stack), (name, source or "", at)
+        if not skip and at not in spared and dropped(name, source or "", articles > 0):
+            frame = name not in KEPT_WHOLE and may_be_frame(name, source or "")
+            if frame:
+                page.frames.append(len(tags) - 1)
+            if not whole or not frame:
+                skip, drop = len(stack), (name, source or "", at)
     if not skip:
         flush()
     return page
 
 
+def frames(html: str, empty: bool) -> frozenset[int]:
+    """Places of the elements that are the page's frame, though they are forms or, in a page that is ``empty`` without
+    them, have names of what is left out."""
+    page = read(html, whole=True)
+    n = len(page.tag)
+    chars, heart = [0] * n, [t in _HEART for t in page.tag]
+    for e, text, _ in page.blocks:
+        chars[e] += len(text)
+    for e in range(n - 1, 0, -1):
+        chars[page.parent[e]] += chars[e]
+        heart[page.parent[e]] |= heart[e]
+    named = {m.start(): m[3] or "" for m in _TAG.finditer(html) if m[2] is not None and not m[1]}
+    out = set()
+    for e in page.frames:
+        of_comments = bool(names(attributes(named.get(page.place[e], ""))) & COMMENT_NAMES)
+        if 2 * chars[e] > chars[0] if page.tag[e] == "form" else empty and heart[e] and (not of_comments or chars[e] == chars[0]):
+            out.add(page.place[e])
+    return frozenset(out)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = read(html)
+    if page.left_out > sum(len(text) for _, text, _ in page.blocks):
+        spared = frames(html, not any(len(text) >= MIN_PARAGRAPH for _, text, _ in page.blocks))
+        if spared:
+            page = read(html, spared)
     tag, parent, n = page.tag, page.parent, len(page.tag)
     points, chars, links = [0.0] * n, [0] * n, [0] * n
+    holder = [0] * n            # the nearest container, the element itself included
+    for e in range(1, n):
+        holder[e] = e if tag[e] in CONTAINERS else holder[parent[e]]
     for e, text, linked in page.blocks:
         chars[e] += len(text)
         links[e] += linked
         if len(text) < MIN_PARAGRAPH:
             continue
         gain = 1 + text.count(",") + min(3, len(text) // 100)
-        level, up = 0, e
-        while up > 0:
-            if tag[up] in CONTAINERS:
-                points[up] += gain if level == 0 else gain / 2 if level == 1 else gain / (3 * level)
-                level += 1
-            up = parent[up]
+        level, up = 0, holder[e]
+        while up > 0 and level < LEVELS:
+            points[up] += gain if level == 0 else gain / 2 if level == 1 else gain / (3 * level)
+            level += 1
+            up = holder[parent[up]]
     for e in range(n - 1, 0, -1):
         chars[parent[e]] += chars[e]
         links[parent[e]] += links[e]

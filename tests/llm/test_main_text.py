@@ -53,6 +53,37 @@ def test_articles_in_what_is_left_out():
     assert main_text(f"<body><article class='post comments-open'>{body}</article></body>") == ARTICLE
 
 
+def test_a_wrapper_never_takes_the_page_along():
+    body = "".join(f"<p>{p}</p>" for p in ARTICLE.split("\n"))
+    c = "Nice, really nice, I like it, and I would read it again, any day, as I did, twice, this week."
+    nav = "<nav><a href=/>Home</a></nav>"
+    for start, end in [("<form id=aspnetForm method=post><input type=hidden name=v value=1>", "</form>"),
+                       ("<form><div class=content>", "</div></form>"),
+                       ("<div class='layout has-sidebar'><article>", "</article><div class=sidebar><p>Buy</p></div></div>"),
+                       ("<div class='post no-comments'>", "</div>"), ("<div class='page-with-sidebar'><main>", "</main></div>"),
+                       ("<div class='sidebar-layout'><div class='widget-area-right'><h1>Of it</h1>", "</div></div>"),
+                       ("<div id=comments-page><article>", "</article></div>"), ("<form><div class='two-column sidebar'><article>", "</article></div></form>")]:
+        text = main_text(f"<html><body>{nav}{start}{body}{end}<footer><p>{c}</p></footer></body></html>")
+        assert text.removeprefix("Of it\n") == ARTICLE, start
+    # more comments than article: the article alone stays
+    many = "".join(f"<article class=comment><p>{c}</p></article>" for _ in range(40))
+    for other in (f"<section id=comments><h1>Comments</h1>{many}</section>", f"<div class=comments>{many}</div>", f"<aside class=related><h1>More</h1>{many}</aside>"):
+        assert main_text(page(after=other, tag="article")) == ARTICLE
+    # forms of fields, notices
+    assert main_text(f"<body><form><label>Name</label><input><p>{c}</p></form><article>{body}</article></body>") == ARTICLE
+    assert main_text(f"<body><div class=cookie-notice><p>{c}</p></div></body>") == ""
+
+
+def test_deep_and_stray_tags_take_time_in_proportion():
+    import time
+    for make in (lambda n: "<div>" * n + "<p>Some words, of a paragraph, that counts.</p>" * 50 + "</div>" * n, lambda n: "<p>Some words, of it</p>" + "</b></section>" * n,
+                 lambda n: "<div><section>" * n + "</table>" * n + "<p>Some words, of a paragraph, that counts.</p>",
+                 lambda n: "".join(f"<div class='ad x{k}'><p>Some words, of a paragraph, that counts.</p>" for k in range(n))):
+        t0 = time.perf_counter()
+        main_text(make(50_000))
+        assert time.perf_counter() - t0 < 4
+
+
 def test_blocks_references_and_white_space():
     text = main_text("<article><h1>A &amp; B</h1><p>one<br>two \n\t <b>th</b>ree&nbsp;&eacute;<p>four<ul><li>five<li>six</ul></article>")
     assert text == "A & B\none two three é\nfour\nfive\nsix"
