@@ -9,11 +9,15 @@ prefixes share can't change any more: the transducer emits them and keeps only
 the bytes after them.  A state is therefore (last emitted token, pending
 bytes); transitions are worked out when first taken and then reused, so
 encoding is one table step a byte with a lookahead of at most the longest
-token.  Both tables are emptied when they reach a fixed size; results don't
-depend on that.
+token.  The table of states is emptied when it reaches a fixed size, and that
+of encoded words loses the words not met for a while; results don't depend on
+that.
 
-Decoding.  Token bytes pass through a UTF-8 state machine that hands on whole
-characters and holds back an unfinished one, so a stream can be cut anywhere.
+Decoding.  Token bytes are gathered as arrays, chunk by chunk, and pass through
+a UTF-8 state machine over bytes (with states of their own for the second bytes
+after E0, ED, F0 and F4) that hands on whole characters and holds back an
+unfinished one, so a stream can be cut anywhere.  Bytes that can't be part of a
+character are handed on as they are.
 
 Defined cases: a null or empty text has no tokens; repeated rows get a row
 each; an empty table gives no rows; columns other than id and text are
@@ -25,7 +29,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-MAX_STATES = 200_000
-MAX_WORDS = 400_000
+MAX_STATES = 400_000
+MAX_WORDS = 200_000       # of each of two generations
 DECODE_IDS = 1 << 16
 NEVER = 1 << 62
 
@@ -120,13 +124,20 @@ class MergeTransducer:
         if ok is None:
             if len(self._compatible) > 4 * self.max_states:
                 self._compatible.clear()
-            ea, eb, get = self.edges(a), self.edges(b), self.ranks.get
-            ok = eb is not None and not any(
-                get(x + y, NEVER) < x_ends and get(x + y, NEVER) <= y_ends and get(x + y, NEVER) != NEVER
-                for x, x_ends in ea[1] for y, y_ends in eb[0])
-            self._compatible[a, b] = ok
+            ok = self._compatible[a, b] = self._apart(self.edges(a), self.edges(b))
         return ok
 
+    def _apart(self, ea: tuple, eb: tuple | None) -> bool:
+        if eb is None:
+            return False
+        get = self.ranks.get
+        for x, x_ends in ea[1]:
+            for y, y_ends in eb[0]:
+                rank = get(x + y)
+                if rank is not None and rank < x_ends and rank <= y_ends:
+                    return False
+        return True
+
     def _step(self, s: State, byte: int) -> tuple[State, bytes]:
         """The transition for one byte."""
         child, token_at, inner = self.child.get, self.token_at, self.inner
@@ -188,41 +199,64 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS):
         self.machine, self.split, self.max_words = MergeTransducer(ranks), regex.compile(pattern), max_words
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _new(self, piece: str) -> bytes:
-        ids = self.machine.encode(piece.encode("utf-8"))
+        ids = self.older.get(piece) or self.machine.encode(piece.encode("utf-8"))
         if len(piece) <= 64:
             if len(self.words) >= self.max_words:
-                self.words.clear()
+                self.older, kept = self.words, self.older
+                kept.clear()
+                self.words = kept
             self.words[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        get, new = self.words.get, self._new
-        return b"".join([get(p) or new(p) for p in self.split.findall(text)])
+        out, new = [], self._new
+        pieces = self.split.findall(text)
+        for lo in range(0, len(pieces), 4096):       # a full table becomes the older one between two blocks at the latest
+            get = self.words.get
+            out += [get(p) or new(p) for p in pieces[lo:lo + 4096]]
+        return b"".join(out)
+
+
+def utf8_table() -> np.ndarray:
+    """next[state, byte]: 0 between characters, 1 to 3 that many continuation bytes to come, 4 to 7 after a lead byte
+    that narrows its second byte, 8 ill-formed."""
+    table = np.full((9, 256), 8, np.uint8)
+    table[0, :0x80] = 0
+    for lo, hi, state in ((0xC2, 0xDF, 1), (0xE1, 0xEC, 2), (0xEE, 0xEF, 2), (0xF1, 0xF3, 3), (0xE0, 0xE0, 4), (0xED, 0xED, 5),
+                          (0xF0, 0xF0, 6), (0xF4, 0xF4, 7)):
+        table[0, lo:hi + 1] = state
+    for state, lo, hi, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1),
+                              (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state, lo:hi + 1] = to
+    return table
 
 
 class Utf8Stream:
     """Incremental UTF-8: ``feed`` returns the whole characters and holds back an unfinished one."""
 
+    step = utf8_table().tolist()
+
     def __init__(self) -> None:
         self.held = b""
 
-    @staticmethod
-    def _needs(byte: int) -> int:
-        """Bytes that follow a lead byte; -1 for a continuation byte, 0 for a byte that stands alone."""
-        return 0 if byte < 0x80 else -1 if byte < 0xC0 else 1 if 0xC2 <= byte < 0xE0 else 2 if 0xE0 <= byte < 0xF0 \
-            else 3 if 0xF0 <= byte < 0xF5 else 0
+    @classmethod
+    def unfinished(cls, data: bytes) -> int:
+        """Bytes at the end that begin a character and don't end it: the machine's run from the last lead byte, which
+        is at most three bytes back."""
+        for back in range(1, min(3, len(data)) + 1):
+            if data[-back] & 0xC0 != 0x80:
+                state = 0
+                for byte in data[-back:]:
+                    state = cls.step[state][byte]
+                return back if 0 < state < 8 else 0
+        return 0
 
     def feed(self, chunk: bytes) -> bytes:
         data = self.held + chunk
-        for back in range(1, min(3, len(data)) + 1):
-            need = self._needs(data[-back])
-            if need >= 0:
-                cut = len(data) - back if need >= back else len(data)
-                break
-        else:
-            cut = len(data)
+        cut = len(data) - self.unfinished(data)
         self.held = data[cut:]
         return data[:cut]
 
@@ -231,29 +265,37 @@ class Utf8Stream:
         return rest
 
 
-def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    return table
+class TokenBytes:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            table[i] = token
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - ends + size, size)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
 
 
-def decode_stream(ids: Iterable[int], table: list[bytes], size: int = DECODE_IDS) -> Iterator[bytes]:
+def decode_stream(ids: np.ndarray, table: TokenBytes, size: int = DECODE_IDS) -> Iterator[bytes]:
     """Whole UTF-8 characters of the ids, chunk by chunk; bytes that never complete come last, as they are."""
-    stream, chunk = Utf8Stream(), []
-    for i in ids:
-        chunk.append(table[i])
-        if len(chunk) == size:
-            yield stream.feed(b"".join(chunk))
-            chunk = []
-    yield stream.feed(b"".join(chunk))
+    stream = Utf8Stream()
+    for lo in range(0, len(ids), size):
+        yield stream.feed(table.join(ids[lo:lo + size]))
     yield stream.close()
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> tuple[TextEncoder, list[bytes]]:
+def _encoder(path: str, pattern: str) -> tuple[TextEncoder, TokenBytes]:
     ranks = load_ranks(path)
-    return TextEncoder(ranks, pattern), token_bytes(ranks)
+    return TextEncoder(ranks, pattern), TokenBytes(ranks)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = True) -> DataFrame:
@@ -276,7 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids_of.append(ids if keep_ids else None)
                 sha.append(hashlib.sha256(ids).hexdigest())
                 back = hashlib.sha256()
-                for part in decode_stream(np.frombuffer(ids, "<u4").tolist(), table):
+                for part in decode_stream(np.frombuffer(ids, "<u4"), table):
                     back.update(part)
                 decoded.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays(

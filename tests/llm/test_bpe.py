@@ -52,9 +52,9 @@ def test_lookahead_is_bounded_by_the_longest_token(ranks):
 
 @pytest.mark.parametrize("size", [1, 2, 3, 1000])
 def test_streaming_decode_gives_whole_characters(ranks, size):
-    encoder, table = bpe.TextEncoder(ranks, P.PATTERN), bpe.token_bytes(ranks)
+    encoder, table = bpe.TextEncoder(ranks, P.PATTERN), bpe.TokenBytes(ranks)
     for text in ["é🙂日本 plain " * 9, "🙂" * 50, ""]:
-        ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+        ids = np.frombuffer(encoder.encode(text), "<u4")
         parts = list(bpe.decode_stream(ids, table, size))
         assert b"".join(parts) == text.encode("utf-8")
         for part in parts:
@@ -63,6 +63,23 @@ def test_streaming_decode_gives_whole_characters(ranks, size):
     assert broken.feed(b"a\xf0\x9f") == b"a" and broken.close() == b"\xf0\x9f"
 
 
+def test_the_state_machine_holds_back_beginnings_of_characters_only():
+    """Ill-formed input too: overlong forms, surrogates, beyond the last code point, lone continuation bytes."""
+    r = random.Random(8)
+    odd = [b"\xe0\x80", b"\xe0\xa0", b"\xed\xa0", b"\xed\x9f", b"\xf0\x8f", b"\xf0\x90\x80", b"\xf4\x90", b"\xf4\x8f\xbf", b"\xc1", b"\xf5",
+           b"\x80\x80", b"\xc3", b"a", "é日🙂".encode()]
+    begun = {c[:k] for c in (chr(p).encode() for p in range(0x80, 0x110000) if not 0xD800 <= p < 0xE000) for k in range(1, len(c))}
+    for _ in range(3000):
+        stream = bpe.Utf8Stream()
+        fed = out = b""
+        for _ in range(r.randint(1, 6)):
+            part = r.choice(odd) if r.random() < 0.7 else bytes(r.randrange(256) for _ in range(r.randint(0, 3)))
+            fed += part
+            out += stream.feed(part)
+            assert stream.held == next((fed[-k:] for k in (3, 2, 1) if fed[-k:] in begun), b""), fed
+        assert out + stream.close() == fed
+
+
 def test_every_row_of_an_odd_table(odd_docs, no_docs, library):
     want = {}
     for r in odd_docs.collect():
