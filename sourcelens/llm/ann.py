@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, small_batches, written
+from .common import bounded, hash_sample, small_batches, written
 
 K = 20
 LISTS = 512             # upper bound of the number of inverted lists
@@ -180,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     if facts is None:
         return spark.createDataFrame([], schema)
     base = base.where(F.size("v") == facts["dims"])
-    sample = base.where(hash_sample(F.col("vec_id"), SAMPLE_ROWS / facts["n"])).select("v").toPandas()["v"]
+    sample = bounded(base.where(hash_sample(F.col("vec_id"), SAMPLE_ROWS / facts["n"])).select("v"), 2 * SAMPLE_ROWS).toPandas()["v"]
     if not len(sample):
         sample = base.limit(SAMPLE_ROWS).select("v").toPandas()["v"]
     index = Index(_matrix(sample), float(facts["m"]), k, lists, recall)

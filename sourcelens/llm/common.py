@@ -72,6 +72,11 @@ def hash_sample(key: Column, fraction: float, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many of the rows, chosen by a hash of all of their columns: each task hands on that many at most."""
+    return rows.withColumn("__order", F.xxhash64(*rows.columns)).orderBy("__order").limit(most).drop("__order")
+
+
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string array that hold at most ``max_bytes`` each (one row may exceed it)."""
     offsets = text_bytes(texts)[1]

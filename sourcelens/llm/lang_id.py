@@ -10,12 +10,16 @@ language is returned.
 
 Words are runs of letters, lower-cased, with the vocabulary's word-start mark
 before them.  New words of a batch are scored together: words of one length
-walk the vocabulary's trie as one array, from each start position.  Word
-scores are kept in a bounded table.
+walk the vocabulary's trie as one array, from each start position.  The sums
+are scaled every few positions and the scale kept in logs, in scoring and in
+learning, so no word is too long or too rare for them and every score is
+finite; a piece that no language has seen has one probability in all of them,
+so it decides nothing.  Word scores are kept in a bounded table.
 
 Learning uses a bounded sample: about ``SAMPLE_DOCS`` labelled documents in
-all, alike for each language, of at most ``SAMPLE_CHARS`` characters.  Every
-text is scored whole.  Nothing is shuffled.
+all, alike for each language, of at most ``SAMPLE_CHARS`` characters, and no
+more than twice ``SAMPLE_DOCS`` rows however often an id repeats.  All words of
+the sample count, and every text is scored whole.  Nothing is shuffled.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0;
 so is every text if there is nothing to learn from; ties go to the first
@@ -34,15 +38,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, hash_sample, in_fold
+from .common import annotate, bounded, hash_sample, in_fold
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 4_000
 SAMPLE_CHARS = 20_000
 ROUNDS = 4
-SMOOTHING = 0.05        # added to the expected count of each piece
-MAX_PIECE = 16          # bytes
-SHORT_WORD = 48         # bytes; longer words are scored one by one, scaled at each step
+SMOOTHING = 1e-3        # share of the probability that goes to all pieces alike, the same in each language
+SCALED = 8              # positions after which sums are scaled anew
+LONE = 512              # bytes; longer words are worked out one by one, by the same sums
 MAX_WORDS = 300_000
 START = b" "            # the word-start mark, in bytes
 
@@ -59,9 +63,7 @@ def load_pieces(path: str) -> list[bytes]:
         piece = model.id_to_piece(i)
         mark, letters = piece.startswith("▁"), piece.lstrip("▁")
         if letters and letters.isalpha() and letters == letters.lower() and piece.count("▁") <= 1:
-            raw = (START if mark else b"") + letters.encode("utf-8")
-            if len(raw) <= MAX_PIECE:
-                pieces.add(raw)
+            pieces.add((START if mark else b"") + letters.encode("utf-8"))
     return sorted(pieces)
 
 
@@ -70,6 +72,7 @@ class Trie:
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
+        self.reach = max(map(len, pieces)) + 1      # positions that a step can touch
         used = sorted({b for p in pieces if len(p) > 1 for b in p})
         self.classes = np.zeros(256, np.int32)
         for k, b in enumerate(used):
@@ -134,26 +137,33 @@ class Model:
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Log of the sum over all segmentations, for each word and language."""
         out = np.zeros((len(words), len(self.languages)))
-        short = [k for k, w in enumerate(words) if len(w) <= SHORT_WORD]
-        for at, rows in by_length([words[k] for k in short]):
-            out[np.array(short)[at]] = np.log(self._forward(rows)[:, -1])
+        together = [k for k, w in enumerate(words) if len(w) <= LONE]
+        for at, rows in by_length([words[k] for k in together]):
+            out[np.array(together)[at]] = self._forward(rows)
         for k, w in enumerate(words):
-            if len(w) > SHORT_WORD:
+            if len(w) > LONE:
                 out[k] = self._long(w)
         return out
 
     def _forward(self, rows: np.ndarray) -> np.ndarray:
-        m, n = rows.shape
-        alpha = np.zeros((m, n + 1, len(self.languages)))
+        """For words of one length: the positions in reach as a ring, scaled together."""
+        (m, n), reach = rows.shape, self.trie.reach
+        alpha, scale = np.zeros((m, reach, len(self.languages))), np.zeros((m, len(self.languages)))
         alpha[:, 0] = 1
         for i in range(n):
+            here = alpha[:, i % reach].copy()
+            alpha[:, i % reach] = 0
             for end, at, piece in self.trie.edges(rows, i):
-                alpha[at, end] += alpha[at, i] * self.probability[piece]
-        return alpha
+                alpha[at, end % reach] += here[at] * self.probability[piece]
+            if i % SCALED == SCALED - 1:
+                top = alpha.max(axis=1)
+                alpha /= top[:, None]
+                scale += np.log(top)
+        return scale + np.log(alpha[:, n % reach])
 
     def _long(self, word: bytes) -> np.ndarray:
         """The same sum for one long word: the positions in reach are scaled together, their scale kept in logs."""
-        reach, trie = MAX_PIECE + 1, self.trie
+        reach, trie = self.trie.reach, self.trie
         codes = trie.classes[np.frombuffer(word, np.uint8)].tolist()
         alpha = np.zeros((reach, len(self.languages)))
         alpha[0], scale = 1, np.zeros(len(self.languages))
@@ -166,9 +176,10 @@ class Model:
                 node, end = trie.child[node, codes[end]], end + 1
                 if node and trie.ends[node] >= 0:
                     alpha[end % reach] += here * self.probability[trie.ends[node]]
-            top = alpha.max(axis=0)
-            alpha /= top
-            scale += np.log(top)
+            if i % SCALED == SCALED - 1:
+                top = alpha.max(axis=0)
+                alpha /= top
+                scale += np.log(top)
         return scale + np.log(alpha[len(word) % reach])
 
     def _ids(self, words: list[str]) -> list[int]:
@@ -213,7 +224,7 @@ def word_counts(texts: Iterable[str]) -> dict[bytes, int]:
     for t in texts:
         for w in _WORD.findall(t.lower()):
             counts[w] = counts.get(w, 0) + 1
-    return {START + w.encode("utf-8"): n for w, n in counts.items() if len(w) < SHORT_WORD // 2}
+    return {START + w.encode("utf-8"): n for w, n in counts.items()}
 
 
 def learn(trie: Trie, texts: dict[str, list[str]], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> Model:
@@ -227,22 +238,38 @@ def learn(trie: Trie, texts: dict[str, list[str]], rounds: int = ROUNDS, smoothi
         groups = [(at, rows, [(i, list(trie.edges(rows, i))) for i in range(rows.shape[1])]) for at, rows in by_length(words)] if words else []
         p = probability[:, k]
         for _ in range(rounds):
-            expected = np.full(pieces, smoothing)
+            expected = np.zeros(pieces)
             for at, rows, edges in groups:
                 m, n = rows.shape
                 alpha, beta = np.zeros((m, n + 1)), np.zeros((m, n + 1))
                 alpha[:, 0], beta[:, n] = 1, 1
+                scales, scale = [], np.zeros(m)         # logs: alpha at position i is still to be multiplied by exp(scales[i])
                 for i, out in edges:
+                    scales.append(scale)
                     for end, r, piece in out:
                         alpha[r, end] += alpha[r, i] * p[piece]
+                    if i % SCALED == SCALED - 1:
+                        ahead = alpha[:, i + 1:i + 1 + trie.reach]
+                        top = ahead.max(axis=1)
+                        ahead /= top[:, None]
+                        scale = scale + np.log(top)
+                whole = np.log(alpha[:, n]) + scale
+                scale = np.zeros(m)
                 for i, out in reversed(edges):
+                    share = weight[at] * alpha[:, i]
+                    factor = scales[i] + scale - whole
                     for end, r, piece in out:
-                        beta[r, i] += beta[r, end] * p[piece]
-                share = weight[at] / alpha[:, n]
-                for i, out in edges:
-                    for end, r, piece in out:
-                        expected += np.bincount(piece, alpha[r, i] * p[piece] * beta[r, end] * share[r], pieces)
-            p = expected / expected.sum()
+                        onward = p[piece] * beta[r, end]
+                        beta[r, i] += onward
+                        some = (share[r] > 0) & (onward > 0)
+                        used = np.exp((factor[r] + np.log(share[r], where=some, out=np.zeros(len(r))))[some] + np.log(onward[some]))
+                        expected += np.bincount(piece[some], used, pieces)
+                    if i % SCALED == 0:
+                        behind = beta[:, i:i + trie.reach]
+                        top = behind.max(axis=1)
+                        behind /= top[:, None]
+                        scale = scale + np.log(top)
+            p = (1 - smoothing) * expected / expected.sum() + smoothing / pieces if words else p
         probability[:, k] = p
     return Model(trie, languages, probability)
 
@@ -257,7 +284,7 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str,
     for language, n in counts.items():
         chosen = chosen | ((F.col("lang") == language) & hash_sample(F.col("doc_id"), each / n))
     texts: dict[str, list[str]] = {}
-    for r in labelled.where(chosen).select("lang", "text").collect():
+    for r in bounded(labelled.where(chosen).select("lang", "text"), 2 * sample_docs).collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     return texts
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, hash_sample, in_fold, text_bytes
+from .common import annotate, bounded, hash_sample, in_fold, text_bytes
 
 HALF = 256
 WIDTH = 8
@@ -195,8 +195,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most"))
     chosen = known.where(hash_sample(F.col("doc_id"), sample_docs / max(1, known.count()))).select("doc_id", "quality")
     # the sample is bounded by its parameter, so it may go to every task
-    rows = (docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "text", "quality").collect())
+    rows = bounded(docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+                   .select("doc_id", "text", "quality"), 2 * sample_docs).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["quality"] for r in rows]
 

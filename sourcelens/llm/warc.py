@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, shared_path, small_batches
+from .common import bounded, hash_sample, shared_path, small_batches
 
 MIN_REVISIT = 1000
 LEVEL = 3
@@ -100,9 +100,9 @@ def compress(data: bytes, dictionary: zstandard.ZstdCompressionDict | None, leve
 def build_dictionary(pages: DataFrame, size: int = DICT_BYTES, sample: int = DICT_SAMPLE) -> bytes:
     """A dictionary from about ``sample`` records of the archive; empty where they are too few to train on."""
     n = pages.count()
-    rows = (pages.where((F.octet_length("html") <= DICT_RECORD_BYTES)
-                        & hash_sample(F.col("page_id"), sample / max(1, n)))
-            .select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest").collect())
+    rows = bounded(pages.where((F.octet_length("html") <= DICT_RECORD_BYTES)
+                               & hash_sample(F.col("page_id"), sample / max(1, n)))
+                   .select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest"), 2 * sample).collect()
     records = [record(r.page_id, r.url, bytes(r.html), r.digest, None) for r in rows]
     # samples that separators could be trained into stay out
     records = [r for r in records if SEPARATOR not in r]

@@ -26,7 +26,7 @@ def test_forward_sums_all_segmentations(model):
 
     def total(word, k):
         return sum(model.probability[index[word[:j]], k] * (total(word[j:], k) if word[j:] else 1)
-                   for j in range(1, min(L.MAX_PIECE, len(word)) + 1) if word[:j] in index)
+                   for j in range(1, min(model.trie.reach, len(word)) + 1) if word[:j] in index)
     words = [w.encode() for w in (" the", " river", " mühle", " a", " qxzzy", " strömung")]
     for word, row in zip(words, model.log_probabilities(words)):
         assert np.allclose(row, [np.log(total(word, k)) for k in range(2)])
@@ -38,13 +38,71 @@ def test_long_words_have_the_same_sum(model):
     alpha = np.zeros((len(word) + 1, 2))
     alpha[0] = 1
     for i in range(len(word)):
-        for j in range(i + 1, min(len(word), i + L.MAX_PIECE) + 1):
+        for j in range(i + 1, min(len(word), i + model.trie.reach) + 1):
             if word[i:j] in index:
                 alpha[j] += alpha[i] * model.probability[index[word[i:j]]]
     assert np.allclose(model._long(word), np.log(alpha[-1]))
     assert np.isfinite(model._long(b" " + b"x" * 20_000)).all()
 
 
+def forward_in_logs(model, word):
+    """The sum over all segmentations, position by position, with logarithms throughout."""
+    index = {p: i for i, p in enumerate(model.trie.pieces)}
+    alpha = np.full((len(word) + 1, len(model.languages)), -np.inf)
+    alpha[0] = 0
+    for j in range(1, len(word) + 1):
+        terms = [alpha[i] + np.log(model.probability[index[word[i:j]]]) for i in range(max(0, j - model.trie.reach), j) if word[i:j] in index]
+        alpha[j] = np.logaddexp.reduce(terms)
+    return alpha[-1]
+
+
+def test_rare_words_never_decide_a_document(spark):
+    """With a model of the real size: words of scripts without pieces, of any length, have finite scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    trie = L.Trie(L.load_pieces(VOCABULARY))
+    big = L.learn(trie, L.training_texts(docs))
+    rare = ["ⴰⴱⴳⴷⴻⴼⴽⵀⵃⵄⵅⵇⵉⵊⵍ", "ꦲꦤꦕꦫꦏꦢꦠꦱꦮꦭꦥꦝꦗꦪꦚꦩꦒꦧꦛꦔ", "ሀለሐመሠረሰሸቀበተቸኀነኘአከኸወዐዘዠየደጀገጠጨጰጸፀፈፐ" * 30, "x" * 700, "Ж" * 24]
+    for word in rare:
+        raw = L.START + word.lower().encode()
+        assert np.allclose(big.log_probabilities([raw])[0], forward_in_logs(big, raw))
+    texts = [("the " * 50) + w for w in rare] + [("and the river ran past the old mill " * 6) + " ".join(rare)]
+    best, score = big.predict(texts)
+    assert best == ["en"] * len(texts) and min(score) > 0.99
+    best, score = big.predict(rare)
+    assert np.isfinite(score).all() and all(0 <= x <= 1 for x in score)
+
+
+def test_words_of_any_length_are_learned_from():
+    """Expected counts of a long word are those of the plain recursion in logs."""
+    trie = L.Trie([bytes((b,)) for b in range(256)] + [b"ab", b"aba", b" a", b"abababab"])
+    word = "ab" * 150 + "c"
+    m = L.learn(trie, {"q": [word]}, 1, smoothing=1e-9)
+    assert np.isfinite(m.probability).all() and np.isclose(m.probability.sum(), 1)
+    p0 = 1 / len(trie.pieces)
+    raw = (" " + word).encode()
+    index = {p: i for i, p in enumerate(trie.pieces)}
+    n = len(raw)
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0
+    edges = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 8) + 1) if raw[i:j] in index]
+    for i, j in sorted(edges, key=lambda e: e[1]):
+        a[j] = np.logaddexp(a[j], a[i] + np.log(p0))
+    for i, j in sorted(edges, key=lambda e: -e[0]):
+        b[i] = np.logaddexp(b[i], b[j] + np.log(p0))
+    expected = np.zeros(len(trie.pieces))
+    for i, j in edges:
+        expected[index[raw[i:j]]] += np.exp(a[i] + np.log(p0) + b[j] - a[n])
+    assert np.allclose(m.probability[:, 0], expected / expected.sum())
+
+
+def test_a_sample_is_bounded_where_one_id_repeats(spark):
+    docs = spark.createDataFrame([(1, f"word {k} of it", "en") for k in range(900)] + [(k, f"text {k}", "en") for k in range(2, 200)],
+                                 "doc_id long, text string, lang string")
+    assert sum(map(len, L.training_texts(docs, 20).values())) <= 40
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 200)], "doc_id long, quality int")
+    assert len(Q.training_rows(docs.select("doc_id", "text"), labels, 20)[0]) <= 40
+
+
 def test_probabilities_and_likelihood(model):
     assert np.allclose(model.probability.sum(0), 1)
     counts = L.word_counts(["the river ran past the old mill"])
