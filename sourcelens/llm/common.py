@@ -60,6 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column whose name may hold dots or quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def in_fold(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
     """Whether crc32 of the id as text leaves remainder ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -110,14 +123,16 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Arra
     """
     small_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    # the text goes to Python once, even if it is kept
-    at = keep.index(text) if text in keep else len(keep)
-    rows = df.select(*[quoted(c) for c in keep], *([] if at < len(keep) else [quoted(text).cast("string").alias(text)]))
-    added = StructType.fromDDL(fields)
-    schema = StructType([df.schema[c] for c in keep]).add(name, added)
-    names, field_names = [*keep, name], added.fieldNames()
     n = len(keep)
+    # plain names on the way, as a name may hold dots; the text goes to Python once, even if it is kept
+    at = keep.index(text) if text in keep else n
+    columns = [quoted(c).alias(f"c{k}") for k, c in enumerate(keep)] + ([] if at < n else [quoted(text).cast("string").alias(f"c{n}")])
+    added = StructType.fromDDL(fields)
+    schema = StructType()
+    for k, c in enumerate(keep):
+        schema.add(f"c{k}", df.schema[c].dataType)
+    schema.add("found", added)
+    names, field_names = schema.fieldNames(), added.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worked_out = make()
@@ -127,4 +142,5 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Arra
                 found = pa.StructArray.from_arrays(worked_out(part.column(at)), field_names)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], found], names)
 
-    return rows.mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema).select(
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.col("found").alias(name))

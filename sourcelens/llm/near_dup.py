@@ -21,18 +21,19 @@ groups whose copies are like a middle one only), all members of different
 classes then meet, in blocks of at most about ``2 CHUNK`` rows.  There a bound
 that loses no pair goes first: where the k-mers' parity bitmaps differ in more
 bits than two alike sequences can, the pair is not alike.  The rest is aligned.
-This step is quadratic in such a bucket's members of like length, in bitmap
-comparisons but not in rows.  Links become classes by alternating large-star
+This step is quadratic in such a bucket's members of like length: in bitmap
+comparisons, and in rows by a ``CHUNK``-th of that.  Links become classes by alternating large-star
 and small-star steps on id pairs, each step written to the shared folder.  Only
-documents in a bucket of two or more have their texts shuffled, once.  Joins on
-hot keys are split by Spark (they stand alone above their exchanges).
+documents in a bucket of two or more have their texts shuffled, once.  What a hot
+key is joined with is written first, so that the join stands alone above its
+exchanges and Spark splits it.
 
 Defined cases: documents of fewer than K words are duplicates only if all
 their words are equal; a null text or one without words is a class of its own
 for each id; rows with equal ids and texts get a row each with one class; a
 null id comes back with a null class and equals nothing; an empty table gives
 no rows; other columns are ignored; texts are read whole, whatever their
-length.
+length.  Of an id with several texts each row has the class of its own text.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, text_slices, written
+from .common import quoted, small_batches, text_bytes, text_slices, written
 
 K = 5
 SIMILARITY = 0.8
@@ -52,7 +53,7 @@ BANDS = 16
 ROWS = 2
 PICK = 2
 DEPTHS = (2, 3, 4, 6)    # bands that stand together in the further keys
-CHUNK = 256              # members of a large bucket in one part; two parts meet in one block
+CHUNK = 1024             # members of a large bucket in one part; two parts meet in one block
 MAP_BITS = 4             # bits of a parity bitmap for each k-mer, up to MAP_MOST in all
 MAP_MOST = 1 << 17
 SEED = 20_240_611
@@ -116,7 +117,7 @@ def kmers(words: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray
     n = np.maximum(counts - k + 1, 0)
     total = np.zeros(max(len(words) - k + 1, 0), np.uint64)
     for j in range(k):
-        total += words[j:len(words) - k + 1 + j] * U(pow(int(_BASE), j + 1, 1 << 64))
+        total += words[j:j + len(total)] * U(pow(int(_BASE), j + 1, 1 << 64))
     ends = np.cumsum(counts)
     inside = np.ones(len(total), bool)
     drop = (ends[:-1][:, None] - np.arange(1, k)[None]).ravel()
@@ -216,20 +217,23 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def kmer_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the k-mer sequence of its text, 4 bytes each."""
+    """The fingerprint of each text and its k-mer sequence, 4 bytes each."""
+    names = ["f1", "f2", "n_words", "kmers"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for lo, hi in text_slices(batch.column(1)):
+            data, offsets = text_bytes(batch.column(0))
+            for lo, hi in text_slices(batch.column(0)):
                 with np.errstate(over="ignore"):
-                    hashes, n = kmers(*word_hashes(data, offsets[lo:hi + 1]))
+                    words, counts = word_hashes(data, offsets[lo:hi + 1])
+                    f1, f2 = fingerprints(words, counts)
+                    hashes, n = kmers(words, counts)
                 raw = (hashes >> U(32)).astype("<u4").tobytes()
                 ends = np.cumsum(n) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([raw[e - 4 * k:e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
-                    ["doc_id", "kmers"])
+                cut = pa.array([raw[e - 4 * k:e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array(counts, pa.int64()), cut], names)
 
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, kmers binary")
+    return docs.select(F.lower("text").alias("text")).mapInArrow(run, "f1 long, f2 long, n_words long, kmers binary")
 
 
 def banded_matches(a: np.ndarray, b: np.ndarray, width: int) -> int:
@@ -305,8 +309,8 @@ def verified(pairs: DataFrame, kmer: DataFrame, similarity: float = SIMILARITY)
                 keep.append(alike(x, y, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = (pairs.join(kmer.select(F.col("doc_id").alias("b"), F.col("kmers").alias("kb")), "b")
-              .join(kmer.select(F.col("doc_id").alias("a"), F.col("kmers").alias("ka")), "a"))
+    joined = (pairs.join(kmer.select(F.col("rep").alias("b"), F.col("kmers").alias("kb")), "b")
+              .join(kmer.select(F.col("rep").alias("a"), F.col("kmers").alias("ka")), "a"))
     return joined.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
@@ -316,9 +320,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # leaders are written first, so that the join on a hub stands alone and Spark can split it
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "leaders")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "leaders")
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = written(small.where("u <> v").distinct(), "small-star")
@@ -334,8 +339,8 @@ def components(links: DataFrame) -> DataFrame:
 def _met(keyed: DataFrame) -> DataFrame:
     """Members of the buckets of two or more, with their bucket's smallest and largest id as leaders."""
     leader = lambda pick, by: F.struct(pick("rep").alias("rep"), by("n", "rep").alias("n"))
-    leaders = (keyed.groupBy("key").agg(F.array(leader(F.min, F.min_by), leader(F.max, F.max_by)).alias("leaders"), F.count(F.lit(1)).alias("c"))
-               .where("c > 1").drop("c"))
+    leaders = written(keyed.groupBy("key").agg(F.array(leader(F.min, F.min_by), leader(F.max, F.max_by)).alias("leaders"), F.count(F.lit(1)).alias("c"))
+                      .where("c > 1").drop("c"), "bucket-leaders")
     return keyed.join(leaders, "key").select("key", "rep", "n", "band", "leaders")
 
 
@@ -383,7 +388,9 @@ def may_be_alike(n: np.ndarray, classes: np.ndarray, side: np.ndarray, maps: lis
 def _unmet(members: DataFrame, classes: DataFrame, kmer: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) and their classes: members of a bucket that are in different classes and may be alike."""
     members = members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    members = written(members, "members")
+    several = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+                      .where("lo < hi"), "mixed-buckets")
     mixed = written(members.join(several.select("key", "c"), "key"), "mixed")
     small = mixed.where(F.col("c") <= CHUNK).select("rep", "n", "class", F.col("key").alias("block"), F.lit(0).alias("side"))
     # large buckets by length, where only equal and following steps can be alike, and each length in parts
@@ -427,7 +434,7 @@ def _unmet(members: DataFrame, classes: DataFrame, kmer: DataFrame, similarity:
         if rest:
             yield block(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
-    bitmaps = kmer.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(maps, "rep long, map binary")
+    bitmaps = kmer.join(mixed.select("rep").distinct(), "rep", "left_semi").select("rep", "kmers").mapInArrow(maps, "rep long, map binary")
     return (small.unionByName(large).join(bitmaps, "rep").select("block", "side", "rep", "n", "class", "map")
             .repartition("block").sortWithinPartitions("block")
             .mapInArrow(meet, "a long, b long, a_class long, b_class long").where("a < b").distinct())
@@ -439,7 +446,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     sketch = written(sketch_documents(docs), "sketches")
     full = sketch.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
-    reps = written(full.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
+    # one row for each different word sequence, with a number of its own: one id may have several texts
+    text = ["f1", "f2", "n_words"]
+    reps = written(full.groupBy(*text).agg(F.min("doc_id").alias("first_id"), F.min_by("bands", "doc_id").alias("bands"))
+                   .withColumn("rep", F.monotonically_increasing_id()), "representatives")
     bands = reps.where(F.size("bands") > 0).select("rep", (F.col("n_words") - K + 1).alias("n"), "bands")
     one = written(_met(bands.select("rep", "n", F.posexplode("bands").alias("band", "key"))), "buckets")
     # the same with keys of several bands, for the members of a bucket whose leaders aren't like them
@@ -450,8 +460,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float =
     pairs = written(one.unionByName(_met(deep)).select("rep", "n", F.explode("leaders").alias("l"))
                     .where((F.col("rep") != F.col("l.rep")) & (F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")))
                     .select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct(), "pairs")
-    needed = one.select(F.col("rep").alias("doc_id")).distinct()
-    kmer = written(kmer_table(docs.join(needed.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "kmers")
+    needed = written(reps.select(*text, "rep", F.col("first_id").alias("doc_id")).join(one.select("rep").distinct(), "rep"), "needed")
+    kmer = kmer_table(docs.join(needed.select("doc_id").hint("merge"), "doc_id", "left_semi")).dropDuplicates(text)
+    kmer = written(kmer.join(needed.select(*text, "rep"), text).select("rep", "kmers"), "kmers")
     first = written(components(verified(pairs, kmer, similarity)), "classes")
     # the buckets whose members aren't in one class yet
     unmet = written(_unmet(one.select("key", "rep", "n"), first, kmer, similarity), "unmet")
@@ -460,13 +471,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float =
     # a class of one document isn't in ``first``
     classes = written(first.join(joined, "class", "left").select("id", F.coalesce("to", "class").alias("class")).union(
         joined.select(F.col("class").alias("id"), F.col("to").alias("class")).join(first, "id", "left_anti")), "classes")
-    by_text = reps.join(classes, reps["rep"] == classes["id"], "left").select("f1", "f2", "n_words", F.coalesce("class", "rep").alias("class_id"))
-    return (sketch.join(by_text, ["f1", "f2", "n_words"], "left")
+    # a class is named after its smallest document id
+    whole = written(reps.join(classes, reps["rep"] == classes["id"], "left").select(*text, "first_id", F.coalesce("class", "rep").alias("class")), "by-text")
+    named = written(whole.groupBy("class").agg(F.min("first_id").alias("class_id")), "class-names")
+    by_text = whole.join(named, "class").select(*text, "class_id")
+    return (sketch.join(by_text, text, "left")
             .select("doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
             .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without all but the smallest id of each class; rows without an id stay."""
+    """``docs`` without all but the smallest id of each class; rows without an id stay.  Of rows that share an id one
+    stays, that with the smallest hash of its text."""
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    columns = [quoted(c) for c in docs.columns]
+    one = docs.join(kept, id_col, "left_semi").groupBy(F.col(id_col)).agg(
+        F.min_by(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]), F.xxhash64("text")).alias("row"))
+    one = one.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return one.union(docs.where(F.col(id_col).isNull()).select(*columns))

@@ -182,6 +182,26 @@ def test_odd_tables(odd_docs, no_docs):
     assert N.near_duplicates(no_docs).count() == 0
 
 
+def test_batches_of_fewer_words_than_a_run():
+    for n in range(7):
+        with np.errstate(over="ignore"):
+            hashes, counts = N.kmers(np.arange(n, dtype=np.uint64), np.array([n]))
+        assert len(hashes) == counts.sum() == max(0, n - 4)
+
+
+def test_one_id_with_several_texts_loses_no_link(spark):
+    r = random.Random(7)
+    a, b = ([f"{x}{r.randint(0, 500)}" for _ in range(80)] for x in "ab")
+    near = lambda w: w[:40] + ["other"] + w[41:]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, near(near(b))), (9, ["alone"] * 3)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((x.doc_id, x.class_id) for x in N.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (9, 9)]
+    kept = sorted((x.doc_id, x.text) for x in N.keep_one(docs, N.near_duplicates(docs)).collect())
+    assert [i for i, _ in kept] == [1, 9]
+    assert kept == sorted((x.doc_id, x.text) for x in N.keep_one(docs.repartition(3), N.near_duplicates(docs)).collect())
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_components_of_a_path(spark, n):
     links = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
