@@ -96,7 +96,9 @@ def pack(docs: DataFrame, length: Column | None = None, token_budget: int = TOKE
          n_buckets: int = N_BUCKETS, rows_per_salt: int = ROWS_PER_SALT, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, bucket, boundary, batch_id (unique over all buckets), slot (from 0)."""
     length = word_count(F.col("text")) if length is None else length
-    lengths = written(docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("n_tokens")), "lengths")
+    # each row has a number of its own, so that repeated and null ids are spread over the salts as well
+    lengths = written(docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("n_tokens"))
+                      .withColumn("row", F.monotonically_increasing_id()), "lengths")
     buckets = plan_buckets(lengths, n_buckets)
     if not buckets:
         return lengths.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("boundary"),
@@ -114,11 +116,11 @@ def pack(docs: DataFrame, length: Column | None = None, token_budget: int = TOKE
         return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
 
     salted = (lengths.withColumn("bucket", bucket)
-              .withColumn("salt", F.pmod(F.xxhash64("doc_id"), of_bucket([-(-b.rows // rows_per_salt) for b in buckets]))))
+              .withColumn("salt", F.pmod(F.xxhash64("row"), of_bucket([-(-b.rows // rows_per_salt) for b in buckets]))))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (salted.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("c"))
                .select("bucket", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset")))
-    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "n_tokens")))
+    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "n_tokens", "row")))
     rank = F.col("offset") + F.col("rn") - 1
     cap = of_bucket(capacity)
     return (ranked.join(offsets, ["bucket", "salt"])

@@ -65,3 +65,12 @@ def test_odd_tables(odd_docs, no_docs):
     long = K.pack(odd_docs, token_budget=100).where("n_tokens > 100").collect()
     assert long and all(r.slot == 0 for r in long)
     assert K.pack(no_docs).count() == 0
+
+
+def test_rows_of_one_id_are_spread_over_the_salts(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    for of in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        rows = K.pack(of, token_budget=30, rows_per_salt=100).collect()
+        assert len({(r.batch_id, r.slot) for r in rows}) == 3000 and {r.batch_id for r in rows} == set(range(300))
+        salts = of.withColumn("row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("row"), F.lit(30))).count()
+        assert salts.agg(F.max("count")).first()[0] < 200

@@ -43,3 +43,13 @@ def test_odd_tables(spark, odd_docs, no_docs):
             assert new.columns == docs.columns
             docs = new
         assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == docs.count()
+
+
+def test_further_columns_of_any_name_are_carried_along(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).selectExpr(
+        "*", "doc_id AS `a.b`", "source AS __found", "n_chars AS `row`", "lang AS `q``x`", "1.5 AS rep", "doc_id AS class_id", "'k' AS `found`")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        new = written(stage(spark, docs, SF), "test-stage")
+        assert new.columns == docs.columns and new.where("doc_id <> `a.b` OR source <> __found OR lang <> `q``x`").count() == 0
+        docs = new
+    assert docs.count() > 20 and corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == docs.count()
