@@ -3,8 +3,9 @@
 Language and quality are worked out beside each row, so these stages shuffle no texts; near duplicates leave one
 document of each class; personal data is replaced in place; packing returns the batches.
 
-Defined cases: rows that share an id are one document and come out of the third stage once; rows without an id
-are judged by their text and never near duplicates; further columns of documents are carried along; a null text
+Defined cases: rows that share an id are one document and come out of the third stage once, with the text of the
+smallest hash; rows without an id are judged by their text and never near duplicates; further columns of documents,
+whatever their names, are carried along; a null text
 has no language and goes at the first stage; an empty table gives no rows.
 """
 
@@ -15,23 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelens.llm import lang_id, near_dup, packing, pii, quality_cnn
-from sourcelens.llm.common import table, written
+from sourcelens.llm.common import free_name, quoted, table, written
 
 LEAST_POSTERIOR = 0.5
-FOUND = "__found"     # the column that a stage adds and drops
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no language with half of the posterior."""
-    found = lang_id.with_language(docs, public_tokenizers.path("piece_bpe_32k.model"), FOUND)
-    good = (F.col(f"{FOUND}.lang_pred") != lang_id.UNKNOWN) & (F.col(f"{FOUND}.score") >= LEAST_POSTERIOR)
-    return found.where(good).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = lang_id.with_language(docs, public_tokenizers.path("piece_bpe_32k.model"), name)
+    good = (F.col(f"{name}.lang_pred") != lang_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_POSTERIOR)
+    return found.where(good).select(*map(quoted, docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier doesn't accept."""
-    found = quality_cnn.with_quality(docs, table(spark, sf_dir, "labels"), FOUND)
-    return found.where(F.col(f"{FOUND}.predicted") == 1).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = quality_cnn.with_quality(docs, table(spark, sf_dir, "labels"), name)
+    return found.where(F.col(f"{name}.predicted") == 1).select(*map(quoted, docs.columns))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +43,11 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets in the text."""
-    found = pii.with_surrogates(docs, name=FOUND)
-    text = F.col(f"{FOUND}.text")
+    name = free_name(docs, "found")
+    found = pii.with_surrogates(docs, name=name)
+    text = F.col(f"{name}.text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, quoted(c)).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
