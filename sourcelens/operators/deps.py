@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import explode_rows
 from ..functions.rules import EXTERNAL_LIBRARIES
+from ..session import written
 from . import extract as E
 from .rank import top_k
 
@@ -52,28 +53,50 @@ def _stems(analyzed: DataFrame) -> DataFrame:
     return analyzed.select("repo", stem.alias("stem")).distinct()
 
 
+GRAM = 3
+
+
+def _module_grams(mods: DataFrame) -> DataFrame:
+    """``repo, module, gram``: the distinct strings of 0 to ``GRAM`` characters inside each module."""
+    chars = F.regexp_extract_all("module", F.lit("(?s)."), F.lit(0))
+    d = mods.select("repo", "module", chars.alias("c1"))
+    for k in range(2, GRAM + 1):
+        n = F.size(f"c{k - 1}")
+        longer = F.when(n > 1, F.zip_with(F.slice(f"c{k - 1}", F.lit(1), n - 1), F.slice("c1", F.lit(k), n - 1), lambda a, c: F.concat(a, c))) \
+            .otherwise(F.array().cast("array<string>"))
+        d = d.select("*", longer.alias(f"c{k}"))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[F.col(f"c{k}") for k in range(1, GRAM + 1)]))
+    return explode_rows(d, every, "gram", "repo", "module")
+
+
+def _stem_grams(stems: DataFrame, grams: DataFrame) -> DataFrame:
+    """``repo, stem, gram``: for each stem the string to look it up by, the one of its ``GRAM``-character strings that the
+    fewest modules of its repository hold; a shorter stem is looked up whole.  A stem with a string that no module
+    holds is in none of them and has no row."""
+    n = F.length("stem")
+    parts = F.array_distinct(F.when(n <= GRAM, F.array("stem")).otherwise(
+        F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(F.col("stem"), i, GRAM))))
+    of_stem = explode_rows(stems.select("*", parts.alias("parts")), "parts", "gram", "repo", "stem", F.size("parts").alias("n"))
+    holders = grams.join(of_stem.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi") \
+        .groupBy("repo", "gram").agg(F.count(F.lit(1)).alias("modules"))
+    return (of_stem.join(holders, ["repo", "gram"]).groupBy("repo", "stem")
+            .agg(F.min(F.struct("modules", "gram")).alias("rarest"), F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+            .where("found = n").select("repo", "stem", F.col("rarest.gram").alias("gram")))
+
+
 def internal_dep_edges(analyzed: DataFrame) -> DataFrame:
     """E1 (uncapped): every import whose module contains the stem of a file of
     the same repository.
 
-    Instead of pairing every module with every stem of its repository, each
-    distinct module is expanded into its substrings up to the longest stem
-    length of its repository, and those are equi-joined with the distinct
-    stems.  The work per module is bounded by its own length, not by the
-    size of the repository.
+    A substring join by rare grams: each distinct module gives its strings of
+    up to three characters (in proportion to its length), each distinct stem
+    the one of its own that the fewest modules hold; modules and stems meet by
+    an equi-join on that string, and ``contains`` decides.
     """
     imps = E.imports(analyzed).select("repo", "path", "ord", "module")
-    stems = _stems(analyzed)
-    max_len = stems.groupBy("repo").agg(F.max(F.length("stem")).alias("max_len"))
-    mods = imps.select("repo", "module").distinct().join(max_len, "repo")
-    n = F.length("module")
-    subs = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.least(F.col("max_len"), n)),
-        lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(
-            F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("module"), i, k)))
-    )))
-    cand = explode_rows(mods, subs, "stem", "repo", "module")
-    matched = cand.join(stems, ["repo", "stem"], "left_semi").select("repo", "module").distinct()
+    grams = written(_module_grams(imps.select("repo", "module").distinct()), "module-grams")
+    keyed = _stem_grams(_stems(analyzed), grams)
+    matched = grams.join(keyed, ["repo", "gram"]).where(F.contains("module", "stem")).select("repo", "module").distinct()
     return imps.join(matched, ["repo", "module"], "left_semi")
 
 

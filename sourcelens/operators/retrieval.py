@@ -235,18 +235,22 @@ def search(index: Index, questions: DataFrame, k: int = 5, min_similarity: float
     keys = index.keys
     qv = query_vectors(index, questions, id_col, text_col, stop_words)
     blocks = question_blocks(questions, text_col, block_bytes)
+    # questions get numbers, so that scores are summed under two long keys
+    qv = written(qv, "question-vectors")
+    numbers = written(qv.select(*keys, "qid").distinct().withColumn("qn", F.monotonically_increasing_id()), "question-numbers")
+    numbered = written(qv.join(numbers, [*keys, "qid"]).select(*keys, "term", "qn", "qw"), "questions")
     postings = index.postings.repartition(*[F.col(c) for c in (*keys, "doc_id")])
     found = None
     for block in range(blocks):
-        part = qv if blocks == 1 else qv.where(F.pmod(F.xxhash64(*keys, "qid"), F.lit(blocks)) == block)
+        part = numbered if blocks == 1 else numbered.where(F.pmod("qn", F.lit(blocks)) == block)
         scores = (postings.join(F.broadcast(part), [*keys, "term"])
-                  .groupBy(*keys, "doc_id", "qid").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")))
+                  .groupBy("doc_id", "qn").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")))
         if min_similarity is not None:
             # a score that isn't over the threshold ranks after all that are
             scores = scores.where(F.col("score") > min_similarity)
         found = scores if found is None else found.unionByName(scores)
-    ranked = top_k(found, [*keys, "qid"], [F.desc("score"), F.col("doc_id")], k, rank_col="rank")
-    return ranked.select(*keys, "qid", "doc_id", "rank", "score")
+    ranked = top_k(found, ["qn"], [F.desc("score"), F.col("doc_id")], k, rank_col="rank")
+    return ranked.join(numbers, "qn").select(*keys, "qid", "doc_id", "rank", "score")
 
 
 def _band(score: Column, hi: float, mid: float) -> Column:

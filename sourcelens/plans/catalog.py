@@ -562,6 +562,11 @@ def q_changed_files(spark, sf):
     return SNAP.changed_files(next_corpus(old), old)
 
 
+def kb_index(spark, sf) -> RT.Index:
+    """One knowledge base per repository, built once per session."""
+    return shared(spark, sf, "kb_index", lambda: RT.build_index(knowledge_base(spark, sf), group="repo"))
+
+
 def kb_questions(analyzed_df: DataFrame) -> DataFrame:
     """Questions about each repository's own API, derived from its API surface."""
     api = DOC.api_surface(analyzed_df).where(F.col("kind") != "none")
@@ -574,9 +579,7 @@ def kb_questions(analyzed_df: DataFrame) -> DataFrame:
                                    ["kb_hits"]))
 def q_kb_search(spark, sf):
     """H5 over one knowledge base per repository (the analysed tool's own use)."""
-    an = analyzed(spark, sf)
-    idx = RT.build_index(knowledge_base(spark, sf), group="repo")
-    hits = RT.search(idx, kb_questions(an))
+    hits = RT.search(kb_index(spark, sf), kb_questions(analyzed(spark, sf)))
     return hits.withColumn("score", F.round("score", 6))
 
 
