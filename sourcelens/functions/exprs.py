@@ -87,21 +87,23 @@ def posexplode_rows(df, arr: Column | str, pos_alias: str, alias: str, *keep) ->
             .where(F.col(alias).isNotNull()))
 
 
-def match_spans(content: Column, lang: Column, table: dict[str, str]) -> tuple[Column, Column]:
+SEGMENTS = "array<struct<l:int,n:int,head:string>>"
+
+
+def match_spans(content: Column, lang: Column, table: dict[str, str], head: int | None = None) -> tuple[Column, Column]:
     """Per-language matches and the split segments around them.
 
     Returns ``(matches, segs)``: ``matches`` is every match text in order;
     ``segs`` holds ``struct(l, n)`` = (length, newline count) of the text
-    between matches (one more element than ``matches``).  Unknown languages
-    give empty arrays.
+    between matches (one more element than ``matches``); with ``head`` also the
+    first so many characters of it.  Unknown languages give empty arrays.
     """
     empty_s = F.array().cast("array<string>")
     matches = by_language(lang, table, lambda p: F.regexp_extract_all(content, F.lit(p), 0), empty_s)
+    fields = lambda s: [F.length(s).alias("l"), newlines(s).alias("n")] + ([F.substring(s, 1, head).alias("head")] if head else [])
     segs = by_language(
-        lang, table,
-        lambda p: F.transform(F.split(content, p, -1),
-                              lambda s: F.struct(F.length(s).alias("l"), newlines(s).alias("n"))),
-        F.array().cast("array<struct<l:int,n:int>>"))
+        lang, table, lambda p: F.transform(F.split(content, p, -1), lambda s: F.struct(*fields(s))),
+        F.array().cast(SEGMENTS if head else "array<struct<l:int,n:int>>"))
     return matches, segs
 
 
@@ -137,6 +139,46 @@ def _prefix_sums(items: Column, fields: tuple[str, ...]) -> Column:
     return F.when(F.size(items) > 0, let(width, sums)).otherwise(empty)
 
 
+def braces(content: Column) -> tuple[Column, Column]:
+    """The braces of a text and the segments around them, for ``brace_depths``."""
+    return (F.regexp_extract_all(content, F.lit("[{}]"), F.lit(0)),
+            F.transform(F.split(content, "[{}]", -1), lambda s: F.struct(F.length(s).alias("l"), newlines(s).alias("n"))))
+
+
+def brace_depths(found: Column, segs: Column) -> Column:
+    """For each brace its 0-based position, line, step (1 or -1) and the depth after it."""
+    spans = F.zip_with(found, F.slice(segs, F.lit(1), F.size(found)), lambda b, s: F.struct(
+        s["l"].alias("l"), s["n"].alias("n"), (s["l"] + 1).alias("chars"), s["n"].alias("lines"),
+        F.when(b == "{", 1).otherwise(-1).alias("step")))
+    return let(spans, lambda items: F.zip_with(items, _prefix_sums(items, ("chars", "lines", "step")), lambda x, p: F.struct(
+        (p["chars"] + x["l"]).alias("pos"), (F.lit(1) + p["lines"] + x["n"]).alias("line"), x["step"].alias("step"),
+        (p["step"] + x["step"]).alias("depth"))))
+
+
+def next_in_order(points: Column, queries: Column, body: Callable[[Column], Column]) -> Column:
+    """For each query the first point that comes after it: one sort of both, no search for each.
+
+    ``points`` are structs of ``g`` (a group), ``at`` and further fields; ``queries`` structs of ``g`` and ``at``.  A
+    point at a query's own ``at`` doesn't come after it.  ``body`` gets the array of found points (null where the
+    group has none left), in the order of the queries.
+    """
+    both = F.concat(
+        F.transform(points, lambda p, i: F.struct(p["g"].alias("g"), p["at"].alias("at"), F.lit(0).alias("kind"), i.alias("i"))),
+        F.transform(queries, lambda q, i: F.struct(q["g"].alias("g"), q["at"].alias("at"), F.lit(1).alias("kind"), i.alias("i"))))
+
+    def found(merged: Column) -> Column:
+        order = F.filter(merged, lambda e: e["kind"] == 0)
+        asked = F.filter(F.transform(merged, lambda e, k: F.struct(e["i"].alias("i"), e["g"].alias("g"), e["kind"].alias("kind"), k.alias("k"))),
+                         lambda e: e["kind"] == 1)
+
+        def of_queries(points_in_order: Column) -> Column:
+            hit = F.transform(asked, lambda q, j: let(F.get(points_in_order, q["k"] - j), lambda p: F.struct(
+                q["i"].alias("i"), F.when(p["g"] == q["g"], F.get(points, p["i"])).alias("p"))))
+            return F.transform(F.array_sort(hit), lambda h: h["p"])
+        return let(order, lambda points_in_order: let(of_queries(points_in_order), body))
+    return let(F.array_sort(both), found)
+
+
 def positioned(matches: Column, segs: Column) -> Column:
     """Attach 0-based start offset and 1-based line number to each match.
 

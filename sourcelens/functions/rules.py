@@ -128,8 +128,6 @@ VARIABLE_CAP = 15
 DOCSTRING_CAP = 5
 METHOD_CAP = 5
 BODY_PREVIEW_CHARS = 200
-PYTHON_BODY_LINES = 10
-BRACE_BODY_CHARS = 501
 
 ENTRY_POINT_WORDS = ["main", "index", "app", "server"]
 TEST_PATH_WORDS = ["test", "spec"]

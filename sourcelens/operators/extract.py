@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.rules import (
-    BODY_PREVIEW_CHARS, BRACE_BODY_CHARS, COMMENT_CAP, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
+    BODY_PREVIEW_CHARS, COMMENT_CAP, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
     DOC_BLOCK_PATTERN, DOCSTRING_CAP, DOCSTRING_PATTERN, IMPORT_CAP, METHOD_CAP, NOT_FUNCTION_NAMES,
-    PYTHON_BODY_LINES, TEST_CONTENT_WORDS, UNICODE_WORD, VARIABLE_CAP, LanguageRules,
+    TEST_CONTENT_WORDS, UNICODE_WORD, VARIABLE_CAP, LanguageRules,
 )
 
 KEYWORD_PATTERN = ("(?<!" + UNICODE_WORD + ")(?:" + "|".join(CONTROL_KEYWORDS) + ")(?!" + UNICODE_WORD + ")")
@@ -31,43 +31,66 @@ def _tables(rules: LanguageRules) -> dict[str, dict[str, str]]:
             "cmt": rules.comments, "var": rules.variables, "doc": {"python": DOCSTRING_PATTERN}}
 
 
-def _python_candidates(content: Column, lines: Column, end0: Column, end_line: Column) -> Column:
-    """Rest of the ``def`` header line plus the next nine whole lines.
+_AROUND = 128      # pieces of text after a header that hold more than a preview, however short
 
-    Taken from the per-file line array, so no copy of the file tail is made.
+
+def _tails(matches: Column, heads: Column) -> Column:
+    """For each match the first characters of the text after it, one more than a preview has.
+
+    Put together from the text between matches (``heads``, cut to that length) and the next matches, so no copy of
+    the file is searched from its start.
     """
-    head_len = F.length(F.element_at(lines, end_line))
-    first = F.substring_index(content.substr(end0 + 1, head_len + 1), "\n", 1)
-    return F.concat(F.array(first), F.slice(lines, end_line + 1, PYTHON_BODY_LINES - 1))
+    most = BODY_PREVIEW_CHARS + 1
+    pieces = F.flatten(F.zip_with(matches, F.slice(heads, F.lit(2), F.size(matches)), lambda m, h: F.array(F.substring(m, 1, most), h)))
+    return X.let(pieces, lambda ps: F.transform(matches, lambda _, i: F.substring(
+        F.array_join(F.slice(ps, i * 2 + 2, _AROUND - 1), ""), 1, most)))
 
 
-def _python_body(f: Column) -> Column:
-    """Indented block after a ``def`` header, at most 10 lines: it ends before
-    the first non-blank line indented less than the first non-blank line.
+def _brace_ends(fns: Column, brc: Column) -> Column:
+    """For each function the brace that closes its body (position, line), by the depths of all braces of the file.
 
-    ``f`` carries ``cand`` (candidate lines), ``info`` (blank flag, indent)
-    and ``nb`` (non-blank positions) computed in earlier passes, so the
-    lambdas below only read fields.
+    A body that is open after its header (depth 1) or not (0) ends with the first brace that brings the depth back
+    to that before it.  Functions stand in order, so one sort with the braces gives the depth before each, and a
+    second one, by depth and position, the closing brace.
     """
-    first_nb = F.element_at(f["nb"], 1)
-    stops = F.filter(f["nb"], lambda i: (i > first_nb)
-                     & (F.element_at(f["info"], i)["ind"] < F.element_at(f["info"], first_nb)["ind"]))
-    k = F.when(F.size(stops) > 0, F.element_at(stops, 1) - 1).otherwise(F.size(f["cand"]))
-    return F.array_join(F.slice(f["cand"], 1, k), "\n")
-
+    merged = F.array_sort(F.concat(
+        F.transform(brc, lambda b: F.struct(b["pos"].alias("at"), F.lit(1).alias("kind"))),
+        F.transform(fns, lambda f: F.struct(f["end0"].alias("at"), F.lit(0).alias("kind")))))
+    place = F.filter(F.transform(merged, lambda e, k: F.struct(e["kind"].alias("kind"), k.alias("k"))), lambda e: e["kind"] == 0)
+    queries = X.let(place, lambda at: F.transform(fns, lambda f, i: F.struct(
+        (F.coalesce(F.get(brc, F.get(at, i)["k"] - i - 1)["depth"], F.lit(0)) - F.when(f["opens"], 1).otherwise(0)).alias("g"),
+        (f["end0"] - 1).alias("at"))))
+    closing = F.transform(F.filter(brc, lambda b: b["step"] < 0), lambda b: F.struct(
+        b["depth"].alias("g"), b["pos"].alias("at"), b["line"].alias("line")))
+    return X.let(queries, lambda q: X.let(closing, lambda c: X.next_in_order(c, q, lambda found: found)))
+
+
+def _indent_ends(fns: Column, lines: Column) -> Column:
+    """For each function the line before which its indented block ends (null: it goes on to the end of the file): the
+    first non-blank line indented less than the first non-blank one.
+
+    ``fns`` carry the rest of their header line.  Every indentation that a body starts with is a group of the lines
+    indented less; a file has few (k different ones take k * k / 2 characters).
+    """
+    full = F.filter(F.transform(lines, lambda l, i: F.struct(
+        (i + 1).alias("at"), X.has_text(l).alias("t"), X.leading_ws_len(l).alias("ind"))), lambda l: l["t"])
 
-def _brace_body(window: Column, opens: Column) -> Column:
-    """Text after the header up to the brace that closes the body (≤ 501 chars)."""
-    init = F.struct(F.when(opens, 1).otherwise(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("cut"))
+    def block(full: Column) -> Column:
+        points = F.transform(full, lambda l: F.struct(F.lit(0).alias("g"), l["at"].alias("at"), l["ind"].alias("ind")))
+        after = F.transform(fns, lambda f: F.struct(F.lit(0).alias("g"), f["end_line"].alias("at")))
 
-    def step(s: Column, ch: Column) -> Column:
-        done = s["cut"] > 0
-        d = (F.when(done, s["d"]).when(ch == "{", s["d"] + 1).when(ch == "}", s["d"] - 1).otherwise(s["d"]))
-        cut = F.when(done, s["cut"]).when((ch == "}") & (s["d"] - 1 == 0), s["i"] + 1).otherwise(0)
-        return F.struct(d.alias("d"), (s["i"] + 1).alias("i"), cut.alias("cut"))
+        def ends(first: Column) -> Column:
+            queries = F.transform(fns, lambda f, i: F.struct(
+                F.when(X.has_text(f["rest"]), X.leading_ws_len(f["rest"])).otherwise(F.coalesce(F.get(first, i)["ind"], F.lit(0))).alias("g"),
+                f["end_line"].alias("at")))
 
-    res = F.aggregate(F.split(window, ""), init, step)
-    return F.when(res["cut"] > 0, window.substr(F.lit(1), res["cut"])).otherwise(window)
+            def by_level(q: Column) -> Column:
+                less = F.flatten(F.transform(F.array_distinct(F.transform(q, lambda x: x["g"])), lambda level: F.transform(
+                    F.filter(full, lambda l: l["ind"] < level), lambda l: F.struct(level.alias("g"), l["at"].alias("at")))))
+                return X.let(less, lambda p: X.next_in_order(p, q, lambda found: F.transform(found, lambda x: x["at"])))
+            return X.let(queries, by_level)
+        return X.let(points, lambda p: X.let(after, lambda q: X.next_in_order(p, q, ends)))
+    return X.let(full, block)
 
 
 def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame:
@@ -87,9 +110,16 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
     # does in the analysed tool; its metrics stay null (excluded by ``valid``).
     empty_s = F.array().cast("array<string>")
     for job in _POSITIONED:
-        m, s = X.match_spans(content, lang, tables[job])
+        m, s = X.match_spans(content, lang, tables[job], BODY_PREVIEW_CHARS + 1 if job == "fn" else None)
         stage1 += [F.coalesce(m, empty_s).alias(f"{job}_m"),
-                   F.coalesce(s, F.array().cast("array<struct<l:int,n:int>>")).alias(f"{job}_s")]
+                   F.coalesce(s, F.array().cast(X.SEGMENTS if job == "fn" else "array<struct<l:int,n:int>>")).alias(f"{job}_s")]
+    # the text from each class header to the next
+    cls_w = X.by_language(lang, tables["cls"], lambda p: F.split(content, p, -1), empty_s)
+    stage1.append(F.coalesce(cls_w, empty_s).alias("cls_w"))
+    is_py = lang == "python"
+    has_braces = ~is_py & F.contains(content, F.lit("{"))
+    for name, part in zip(("brc_m", "brc_s"), X.braces(content)):
+        stage1.append(F.when(has_braces, part).alias(name))
     for job in _PLAIN:
         m = X.by_language(lang, tables[job], lambda p: F.regexp_extract_all(content, F.lit(p), 0), empty_s)
         stage1.append(F.coalesce(m, empty_s).alias(f"{job}_m"))
@@ -97,60 +127,55 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
     df = files.select(*stage1)
 
     # Stage 2: positions of every match.
-    stage2 = [F.col(c) for c in ("repo", "path", "language", "content", "lines", "imp_m", "var_m")]
+    stage2 = [F.col(c) for c in ("repo", "path", "language", "content", "lines", "imp_m", "var_m", "cls_w")]
+    stage2.append(F.when(F.size("fn_m") > 0, _tails(F.col("fn_m"), F.col("fn_s.head"))).alias("tails"))
+    stage2.append(F.coalesce(X.brace_depths(F.col("brc_m"), F.col("brc_s")), F.array().cast("array<struct<pos:int,line:int,step:int,depth:int>>")).alias("brc"))
     stage2 += [X.positioned(F.col(f"{j}_m"), F.col(f"{j}_s")).alias(f"{j}_p") for j in _POSITIONED]
     df = df.select(*stage2)
 
-    # Stage 3: per-job records.
+    # Stage 3: the functions, then where each body ends.
     fn_name = lambda r: X.first_group(r["text"], lang, rules.functions)
     fns = F.filter(
-        F.transform(F.col("fn_p"), lambda r: F.struct(
+        F.transform(F.col("fn_p"), lambda r, i: F.struct(
             fn_name(r).alias("name"), r["line"].alias("line"), X.py_strip(r["text"]).alias("signature"),
             (r["start"] + F.length(r["text"])).alias("end0"),
             (r["line"] + X.newlines(r["text"])).alias("end_line"),
-            F.endswith(r["text"], F.lit("{")).alias("opens"))),
+            F.endswith(r["text"], F.lit("{")).alias("opens"),
+            F.get("tails", i).alias("tail"), F.substring_index(F.get("tails", i), "\n", 1).alias("rest"))),
         lambda f: f["name"].isNotNull() & ~F.startswith(f["name"], F.lit("_"))
         & ~(lang.isin(*CONTROL_NAME_LANGUAGES) & f["name"].isin(*NOT_FUNCTION_NAMES)))
-
-    # Function bodies in passes, each lambda reading only fields of its element.
-    is_py = lang == "python"
-    empty_lines = F.array().cast("array<string>")
-    functions = F.transform(fns, lambda f, i: F.struct(
-        i.alias("ord"), f["name"].alias("name"), f["line"].alias("line"), f["signature"].alias("signature"),
-        f["opens"].alias("opens"),
-        F.when(is_py, _python_candidates(content, F.col("lines"), f["end0"], f["end_line"]))
-         .otherwise(empty_lines).alias("cand"),
-        F.when(is_py, F.lit(None).cast("string"))
-         .otherwise(content.substr(f["end0"] + 1, F.lit(BRACE_BODY_CHARS))).alias("window")))
-    functions = F.transform(functions, lambda f: f.withField("info", F.transform(
-        f["cand"], lambda l: F.struct(X.has_text(l).alias("t"), X.leading_ws_len(l).alias("ind")))))
-    functions = F.transform(functions, lambda f: f.withField("nb", F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(f["cand"]), F.lit(1))),
-        lambda j: F.coalesce(F.try_element_at(f["info"], j)["t"], F.lit(False)))))
-    functions = F.transform(functions, lambda f: f.withField(
-        "body", F.when(is_py, _python_body(f)).otherwise(_brace_body(f["window"], f["opens"]))))
-    functions = F.transform(functions, lambda f: F.struct(
-        f["ord"].alias("ord"), f["name"].alias("name"), f["line"].alias("line"),
-        f["signature"].alias("signature"),
-        F.when(F.length(f["body"]) > BODY_PREVIEW_CHARS,
-               F.concat(F.substring(f["body"], 1, BODY_PREVIEW_CHARS), F.lit("...")))
-         .otherwise(f["body"]).alias("body_preview"),
-        F.when(F.length(f["body"]) > 0, X.newlines(f["body"]) + 1).otherwise(1).alias("estimated_lines")))
+    df = df.select("*", fns.alias("fns")).drop("fn_p", "tails")
+    df = df.select("*", F.when(~is_py & (F.size("fns") > 0), _brace_ends(F.col("fns"), F.col("brc"))).alias("closes"),
+                   F.when(is_py & (F.size("fns") > 0), _indent_ends(F.col("fns"), F.col("lines"))).alias("stops"))
+
+    def function_of(f: Column, i: Column) -> Column:
+        close, stop, n = F.get("closes", i), F.get("stops", i), F.size("lines")
+        taken = F.coalesce(stop, n + 1) - f["end_line"]
+        body = F.when(is_py, F.call_function("substring_index", f["tail"], F.lit("\n"), taken)) \
+            .otherwise(F.when(close.isNull(), f["tail"]).otherwise(F.substring(f["tail"], F.lit(1), close["at"] - f["end0"] + 1)))
+        whole = F.when(is_py, taken).otherwise(F.coalesce(close["line"], n) - f["end_line"] + 1)
+        return X.let(F.struct(body.alias("t"), whole.alias("n")), lambda b: F.struct(
+            i.alias("ord"), f["name"].alias("name"), f["line"].alias("line"), f["signature"].alias("signature"),
+            F.when(F.length(b["t"]) > BODY_PREVIEW_CHARS, F.concat(F.substring(b["t"], 1, BODY_PREVIEW_CHARS), F.lit("...")))
+             .otherwise(b["t"]).alias("body_preview"),
+            F.when(F.length(b["t"]) > 0, b["n"]).otherwise(1).alias("estimated_lines")))
+
+    functions = F.transform(F.col("fns"), function_of)
 
     method_table = {l: rules.method_pattern(l) for l in rules.classes if rules.method_pattern(l)}
 
-    def methods_of(end0: Column, next_class: Column) -> Column:
-        window = content.substr(end0 + 1, F.coalesce(next_class["start"], F.length(content)) - end0)
+    def methods_of(window: Column) -> Column:
         found = X.by_language(lang, method_table, lambda p: F.regexp_extract_all(window, F.lit(p), 0),
                               F.array().cast("array<string>"))
         names = F.transform(found, lambda m: X.first_group(m, lang, method_table))
         return F.filter(names, lambda n: n.isNotNull()
                         & ~(lang.isin(*CONTROL_NAME_LANGUAGES) & n.isin(*NOT_FUNCTION_NAMES)))
 
+    # each class reads only its own piece of the file
     classes = F.transform(F.col("cls_p"), lambda r, i: F.struct(
         i.alias("ord"), X.first_group(r["text"], lang, rules.classes, 1).alias("name"),
         r["line"].alias("line"), X.py_strip(r["text"]).alias("signature"),
-        methods_of(r["start"] + F.length(r["text"]), F.get(F.col("cls_p"), i + 1)).alias("methods")))
+        methods_of(F.get("cls_w", i + 1)).alias("methods")))
     classes = F.transform(classes, lambda c: F.struct(
         c["ord"].alias("ord"), c["name"].alias("name"), c["line"].alias("line"),
         c["signature"].alias("signature"), c["methods"].alias("methods"),
@@ -186,7 +211,7 @@ def analyze(files: DataFrame, rules: LanguageRules = DEFAULT_RULES) -> DataFrame
         "repo", "path", "language",
         F.when(content.isNull(), F.lit("unreadable content")).alias("parsing_error"),
         functions.alias("functions"), classes.alias("classes"), imports.alias("imports"),
-        F.size(fns).alias("n_functions"), F.size("cls_p").alias("n_classes"), F.size(imports).alias("n_imports"),
+        F.size("fns").alias("n_functions"), F.size("cls_p").alias("n_classes"), F.size(imports).alias("n_imports"),
         comments.alias("comments"), variables.alias("variables"), docstrings.alias("docstrings"),
         total_lines.alias("total_lines"), code_lines.alias("code_lines"),
         complexity.alias("complexity"),

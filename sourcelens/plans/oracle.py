@@ -15,13 +15,13 @@ from ..functions.exprs import render_sql, sql_str, NON_WS
 from ..functions.rules import (
     API_PAGE_TEMPLATE, ARCHITECTURE_PAGE_TEMPLATE, FILE_PAGE_TEMPLATE, SETUP_PAGE_TEMPLATE, SETUP_TEXT_TEMPLATE,
     ANSWER_HEADER, ANSWER_PROMPT_TEMPLATE, API_CLASS_BLOCK, API_FUNCTION_BLOCK, API_PROMPT_TEMPLATE, BODY_PREVIEW_CHARS,
-    BRACE_BODY_CHARS, CONFIG_PATH_WORDS, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
+    CONFIG_PATH_WORDS, CONTROL_KEYWORDS, CONTROL_NAME_LANGUAGES, DEFAULT_RULES,
     DOCSTRING_PATTERN, DOC_BLOCK_PATTERN, ENTRY_POINT_WORDS, EXTERNAL_LIBRARIES, FILE_DOC_TEMPLATE,
     FILE_INDEX_ENTRY, FILE_INDEX_TEMPLATE, FILE_PROMPT_TEMPLATE, IMPORTANT_PATH_WORDS,
     LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
     MVC_INDICATORS, NOT_FUNCTION_NAMES, NO_ANSWER_TEXT, NO_API_TEXT, NO_CLASSES_LINE, NO_DESCRIPTION,
     NO_FUNCTIONS_LINE, NO_PATTERNS_LINE, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
-    PYTHON_BODY_LINES, PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
+    PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
     TEST_CONTENT_WORDS, TEST_PATH_WORDS,
 )
 from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
@@ -143,7 +143,7 @@ cte("fn_body_py", f"""SELECT repo, path, ord, cand,
   list_filter(range(1, len(cand) + 1), lambda j: {has_text('cand[j]')}) AS nb
   FROM (SELECT repo, path, ord,
      list_concat([split_part(substr(content, end0 + 1, length(string_split(content, {NL})[end_line]) + 1), {NL}, 1)],
-                 string_split(content, {NL})[end_line + 1:end_line + {PYTHON_BODY_LINES - 1}]) AS cand
+                 string_split(content, {NL})[end_line + 1:]) AS cand
      FROM fn_t WHERE language = 'python')""", ["fn_t"])
 cte("fn_body_py2", f"""SELECT repo, path, ord, cand, nb,
   list_filter(nb, lambda j: j > nb[1] AND length(regexp_extract(cand[j], {_ws_star}))
@@ -158,7 +158,7 @@ cte("fn_body", f"""SELECT repo, path, ord,
   FROM (SELECT repo, path, ord, w,
           list_filter(range(1, length(w) + 1), lambda j: substr(w, j, 1) = '}}'
              AND d0 + (j - length(replace(substr(w, 1, j), '{{', ''))) - (j - length(replace(substr(w, 1, j), '}}', ''))) = 0)[1] AS cut
-        FROM (SELECT repo, path, ord, substr(content, end0 + 1, {BRACE_BODY_CHARS}) AS w,
+        FROM (SELECT repo, path, ord, substr(content, end0 + 1) AS w,
                 CASE WHEN opens THEN 1 ELSE 0 END AS d0
               FROM fn_t WHERE language <> 'python'))""", ["fn_body_py2", "fn_t"])
 
