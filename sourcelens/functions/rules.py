@@ -15,6 +15,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must equal the analysed tool's constants for equal results.
 # Patterns carry the documented fixes (see README "Deviations"): Python
@@ -360,8 +363,9 @@ _FORBIDDEN = re.compile(r"\(\?<?[=!]|\\[1-9]")
 
 
 def validate_pattern(pattern: str, named: bool = False) -> None:
-    """Reject what one of the two regex dialects lacks, what doesn't compile, what matches empty text (positions
-    are sums over matches and the text between them), and a ``named`` pattern without a group for the name."""
+    """Reject what one of the two regex dialects lacks, what doesn't compile (in Java too, where a session runs), what
+    matches empty text (positions are sums over matches and the text between them), and a ``named`` pattern without a
+    group for the name."""
     if _FORBIDDEN.search(pattern):
         raise ValueError(f"look-around and back-references are not portable: {pattern!r}")
     if re.search(r"(?<!\\)\{(?!\d)", pattern):
@@ -370,6 +374,14 @@ def validate_pattern(pattern: str, named: bool = False) -> None:
         compiled = re.compile(pattern)
     except re.error as e:
         raise ValueError(f"not a pattern: {pattern!r}: {e}") from e
+    if re.search(r"\(\?(?:P|\(|[aLu])|\\Z", pattern):
+        raise ValueError(f"Python syntax that Java doesn't have: {pattern!r}")
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except Py4JJavaError as e:
+            raise ValueError(f"not a pattern in Java: {pattern!r}: {e.java_exception.getMessage()}") from e
     if any(m.end() == m.start() for m in compiled.finditer("a (b) {c} 1 = 'd'; // e\n# f\n")) or compiled.match(""):
         raise ValueError(f"matches empty text: {pattern!r}")
     if named and not 1 <= compiled.groups <= 2:

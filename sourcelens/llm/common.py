@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_dir
+from ..session import new_path, written  # noqa: F401 — the operators write through this module
 
 #: Rows of one Arrow batch; texts average a few kB, so a batch stays at some MB.
 ARROW_ROWS = 1000
@@ -50,14 +49,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder that the cluster names (``spark.checkpoint.dir``)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut and a lost executor re-reads it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return new_path(spark, name)
 
 
 def quoted(name: str) -> Column:

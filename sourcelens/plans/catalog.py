@@ -19,11 +19,13 @@ from ..operators import extract as E
 from ..operators import rank as RK
 from ..operators import retrieval as RT
 from ..operators import stats as S
-from ..session import written
+from ..functions.rules import LanguageRules
+from ..session import new_path, release_written, written
 from ..sources import corpus as SRC
 from ..sources import snapshot as SNAP
 from ..sources.corpus import corpus_from_table, documents_corpus, language_of, spread
-from ..sources.fixtures import code_files
+from ..sources.fixtures import api_responses, code_files, document_tree
+from ..streaming.incremental import ingest_stream, read_output
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,9 +66,12 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(listed(root)))
 
 
-def forget() -> None:
-    """Drops what the session's reports share; the next report builds it again."""
+def forget(spark: SparkSession | None = None) -> None:
+    """Drops what the session's reports share; the next report builds it again.  With the session given, its written
+    tables are deleted from the shared folder too."""
     _SHARED.clear()
+    if spark is not None:
+        release_written(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -690,3 +695,110 @@ def q_ngram_terms(spark, sf):
     ordered = F.array_sort(F.collect_list(F.struct("term", each.alias("e"))))
     return RT.term_counts(documents(spark, sf)).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.md5(F.array_join(F.transform(ordered, lambda s: s["e"]), "\n").cast("binary")).alias("terms_md5"))
+
+
+# ---------------------------------------------------------------------------
+# Files on storage: scan, skipped files, stream, a registered language; repository metadata; saved outputs
+# ---------------------------------------------------------------------------
+
+#: The documents' language as files: "names" are words on -ing or -er before a space, "comments" runs of digits.
+PROSE = LanguageRules().register("prose", [".txt"], function=r"([A-Za-z]+(?:ing|er)) ", comment=r"[0-9]{4,}[^\n]*")
+TREE_MAX_BYTES = 20_000
+
+
+def file_tree(spark, sf) -> str:
+    """The documents as text files under one folder, written once a session."""
+    return shared(spark, sf, "file_tree", lambda: document_tree(documents(spark, sf), new_path(spark, "file-tree")))
+
+
+def tree_files(spark, sf) -> DataFrame:
+    return shared(spark, sf, "tree_files", lambda: SRC.scan_with_skipped(spark, file_tree(spark, sf), repo_depth=1, rules=PROSE))[0]
+
+
+def _folder(path: str = "path"):
+    """A file's folder; the name that Spark's writer gave it is left out."""
+    return F.substring_index(path, "/", 1).alias("path")
+
+
+@register("scan_corpus", O.with_ctes("""
+SELECT repo, path, language, CAST(length(content) AS BIGINT) AS size,
+  CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS lines, md5(content) AS content_md5
+FROM tree_files""", ["tree_files"]))
+def q_scan_corpus(spark, sf):
+    """A1: a recursive scan of files on storage."""
+    return tree_files(spark, sf).select("repo", _folder(), "language", "size", "lines", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@register("skipped_files", O.with_ctes(f"""
+SELECT repo, path, CAST(strlen(raw) AS BIGINT) AS size_bytes, 'too_large' AS skip_reason FROM tree_raw WHERE strlen(raw) > {TREE_MAX_BYTES}""", ["tree_raw"]))
+def q_skipped_files(spark, sf):
+    """B2 of a scan with a size limit (nothing in this tree is unreadable)."""
+    skipped = SRC.skipped_files(spark, file_tree(spark, sf), repo_depth=1, rules=PROSE, max_bytes=TREE_MAX_BYTES)
+    return skipped.select("repo", _folder(), "size_bytes", "skip_reason")
+
+
+@register("language_subset", O.with_ctes(
+    "SELECT repo, path, language, size FROM files WHERE language IN ('python', 'go')", ["files"]))
+def q_language_subset(spark, sf):
+    """B4."""
+    return SRC.select_languages(corpus(spark, sf), ["python", "go"]).select("repo", "path", "language", "size")
+
+
+@register("registered_language", O.with_ctes(
+    "SELECT repo, path, ord, name, line FROM prose_t", ["prose_t"]))
+def q_registered_language(spark, sf):
+    """The functions of a language registered with patterns of its own."""
+    found = E.functions(E.analyze(tree_files(spark, sf), PROSE))
+    return found.select("repo", _folder(), "ord", "name", "line")
+
+
+@register("stream_metrics", O.with_ctes("""
+SELECT repo, path, language, total_lines, code_lines, blank_lines, complexity, maintainability FROM tree_metrics""", ["tree_metrics"]))
+def q_stream_metrics(spark, sf):
+    """The file stream over the same tree, in micro-batches, all of it available now."""
+    out = new_path(spark, "stream")
+    ingest_stream(spark, file_tree(spark, sf), f"{out}/out", f"{out}/state", repo_depth=1, rules=PROSE,
+                  max_files_per_trigger=2_000).awaitTermination()
+    return read_output(spark, f"{out}/out", "file_metrics").select(
+        "repo", _folder(), "language", "total_lines", "code_lines", "blank_lines", "complexity", "maintainability")
+
+
+def repo_infos(spark, sf) -> DataFrame:
+    return SRC.load_repo_info(api_responses(spark, spread(table(spark, sf, "part"), "p_partkey")))
+
+
+@register("repo_info", """
+SELECT concat('repo', k) AS repo, name, description, language, stars, forks, size FROM (
+  SELECT p_partkey % 23 AS k, concat('Name ', p_partkey % 23) AS name,
+    CASE WHEN p_partkey % 23 % 3 = 0 THEN NULL ELSE concat('About ', max(p_name)) END AS description, 'go' AS language,
+    count(*) AS stars, CAST(sum(p_size) AS BIGINT) AS forks, CAST(0 AS BIGINT) AS size
+  FROM part GROUP BY p_partkey % 23) WHERE k % 5 <> 4""")
+def q_repo_info(spark, sf):
+    """A3: metadata from API responses; those that aren't 200 have none."""
+    return repo_infos(spark, sf).select("repo", "name", "description", "language", "stars", "forks", "size")
+
+
+@register("project_context_info", O.with_ctes("""
+SELECT f.repo, concat_ws(' | ', concat('Project: ', coalesce(i.name, f.repo)),
+  CASE WHEN length(i.description) > 0 THEN concat('Description: ', i.description) END,
+  concat('Languages: ', coalesce(l.language_list, '[]')),
+  concat('Total files: ', total_files), concat('Functions: ', total_functions), concat('Classes: ', total_classes)) AS context
+FROM facts f LEFT JOIN lang_line l USING (repo) LEFT JOIN repo_info i USING (repo)""", ["facts", "lang_line", "repo_info"]))
+def q_project_context_info(spark, sf):
+    """E5: the analysis joined with repository metadata."""
+    return S.project_context(analyzed(spark, sf), repo_infos(spark, sf))
+
+
+@register("search_reloaded", O.with_ctes("SELECT qid, doc_id, rank, round(score, 6) AS score FROM bq_hits", ["bq_hits"]))
+def q_search_reloaded(spark, sf):
+    """The index saved and loaded again."""
+    path = new_path(spark, "saved-index")
+    doc_index(spark, sf).save(path)
+    hits = RT.search(RT.Index.load(spark, path), bench_questions(spark, sf))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@register("saved_docs", O.with_ctes("SELECT repo, doc_path FROM doc_suite", ["doc_suite"]))
+def q_saved_docs(spark, sf):
+    """The paths of the documents written."""
+    return SNAP.write_docs(DOC.doc_suite(analyzed(spark, sf)), new_path(spark, "docs"))

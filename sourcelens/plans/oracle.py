@@ -733,3 +733,21 @@ def snippet_symbols_sql() -> str:
     one = "SELECT CAST(p_partkey AS VARCHAR) AS path, language, '{kind}' AS kind, CAST(ord AS INTEGER) AS ord, name, CAST(line AS INTEGER) AS line FROM part JOIN (VALUES " + langs + \
         ") l(i, language) ON p_partkey % 12 = l.i JOIN (VALUES {rows}) s(i, ord, name, line) ON s.i = l.i"
     return one.format(kind="function", rows=_snippet_rows(2)) + " UNION ALL " + one.format(kind="class", rows=_snippet_rows(3))
+
+
+# ---------------------------------------------------------------------------
+# The documents as files on storage, a language registered for them, repository metadata
+# ---------------------------------------------------------------------------
+
+cte("tree_raw", """SELECT concat('source=', source) AS repo, concat('part=', CAST(doc_id // 200 AS VARCHAR)) AS path,
+  concat(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), chr(10)) AS raw
+  FROM documents GROUP BY source, doc_id // 200""", [])
+cte("tree_files", """SELECT repo, path, 'prose' AS language,
+  regexp_replace(replace(raw, chr(65533), ''), '\r\n?', chr(10), 'g') AS content FROM tree_raw""", ["tree_raw"])
+_positioned("prose", {"prose": r"([A-Za-z]+(?:ing|er)) "}, "tree_files")
+cte("prose_t", """SELECT repo, path, g1 AS name, line, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY i) - 1 AS INTEGER) AS ord
+  FROM prose_pos""", ["prose_pos"])
+metrics_cte("tree_metrics", "tree_files")
+cte("repo_info", """SELECT concat('repo', p_partkey % 23) AS repo, concat('Name ', p_partkey % 23) AS name,
+  CASE WHEN p_partkey % 23 % 3 = 0 THEN NULL ELSE concat('About ', max(p_name)) END AS description
+  FROM part WHERE p_partkey % 23 % 5 <> 4 GROUP BY p_partkey % 23""", [])

@@ -55,13 +55,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder.
 
     Cuts the lineage: a lost executor's part is read again, not worked out again, and readers take only the
-    columns and row groups they need.
+    columns and row groups they need.  The table stays until ``release_written`` deletes it, as results that are
+    worked out later read it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, which ``release_written`` deletes."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written_so_far(spark: SparkSession) -> int:
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_written(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables written by this session (after the first ``since`` of them), once no result needs them.
+
+    Returns how many there were.  Frames built on them can't be read afterwards.
+    """
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return len(gone)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import newlines
 from ..functions.rules import DEFAULT_RULES, MAX_FILE_BYTES, LanguageRules
 from ..operators.rank import top_k
+from ..session import written
 
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Hash-spread an input that arrives in fewer partitions than the cluster
@@ -168,7 +169,8 @@ def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int
 
     The suffix glob prunes at listing time.  All files are read by default;
     with ``max_bytes`` the size predicate is pushed into the binaryFile
-    source, and ``skipped_files`` lists what was left out.  ``repo`` is either
+    source.  A file that can't be read doesn't fail the scan: ``skipped_files``
+    lists it with those left out (``scan_with_skipped`` gives both).  ``repo`` is either
     given, or the first ``repo_depth`` directories under the root, or the name
     of the root that the file lies in.
     """
@@ -178,22 +180,43 @@ def scan_corpus(spark: SparkSession, roots: str | list[str], *, repo_depth: int
 
 
 def skipped_from_binary(raw: DataFrame, roots: list[str], *, repo_depth: int | None = None, repo: str | None = None,
-                        max_bytes: int | None = None) -> DataFrame:
+                        max_bytes: int | None = None, read: DataFrame | None = None) -> DataFrame:
     """B2: ``repo, path, full_path, size_bytes, skip_reason`` of the files that ``files_from_binary`` leaves out.
 
-    Sizes come from the listing; no content is read for files that are too large.
+    Names and sizes come from the listing, which reads no content; a listed file whose content didn't arrive is
+    ``unreadable``.  ``read`` names the files that did (``full_path``, e.g. a written scan); without it every file of
+    a size to be read is read once to find out.
     """
-    repo_c, rel_path = _placed(raw, roots, repo_depth, repo)
-    out = raw.select(repo_c.alias("repo"), rel_path.alias("path"), F.col("path").alias("full_path"),
-                     F.col("length").alias("size_bytes"), F.lit("too_large").alias("skip_reason"))
-    return out.where(F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes)
+    listed = raw.select("path", "length")
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    if read is None:
+        # asking for the content makes the source open the file; one that can't be read gives no row
+        read = raw.where(small & F.col("content").isNotNull()).select("path")
+    else:
+        read = read.select(F.col("full_path").alias("path"))
+    skipped = listed.where(~small).withColumn("skip_reason", F.lit("too_large")).unionByName(
+        listed.where(small).join(read, "path", "left_anti").withColumn("skip_reason", F.lit("unreadable")))
+    repo_c, rel_path = _placed(skipped, roots, repo_depth, repo)
+    return skipped.select(repo_c.alias("repo"), rel_path.alias("path"), F.col("path").alias("full_path"),
+                          F.col("length").alias("size_bytes"), "skip_reason")
 
 
 def skipped_files(spark: SparkSession, roots: str | list[str], *, repo_depth: int | None = None,
-                  rules: LanguageRules = DEFAULT_RULES, max_bytes: int | None = None, repo: str | None = None) -> DataFrame:
-    """B2 of a scan with the same arguments."""
+                  rules: LanguageRules = DEFAULT_RULES, max_bytes: int | None = None, repo: str | None = None,
+                  scanned: DataFrame | None = None) -> DataFrame:
+    """B2 of a scan with the same arguments: files too large and files that couldn't be read.
+
+    With ``scanned``, the written result of that scan, no content is read again.
+    """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    return skipped_from_binary(_raw_files(spark, roots, rules), roots, repo_depth=repo_depth, repo=repo, max_bytes=max_bytes)
+    return skipped_from_binary(_raw_files(spark, roots, rules), roots, repo_depth=repo_depth, repo=repo,
+                               max_bytes=max_bytes, read=scanned)
+
+
+def scan_with_skipped(spark: SparkSession, roots: str | list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """A1 and B2 with one read of the contents: the scan, written to the shared folder, and what it left out."""
+    files = written(scan_corpus(spark, roots, **options), "scan")
+    return files, skipped_files(spark, roots, scanned=files, **options)
 
 
 def quarantine(df: DataFrame, *, size_col: str = "size_bytes", max_bytes: int = MAX_FILE_BYTES,

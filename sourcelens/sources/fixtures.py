@@ -9,6 +9,7 @@ view.  Its size grows with ``part`` (one file per part row).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .corpus import corpus_from_table
 
@@ -33,3 +34,28 @@ def code_files(spark: SparkSession, part: DataFrame) -> DataFrame:
     text = CODE_FILES_SELECT.replace("{", "{{").replace("}", "}}").replace("{{part}}", "{part}")
     raw = spark.sql(text, part=part.select("p_partkey", "p_name", "p_brand", "p_size"))
     return corpus_from_table(raw, repo="repo", path="path", language="language", content="content")
+
+
+DOCS_PER_FOLDER = 200
+
+
+def document_tree(documents: DataFrame, path: str) -> str:
+    """The documents as text files, ``source=<source>/part=<doc_id // 200>/….txt``: each file holds the texts of its
+    source's ids in that range, in order, a line break after each.  Returns ``path``."""
+    rows = documents.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", F.col("source"),
+                            F.floor(F.col("doc_id") / DOCS_PER_FOLDER).cast("long").alias("part"))
+    (rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("text", "source", "part")
+     .write.partitionBy("source", "part").text(path))
+    return path
+
+
+def api_responses(spark: SparkSession, part: DataFrame) -> DataFrame:
+    """``repo, status, body``: what a repository API would answer for the repositories of ``code_files``."""
+    k = F.col("p_partkey") % 23
+    facts = part.groupBy(k.alias("k")).agg(F.max("p_name").alias("about"), F.count(F.lit(1)).alias("stars"), F.sum("p_size").alias("forks"))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("Name "), F.col("k").cast("string")).alias("name"),
+        F.when(F.col("k") % 3 != 0, F.concat(F.lit("About "), "about")).alias("description"), F.lit("go").alias("language"),
+        F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count")))
+    return facts.select(F.concat(F.lit("repo"), F.col("k").cast("string")).alias("repo"),
+                        F.when(F.col("k") % 5 == 4, 404).otherwise(200).alias("status"), body.alias("body"))
