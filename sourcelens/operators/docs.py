@@ -26,6 +26,7 @@ from ..sources.corpus import valid
 from . import deps as DEP
 from . import extract as E
 from . import stats as S
+from ..session import written
 from .rank import importance_score, top_k
 
 DEFAULT_GENERATED_ON = "1970-01-01 00:00:00"
@@ -269,7 +270,8 @@ def setup_text(analyzed: DataFrame) -> DataFrame:
         "entry_points": ep_text}).alias("text"))
 
 
-def doc_suite(analyzed: DataFrame, k: int = 5, generated_on: str = DEFAULT_GENERATED_ON) -> DataFrame:
+def doc_suite(analyzed: DataFrame, k: int = 5, generated_on: str = DEFAULT_GENERATED_ON,
+              repos: DataFrame | None = None) -> DataFrame:
     """Every page of each repository's documentation, by its path: README, the API, setup and architecture
     pages, the file index and one page for each of the ``k`` most important files."""
     def page(texts: DataFrame, doc_path: Column, template: str, **fields: Column) -> DataFrame:
@@ -277,7 +279,7 @@ def doc_suite(analyzed: DataFrame, k: int = 5, generated_on: str = DEFAULT_GENER
             "text": F.col("text"), "generated_on": F.lit(generated_on), **fields}).alias("text"))
 
     files = file_docs(analyzed, k)
-    return (repo_readme(analyzed, generated_on)
+    return (repo_readme(analyzed, generated_on, repos)
             .unionByName(page(api_text(analyzed), F.lit("docs/API.md"), API_PAGE_TEMPLATE))
             .unionByName(page(setup_text(analyzed), F.lit("docs/SETUP.md"), SETUP_PAGE_TEMPLATE))
             .unionByName(page(overview_text(analyzed), F.lit("docs/ARCHITECTURE.md"), ARCHITECTURE_PAGE_TEMPLATE))
@@ -285,8 +287,8 @@ def doc_suite(analyzed: DataFrame, k: int = 5, generated_on: str = DEFAULT_GENER
             .unionByName(page(files, F.col("doc_path"), FILE_PAGE_TEMPLATE, path=F.col("path"))))
 
 
-def repo_prompts(analyzed: DataFrame) -> DataFrame:
-    """Overview and setup prompts per repository.
+def repo_prompts(analyzed: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Overview and setup prompts per repository (``repos``: names and descriptions, E5).
 
     Entry points are listed sorted by path, at most 20, followed by
     ``(+N more)`` when there are more; every other list is bounded already
@@ -297,12 +299,12 @@ def repo_prompts(analyzed: DataFrame) -> DataFrame:
     recs = S.recommendations(facts).groupBy("repo").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rule", "recommendation"))),
         lambda s: F.concat(F.lit("- "), s["recommendation"])), "\n").alias("recs"))
-    j = j.join(recs, "repo", "left")
+    j, name, description = _named(j.join(recs, "repo", "left"), repos, NO_DESCRIPTION)
     patterns = F.concat(F.lit("{'mvc': "), _py_bool(F.col("mvc")), F.lit(", 'layered': "), _py_bool(F.col("layered")),
                         F.lit(", 'microservices': "), _py_bool(F.col("microservices")),
                         F.lit(", 'monolithic': "), _py_bool(F.col("monolithic")), F.lit("}"))
     overview = render(OVERVIEW_PROMPT_TEMPLATE, {
-        "name": F.col("repo"), "description": F.lit(NO_DESCRIPTION), "total_files": F.col("total_files"),
+        "name": name, "description": description, "total_files": F.col("total_files"),
         "languages": F.coalesce("lang_dict", F.lit("{}")), "functions": F.col("total_functions"),
         "classes": F.col("total_classes"), "n_dependencies": F.size(dep_list), "patterns": patterns,
         "entry_points": ep_text, "coverage": F.col("coverage_level"), "recommendations": F.coalesce("recs", F.lit(""))})
@@ -360,11 +362,55 @@ def tree_text(analyzed: DataFrame, files: int = 20) -> DataFrame:
     return drawn.select("repo", F.array_join(F.transform(F.array_sort("lines"), lambda x: x["t"]), "").alias("tree"))
 
 
-def repo_readme(analyzed: DataFrame, generated_on: str = DEFAULT_GENERATED_ON) -> DataFrame:
+def tree_lines(analyzed: DataFrame) -> DataFrame:
+    """The drawn directory tree of whole repositories, one row a line: ``repo, first_path, depth, line``.
+
+    A node's ``first_path`` is the smallest path under it.  Paths under one directory are neighbours in path order, so
+    sorting by (first_path, depth) gives the lines in drawing order, on any number of range partitions.  A node is the
+    last of its directory if its first path is the largest among its siblings; directories get the indent of what
+    stands in them from the directories above (one row for each level), and nodes take it from their directory.
+    Nothing is gathered for a repository or a directory.
+    """
+    parts = analyzed.select("repo", "path", "language", F.split("path", "/").alias("parts"))
+    nodes = explode_rows(parts, F.sequence(F.lit(1), F.size("parts")), "d", "repo", "path", "language", "parts")
+    is_file = F.col("d") == F.size("parts")
+    nodes = nodes.select("repo", "path", "d", F.array_join(F.slice("parts", 1, F.col("d")), "/").alias("key"),
+                         F.array_join(F.slice("parts", 1, F.col("d") - 1), "/").alias("parent"),
+                         F.element_at("parts", F.col("d")).alias("name"), is_file.alias("is_file"),
+                         F.when(is_file, F.col("language")).alias("language"))
+    nodes = nodes.groupBy("repo", "key").agg(
+        F.min("path").alias("first_path"), F.min("d").alias("depth"), F.min("parent").alias("parent"), F.min("name").alias("name"),
+        F.max("is_file").alias("is_file"), F.min("is_file").alias("only_file"), F.max("language").alias("language"))
+    nodes = written(nodes, "tree-nodes")
+    ends = written(nodes.groupBy("repo", "parent").agg(F.max("first_path").alias("last")), "tree-ends")
+    nodes = written(nodes.join(ends, ["repo", "parent"]).withColumn("is_last", F.col("first_path") == F.col("last")), "tree-placed")
+    folders = nodes.where(~F.col("only_file"))
+    levels = explode_rows(folders.select("repo", "key", F.split("key", "/").alias("parts")), F.sequence(F.lit(1), F.size("parts")), "d",
+                          "repo", "key", "parts").select("repo", "key", "d", F.array_join(F.slice("parts", 1, F.col("d")), "/").alias("above"))
+    pieces = levels.join(folders.select("repo", F.col("key").alias("above"), F.when(F.col("is_last"), TREE_SPACE).otherwise(TREE_PIPE).alias("piece")),
+                         ["repo", "above"])
+    indents = pieces.groupBy("repo", F.col("key").alias("parent")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("d", "piece"))), lambda x: x["piece"]), "").alias("indent"))
+    line = F.concat(F.coalesce("indent", F.lit("")), F.when(F.col("is_last"), TREE_LAST).otherwise(TREE_BRANCH), F.col("name"),
+                    F.when(F.col("is_file"), F.concat(F.lit(" ("), F.coalesce("language", F.lit("")), F.lit(")"))).otherwise(F.lit("/")))
+    return nodes.join(written(indents, "tree-indents"), ["repo", "parent"], "left").select("repo", "first_path", "depth", line.alias("line")) \
+        .orderBy("repo", "first_path", "depth")
+
+
+def _named(facts: DataFrame, repos: DataFrame | None, no_description: str) -> tuple[DataFrame, Column, Column]:
+    """E5: facts with each repository's name and description from its metadata (``repo, name, description``), where
+    there is any; else the repository's key and a fixed text."""
+    if repos is None:
+        return facts, F.col("repo"), F.lit(no_description)
+    about = repos.select("repo", F.col("name").alias("repo_name"), F.col("description").alias("repo_description"))
+    return facts.join(about, "repo", "left"), F.coalesce("repo_name", "repo"), F.coalesce("repo_description", F.lit(no_description))
+
+
+def repo_readme(analyzed: DataFrame, generated_on: str = DEFAULT_GENERATED_ON, repos: DataFrame | None = None) -> DataFrame:
     """The README page per repository: stats, documentation links and
     the drawn tree of the first 20 files; the overview is the start of the
     rendered summary report (the analysed tool puts a model-written text
-    there)."""
+    there).  ``repos`` gives names and descriptions (E5)."""
     facts = S.repo_facts(analyzed)
     langs = S.language_counts(analyzed).groupBy("repo").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("first_path", "language"))), lambda s: s["language"]), ", ")
@@ -373,8 +419,9 @@ def repo_readme(analyzed: DataFrame, generated_on: str = DEFAULT_GENERATED_ON) -
         "repo", F.substring("text", 1, README_OVERVIEW_CHARS).alias("overview"))
     j = (facts.join(langs, "repo", "left").join(overview, "repo", "left")
          .join(tree_text(analyzed, TREE_FILES_CAP), "repo", "left"))
+    j, name, description = _named(j, repos, README_DESCRIPTION)
     return j.select("repo", F.lit("README.md").alias("doc_path"), render(README_TEMPLATE, {
-        "name": F.col("repo"), "description": F.lit(README_DESCRIPTION), "overview": F.col("overview"),
+        "name": name, "description": description, "overview": F.col("overview"),
         "languages": F.coalesce("language_names", F.lit("")), "files": F.col("total_files"),
         "functions": F.col("total_functions"), "classes": F.col("total_classes"),
         "tree": F.col("tree"), "generated_on": F.lit(generated_on)}).alias("text"))

@@ -802,3 +802,21 @@ def q_search_reloaded(spark, sf):
 def q_saved_docs(spark, sf):
     """The paths of the documents written."""
     return SNAP.write_docs(DOC.doc_suite(analyzed(spark, sf)), new_path(spark, "docs"))
+
+
+@register("repo_readme_info", O.with_ctes("SELECT repo, doc_path, text FROM readme_info", ["readme_info"]))
+def q_repo_readme_info(spark, sf):
+    """D17 with names and descriptions from the repositories' metadata (E5)."""
+    return DOC.repo_readme(analyzed(spark, sf), repos=repo_infos(spark, sf))
+
+
+@register("repo_prompts_info", O.with_ctes("SELECT repo, overview_prompt, setup_prompt FROM repo_prompts_info", ["repo_prompts_info"]))
+def q_repo_prompts_info(spark, sf):
+    """D18 with names and descriptions from the repositories' metadata (E5)."""
+    return DOC.repo_prompts(analyzed(spark, sf), repo_infos(spark, sf))
+
+
+@register("directory_tree_lines", O.with_ctes("SELECT repo, first_path, depth, line FROM whole_lines", ["whole_lines"]))
+def q_directory_tree_lines(spark, sf):
+    """The drawn tree of whole repositories."""
+    return DOC.tree_lines(analyzed(spark, sf))

@@ -21,7 +21,7 @@ from ..functions.rules import (
     LAYERED_INDICATORS, MICROSERVICE_INDICATORS, MONOLITH_MIN_FILES,
     MVC_INDICATORS, NOT_FUNCTION_NAMES, NO_ANSWER_TEXT, NO_API_TEXT, NO_CLASSES_LINE, NO_DESCRIPTION,
     NO_FUNCTIONS_LINE, NO_PATTERNS_LINE, OVERVIEW_PROMPT_TEMPLATE, PROMPT_ENTRY_POINTS_CAP,
-    PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE,
+    PY_WHITESPACE, README_DESCRIPTION, README_TEMPLATE, RECOMMENDATIONS, SETUP_PROMPT_TEMPLATE, SUMMARY_TEMPLATE, TREE_BRANCH, TREE_LAST, TREE_PIPE, TREE_SPACE,
     TEST_CONTENT_WORDS, TEST_PATH_WORDS,
 )
 from ..operators.docs import DEFAULT_GENERATED_ON, REPORT_LABELS
@@ -623,8 +623,8 @@ _setup_joins = f"""  FROM facts f
 cte("setup_text", f"""SELECT f.repo, {render_sql(SETUP_TEXT_TEMPLATE, {
     "languages": "coalesce(l.lst, '[]')", "dependencies": "concat('[', coalesce(dp.d, ''), ']')",
     "entry_points": _ep_text})} AS text {_setup_joins}""", ["facts", "lang_counts", "an", "imp_t"])
-cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
-    "name": "f.repo", "description": sql_str(NO_DESCRIPTION), "total_files": "f.total_files",
+_prompts = lambda name, description, info: f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
+    "name": name, "description": description, "total_files": "f.total_files",
     "languages": "coalesce(l.dct, '{}')", "functions": "f.total_functions", "classes": "f.total_classes",
     "n_dependencies": "coalesce(dp.n, 0)", "patterns": _patterns_dict, "entry_points": _ep_text,
     "coverage": "f.coverage_level", "recommendations": "coalesce(r.d, '')"})} AS overview_prompt,
@@ -633,7 +633,10 @@ cte("repo_prompts", f"""SELECT f.repo, {render_sql(OVERVIEW_PROMPT_TEMPLATE, {
                                       "entry_points": _ep_text})} AS setup_prompt
 {_setup_joins}
   LEFT JOIN (SELECT repo, string_agg(concat('- ', recommendation), chr(10) ORDER BY rule) AS d FROM recs GROUP BY repo) r
-     USING (repo)""", ["facts", "lang_counts", "an", "imp_t", "recs"])
+     USING (repo) {info}"""
+cte("repo_prompts", _prompts("f.repo", sql_str(NO_DESCRIPTION), ""), ["facts", "lang_counts", "an", "imp_t", "recs"])
+cte("repo_prompts_info", _prompts("coalesce(i.name, f.repo)", f"coalesce(i.description, {sql_str(NO_DESCRIPTION)})",
+                                  "LEFT JOIN repo_info i USING (repo)"), ["facts", "lang_counts", "an", "imp_t", "recs", "repo_info"])
 
 # ---------------------------------------------------------------------------
 # Directory tree drawing and README page
@@ -661,14 +664,17 @@ cte("tree_lines", """SELECT t.repo, t.key, list(x.a_first ORDER BY x.a_d) AS o,
   FROM tree_last t JOIN tree_anc x ON x.repo = t.repo AND x.key = t.key
   GROUP BY t.repo, t.key, t.d, t.is_last, t.kp, t.is_file, t.language""", ["tree_last", "tree_anc"])
 cte("tree", "SELECT repo, string_agg(line, '' ORDER BY o) AS tree FROM tree_lines GROUP BY repo", ["tree_lines"])
-cte("readme", f"""SELECT f.repo, 'README.md' AS doc_path, {render_sql(README_TEMPLATE, {
-    "name": "f.repo", "description": sql_str(README_DESCRIPTION), "overview": "substr(s.text, 1, 500)",
+_readme = lambda name, description, info: f"""SELECT f.repo, 'README.md' AS doc_path, {render_sql(README_TEMPLATE, {
+    "name": name, "description": description, "overview": "substr(s.text, 1, 500)",
     "languages": "coalesce(l.d, '')", "files": "f.total_files", "functions": "f.total_functions",
     "classes": "f.total_classes", "tree": "t.tree", "generated_on": sql_str(DEFAULT_GENERATED_ON)})} AS text
   FROM facts f
   LEFT JOIN (SELECT repo, string_agg(language, ', ' ORDER BY first_path, language) AS d FROM lang_counts GROUP BY repo) l
     USING (repo)
-  LEFT JOIN summary_md s USING (repo) LEFT JOIN tree t USING (repo)""", ["facts", "lang_counts", "summary_md", "tree"])
+  LEFT JOIN summary_md s USING (repo) LEFT JOIN tree t USING (repo) {info}"""
+cte("readme", _readme("f.repo", sql_str(README_DESCRIPTION), ""), ["facts", "lang_counts", "summary_md", "tree"])
+cte("readme_info", _readme("coalesce(i.name, f.repo)", f"coalesce(i.description, {sql_str(README_DESCRIPTION)})",
+                           "LEFT JOIN repo_info i USING (repo)"), ["facts", "lang_counts", "summary_md", "tree", "repo_info"])
 
 
 # ---------------------------------------------------------------------------
@@ -751,3 +757,17 @@ metrics_cte("tree_metrics", "tree_files")
 cte("repo_info", """SELECT concat('repo', p_partkey % 23) AS repo, concat('Name ', p_partkey % 23) AS name,
   CASE WHEN p_partkey % 23 % 3 = 0 THEN NULL ELSE concat('About ', max(p_name)) END AS description
   FROM part WHERE p_partkey % 23 % 5 <> 4 GROUP BY p_partkey % 23""", [])
+
+# The drawn tree of whole repositories, a row a line.
+cte("whole_nodes", """SELECT *, first_path = max(first_path) OVER (PARTITION BY repo, parent) AS is_last FROM
+  (SELECT repo, array_to_string(parts[1:d], '/') AS key, array_to_string(parts[1:d - 1], '/') AS parent, parts[d] AS name,
+          CAST(d AS INTEGER) AS depth, min(path) AS first_path, bool_or(d = len(parts)) AS is_file,
+          max(CASE WHEN d = len(parts) THEN language END) AS language
+   FROM (SELECT repo, path, language, parts, unnest(range(1, len(parts) + 1)) AS d
+         FROM (SELECT repo, path, language, string_split(path, '/') AS parts FROM files)) GROUP BY ALL)""", ["files"])
+cte("whole_lines", f"""SELECT n.repo, n.first_path, n.depth, concat(
+    coalesce(string_agg(CASE WHEN a.is_last THEN {sql_str(TREE_SPACE)} ELSE {sql_str(TREE_PIPE)} END, '' ORDER BY a.depth) FILTER (WHERE a.key IS NOT NULL), ''),
+    CASE WHEN n.is_last THEN {sql_str(TREE_LAST)} ELSE {sql_str(TREE_BRANCH)} END, n.name,
+    CASE WHEN n.is_file THEN concat(' (', coalesce(n.language, ''), ')') ELSE '/' END) AS line
+  FROM whole_nodes n LEFT JOIN whole_nodes a ON a.repo = n.repo AND a.depth < n.depth AND starts_with(n.key, concat(a.key, '/'))
+  GROUP BY n.repo, n.key, n.first_path, n.depth, n.is_last, n.name, n.is_file, n.language""", ["whole_nodes"])
