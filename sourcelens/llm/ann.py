@@ -114,33 +114,45 @@ class Index:
         return int(np.searchsorted(found, recall) + 1)
 
 
-def adaptive_scan(query: np.ndarray, block: np.ndarray, k: int, columns: int = COLUMNS,
-                  epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``block`` (rotated vectors) of the k nearest to ``query``, with all that tie, and their
-    distances; each true neighbour is among them with high probability.
-
-    The block is scanned some rows at a time, so that the distance to beat shrinks on the way.
+def adaptive_scan(queries: np.ndarray, block: np.ndarray, k: int, probed: np.ndarray | None = None, columns: int = COLUMNS,
+                  epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of ``block`` (rotated vectors) to each query, with all that tie: places of queries, places in the
+    block, distances; each true neighbour is among them with high probability.
+
+    ``probed`` tells for each query which rows of the block it looks at (default: all).  The block is scanned some
+    rows at a time by all queries together, so that the distances to beat shrink on the way; pairs that a test
+    abandons are looked at no more.
     """
-    n, dims = block.shape
-    best, found, beat = np.zeros(0), np.zeros(0, np.int64), np.inf
+    (m, dims), n = queries.shape, len(block)
+    beat = np.full(m, np.inf)
+    asked, found, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for start in range(0, n, SCAN_ROWS):
-        alive = np.arange(start, min(start + SCAN_ROWS, n))
-        partial = np.zeros(len(alive))
+        rows = block[start:start + SCAN_ROWS]
+        looks = np.ones((m, len(rows)), bool) if probed is None else probed[:, start:start + SCAN_ROWS]
+        q, r = np.nonzero(looks)
+        partial = np.zeros(len(q))
         for lo in range(0, dims, columns):
             hi = min(lo + columns, dims)
-            diff = block[alive, lo:hi] - query[lo:hi]
-            partial += np.einsum("ij,ij->i", diff, diff)
-            if beat < np.inf:
-                # sqrt(D / d) * partial distance estimates the distance: reject beyond its error bound
-                slack = (1 + epsilon / np.sqrt(hi)) ** 2 if hi < dims else 1 + 1e-9
-                keep = partial * (dims / hi) <= beat * slack
-                alive, partial = alive[keep], partial[keep]
-        best, found = np.concatenate([best, partial]), np.concatenate([found, alive])
-        if len(best) > k:
-            beat = np.partition(best, k - 1)[k - 1]
-            keep = best <= beat * (1 + 1e-9) + 1e-12
-            best, found = best[keep], found[keep]
-    return found, best
+            a, b = queries[:, lo:hi], rows[:, lo:hi]
+            if 4 * len(q) > m * len(rows):              # most pairs are alive: all of them as one product
+                partial = partial + np.maximum(distances(a, b), 0.0)[q, r]
+            else:
+                diff = b[r] - a[q]
+                partial = partial + np.einsum("ij,ij->i", diff, diff)
+            # sqrt(D / d) * partial distance estimates the distance: reject beyond its error bound
+            slack = (1 + epsilon / np.sqrt(hi)) ** 2 if hi < dims else 1 + 1e-9
+            keep = partial * (dims / hi) <= beat[q] * slack + 1e-12
+            q, r, partial = q[keep], r[keep], partial[keep]
+        asked, found, best = np.concatenate([asked, q]), np.concatenate([found, r + start]), np.concatenate([best, partial])
+        order = np.lexsort((best, asked))
+        asked, found, best = asked[order], found[order], best[order]
+        first = np.searchsorted(asked, np.arange(m))
+        count = np.searchsorted(asked, np.arange(m), side="right") - first
+        full = count >= k
+        beat[full] = best[first[full] + k - 1]
+        keep = best <= beat[asked] * (1 + 1e-9) + 1e-12
+        asked, found, best = asked[keep], found[keep], best[keep]
+    return asked, found, best
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -237,18 +249,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     right = asked.mapInPandas(ask, "b int, vid long, x binary").withColumn("q", F.pmod(F.xxhash64("vid"), F.lit(q_blocks)).cast("int"))
 
     def scan(candidates: pd.DataFrame, probing: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(candidates) and len(probing):
-            candidates = candidates.sort_values("list")
-            block, ids, lists_of = _unpacked(candidates["x"], dims), candidates["vid"].to_numpy(), candidates["list"].to_numpy()
-            there, at = np.unique(lists_of, return_inverse=True)
-            asking = _unpacked(probing["x"], dims)
-            for vid, q, mine in zip(probing["vid"].to_numpy(), asking, probed(asking)):
-                chosen = np.isin(there, mine)
-                rows = np.arange(len(ids)) if chosen.all() else np.flatnonzero(chosen[at])
-                found, d = adaptive_scan(q, block if len(rows) == len(ids) else block[rows], k + 1)
-                out.append((np.full(len(found), vid), ids[rows[found]], d))
-        return pd.DataFrame(dict(zip(("qid", "vid", "d"), map(np.concatenate, zip(*out)))))
+        if not len(candidates) or not len(probing):
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "vid": np.zeros(0, np.int64), "d": np.zeros(0)})
+        candidates = candidates.sort_values("list")
+        ids, lists_of, qids = candidates["vid"].to_numpy(), candidates["list"].to_numpy(), probing["vid"].to_numpy()
+        asking = _unpacked(probing["x"], dims)
+        mine = np.zeros((len(asking), n_lists), bool)
+        np.put_along_axis(mine, probed(asking), True, axis=1)
+        q, r, d = adaptive_scan(asking, _unpacked(candidates["x"], dims), k + 1, mine[:, lists_of])
+        return pd.DataFrame({"qid": qids[q], "vid": ids[r], "d": d})
 
     pairs = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(scan, "qid long, vid long, d double")
     # twice as many as are asked for go on to the exact score, so rounding in the rotated space can't decide
