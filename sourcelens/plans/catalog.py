@@ -778,12 +778,7 @@ def q_repo_info(spark, sf):
     return repo_infos(spark, sf).select("repo", "name", "description", "language", "stars", "forks", "size")
 
 
-@register("project_context_info", O.with_ctes("""
-SELECT f.repo, concat_ws(' | ', concat('Project: ', coalesce(i.name, f.repo)),
-  CASE WHEN length(i.description) > 0 THEN concat('Description: ', i.description) END,
-  concat('Languages: ', coalesce(l.language_list, '[]')),
-  concat('Total files: ', total_files), concat('Functions: ', total_functions), concat('Classes: ', total_classes)) AS context
-FROM facts f LEFT JOIN lang_line l USING (repo) LEFT JOIN repo_info i USING (repo)""", ["facts", "lang_line", "repo_info"]))
+@register("project_context_info", O.with_ctes("SELECT repo, context FROM context_info", ["context_info"]))
 def q_project_context_info(spark, sf):
     """E5: the analysis joined with repository metadata."""
     return S.project_context(analyzed(spark, sf), repo_infos(spark, sf))
@@ -820,3 +815,10 @@ def q_repo_prompts_info(spark, sf):
 def q_directory_tree_lines(spark, sf):
     """The drawn tree of whole repositories."""
     return DOC.tree_lines(analyzed(spark, sf))
+
+
+@register("kb_answer_prompts", O.with_ctes("SELECT repo, qid, prompt, confidence FROM kb_answer_prompts", ["kb_answer_prompts"]))
+def q_kb_answer_prompts(spark, sf):
+    """The whole prompt of each question about a repository, with that repository's context."""
+    context = S.project_context(analyzed(spark, sf), repo_infos(spark, sf))
+    return RT.answer_prompts(kb_index(spark, sf), kb_questions(analyzed(spark, sf)), project_context=context)

@@ -771,3 +771,20 @@ cte("whole_lines", f"""SELECT n.repo, n.first_path, n.depth, concat(
     CASE WHEN n.is_file THEN concat(' (', coalesce(n.language, ''), ')') ELSE '/' END) AS line
   FROM whole_nodes n LEFT JOIN whole_nodes a ON a.repo = n.repo AND a.depth < n.depth AND starts_with(n.key, concat(a.key, '/'))
   GROUP BY n.repo, n.key, n.first_path, n.depth, n.is_last, n.name, n.is_file, n.language""", ["whole_nodes"])
+
+# Answer prompts of the knowledge bases, each with its repository's context (metadata included).
+cte("context_info", """SELECT f.repo, concat_ws(' | ', concat('Project: ', coalesce(i.name, f.repo)),
+  CASE WHEN length(i.description) > 0 THEN concat('Description: ', i.description) END,
+  concat('Languages: ', coalesce(l.language_list, '[]')),
+  concat('Total files: ', total_files), concat('Functions: ', total_functions), concat('Classes: ', total_classes)) AS context
+FROM facts f LEFT JOIN lang_line l USING (repo) LEFT JOIN repo_info i USING (repo)""", ["facts", "lang_line", "repo_info"])
+_kb_prompt = render_sql(ANSWER_PROMPT_TEMPLATE, {"project_context": "p.context", "context": "c.passages", "question": "q.question"})
+cte("kb_answer_prompts", f"""SELECT c.repo, c.qid, {_kb_prompt} AS prompt,
+  CASE WHEN c.top > 0.5 THEN 'high' WHEN c.top > 0.3 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT h.repo, h.qid, max(CASE WHEN rank = 1 THEN score END) AS top,
+               string_agg(concat('Source: ', d.source, ' (', d.type, ')', chr(10), substr(d.text, 1, 800), '...'),
+                          chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS passages
+        FROM kb_hits h JOIN kb_docs d ON d.repo = h.repo AND d.doc_id = h.doc_id WHERE rank <= 3 GROUP BY h.repo, h.qid) c
+  JOIN (SELECT repo, concat_ws(':', repo, kind, CAST(ord AS VARCHAR)) AS qid, concat('What does the ', kind, ' ', name, ' do?') AS question
+        FROM api WHERE kind <> 'none') q USING (repo, qid)
+  JOIN context_info p ON p.repo = c.repo""", ["kb_hits", "kb_docs", "api", "context_info"])
