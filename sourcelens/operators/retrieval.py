@@ -157,6 +157,17 @@ class Index:
         return cls(r("vocab"), r("postings"), r("norms"), r("kb_docs"), group)
 
 
+def weighted_postings(tf: DataFrame, vocab_side: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The normalised postings of term counts under a vocabulary (term, idf), and the documents' norms."""
+    w = tf.join(vocab_side, [*keys, "term"]).select(
+        *keys, "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "doc_id")))
+    weighted = written(w.select(*keys, "doc_id", "term", "w", norm.alias("norm")), "postings")
+    postings = weighted.select(*keys, "doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norms = weighted.groupBy(*keys, "doc_id").agg(F.max("norm").alias("norm"))
+    return postings, norms
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stop_words: tuple[str, ...] | None = None, max_features: int = MAX_FEATURES,
                 max_df: float = MAX_DF, group: str | None = None) -> Index:
@@ -180,12 +191,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         vocab = written(group_vocabulary(tf, n_docs, group, max_features, max_df), "vocabulary")
         # max_features rows per group: grows with the groups, so joined by key.
         vocab_side = vocab.select(group, "term", "idf")
-    w = tf.join(vocab_side, [*keys, "term"]).select(
-        *keys, "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "doc_id")))
-    weighted = written(w.select(*keys, "doc_id", "term", "w", norm.alias("norm")), "postings")
-    postings = weighted.select(*keys, "doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-    norms = weighted.groupBy(*keys, "doc_id").agg(F.max("norm").alias("norm"))
+    postings, norms = weighted_postings(tf, vocab_side, list(keys))
     return Index(vocab, postings, norms,
                  docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, group)
 

@@ -19,6 +19,7 @@ from ..operators import extract as E
 from ..operators import rank as RK
 from ..operators import retrieval as RT
 from ..operators import stats as S
+from ..operators.index_store import IndexStore
 from ..functions.rules import LanguageRules
 from ..session import new_path, release_written, written
 from ..sources import corpus as SRC
@@ -822,3 +823,13 @@ def q_kb_answer_prompts(spark, sf):
     """The whole prompt of each question about a repository, with that repository's context."""
     context = S.project_context(analyzed(spark, sf), repo_infos(spark, sf))
     return RT.answer_prompts(kb_index(spark, sf), kb_questions(analyzed(spark, sf)), project_context=context)
+
+
+@register("index_by_steps", O.with_ctes("SELECT doc_id, term, round(weight, 6) AS weight FROM left_post", ["left_post"]))
+def q_index_by_steps(spark, sf):
+    """Documents added in two steps, some replaced, some deleted; the postings are those of an index built anew."""
+    docs, store = kb_documents(spark, sf), IndexStore(spark, new_path(spark, "index-store"))
+    store.apply(added=docs.where("doc_id % 3 <> 0"))
+    store.apply(added=docs.where("doc_id % 3 = 0 OR doc_id % 5 = 0"))
+    store.apply(deleted=docs.where("doc_id % 7 = 3"))
+    return store.load().postings.select("doc_id", "term", F.round("weight", 6).alias("weight"))

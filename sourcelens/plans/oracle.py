@@ -788,3 +788,13 @@ cte("kb_answer_prompts", f"""SELECT c.repo, c.qid, {_kb_prompt} AS prompt,
   JOIN (SELECT repo, concat_ws(':', repo, kind, CAST(ord AS VARCHAR)) AS qid, concat('What does the ', kind, ' ', name, ' do?') AS question
         FROM api WHERE kind <> 'none') q USING (repo, qid)
   JOIN context_info p ON p.repo = c.repo""", ["kb_hits", "kb_docs", "api", "context_info"])
+
+# The index of the documents that are left after some were deleted.
+_group_terms_ctes("left", "SELECT 'all' AS g, doc_id AS id, text FROM documents WHERE doc_id % 7 <> 3", [])
+cte("left_n", "SELECT CAST(count(*) AS DOUBLE) AS n FROM documents WHERE doc_id % 7 <> 3", [])
+cte("left_vocab", f"""SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM
+  (SELECT term, df, n, row_number() OVER (ORDER BY total DESC, term) AS r
+   FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM left_tf GROUP BY term), left_n
+   WHERE df <= {MAX_DF} * n) WHERE r <= {MAX_FEATURES}""", ["left_tf", "left_n"])
+cte("left_post", """SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM
+  (SELECT id AS doc_id, term, tf * idf AS w FROM left_tf JOIN left_vocab USING (term))""", ["left_tf", "left_vocab"])
