@@ -34,6 +34,7 @@ from .rank import top_k
 TOKEN_PATTERN = UNICODE_WORD + "{2,}"
 MAX_FEATURES = 5000
 MAX_DF = 0.95
+TERM_BUCKETS = 1 << 18
 # Bytes of question vectors that go to every task at once; more questions are searched in more blocks.
 QUESTION_BLOCK_BYTES = 64 << 20
 
@@ -125,6 +126,32 @@ def group_vocabulary(tf: DataFrame, n_docs: DataFrame, group: str, max_features:
     return top.select(group, "term", "df", "total", _idf(F.col("n_docs")).alias("idf"))
 
 
+def _bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS))
+
+
+def frequent_terms(tf: DataFrame, n_docs: float, max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> DataFrame:
+    """``tf`` without terms that can't be among the ``max_features`` most frequent ones; no such term is lost.
+
+    A lower bound of the last count that makes the vocabulary: counts over some documents are at most the counts over
+    all, so the ``max_features``-th largest count in a tenth of the documents, among terms that this tenth proves
+    rare enough for ``max_df``, is one.  An upper bound of each term's count: the sum of its hash bucket.  Terms of
+    buckets under the bound stay where they are; the rest is counted exactly.  Bucket sums are at most
+    ``TERM_BUCKETS`` rows of two numbers, so the list of buckets goes to every task.
+    """
+    part = tf.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) == 0)
+    seen = part.select("doc_id").distinct().count()
+    # a term that this many of these documents lack can't stand in over max_df of all
+    counts = part.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")) \
+        .where(F.lit(seen) - F.col("df") >= F.lit((1 - max_df) * n_docs))
+    last = counts.select("total").orderBy(F.desc("total")).limit(max_features).agg(
+        F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+    if last["n"] < max_features:
+        return tf
+    large = tf.groupBy(_bucket("term").alias("bucket")).agg(F.sum("tf").alias("most")).where(F.col("most") >= last["least"]).select("bucket")
+    return tf.withColumn("bucket", _bucket("term")).join(F.broadcast(large), "bucket", "left_semi").drop("bucket")
+
+
 class Index:
     """The fitted index: ``vocab``, ``postings`` (normalised) and ``norms``.
 
@@ -182,8 +209,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # once and every search reads the postings as they are.
     tf = written(term_counts(docs, id_col, text_col, stop_words, keys), "term-counts")
     if group is None:
-        n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-        vocab = written(vocabulary(tf, n_docs, max_features, max_df), "vocabulary")
+        n = float(docs.count())
+        vocab = written(vocabulary(frequent_terms(tf, n, max_features, max_df), F.lit(n), max_features, max_df), "vocabulary")
         # At most max_features rows, so broadcasting it is always safe.
         vocab_side = F.broadcast(vocab.select("term", "idf"))
     else:
