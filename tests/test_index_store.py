@@ -8,24 +8,6 @@ from sourcelens.operators.index_store import IndexStore
 WORDS = [f"word{k}" for k in range(60)]
 
 
-def test_pruned_counts_give_the_same_vocabulary(spark):
-    """Terms too rare for the vocabulary are left out before they are counted, and none that belongs in it."""
-    from pyspark.sql import functions as F
-    r = random.Random(2)
-    names = [f"t{k}" for k in range(3000)]
-    weights = [1 / (k + 1) for k in range(3000)]
-    rows = [(i, "common " + " ".join(r.choices(names, weights, k=60))) for i in range(600)]
-    tf = RT.term_counts(docs(spark, rows)).cache()
-    for most in (5, 40, 200):
-        kept = RT.frequent_terms(tf, 600.0, most)
-        want = RT.vocabulary(tf, F.lit(600.0), most).collect()
-        assert sorted(RT.vocabulary(kept, F.lit(600.0), most).collect()) == sorted(want)
-        assert kept.select("term").distinct().count() < tf.select("term").distinct().count() / 3
-        assert "common" not in {x.term for x in want}
-    assert RT.frequent_terms(tf, 600.0, 1_000_000).count() == tf.count()
-    tf.unpersist()
-
-
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "src", "kind") for i, t in rows], "doc_id long, text string, source string, type string")
 
