@@ -1,6 +1,7 @@
 """Whole tables, right labels: no cut, no mixed groups, no null taken for absence."""
 
 import os
+import random
 import time
 
 import pytest
@@ -112,3 +113,30 @@ def test_patterns_that_cannot_work_are_refused(pattern):
 def test_patterns_that_work_are_taken():
     rules = LanguageRules().register("lang", [".l"], function=r"proc\s+(\w+)", comment="--[^\n]*")
     assert rules.functions["lang"] and rules.suffixes[".l"] == "lang"
+
+
+def test_search_makes_no_row_for_a_question_and_a_document(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"word{r.randint(0, 30)}" for _ in range(n))
+    rows = [(i, "s", "t", text(12)) for i in range(60)] + [(7, "s", "t", text(9)), (None, "s", "t", text(12)), (3, "s", "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, type string, text string")
+    asked = [(i, text(4)) for i in range(25)] + [(4, text(3)), (25, " "), (26, None)]
+    index = RT.build_index(docs)
+    vectors = {}
+    for v in RT.query_vectors(index, spark.createDataFrame(asked, "qid int, text string")).collect():
+        vectors.setdefault(v["qid"], []).append((v["term"], v["qw"]))
+    weights = {}
+    for p in index.postings.collect():
+        weights.setdefault(p["term"], []).append((p["doc_id"], p["weight"]))
+    want = set()
+    for q, terms in vectors.items():
+        total = {}
+        for term, qw in terms:
+            for d, w in weights[term]:
+                total[d] = total.get(d, 0.0) + qw * w
+        best = sorted(((-round(s, 9), d is not None, d) for d, s in total.items() if round(s, 9) > 0.1))[:5]
+        want |= {(q, d, i + 1, -s) for i, (s, _, d) in enumerate(best)}
+    found = RT.search(index, spark.createDataFrame(asked, "qid int, text string"), block_bytes=500)
+    assert {tuple(h) for h in found.select("qid", "doc_id", "rank", "score").collect()} == want and len(want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "keys=[doc_id" not in plan
