@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .retrieval import MAX_DF, MAX_FEATURES, Index, _idf, term_counts, weighted_postings
+from .retrieval import (MAX_DF, MAX_FEATURES, Index, _idf, candidate_hashes, is_whole, of_candidates, term_counts,
+                        weighted_postings)
 
 MERGE_SEGMENTS = 16
 MERGE_SHARE = 0.5       # of the stored documents that are deleted
@@ -72,8 +73,9 @@ class IndexStore:
 
     @staticmethod
     def _stats(terms: DataFrame, docs: DataFrame, sign: int) -> DataFrame:
-        one = terms.groupBy("term").agg((sign * F.count(F.lit(1))).alias("df"), (sign * F.sum("tf")).cast("long").alias("total")) \
-            .withColumn("docs", F.lit(0).cast("long"))
+        """Rows that ``apply`` sums by term: one for each term of a document (not summed here, or they'd be shuffled twice)."""
+        one = terms.select("term", F.lit(sign).cast("long").alias("df"), (sign * F.col("tf")).cast("long").alias("total"),
+                           F.lit(0).cast("long").alias("docs"))
         # the number of documents stands under no term
         return one.unionByName(docs.agg((sign * F.count(F.lit(1))).alias("docs")).select(
             F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("total"), "docs"))
@@ -131,10 +133,18 @@ class IndexStore:
 
     def load(self, max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> Index:
         """The index of the live documents, the same as one built anew from them."""
-        stats = written(self.statistics(), "statistics")
-        n_docs = F.lit(float(stats.where("term IS NULL").agg(F.sum("docs")).first()[0] or 0))
-        top = stats.where(F.col("term").isNotNull() & (F.col("df") <= F.lit(max_df) * n_docs)) \
-            .orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-        vocab = written(top.select("term", "df", "total", _idf(n_docs).alias("idf")), "vocabulary")
-        postings, norms = weighted_postings(self._live("terms").drop("segment"), F.broadcast(vocab.select("term", "idf")), [])
+        stored = self._read("stats")
+        n_docs = F.lit(float(stored.where("term IS NULL").agg(F.sum("docs")).first()[0] or 0))
+        terms = stored.where("term IS NOT NULL")
+
+        def taken(rows: DataFrame) -> DataFrame:
+            sums = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
+            top = sums.where(F.col("df") <= F.lit(max_df) * n_docs).orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
+            return written(top.select("term", "df", "total", _idf(n_docs).alias("idf")), "vocabulary")
+
+        hashes = written(candidate_hashes(terms, n_docs, max_features, max_df), "candidates")
+        vocab = taken(of_candidates(terms, hashes))
+        if not is_whole(vocab, hashes, max_features):
+            vocab = taken(terms)
+        postings, norms = weighted_postings(self._live("terms").drop("segment"), vocab.select("term", "idf"), [])
         return Index(vocab, postings, norms, self._live("docs").drop("segment"))
