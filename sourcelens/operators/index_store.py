@@ -2,15 +2,14 @@
 
 Under one folder:
 
-  terms/segment=N       (doc_id, term, tf) of the documents added by step N
+  tokens/segment=N      (doc_id, tokens) of the documents added by step N, from which their terms are counted
   docs/segment=N        the documents themselves, with their other columns
   stats/segment=N       (term, df, total, docs) that step N adds to the corpus statistics, below zero where it deletes
   tombstones/segment=N  (doc_id) that step N deletes from the segments before it
   manifest/version=V    the segments that are part of the index, written last
 
-Statistics are additive, so the vocabulary comes from one row a term and step, never from the term counts of all
-documents.  Weights depend on every document through the idf and are worked out on loading, from the stored counts.  A
-step that fails leaves no new manifest and so no trace in the index.  ``merge`` rewrites the live documents as one
+Statistics are additive, so the vocabulary comes from one row a term and step, never from the terms of all documents.
+Weights depend on every document through the idf and are worked out on loading, from the stored tokens.  A step that fails leaves no new manifest and so no trace in the index.  ``merge`` rewrites the live documents as one
 segment, once deleted ones or small steps make up too large a share.
 """
 
@@ -19,11 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
-from .retrieval import (MAX_DF, MAX_FEATURES, Index, _idf, candidate_hashes, is_whole, of_candidates, term_counts,
-                        weighted_postings)
+from ..session import shuffles_freed, written
+from .retrieval import (MAX_DF, MAX_FEATURES, Index, Vectors, joined_tokens, of_candidates, stored_candidates, summed_terms,
+                        vocabulary_of)
 
 MERGE_SEGMENTS = 16
+# Characters of tokens whose terms are summed at once, and the shares that more of them are dealt to at most: each is
+# shuffled and written before the next, and each counts all tokens again.
+SHARE_CHARS = 256 << 20
+SHARES = 4
 MERGE_SHARE = 0.5       # of the stored documents that are deleted
 
 
@@ -59,26 +62,39 @@ class IndexStore:
 
     def _write(self, df: DataFrame, table: str, segment: int) -> None:
         # a step that failed before may have left something under this number
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/segment={segment}")
+        with shuffles_freed(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{table}/segment={segment}", compression="zstd")
+
+    def _append(self, df: DataFrame, table: str, segment: int) -> None:
+        with shuffles_freed(self.spark):
+            df.write.mode("append").parquet(f"{self.path}/{table}/segment={segment}", compression="zstd")
 
     def _read(self, table: str, segments: list[int] | None = None) -> DataFrame:
         segments = self.segments() if segments is None else segments
         return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/segment={s}" for s in segments])
 
+    def _undeleted(self, rows: DataFrame) -> DataFrame:
+        """Those of the rows (with doc_id and segment) whose document no later step deleted."""
+        gone = self._read("tombstones").groupBy("doc_id").agg(F.max("segment").alias("deleted_by"))
+        return rows.join(gone, "doc_id", "left").where(F.col("deleted_by").isNull() | (F.col("segment") >= F.col("deleted_by"))).drop("deleted_by")
+
     def _live(self, table: str) -> DataFrame:
         """Rows of documents that no later step deleted."""
-        gone = self._read("tombstones").groupBy("doc_id").agg(F.max("segment").alias("deleted_by"))
-        rows = self._read(table).join(gone, "doc_id", "left")
-        return rows.where(F.col("deleted_by").isNull() | (F.col("segment") >= F.col("deleted_by"))).drop("deleted_by")
+        return self._undeleted(self._read(table))
 
     @staticmethod
-    def _stats(terms: DataFrame, docs: DataFrame, sign: int) -> DataFrame:
-        """Rows that ``apply`` sums by term: one for each term of a document (not summed here, or they'd be shuffled twice)."""
-        one = terms.select("term", F.lit(sign).cast("long").alias("df"), (sign * F.col("tf")).cast("long").alias("total"),
-                           F.lit(0).cast("long").alias("docs"))
-        # the number of documents stands under no term
-        return one.unionByName(docs.agg((sign * F.count(F.lit(1))).alias("docs")).select(
-            F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("total"), "docs"))
+    def _stats(signed: list[tuple[int, DataFrame]], share: int, shares: int) -> DataFrame:
+        """The statistics of tokens that are added (1) or deleted (-1): a share of the terms, and with the first share the
+        number of documents, which stands under no term."""
+        rows = None
+        for sign, tokens in signed:
+            one = summed_terms(tokens, share, shares).select("term", *[(sign * F.col(c)).alias(c) for c in ("df", "total")], F.lit(0).cast("long").alias("docs"))
+            if share == 0:
+                one = one.unionByName(tokens.agg((sign * F.count(F.lit(1))).alias("docs")).select(
+                    F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("total"), "docs"))
+            rows = one if rows is None else rows.unionByName(one)
+        # in order, terms take half the room
+        return rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "total", "docs")]).sortWithinPartitions("term")
 
     # -- steps ----------------------------------------------------------------
 
@@ -91,23 +107,25 @@ class IndexStore:
             if ids is not None and segments:
                 ids = ids.select("doc_id").distinct()
                 gone = ids if gone is None else gone.union(ids).distinct()
-        stats = None
+        signed = []
         if gone is not None:
             self._write(self._live("docs").join(gone, "doc_id", "left_semi").select("doc_id"), "tombstones", segment)
             dead = self.spark.read.parquet(f"{self.path}/tombstones/segment={segment}")
-            stats = self._stats(self._live("terms").join(dead, "doc_id", "left_semi"), dead, -1)
+            signed.append((-1, written(self._live("tokens").join(dead, "doc_id", "left_semi").select("doc_id", "tokens"), "deleted-tokens", "zstd")))
         else:
             self._write(self.spark.createDataFrame([], added.select("doc_id").schema), "tombstones", segment)
         if added is not None:
-            self._write(term_counts(added, "doc_id", "text", self.stop_words), "terms", segment)
+            self._write(joined_tokens(added, "doc_id", "text", self.stop_words), "tokens", segment)
             self._write(added, "docs", segment)
-            new = self._stats(self.spark.read.parquet(f"{self.path}/terms/segment={segment}"),
-                              self.spark.read.parquet(f"{self.path}/docs/segment={segment}"), 1)
-            stats = new if stats is None else stats.unionByName(new)
+            signed.append((1, self.spark.read.parquet(f"{self.path}/tokens/segment={segment}")))
         else:
-            self._write(self._read("terms").drop("segment").limit(0), "terms", segment)
+            self._write(self._read("tokens").drop("segment").limit(0), "tokens", segment)
             self._write(self._read("docs").drop("segment").limit(0), "docs", segment)
-        self._write(stats.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "total", "docs")]), "stats", segment)
+        chars = sum(tokens.agg(F.sum(F.length("tokens"))).first()[0] or 0 for _, tokens in signed)
+        shares = min(SHARES, max(1, -(-chars // SHARE_CHARS)))
+        self._write(self._stats(signed, 0, shares), "stats", segment)
+        for share in range(1, shares):
+            self._append(self._stats(signed, share, shares), "stats", segment)
         self._commit([*segments, segment])
 
     def merge(self, force: bool = False) -> bool:
@@ -117,7 +135,7 @@ class IndexStore:
         if not force and len(segments) < MERGE_SEGMENTS and live >= (1 - MERGE_SHARE) * stored:
             return False
         segment = self._new_segment()
-        for table in ("terms", "docs"):
+        for table in ("tokens", "docs"):
             self._write(self._live(table).drop("segment"), table, segment)
         self._write(self._read("tombstones").drop("segment").limit(0), "tombstones", segment)
         self._write(self.statistics(), "stats", segment)
@@ -137,14 +155,10 @@ class IndexStore:
         n_docs = F.lit(float(stored.where("term IS NULL").agg(F.sum("docs")).first()[0] or 0))
         terms = stored.where("term IS NOT NULL")
 
-        def taken(rows: DataFrame) -> DataFrame:
-            sums = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
-            top = sums.where(F.col("df") <= F.lit(max_df) * n_docs).orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-            return written(top.select("term", "df", "total", _idf(n_docs).alias("idf")), "vocabulary")
-
-        hashes = written(candidate_hashes(terms, n_docs, max_features, max_df), "candidates")
-        vocab = taken(of_candidates(terms, hashes))
-        if not is_whole(vocab, hashes, max_features):
-            vocab = taken(terms)
-        postings, norms = weighted_postings(self._live("terms").drop("segment"), vocab.select("term", "idf"), [])
-        return Index(vocab, postings, norms, self._live("docs").drop("segment"))
+        candidates = stored_candidates(terms, max_features)
+        some = of_candidates(terms, self.spark.createDataFrame([(int(h),) for h in candidates.hashes], "h long"))
+        vocab = written(vocabulary_of(some, n_docs, max_features, max_df), "vocabulary")
+        if not candidates.decide(vocab):
+            vocab = written(vocabulary_of(terms, n_docs, max_features, max_df), "vocabulary")
+        vectors = Vectors(self._read("tokens"), vocab, self._undeleted)
+        return Index(vocab, vectors.postings(), vectors.norms(), self._live("docs").drop("segment"), vectors=vectors)
